@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from tessella.llm import chat, mixing, secrets
+from tessella.llm import chat, mixing, quality, secrets
 
-QUERIES = {"op1_mix_sources": mixing.query, "op8_chat_format": chat.query, "op9_secret_scan": secrets.query}
+QUERIES = {"op1_mix_sources": mixing.query, "op7_quality_rules": quality.query, "op8_chat_format": chat.query, "op9_secret_scan": secrets.query}
 ORACLES = {"op1_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
