@@ -1,7 +1,7 @@
 """Chat formatting of reply trees.
 
 Root-to-leaf paths are enumerated by self-joins that double the known part of every path: a chain of n replies takes
-log2(n) joins. Branches of a conversation are ranked by the sum of their nodes' scores, and each chosen path becomes
+log2(n) rounds, and finished paths take no part in later ones. Branches of a conversation are ranked by the sum of their nodes' scores, and each chosen path becomes
 one conversation: every turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.
 
 Control strings of common templates inside a role or text are broken up by a backslash after their first character, and
@@ -64,30 +64,40 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(conv, leaf, node, place) of all root-to-leaf paths of (conv, node, parent) rows; node ids are unique in a conversation."""
+    """(conv, leaf, node, back) of all root-to-leaf paths of (conv, node, parent) rows, back counting from the leaf.
+
+    Round k joins every known (leaf, node) to the node 2^k above it, which doubles each path, and the jumps of 2^k to
+    themselves; only jumps that have not passed the root go on. Node ids are unique in a conversation.
+    """
     ids = nodes.select("conv", "node", "parent")
     known = ids.select(F.col("conv").alias("c"), F.col("node").alias("n"))
-    parent = ids.join(known, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("n")), "left")
-    inner = ids.where("parent is not null").select(F.col("conv").alias("c2"), F.col("parent").alias("p2")).distinct()
-    # up: the node above the known part of the path, null at the root; path: the known part, nearest the root first
-    step = cut(parent.select("conv", "node", F.col("n").alias("up"), F.array("node").alias("path")), "chat-paths")
-    n, rounds = step.count(), 0
-    while not step.where("up is not null").isEmpty() and 1 << rounds <= n:
-        above = step.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("path").alias("more"))
-        both = step.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
-        path = F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("more", "path"))
-        longer = cut(both.select("conv", "node", F.col("up2").alias("up"), path.alias("path")), "chat-paths")
-        discard(step)
-        step, rounds = longer, rounds + 1
-    leaves = step.where("up is null").join(inner, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("p2")), "left_anti")
-    return leaves.select("conv", F.col("node").alias("leaf"), F.posexplode("path").alias("place", "node"))
+    same = F.col("conv").eqNullSafe(F.col("c"))
+    jumps = [cut(ids.join(known, same & (F.col("parent") == F.col("n"))).select("conv", "node", F.col("parent").alias("up")), "chat-jumps")]
+    n = ids.count()
+    while not jumps[-1].isEmpty() and 1 << len(jumps) <= 2 * n:
+        over = jumps[-1].select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"))
+        twice = jumps[-1].join(over, same & (F.col("up") == F.col("n"))).select("conv", "node", F.col("up2").alias("up"))
+        jumps.append(cut(twice, "chat-jumps"))
+    inner = jumps[0].select(F.col("conv").alias("c"), F.col("up").alias("n"))
+    endless = jumps[-1].select(F.col("conv").alias("c"), F.col("node").alias("n"))  # below a cycle
+    at = same & (F.col("node") == F.col("n"))
+    leaves = ids.select("conv", "node").join(inner, at, "left_anti").join(endless, at, "left_anti")
+    pairs = leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    for k, jump in enumerate(jumps[:-1]):
+        step = jump.select(F.col("conv").alias("c"), F.col("node").alias("n"), "up")
+        above = pairs.join(step, at).select("conv", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        longer = cut(pairs.unionByName(above), "chat-paths")
+        if k:
+            discard(pairs)
+        pairs = longer
+    return pairs
 
 
 def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """(conv, leaf, branch, turns) of (conv, node, parent, role, text, score): the ``best`` branches, all by default."""
     said = nodes.select(F.col("conv").alias("c"), F.col("node").alias("n"), "role", "text", "score")
     rows = paths(nodes).join(said, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
-    turn = F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct((-F.col("back")).alias("place"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
     whole = whole.withColumn("branch", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")))
     return whole if best is None else whole.where(F.col("branch") <= best)
