@@ -1,7 +1,8 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from tessella.llm import chat, html, mixing, quality, secrets
+from tessella.llm import chat, html, mixing, quality, secrets, toxicity
 
 QUERIES = {"op1_mix_sources": mixing.query, "op5_html_extract": html.query,
+    "op6_toxicity": toxicity.query,
     "op7_quality_rules": quality.query, "op8_chat_format": chat.query, "op9_secret_scan": secrets.query}
 ORACLES = {"op1_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
