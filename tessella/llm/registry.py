@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from tessella.llm import chat, html, mixing, quality, secrets, toxicity
+from tessella.llm import chat, html, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {"op1_mix_sources": mixing.query, "op5_html_extract": html.query,
     "op6_toxicity": toxicity.query,
