@@ -1,8 +1,15 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from tessella.llm import chat, html, mixing, quality, secrets, simhash, toxicity
+from tessella.llm import chat, decontaminate, html, mixing, quality, secrets, simhash, toxicity
 
-QUERIES = {"op1_mix_sources": mixing.query, "op5_html_extract": html.query,
+QUERIES = {
+    "op1_mix_sources": mixing.query,
+    "op4_simhash_near_dups": simhash.query,
+    "op5_html_extract": html.query,
     "op6_toxicity": toxicity.query,
-    "op7_quality_rules": quality.query, "op8_chat_format": chat.query, "op9_secret_scan": secrets.query}
+    "op7_quality_rules": quality.query,
+    "op8_chat_format": chat.query,
+    "op9_secret_scan": secrets.query,
+    "op10_decontaminate": decontaminate.query,
+}
 ORACLES = {"op1_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
