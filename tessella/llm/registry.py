@@ -1,9 +1,10 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from tessella.llm import chat, decontaminate, html, mixing, quality, secrets, simhash, toxicity
+from tessella.llm import chat, decontaminate, html, lines, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_line_dedup": lines.query,
     "op4_simhash_near_dups": simhash.query,
     "op5_html_extract": html.query,
     "op6_toxicity": toxicity.query,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_decontaminate": decontaminate.query,
 }
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": lines.ORACLE, "op8_chat_format": chat.ORACLE}
