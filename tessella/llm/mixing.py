@@ -140,3 +140,12 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(size * (certain + CASE WHEN rnk IS NOT NULL AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM run
 """
+
+
+def stage(spark, docs, sf_dir):
+    """The mix itself: every document as often as it is taken, numbered by ``copy`` from 1."""
+    columns = docs.columns
+    rows = docs.select("doc_id", "text", "source", F.struct(*columns).alias("_doc"))
+    rows = mix(rows, keep=("_doc",)).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select(*(F.col("_doc")[c].alias(c) for c in columns if c != "copy"), "copy")
