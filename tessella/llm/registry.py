@@ -1,10 +1,11 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from tessella.llm import chat, decontaminate, html, lines, mixing, quality, secrets, simhash, toxicity
+from tessella.llm import chat, decontaminate, html, lines, mixing, ngram, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_line_dedup": lines.query,
+    "op3_ngram_scores": ngram.query,
     "op4_simhash_near_dups": simhash.query,
     "op5_html_extract": html.query,
     "op6_toxicity": toxicity.query,
