@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-A line's words are lower-cased (A-Z) and words with a digit become the wildcard. The tree has a fixed depth: a line goes
+A line's words are lower-cased and words with a digit become the wildcard. The tree has a fixed depth: a line goes
 to the leaf of its word count and its ``DEPTH`` leading words. In a leaf, a word at a place that fewer than ``LEAST``
 texts share there is a variable field and becomes the wildcard too; what is left is the line's template. Where less
 than half of a line's words would stay, or under ``CONSTANT``, the line is its own template.
@@ -21,34 +21,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER, UPPER, WORD_SQL, cut
+from tessella.llm.common import WORD_SQL, cut
 
 LEAST, DEPTH, CONSTANT, SHARE = 10, 2, 3, 0.5
 DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _tokens(line: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(F.translate(line, UPPER, LOWER), DIGITS, "<*>"), F.lit(WORD_SQL), F.lit(0))
+def _plain(line: Column) -> Column:
+    """The line's words, lower-cased and masked, with single spaces; patterns run only where a cheap test finds cause."""
+    low = F.lower(line)
+    low = F.when(low.rlike("[0-9]"), F.regexp_replace(low, DIGITS, "<*>")).otherwise(low)
+    tidy = F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))
+    return F.when(low.rlike(r"[\x09-\x0D]|^\x20|\x20\x20|\x20\z"), tidy).otherwise(low)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, pos, n, leaf, lh, tokens) of lines that may be dropped; th hashes the text, lh the line."""
+    """(id, th, pos, plain, n, leaf, lh) of all lines; th hashes the text, lh the line, n counts its words."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    rows = rows.select("id", "th", "pos", _tokens(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens"))
-    lead = [F.try_element_at("tokens", F.lit(k + 1)) for k in range(DEPTH)]
-    return rows.where(F.col("n") >= CONSTANT).withColumns({"leaf": F.xxhash64("n", *lead), "lh": F.xxhash64("tokens")})
+    rows = rows.select("id", "th", "pos", _plain(F.col("line")).alias("plain"))
+    n = F.when(F.col("plain") == "", 0).otherwise(F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "))) + 1)
+    lead = F.substring_index("plain", " ", DEPTH)
+    return rows.select("*", n.alias("n"), F.xxhash64(n, lead).alias("leaf"), F.xxhash64("plain").alias("lh"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, drops): the places of the lines to drop, for every document that has any."""
-    lines = cut(_lines(docs, id_col, text_col).drop("tokens"), "lines")
+    lines = cut(_lines(docs, id_col, text_col).drop("plain"), "lines").where(F.col("n") >= CONSTANT)
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").count().where(F.col("count") >= LEAST).select("leaf")
     leaves = cut(leaves, "lines-leaves")
     lines = cut(lines.join(leaves, "leaf", "left_semi"), "lines-shared")
     texts = lines.select("leaf", "lh", "th").distinct().groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("texts"))
 
-    words = _lines(docs, id_col, text_col).select("leaf", "lh", "n", "tokens").join(leaves, "leaf", "left_semi")
-    words = words.groupBy("leaf", "lh").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+    words = _lines(docs, id_col, text_col).select("leaf", "lh", "n", "plain").join(leaves, "leaf", "left_semi")
+    words = words.groupBy("leaf", "lh").agg(F.any_value("n").alias("n"), F.split(F.any_value("plain"), " ").alias("tokens"))
     words = cut(words.join(texts, ["leaf", "lh"]), "lines-words")
     each = words.select("leaf", "lh", "n", "texts", F.posexplode("tokens").alias("i", "word"))
     steady = each.groupBy("leaf", "i", "word").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= LEAST)
@@ -96,7 +101,7 @@ def stage(spark, docs, sf_dir):
 ORACLE = rf"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-t0 AS (SELECT doc_id, text, pos, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM l),
+t0 AS (SELECT doc_id, text, pos, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
 t AS (
   SELECT doc_id, text, pos, w, len(w) AS n, array_to_string(w, ' ') AS lh, struct_pack(n := len(w), a := w[1], b := w[2]) AS leaf
   FROM (SELECT doc_id, text, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN w] AS w FROM t0) WHERE len(w) >= {CONSTANT}),
