@@ -7,8 +7,8 @@ finds all of them. Candidates within the radius are verified by the weighted Jac
 weighing as often as it occurs; a window leaks an item from ``SIMILAR`` on. At similarity 0.8 the fingerprints of
 equally long texts differ by 10 bits on average; 19 is over three standard deviations more.
 
-Texts are read in stretches of ``STRETCH`` words that overlap by the largest item. A stretch that has no shingle of any
-item, of which every leak must have most, is passed over. Items are worked through in blocks of ``BLOCK`` characters,
+Texts are read in stretches of ``STRETCH`` words that overlap by the largest item. A window is passed over if less than
+``SIMILAR`` of its shingles are shingles of any item, as then it can't be similar enough to one. Items are worked through in blocks of ``BLOCK`` characters,
 each broadcast, so a benchmark of any size fits.
 
 Nulls: a null text or item is an empty one; an empty item leaks nowhere; items of under five words count as one
@@ -88,9 +88,18 @@ class Index:
             h ^= h >> np.uint64(29)
         return at, h
 
-    def touched(self, words: list[str]) -> bool:
+    def hits(self, words: list[str]) -> dict[int, np.ndarray]:
+        """By shingle length, how many of the first i shingles are an item's; without lengths that have none."""
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.uint64, len(words))
-        return any(np.isin(self._runs(ids, n)[1], gate).any() for n, gate in self.gates.items())
+        out = {}
+        for n, gate in self.gates.items():
+            at, h = self._runs(ids, n)
+            at = at[gate[np.minimum(np.searchsorted(gate, h), len(gate) - 1)] == h]
+            if len(at):
+                hit = np.zeros(max(1, len(words) - n + 1) + 1, np.int32)
+                hit[at + 1] = 1
+                out[n] = np.cumsum(hit)
+        return out
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the most similar window of each item that the text leaks."""
@@ -100,28 +109,33 @@ class Index:
             return []
         for at in range(0, len(words), STRETCH):
             part = words[at : at + STRETCH + self.largest - 1]
-            if self.touched(part):
-                self._windows(part, at, best)
+            if hits := self.hits(part):
+                self._windows(part, hits, at, best)
         return [(k, *best[k]) for k in sorted(best)]
 
-    def _windows(self, words: list[str], offset: int, best: dict) -> None:
+    def _windows(self, words: list[str], hits: dict, offset: int, best: dict) -> None:
         sums = {}
         for size, (items, prints, tables) in self.sizes.items():
             size = min(size, len(words))
             n = min(SHINGLE, size)
+            k = size - n + 1
+            if n not in hits:
+                continue
+            places = np.flatnonzero(hits[n][k:] - hits[n][:-k] >= SIMILAR * k - 1e-9)  # no other window can leak
+            if not len(places):
+                continue
             if n not in sums:
                 hashes = shingle_hashes(words, n)
                 sums[n] = hashes, np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)])
             hashes, running = sums[n]
-            k = size - n + 1
-            found = _prints(running[k:] - running[:-k], k)
+            found = _prints(running[places + k] - running[places], k)
             parts = found.astype(">u8").view(np.uint8).reshape(-1, 8)
             near = tables[0][parts[:, 0]]
             for b in range(1, 8):
                 near = near | tables[b][parts[:, b]]
             window, item = np.nonzero(np.unpackbits(near, axis=1, count=len(items)))
             close = np.bitwise_count(found[window] ^ prints[item]) <= RADIUS
-            for w, i in zip(window[close].tolist(), items[item[close]].tolist(), strict=True):
+            for w, i in zip(places[window[close]].tolist(), items[item[close]].tolist(), strict=True):
                 s = similarity(Counter(hashes[w : w + k].tolist()), self.bags[i])
                 if s >= SIMILAR and s > best.get(i, (0,))[0]:
                     best[i] = s, offset + w, size
