@@ -1,4 +1,549 @@
-"""Registered queries of the detection engine and their SQL."""
+"""Registered queries of the detection engine, and SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessella.config import CONFIG, METHODS, METHODS_25
+from tessella.functions import compositional as comp
+from tessella.operators import agreement, consensus, counts, fixpoint, inference, outliers, summary, suppress
+from tessella.operators.suppress import REGISTRY, SWEEPS
+from tessella.plans import sql
+from tessella.plans.study import CHECKED, MIN_CELLS, study
+from tessella.sources import validate
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+SHORT = CONFIG.short
+KEYS = ["slide_id", "overlap_pct"]
+BLOCK = counts.BLOCK
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def real(df: DataFrame) -> DataFrame:
+    """Reals rounded to six digits, without negative zero, as the SQL has them."""
+    return df.select(*(F.round(c, 6) + F.lit(0.0) if t == "double" and c != "overlap_pct" and c != "confidence" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
+
+
+def checked(df: DataFrame) -> DataFrame:
+    return df.where(F.col("nms_method").isin(*CHECKED))
+
+
+def reals(*columns: str) -> str:
+    return ", ".join(f"{sql.real(c)} AS {c}" for c in columns)
+
+
+# -- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query(sql.query([sql.DET], "SELECT det_id, slide_id, overlap_pct, label, confidence, x1, y1, x2, y2, cx, cy, x_correct, y_correct, tile_x, tile_y FROM det"))
+def detections(spark, sf_dir):
+    return study(spark, sf_dir).detections
+
+
+@query(sql.query([sql.DET], "SELECT det_id, CAST(x_correct // CASE WHEN overlap_pct = 0 THEN 640 ELSE 480 END AS BIGINT) AS tile_x, CAST(y_correct // CASE WHEN overlap_pct = 0 THEN 640 ELSE 480 END AS BIGINT) AS tile_y FROM det"))
+def tile_index(spark, sf_dir):
+    rows = study(spark, sf_dir).detections.select("det_id", "overlap_pct", "x_correct", "y_correct")
+    return validate.tile_index(rows).select("det_id", "tile_x", "tile_y")
+
+
+@query(sql.query([sql.DET], f"SELECT {sql.KEY}, avg((x_correct % CASE WHEN overlap_pct = 0 THEN 640 ELSE 480 END = 0)::INT::DOUBLE) AS share_x, avg((y_correct % CASE WHEN overlap_pct = 0 THEN 640 ELSE 480 END = 0)::INT::DOUBLE) AS share_y FROM det GROUP BY ALL"))
+def grid_integrity(spark, sf_dir):
+    return validate.grid_shares(study(spark, sf_dir).detections)
+
+
+@query(sql.query([sql.DET], "SELECT slide_id, overlap_pct, max(x2) AS max_x, max(y2) AS max_y, max(x2) <= 2560 + 640 AND max(y2) <= 2560 + 640 AS inside FROM det GROUP BY slide_id, overlap_pct"))
+def bounds_check(spark, sf_dir):
+    dets = study(spark, sf_dir).detections
+    slides = dets.select("slide_id").distinct().withColumns({"image_w": F.lit(2560), "image_h": F.lit(2560)})
+    return validate.bounds(dets, slides)
+
+
+@query(sql.query([sql.DET], "SELECT label, count(*) AS n FROM det WHERE label IN ('Makrophage', 'Lymphozyt') GROUP BY label"))
+def label_filter(spark, sf_dir):
+    return validate.known_labels(study(spark, sf_dir).detections, ("Makrophage", "Lymphozyt")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql.query([sql.DET], f"SELECT DISTINCT slide_id, 'S' || lpad(CAST(dense_rank() OVER (ORDER BY slide_id) AS VARCHAR), 2, '0') AS pseudonym FROM det"))
+def pseudonyms(spark, sf_dir):
+    return summary.pseudonyms(study(spark, sf_dir).detections)
+
+
+# -- predicates and suppression ---------------------------------------------------------------------------------------
+
+
+@query(sql.query([sql.DET], "SELECT det_id, slide_id, overlap_pct, label, confidence FROM det WHERE confidence >= 0.44::DOUBLE"))
+def conf_filter(spark, sf_dir):
+    return study(spark, sf_dir).confident.select("det_id", "slide_id", "overlap_pct", "label", "confidence")
+
+
+@query(sql.query([sql.DET], f"SELECT det_id, slide_id, overlap_pct FROM det WHERE {sql.INNER}"))
+def edge_filter(spark, sf_dir):
+    return study(spark, sf_dir).detections.where(suppress.interior()).select("det_id", "slide_id", "overlap_pct")
+
+
+@query(sql.query([sql.DET, sql.source("c"), sql.edges("e", "c", "iou", 0.45)], "SELECT k AS killer, v AS victim FROM e"))
+def iou_edges(spark, sf_dir):
+    return fixpoint.iou_edges(study(spark, sf_dir).confident, CONFIG.iou, 64).select("killer", "victim")
+
+
+@query(sql.query([sql.DET, sql.source("c"), sql.edges("e", "c", "nn_dist", 20.0)], "SELECT k AS killer, v AS victim FROM e"))
+def distance_edges(spark, sf_dir):
+    return fixpoint.distance_edges(study(spark, sf_dir).confident, CONFIG.distance)
+
+
+@query(sql.query([sql.DET, sql.source("c")], f"SELECT {sql.KEY}, label, {sql.real('2 * sd')} AS radius FROM c_r"))
+def center_radii(spark, sf_dir):
+    return real(suppress.center_radii(study(spark, sf_dir).confident))
+
+
+def _variant(name: str):
+    def run(spark, sf_dir):
+        return suppress.survived(study(spark, sf_dir).masked, name).select("det_id", "slide_id", "overlap_pct", "label", "tile_x", "tile_y")
+
+    return run
+
+
+for _name in METHODS:
+    _split = REGISTRY[_name].family == "nn_cluster" and REGISTRY[_name].scope not in ("grid_n1", "global")
+    query(None if _split else sql.one_variant(_name, REGISTRY[_name]), _name)(_variant(_name))
+
+
+@query(sql.one_variant("iou_grid_n2", REGISTRY["iou_grid_n2"]).replace("SELECT d.det_id, d.slide_id, d.overlap_pct, d.label, d.tile_x, d.tile_y FROM m", "SELECT d.det_id FROM m"))
+def iou_grid_n2_by_fixpoint(spark, sf_dir):
+    dets = study(spark, sf_dir).confident
+    return fixpoint.survivors(dets, fixpoint.iou_edges(dets, CONFIG.iou, 64), "grid_n2")
+
+
+def _sweep(prefix: str):
+    names = [n for n in SWEEPS if n.startswith(prefix)]
+
+    def run(spark, sf_dir):
+        rows = counts.cells(study(spark, sf_dir).swept, SWEEPS).where(F.col("nms_method").isin(*names))
+        return rows.select("slide_id", "overlap_pct", F.col("nms_method").alias("setting"), *SHORT)
+
+    wide = ", ".join(f"CAST(count(*) FILTER (d.label = '{label}') AS BIGINT) AS {s}" for label, s in zip(CONFIG.labels, SHORT, strict=True))
+    union = " UNION ALL ".join(f"SELECT '{n}' AS setting, det_id FROM w{k}" for k, n in enumerate(names))
+    oracle = sql.query([sql.DET, *(sql.survivors(f"w{k}", n, SWEEPS[n]) for k, n in enumerate(names))], f"SELECT d.slide_id, d.overlap_pct, s.setting, {wide} FROM ({union}) s JOIN det d USING (det_id) GROUP BY ALL")
+    return run, oracle
+
+
+for _query, _prefix in (("iou_threshold_sweep", "iou_t"), ("nn_radius_sweep", "nn_dist_r"), ("center_k_sweep", "nn_center_k"), ("iou_classwise", "iou_classwise"), ("confidence_sweep", "none_c"), ("iou_confidence_sweep", "iou_c0"), ("center_confidence_sweep", "nn_center_c")):
+    _run, _oracle = _sweep(_prefix)
+    query(_oracle, _query)(_run)
+
+
+@query(sql.query([sql.DET, sql.survivors("t", "t", SWEEPS["iou_c0.37"])], "SELECT d.det_id, d.slide_id, d.overlap_pct FROM t JOIN det d USING (det_id) WHERE d.confidence >= 0.60::DOUBLE"))
+def threshold_reuse(spark, sf_dir):
+    """Greedy survivors at a higher threshold are those at a lower one, filtered."""
+    low = suppress.survived(study(spark, sf_dir).swept, "iou_c0.37", SWEEPS)
+    high = study(spark, sf_dir).detections.where(F.col("confidence") >= 0.60).select("det_id")
+    return low.join(high, "det_id", "left_semi").select("det_id", "slide_id", "overlap_pct")
+
+
+# -- counts -----------------------------------------------------------------------------------------------------------
+
+_TOTAL = " + ".join(SHORT)
+
+
+@query(sql.query(sql.COUNTED, sql.long("cells", f"{sql.KEY}, nms_method", f", {sql.real(f'CASE WHEN {_TOTAL} > 0 THEN {{s}}::DOUBLE / ({_TOTAL}) ELSE 0.0 END')} AS rel_count")))
+def cell_counts(spark, sf_dir):
+    return real(counts.long(checked(study(spark, sf_dir).cells), rel=True))
+
+
+@query(sql.query(sql.COUNTED, sql.long("tiles", f"{sql.KEY}, tile_x, tile_y, nms_method")))
+def tile_counts(spark, sf_dir):
+    return counts.long(checked(study(spark, sf_dir).tiles))
+
+
+@query(sql.query(sql.COUNTED, sql.long("blocks", f"{sql.BLOCK}, nms_method, n_block_total")))
+def block_counts(spark, sf_dir):
+    return counts.long(checked(study(spark, sf_dir).blocks))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT {sql.BLOCK}, nms_method, {', '.join(SHORT)}, n_block_total FROM eligible"))
+def eligible_blocks(spark, sf_dir):
+    return checked(study(spark, sf_dir).eligible)
+
+
+@query(sql.query(sql.COUNTED, f"SELECT block_size, {sql.real(f'avg((n_block_total >= {MIN_CELLS})::INT::DOUBLE)')} AS retained FROM blocks GROUP BY block_size"))
+def min_cells_retained(spark, sf_dir):
+    return real(counts.min_cells_filter(checked(study(spark, sf_dir).blocks), MIN_CELLS)[1])
+
+
+@query(sql.query(sql.COUNTED, f"SELECT block_size, overlap_pct, nms_method, label, count(*) AS n_blocks, CAST(sum((count = 0)::INT) AS BIGINT) AS n_zero, {sql.real('avg((count = 0)::INT::DOUBLE)')} AS frac_zero FROM ({sql.long('eligible', f'{sql.BLOCK}, nms_method')}) GROUP BY ALL"))
+def zero_frequencies(spark, sf_dir):
+    return real(counts.zero_frequencies(checked(study(spark, sf_dir).eligible)))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT block_size, overlap_pct, nms_method, count(*) AS n_blocks, {sql.real('quantile_cont(n_block_total, 0.5)')} AS median_cells, {sql.real('quantile_cont(n_block_total, 0.05)')} AS q05_cells, min(n_block_total) AS min_cells FROM eligible GROUP BY ALL"))
+def cells_per_block(spark, sf_dir):
+    return real(counts.cells_per_block(checked(study(spark, sf_dir).eligible)))
+
+
+@query()
+def block_counts_all_variants(spark, sf_dir):
+    return counts.long(study(spark, sf_dir).blocks)
+
+
+# -- compositions -----------------------------------------------------------------------------------------------------
+
+
+def _parts():
+    return [F.col(s).cast("double") for s in SHORT]
+
+
+@query(sql.query([*sql.COUNTED], f"SELECT {sql.BLOCK}, nms_method, " + ", ".join(f"{sql.real(p)} AS p_{s}" for p, s in zip(sql.PARTS, SHORT, strict=True)) + " FROM blocks"))
+def zero_replacement(spark, sf_dir):
+    rows = checked(study(spark, sf_dir).blocks)
+    return real(rows.select(*BLOCK, "nms_method", *(p.alias(f"p_{s}") for p, s in zip(comp.replace_zeros(_parts()), SHORT, strict=True))))
+
+
+@query(sql.query(sql.ON_CELLS, f"SELECT {sql.KEY}, nms_method, {reals('alr_Mac', 'alr_Neu', 'alr_Eos')} FROM ratios"))
+def alr(spark, sf_dir):
+    return real(inference.log_ratios(checked(study(spark, sf_dir).cells)).drop("ilr_1", "ilr_2", "ilr_3"))
+
+
+@query(sql.query(sql.ON_CELLS, f"SELECT {sql.KEY}, nms_method, {reals('ilr_1', 'ilr_2', 'ilr_3')} FROM ratios"))
+def per_slide_ilr(spark, sf_dir):
+    return real(inference.log_ratios(checked(study(spark, sf_dir).cells)).select(*KEYS, "nms_method", "ilr_1", "ilr_2", "ilr_3"))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT {sql.BLOCK}, nms_method, {reals('z1', 'z2', 'z3')} FROM ({sql.panel()})"))
+def ilr_panel(spark, sf_dir):
+    return real(agreement.coordinates(checked(study(spark, sf_dir).eligible)))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT {sql.BLOCK}, nms_method, {reals('z1', 'z2', 'z3')} FROM ({sql.panel('common_scale')})"))
+def common_scale(spark, sf_dir):
+    return real(agreement.coordinates(checked(study(spark, sf_dir).eligible), "common_scale"))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT {sql.BLOCK}, nms_method, {reals('z1', 'z2')} FROM ({sql.panel('no_eos')})"))
+def drop_eos(spark, sf_dir):
+    return real(agreement.coordinates(checked(study(spark, sf_dir).eligible), "no_eos"))
+
+
+@query(sql.query(sql.ON_CELLS, f"SELECT {sql.KEY}, nms_method, " + ", ".join(f"{sql.real(x)} AS p_{s}" for x, s in zip(sql.helmert_inverse(["ilr_1", "ilr_2", "ilr_3"]), SHORT, strict=True)) + " FROM ratios"))
+def ilr_inverse(spark, sf_dir):
+    rows = inference.log_ratios(checked(study(spark, sf_dir).cells))
+    back = comp.ilr_inverse([F.col(f"ilr_{k}") for k in (1, 2, 3)])
+    return real(rows.select(*KEYS, "nms_method", *(p.alias(f"p_{s}") for p, s in zip(back, SHORT, strict=True))))
+
+
+_MORE = [*sql.COUNTED, "half AS (SELECT *, Mac + 1 AS a0, Lym + 1 AS a1, Neu + 1 AS a2, Eos + 1 AS a3 FROM blocks)"]
+_A = [f"(a{k} / (a0 + a1 + a2 + a3)::DOUBLE)" for k in range(4)]
+_B = ["0.25::DOUBLE"] * 4
+_GAP = "sqrt(" + " + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in zip(sql.helmert(_A), sql.helmert(_B), strict=True)) + ")"
+
+
+@query(sql.query(_MORE, f"SELECT {sql.BLOCK}, nms_method, {sql.real(_GAP)} AS distance FROM half"))
+def aitchison_distance(spark, sf_dir):
+    """Distance of each block's counts plus one to equal parts."""
+    rows = checked(study(spark, sf_dir).blocks)
+    gap = comp.aitchison([F.col(s) + 1.0 for s in SHORT], [F.lit(0.25)] * 4)
+    return real(rows.select(*BLOCK, "nms_method", gap.alias("distance")))
+
+
+_PROPS = [*sql.COUNTED]
+
+
+def _alternative(name: str, strength: float, common: float | None):
+    parts = list(SHORT)
+    if common:
+        n = f"({' + '.join(SHORT)})::DOUBLE"
+        parts = [f"(CASE WHEN {n} > 0 THEN {s} / {n} * {common}::DOUBLE ELSE 0.0::DOUBLE END)" for s in SHORT]
+    names = [f"q{k}" for k in range(4)]
+    inner = f"SELECT {sql.KEY}, nms_method, {', '.join(f'{p}::DOUBLE AS {n}' for p, n in zip(parts, names, strict=True))} FROM cells WHERE {_TOTAL} > 0"
+    p = sql.replaced(names, strength, fallback=False)
+    return f"SELECT '{name}' AS setting, {sql.KEY}, nms_method, " + ", ".join(f"{sql.real(f'ln({p[k]} / {p[1]})')} AS alr_{SHORT[k]}" for k in (0, 2, 3)) + f" FROM ({inner})"
+
+
+SETTINGS = {"s=0.5": (0.5, None), "s=0.1": (0.1, None), "s=1.0": (1.0, None), "s=0.5, common total": (0.5, CONFIG.common_total)}
+
+
+@query(sql.query(sql.COUNTED, " UNION ALL ".join(_alternative(k, *v) for k, v in SETTINGS.items())))
+def replacement_sensitivity(spark, sf_dir):
+    rows = checked(study(spark, sf_dir).cells)
+    out = None
+    for name, (strength, common) in SETTINGS.items():
+        part = inference.log_ratios(rows, strength=strength, common=common, fallback=False).select(F.lit(name).alias("setting"), *KEYS, "nms_method", *inference.COORDS)
+        out = part if out is None else out.unionByName(part)
+    return real(out)
+
+
+# -- summaries --------------------------------------------------------------------------------------------------------
+
+_W = "CASE WHEN sum(w) > 0 THEN sum(ilr_{k} * w) / sum(w) ELSE avg(ilr_{k}) END AS ilr_{k}"
+_MEANS = f"means AS (SELECT overlap_pct, nms_method, count(*) AS n_slides, {', '.join(_W.format(k=k) for k in (1, 2, 3))} FROM (SELECT *, ({_TOTAL})::DOUBLE AS w FROM ratios) GROUP BY ALL)"
+_BACK = sql.helmert_inverse(["ilr_1", "ilr_2", "ilr_3"])
+
+
+@query(
+    sql.query([*sql.ON_CELLS, _MEANS], f"SELECT overlap_pct, nms_method, n_slides, {reals('ilr_1', 'ilr_2', 'ilr_3')}, "
+    + ", ".join(f"{sql.real(f'ln({_BACK[k]} / {_BACK[1]})')} AS alr_{SHORT[k]}" for k in (0, 2, 3)) + ", "
+    + ", ".join(f"{sql.real(f'{_BACK[k]} * 100')} AS pct_{SHORT[k]}" for k in range(4)) + " FROM means")
+)
+def weighted_means(spark, sf_dir):
+    return real(summary.weighted_means(checked(study(spark, sf_dir).cells)))
+
+
+@query(sql.query(sql.ON_CELLS, f"SELECT a.overlap_pct, a.nms_method AS method_a, b.nms_method AS method_b, {sql.real('avg(sqrt((a.ilr_1 - b.ilr_1) * (a.ilr_1 - b.ilr_1) + (a.ilr_2 - b.ilr_2) * (a.ilr_2 - b.ilr_2) + (a.ilr_3 - b.ilr_3) * (a.ilr_3 - b.ilr_3)))')} AS distance FROM ratios a JOIN ratios b ON a.slide_id = b.slide_id AND a.overlap_pct = b.overlap_pct GROUP BY ALL"))
+def distance_matrix(spark, sf_dir):
+    return real(summary.distance_matrix(checked(study(spark, sf_dir).cells)))
+
+
+_POOLED = f"pooled AS (SELECT overlap_pct, nms_method, {', '.join(f'sum({s}) AS {s}' for s in SHORT)} FROM cells GROUP BY ALL)"
+
+
+@query(sql.query([*sql.COUNTED, _POOLED], f"SELECT a.overlap_pct, a.nms_method, {', '.join(f'{sql.real(f'CASE WHEN b.{s} > 0 THEN a.{s}::DOUBLE / b.{s} END')} AS ret_{s}' for s in SHORT)}, {sql.real('(a.Mac + a.Lym + a.Neu + a.Eos)::DOUBLE / (b.Mac + b.Lym + b.Neu + b.Eos)')} AS ret_total FROM pooled a JOIN pooled b ON a.overlap_pct = b.overlap_pct AND b.nms_method = 'none'"))
+def retention(spark, sf_dir):
+    return real(summary.retention(checked(study(spark, sf_dir).cells)))
+
+
+_PER = f"""per AS (SELECT a.{sql.KEY.replace(', ', ', a.')}, a.nms_method, {', '.join(f'CASE WHEN b.{s} > 0 THEN a.{s}::DOUBLE / b.{s} END AS ret_{s}' for s in SHORT)},
+  a.Mac + a.Lym + a.Neu + a.Eos AS n, b.Mac + b.Lym + b.Neu + b.Eos AS n0 FROM cells a JOIN cells b ON a.slide_id = b.slide_id AND a.overlap_pct = b.overlap_pct AND b.nms_method = 'none' WHERE a.nms_method <> 'none'),
+per2 AS (SELECT *, CASE WHEN ret_Eos > 0 AND ret_Lym > 0 THEN ln(ret_Eos) - ln(ret_Lym) END AS ratio FROM per)"""
+
+
+@query(sql.query([*sql.COUNTED, _PER], f"SELECT overlap_pct, nms_method, count(*) AS n_slides, {', '.join(f'{sql.real(f'median(ret_{s})')} AS median_ret_{s}' for s in SHORT)}, {sql.real('median(ratio)')} AS median_log_ret_ratio_Eos_Lym, CAST(sum((ratio > 0)::INT) AS BIGINT) AS n_slides_Eos_retained_more, {sql.real('sum(n)::DOUBLE / sum(n0)')} AS pooled_ret_total FROM per2 GROUP BY ALL"))
+def retention_per_slide(spark, sf_dir):
+    return real(summary.retention_per_slide(checked(study(spark, sf_dir).cells)))
+
+
+_PCT = f"pct AS (SELECT {sql.KEY}, nms_method, {', '.join(f'CASE WHEN {_TOTAL} > 0 THEN {s} * 100.0::DOUBLE / ({_TOTAL}) ELSE 0.0 END AS pct_{s}' for s in SHORT)} FROM cells)"
+
+
+@query(sql.query([*sql.COUNTED, _PCT], f"SELECT {sql.KEY}, nms_method, {reals(*(f'pct_{s}' for s in SHORT))} FROM pct"))
+def slide_percentages(spark, sf_dir):
+    return real(summary.percentages(checked(study(spark, sf_dir).cells)))
+
+
+_POS = "pos AS (" + " UNION ALL ".join(f"SELECT {sql.KEY}, nms_method, '{s}' AS class, pct_{s} > {v}::DOUBLE AS positive FROM pct" for s, v in summary.LIMITS.items()) + ")"
+
+
+@query(sql.query([*sql.COUNTED, _PCT, _POS], "SELECT a.overlap_pct, a.nms_method, a.class, CAST(sum(a.positive::INT) AS BIGINT) AS n_positive, CAST(sum((a.positive <> b.positive)::INT) AS BIGINT) AS n_changed, coalesce(string_agg(CASE WHEN a.positive <> b.positive THEN a.slide_id END, ';' ORDER BY a.slide_id), '') AS slides_changed FROM pos a JOIN pos b ON a.slide_id = b.slide_id AND a.overlap_pct = b.overlap_pct AND a.class = b.class AND b.nms_method = 'none' WHERE a.nms_method <> 'none' GROUP BY ALL"))
+def classification_changes(spark, sf_dir):
+    return summary.classification_changes(checked(study(spark, sf_dir).cells))
+
+
+# -- agreement --------------------------------------------------------------------------------------------------------
+
+
+def _sums(spark, sf_dir, regime="as_is"):
+    return agreement.slide_sums(agreement.coordinates(checked(study(spark, sf_dir).eligible), regime), len(CHECKED))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT block_size, overlap_pct, n_blocks, alpha FROM ({sql.alpha()})"))
+def alpha_by_scale(spark, sf_dir):
+    return real(agreement.alpha(_sums(spark, sf_dir), len(CHECKED)).select("block_size", "overlap_pct", "n_blocks", "alpha"))
+
+
+@query(sql.query(sql.COUNTED, f"SELECT block_size, overlap_pct, alpha_coord_1, alpha_coord_2, alpha_coord_3 FROM ({sql.alpha()})"))
+def alpha_per_coordinate(spark, sf_dir):
+    return real(agreement.alpha(_sums(spark, sf_dir), len(CHECKED)).drop("n_blocks", "alpha"))
+
+
+@query(sql.query([*sql.COUNTED, f"x AS ({sql.alpha()})", f"y AS ({sql.alpha('common_scale')})", f"z AS ({sql.alpha('no_eos')})"], "SELECT x.block_size, x.overlap_pct, x.n_blocks, x.alpha AS alpha_as_is, x.alpha_coord_1, x.alpha_coord_2, x.alpha_coord_3, y.alpha AS alpha_common_scale, z.alpha AS alpha_no_eos FROM x JOIN y USING (block_size, overlap_pct) JOIN z USING (block_size, overlap_pct)"))
+def alpha_zero_sensitivity(spark, sf_dir):
+    return real(agreement.zero_sensitivity(checked(study(spark, sf_dir).eligible), len(CHECKED)).drop("gap"))
+
+
+@query()
+def alpha_bootstrap_ci(spark, sf_dir):
+    """The scale curve of the 25 variants with bootstrap intervals."""
+    st, own = study(spark, sf_dir), F.col("nms_method").isin(*METHODS_25)
+    return agreement.scale_curve(st.blocks.where(own), st.eligible.where(own), len(METHODS_25))
+
+
+def _deviations(spark, sf_dir):
+    st = study(spark, sf_dir)
+    return st.table("deviations", lambda: consensus.deviations(agreement.coordinates(st.eligible.where(F.col("nms_method").isin(*METHODS_25)))))
+
+
+@query()
+def block_consensus(spark, sf_dir):
+    return consensus.block_consensus(_deviations(spark, sf_dir), study(spark, sf_dir).blocks)
+
+
+@query()
+def method_deviation(spark, sf_dir):
+    return consensus.method_deviation(_deviations(spark, sf_dir))
+
+
+# -- outliers ---------------------------------------------------------------------------------------------------------
+
+#: Distance to the mean of methods, which SQL can compute, in place of the consensus.
+_MEAN = f"dev AS (SELECT *, round(sqrt((z1 - avg(z1) OVER b) ** 2 + (z2 - avg(z2) OVER b) ** 2 + (z3 - avg(z3) OVER b) ** 2), 9) AS distance FROM ({sql.panel()}) WINDOW b AS (PARTITION BY {sql.BLOCK}))"
+_TAIL = f"tail AS (SELECT d.*, d.distance > t.threshold AS in_tail FROM dev d JOIN (SELECT {sql.BLOCK}, quantile_cont(distance, 0.95) AS threshold FROM dev GROUP BY ALL) t USING ({sql.BLOCK}))"
+_FLAG = "flags AS (SELECT block_size, overlap_pct, nms_method, CAST(sum(in_tail::INT) AS BIGINT) AS n_upper, count(*) AS n_blocks FROM tail GROUP BY ALL)"
+
+
+def _to_mean(spark, sf_dir):
+    panel = agreement.coordinates(checked(study(spark, sf_dir).eligible))
+    w = Window.partitionBy(*BLOCK)
+    gap = F.sqrt(sum(((F.col(z) - F.avg(z).over(w)) ** 2 for z in ("z2", "z3")), (F.col("z1") - F.avg("z1").over(w)) ** 2))
+    return panel.withColumn("distance", F.round(gap, 9))
+
+
+@query(sql.query([*sql.COUNTED, _MEAN, _TAIL, _FLAG], f"SELECT *, {sql.real('n_upper::DOUBLE / n_blocks')} AS frac_upper_tail, {sql.real('(sum(n_upper) OVER (PARTITION BY block_size, overlap_pct))::DOUBLE / sum(n_blocks) OVER (PARTITION BY block_size, overlap_pct)')} AS expected_frac FROM flags"))
+def tail_flags(spark, sf_dir):
+    return real(outliers.tail_flags(outliers.tail_cells(_to_mean(spark, sf_dir), "distance")))
+
+
+@query(sql.query([*sql.COUNTED, _MEAN], f"SELECT {sql.BLOCK}, nms_method, rank() OVER (PARTITION BY {sql.BLOCK} ORDER BY distance) + (count(*) OVER (PARTITION BY {sql.BLOCK}, distance) - 1) / 2.0::DOUBLE AS rank FROM dev"))
+def method_rank(spark, sf_dir):
+    return outliers.ranks(_to_mean(spark, sf_dir), "distance").select(*BLOCK, "nms_method", "rank")
+
+
+@query(sql.query([*sql.COUNTED, _MEAN, f"mx AS (SELECT *, (distance = max(distance) OVER (PARTITION BY {sql.BLOCK}))::INT AS is_max FROM dev)", f"sh AS (SELECT *, is_max::DOUBLE / sum(is_max) OVER (PARTITION BY {sql.BLOCK}) AS share FROM mx)"], f"SELECT block_size, overlap_pct, nms_method, {sql.real('sum(share) / any_value(u)')} AS frac_largest FROM sh JOIN (SELECT block_size, overlap_pct, count(DISTINCT (slide_id, block_x, block_y)) AS u FROM dev GROUP BY ALL) USING (block_size, overlap_pct) GROUP BY block_size, overlap_pct, nms_method"))
+def largest_share(spark, sf_dir):
+    return real(outliers.largest_share(_to_mean(spark, sf_dir), "distance"))
+
+
+@query(sql.query([*sql.COUNTED, _MEAN, _TAIL, "ch AS (SELECT block_size, overlap_pct, sum(in_tail::INT)::DOUBLE / count(DISTINCT (slide_id, block_x, block_y)) / count(DISTINCT nms_method) AS chance FROM tail GROUP BY ALL)", "ow AS (SELECT block_size, overlap_pct, slide_id, avg(in_tail::INT::DOUBLE) AS rate FROM tail WHERE nms_method = 'none' GROUP BY ALL)"], f"SELECT block_size, overlap_pct, {sql.real('any_value(chance)')} AS chance, count(*) AS n_slides, CAST(sum((rate > chance)::INT) AS BIGINT) AS n_slides_above FROM ow JOIN ch USING (block_size, overlap_pct) GROUP BY block_size, overlap_pct"))
+def sign_test_counts(spark, sf_dir):
+    return real(outliers.sign_test(outliers.tail_cells(_to_mean(spark, sf_dir), "distance")).drop("p_sign"))
+
+
+@query()
+def sign_test(spark, sf_dir):
+    return outliers.sign_test(outliers.tail_cells(_deviations(spark, sf_dir)))
+
+
+@query()
+def westfall_young(spark, sf_dir):
+    return outliers.permutation(outliers.tail_cells(_deviations(spark, sf_dir)))
+
+
+@query()
+def outlier_summary(spark, sf_dir):
+    return outliers.summary(outliers.permutation(outliers.tail_cells(_deviations(spark, sf_dir))))
+
+
+# -- inference --------------------------------------------------------------------------------------------------------
+
+
+def _ratios(spark, sf_dir, columns=inference.COORDS, only=True):
+    cells = study(spark, sf_dir).cells
+    return inference.long_ratios(inference.log_ratios(checked(cells) if only else cells), columns)
+
+
+def _ranked(spark, sf_dir):
+    return _ratios(spark, sf_dir, ["ilr_1", "ilr_2", "ilr_3"]).withColumn("value", F.round("value", 9))
+
+
+_RANKS = """rk AS (SELECT *, rank() OVER (PARTITION BY overlap_pct, coord, slide_id ORDER BY value) + (count(*) OVER t - 1) / 2.0::DOUBLE AS r, (count(*) OVER t) ** 2 - 1 AS t2
+  FROM lilr WINDOW t AS (PARTITION BY overlap_pct, coord, slide_id, value)),
+rs AS (SELECT overlap_pct, coord, nms_method, sum(r) AS r, count(*) AS n, sum(t2) AS t FROM rk GROUP BY ALL)"""
+_K = len(CHECKED)
+_CHI = f"(12.0::DOUBLE / (any_value(n) * {_K} * {_K + 1}) * sum(r * r) - 3.0::DOUBLE * any_value(n) * {_K + 1}) / (1.0::DOUBLE - sum(t) / (any_value(n) * {_K} * {_K * _K - 1}))"
+
+
+@query(sql.query([*sql.ON_CELLS, _RANKS], f"SELECT overlap_pct, coord, {sql.real(_CHI)} AS statistic, CAST({_K - 1} AS BIGINT) AS df, {sql.real(f'{_CHI} / (any_value(n) * {_K - 1})')} AS kendall_w, any_value(n) AS n_subjects, CAST({_K} AS BIGINT) AS n_methods FROM rs GROUP BY ALL"))
+def friedman(spark, sf_dir):
+    return real(inference.friedman(_ranked(spark, sf_dir)).drop("log10_p", "p_value", "p_holm"))
+
+
+@query()
+def friedman_25(spark, sf_dir):
+    rows = inference.long_ratios(inference.log_ratios(study(spark, sf_dir).cells.where(F.col("nms_method").isin(*METHODS_25))), ["ilr_1", "ilr_2", "ilr_3"])
+    return inference.friedman(rows)
+
+
+@query(sql.query([*sql.ON_CELLS, _RANKS], f"SELECT overlap_pct, coord, nms_method, {sql.real('r / n')} AS mean_rank, n FROM rs"))
+def mean_ranks(spark, sf_dir):
+    return real(inference.mean_ranks(_ranked(spark, sf_dir)))
+
+
+@query()
+def mean_rank_pairs(spark, sf_dir):
+    return inference.nemenyi(_ranked(spark, sf_dir))
+
+
+_HOLM = f"p AS (SELECT {sql.KEY}, nms_method, label, (count * 7919 % 1000) / 20000.0::DOUBLE AS p_value FROM ({sql.long('cells', f'{sql.KEY}, nms_method')}) WHERE label = 'Makrophage')"
+
+
+@query(sql.query([*sql.COUNTED, _HOLM, f"st AS (SELECT *, least(1.0, p_value * (count(*) OVER (PARTITION BY {sql.KEY}) - row_number() OVER (PARTITION BY {sql.KEY} ORDER BY p_value, nms_method) + 1)) AS s FROM p)"], f"SELECT {sql.KEY}, nms_method, {sql.real('p_value')} AS p_value, {sql.real(f'max(s) OVER (PARTITION BY {sql.KEY} ORDER BY p_value, nms_method ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM st"))
+def holm(spark, sf_dir):
+    """The step-down correction on p-values made from counts."""
+    rows = checked(study(spark, sf_dir).cells).select(*KEYS, "nms_method", (F.col("Mac") * 7919 % 1000 / 20000.0).alias("p_value"))
+    return real(inference.holm(rows, KEYS))
+
+
+_DIST = "count(diff) AS n, " + ", ".join(f"{sql.real(f'quantile_cont(diff, {q})')} AS {c}" for c, q in (("median", 0.5), ("q05", 0.05), ("q95", 0.95))) + f", {sql.real('min(diff)')} AS min, {sql.real('max(diff)')} AS max, CAST(sum((abs(diff) > 0.2::DOUBLE)::INT) AS BIGINT) AS n_outside, CAST(sum((abs(diff) > 0.1::DOUBLE)::INT) AS BIGINT) AS n_outside_half"
+
+
+@query(sql.query(sql.ON_CELLS, f"SELECT overlap_pct, nms_method, coord, {_DIST} FROM diffs GROUP BY ALL"))
+def slide_level_distribution(spark, sf_dir):
+    return real(inference.distribution(inference.differences(_ratios(spark, sf_dir)), ["overlap_pct", "nms_method", "coord"]))
+
+
+def _tested(spark, sf_dir):
+    diffs = inference.differences(_ratios(spark, sf_dir, only=False))
+    return inference.equivalence(diffs, ["overlap_pct", "nms_method", "coord"])
+
+
+@query()
+def equivalence_vs_none(spark, sf_dir):
+    return _tested(spark, sf_dir)
+
+
+@query()
+def margin_sensitivity(spark, sf_dir):
+    return inference.margins(_tested(spark, sf_dir))
+
+
+@query()
+def equivalence_verdicts(spark, sf_dir):
+    return inference.verdicts(_tested(spark, sf_dir))
+
+
+@query()
+def edgecrop_vs_iou(spark, sf_dir):
+    from tessella.config import SCOPES
+
+    pairs = spark.createDataFrame([(s, f"iou_edgecrop_{s}", f"iou_{s}") for s in SCOPES], "scope string, method string, other string")
+    diffs = inference.paired(_ratios(spark, sf_dir, only=False), pairs)
+    return inference.equivalence(diffs, ["overlap_pct", "scope", "coord"])
+
+
+@query()
+def parameter_equivalence(spark, sf_dir):
+    """Each parameter setting against no suppression at the study's confidence."""
+    cells = counts.cells(study(spark, sf_dir).swept, SWEEPS)
+    rows = inference.long_ratios(inference.log_ratios(cells))
+    return inference.equivalence(inference.differences(rows, "none_c0.44"), ["overlap_pct", "nms_method", "coord"])
+
+
+# -- work lists -------------------------------------------------------------------------------------------------------
+
+_DONE = "done AS (SELECT DISTINCT slide_id, overlap_pct, nms_method FROM cells WHERE Mac % 2 = 0)"
+
+
+@query(sql.query([*sql.COUNTED, _DONE], "SELECT slide_id, overlap_pct, nms_method FROM cells ANTI JOIN done USING (slide_id, overlap_pct, nms_method)"))
+def pending_work(spark, sf_dir):
+    """Slides, overlaps and variants that a manifest lacks."""
+    rows = checked(study(spark, sf_dir).cells)
+    return validate.pending(rows.select(*KEYS).distinct(), list(CHECKED), rows.where("Mac % 2 = 0"))
+
+
+_TIMES = "times AS (SELECT c.slide_id, c.overlap_pct, c.nms_method, r, (c.Mac * (r + 3) % 101) / 10.0::DOUBLE AS elapsed_cpu FROM cells c, (VALUES (1), (2), (3)) reps(r))"
+
+
+@query(sql.query([*sql.COUNTED, _TIMES], f"SELECT overlap_pct, nms_method, {sql.real('median(m)')} AS median_cpu, count(*) AS n_slides FROM (SELECT slide_id, overlap_pct, nms_method, median(elapsed_cpu) AS m FROM times GROUP BY ALL) GROUP BY ALL"))
+def timing_summary(spark, sf_dir):
+    """The median of repeats, then over slides, on times made from counts."""
+    reps = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("r")
+    rows = checked(study(spark, sf_dir).cells).select(*KEYS, "nms_method", "Mac", reps)
+    return real(validate.timing_summary(rows.withColumn("elapsed_cpu", F.col("Mac") * (F.col("r") + 3) % 101 / 10.0)))
