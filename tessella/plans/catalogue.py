@@ -32,7 +32,7 @@ def query(oracle: str | None = None, name: str | None = None):
 
 def real(df: DataFrame) -> DataFrame:
     """Reals rounded to six digits, without negative zero, as the SQL has them."""
-    return df.select(*(F.round(c, 6) + F.lit(0.0) if t == "double" and c != "overlap_pct" and c != "confidence" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
+    return df.select(*(F.round(F.col(c) + 1e-9, 6) + F.lit(0.0) if t == "double" and c != "overlap_pct" and c != "confidence" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
 
 
 def checked(df: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ INNER = "x1 - x_correct > 5 AND y1 - y_correct > 5 AND x2 - x_correct < 635 AND
 
 
 def real(x: str) -> str:
-    """A real number as both engines hash it: six digits, no negative zero."""
-    return f"round({x}, 6) + 0.0::DOUBLE"
+    """A real number as both engines hash it: six digits, no negative zero; the nudge makes exact halves round alike."""
+    return f"round(({x}) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE"
 
 
 def source(name: str, confidence: float = 0.44, where: str = "true") -> str:
