@@ -66,11 +66,11 @@ def repeat_words(words: list[str]) -> int:
         return 0
     index: dict[str, int] = {}
     ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    for step in (1, 2, 4):
-        _, ids = np.unique(ids[:-step] * (ids.max() + 1) + ids[step:], return_inverse=True)
+    for step in (1, 2, 4):  # numbers of runs of 2, 4 and 8 words
+        found, ids = np.unique(ids[:-step] * (ids.max() + 1) + ids[step:], return_inverse=True)
+        if len(found) == len(ids):  # no shorter run comes twice
+            return 0
     twice = np.bincount(ids)[ids] > 1
-    if not twice.any():
-        return 0
     edge = np.zeros(len(words) + 1, np.int64)
     edge[: len(ids)] += twice
     edge[WINDOW : WINDOW + len(ids)] -= twice
@@ -87,10 +87,14 @@ def dup_lines(text: str) -> int:
     return n
 
 
+def fails(n_words: int, n_repeat: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
+
+
 def base(text: str, words: list[str]) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and whether they fail the base rule."""
     n, again = len(words), repeat_words(words)
-    return n, sum(map(len, words)), len(SYMBOL.findall(text)), dup_lines(text), again, n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
+    return n, sum(map(len, words)), len(SYMBOL.findall(text)), dup_lines(text), again, fails(n, again)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -110,12 +114,15 @@ def references(docs: DataFrame, lang_col="lang", text_col="text") -> dict[str, d
             sums: dict = {}
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 words = WORD.findall(text or "")
-                if not words or base(text, words)[-1]:
+                if fails(len(words), repeat_words(words)):
                     continue
                 got = sums.setdefault(lang or "", [np.zeros(len(CLASSES), np.int64), Counter()])
                 got[0] += classes(text)
-                got[1].update(map(ascii_lower, words))
-            for lang, (kinds, words) in sums.items():
+                got[1].update(words)
+            for lang, (kinds, cased) in sums.items():
+                words = Counter()
+                for w, n in cased.items():
+                    words[ascii_lower(w)] += n
                 yield pd.DataFrame({"lang": lang, "key": [f"\x00{k}" for k in CLASSES], "n": kinds})
                 yield pd.DataFrame({"lang": lang, "key": list(words), "n": list(words.values())})
 
@@ -149,9 +156,13 @@ def judge(text: str | None, lang: str | None, refs: dict[str, dict]) -> tuple:
         return *values, failed, None, None, not failed
     by_class = js_distance(classes(text).astype(float), ref["classes"].astype(float))
     common = ref["words"]
-    got = Counter(w for w in map(ascii_lower, words) if w in common)
-    bare = sum(1 for w in words if BARE.fullmatch(w))
-    p = np.array([got[w] for w in common] + [len(words) - sum(got.values()) - bare, bare], float)
+    got, bare = Counter(), 0
+    for w, n in Counter(words).items():
+        if (low := ascii_lower(w)) in common:
+            got[low] += n
+        elif BARE.fullmatch(w):
+            bare += n
+    p = np.array([got[w] for w in common] + [len(words) - got.total() - bare, bare], float)
     q = np.array([*common.values(), ref["total"] - sum(common.values()) - ref["bare"], ref["bare"]], float)
     by_word = js_distance(p, q)
     most = [a + b / len(words) ** 0.5 for a, b in (MOST_CLASSES, MOST_WORDS)]
