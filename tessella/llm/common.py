@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import cut, discard, scratch_root
+
+__all__ = ["WORD", "WORD_SQL", "ascii_lower", "cut", "discard", "n_words", "scratch_root", "table"]
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 _UPPER = re.compile(r"[A-Z]+")
 
 
@@ -28,28 +28,3 @@ def ascii_lower(text: str) -> str:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/tessella-scratch"
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and return it reread: lineage ends here, and Spark knows its size."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._scratch_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote; nothing may read it afterwards."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
