@@ -67,7 +67,10 @@ def nodes(dets: DataFrame, scope: str) -> DataFrame:
 
 def survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     """det_id of the survivors of greedy suppression along ``edges`` (killer, victim)."""
-    at = nodes(dets, scope)
+    edges = cut(edges.select("killer", "victim"), "fixpoint-conflicts")
+    involved = edges.select(F.explode(F.array("killer", "victim")).alias("det_id")).distinct()
+    untouched = dets.select("det_id").join(involved, "det_id", "left_anti")  # without conflicts: survives
+    at = nodes(dets.join(involved, "det_id", "left_semi"), scope)
     order = Window.partitionBy("det_id").orderBy("place")
     state = at.withColumn("before", F.lag("place").over(order)).withColumn("last", F.lead("place").over(order).isNull())
     state = cut(state.withColumn("alive", F.lit(None).cast("boolean")), "fixpoint-state")
@@ -89,4 +92,4 @@ def survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
         following = cut(state.where("alive is not null").unionByName(step), "fixpoint-state")
         discard(state)
         state = following
-    return state.where("last and alive").select("det_id")
+    return untouched.unionByName(state.where("last and alive").select("det_id"))
