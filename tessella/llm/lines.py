@@ -64,11 +64,12 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     general = (F.col("constant") >= CONSTANT) & (F.col("constant") >= F.col("n") * SHARE)
     made = made.select("leaf", "lh", F.when(general, F.xxhash64("leaf", "kept")).otherwise(F.col("lh")).alias("template"))
+    made = cut(made, "lines-made")  # a table, so that the join beside it can be broadcast or split where a line is hot
 
     lines = cut(lines.join(made, ["leaf", "lh"]), "lines-templates")
     recurring = lines.select("template", "th").distinct().groupBy("template").count().where(F.col("count") >= LEAST).select("template")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "pos")
-    first = lines.groupBy("template").agg(F.min(place).alias("first")).join(recurring, "template")
+    first = cut(lines.groupBy("template").agg(F.min(place).alias("first")).join(recurring, "template"), "lines-first")
     rows = lines.join(first, "template").where(place != F.col("first"))
     return rows.groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))
 
