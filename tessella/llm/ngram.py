@@ -31,8 +31,8 @@ from tessella.llm.common import WORD, ascii_lower, cut
 from tessella.llm.eliasfano import Trie, decode, encode
 
 CHUNK, SHARD, ALPHA, FOLDS, SEED = 1_500_000, 1_500_000, 0.1, 10, 42
-#: Hashes of the end and the beginning: strings that no word can be.
-END, BEGIN = (xxhash.xxh64_intdigest(s, SEED) for s in (b"\n", b" "))
+#: The end of a text: a string that no word can be.
+END = "\n"
 U = np.uint64
 
 
@@ -55,7 +55,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
 
     def pack(batches):
-        ids, held, sizes, parts, places, total = [], [], [], [], {"\n": 0}, 0
+        ids, held, sizes, parts, places, total = [], [], [], [], {END: 0}, 0
 
         def done():
             hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in places], U)
@@ -70,7 +70,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for pdf in batches:
             for i, h, text in zip(pdf["id"].astype(object), pdf["held"], pdf["text"], strict=True):
                 words = WORD.findall(ascii_lower(text or ""))
-                words.append("\n")
+                words.append(END)
                 parts.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words)))
                 ids.append(None if pd.isna(i) else i)
                 held.append(bool(h))
@@ -78,7 +78,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 total += len(words)
                 if total >= CHUNK:
                     yield done()
-                    ids, held, sizes, parts, places, total = [], [], [], [], {"\n": 0}, 0
+                    ids, held, sizes, parts, places, total = [], [], [], [], {END: 0}, 0
         if ids:
             yield done()
 
@@ -105,7 +105,8 @@ def vocabulary(packed: DataFrame, shards: int) -> DataFrame:
         count = np.bincount(place, np.concatenate([unpress(c, np.uint32) for c in pdf["counts"]]), len(known)).astype(np.uint64)
         out = {"chunk": [None, *pdf["chunk"]], "shard": int(pdf["shard"].iloc[0]), "n": int(count.sum()), "v": int((count > 0).sum()), "u": len(known)}
         parts = [place[a:b] for a, b in zip(sizes, sizes[1:], strict=False)]
-        return pd.DataFrame(out | {"number": [None, *(press(p.astype(np.uint32)) for p in parts)], "count": [None, *(press(count[p]) for p in parts)]})
+        # a chunk's words of a shard ascend by hash, and so do their numbers
+        return pd.DataFrame(out | {"number": [None, *(press(np.diff(p, prepend=0).astype(np.uint32)) for p in parts)], "count": [None, *(press(count[p]) for p in parts)]})
 
     rows = packed.select("chunk", "words", "counts").mapInPandas(send, "shard int, chunk string, words binary, counts binary")
     return rows.groupBy("shard").applyInPandas(answer, "chunk string, shard int, n long, v long, u long, number binary, count binary")
@@ -146,14 +147,12 @@ class Chunk:
         self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
         tokens = unpress(row["tokens"], np.uint32)
         words = answers.sort_values("shard")
-        number = np.concatenate([unpress(x, np.uint32).astype(U) + totals.first[s] for x, s in zip(words["number"], words["shard"], strict=True)])
+        number = np.concatenate([np.cumsum(unpress(x, np.uint32), dtype=U) + totals.first[s] for x, s in zip(words["number"], words["shard"], strict=True)])
         self.count = np.concatenate([unpress(x, np.uint64) for x in words["count"]])[tokens]
-        hashes = np.frombuffer(row["words"], U)
         w = number[tokens]
         # the beginning: the number after the last word, as often as there are training texts, which is the end's count
         ends = np.cumsum(self.sizes) - 1
         end_count = int(self.count[ends[0]])
-        assert hashes[tokens[ends[0]]] == END
         v, before = np.r_[U(0), w[:-1]], np.r_[U(0), self.count[:-1]]
         starts = ends + 1 - self.sizes
         v[starts], before[starts] = totals.first[-1], end_count
@@ -185,8 +184,10 @@ class Chunk:
             pairs, asks = self.order[self.edges[s] : self.edges[s + 1]], self.ask_context[self.ask_edges[s] : self.ask_edges[s + 1]]
             pairs = pairs[self.cv[pairs] > 0]  # a context that no training text has is known to be unknown
             if len(pairs) or len(asks):
-                v = self.v[pairs]
-                yield s, press(np.diff(v, prepend=U(0))), press(self.w[pairs].astype(np.uint32)), press(self.c[pairs]), press(self.contexts[asks].astype(np.uint32)), press(self.context_count[asks])
+                v, w = self.v[pairs], self.w[pairs]
+                step = np.diff(v, prepend=U(0))
+                w[1:] -= np.where(step[1:] == 0, w[:-1], U(0))  # words ascend inside a context
+                yield s, press(step), press(w.astype(np.uint32)), press(self.c[pairs]), press(self.contexts[asks].astype(np.uint32)), press(self.context_count[asks])
 
     def scores(self, answers: pd.DataFrame) -> pd.DataFrame:
         code, left = np.zeros(len(self.v), np.uint16), np.zeros(len(self.contexts))
@@ -212,10 +213,19 @@ def discounts(c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
 
 
+def pairs_of(steps: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of a request, from their differences; words begin anew with each context."""
+    step, total = unpress(steps, U), np.cumsum(unpress(words, np.uint32), dtype=U)
+    if not len(step):
+        return step, total
+    starts = np.flatnonzero(np.r_[True, step[1:] != 0])
+    before = np.r_[U(0), total[starts[1:] - 1]]
+    return np.cumsum(step, dtype=U), total - np.repeat(before, np.diff(np.r_[starts, len(step)]))
+
+
 def shard_answers(pdf: pd.DataFrame, fixed: np.ndarray | None = None) -> pd.DataFrame:
     """The trie of one shard of contexts, and its answers to every chunk's requests."""
-    vs = [np.cumsum(unpress(x, U), dtype=U) for x in pdf["v"]]
-    ws = [unpress(x, np.uint32).astype(U) for x in pdf["w"]]
+    vs, ws = zip(*(pairs_of(v, w) for v, w in zip(pdf["v"], pdf["w"], strict=True)), strict=True)
     asked = [unpress(x, np.uint32).astype(U) for x in pdf["asks"]]
     key, place = np.unique(np.concatenate(vs) << U(32) | np.concatenate(ws), return_inverse=True)
     c = np.bincount(place, np.concatenate([unpress(x, np.uint32) for x in pdf["c"]]), len(key))
@@ -240,7 +250,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fixed
     words = cut(vocabulary(packed, shards), "ngram-words")
     totals = Totals(words.where("chunk is null").select("shard", "n", "v", "u").collect())  # a row for each shard
     words = words.where("chunk is not null").select("chunk", "shard", "number", "count")
-    body = packed.select("chunk", "ids", "held", "sizes", "tokens", "words")
+    body = packed.select("chunk", "ids", "held", "sizes", "tokens")
 
     def ask(left, right):
         rows = Chunk(left.iloc[0], right, totals, shards).requests()
