@@ -44,15 +44,20 @@ def fingerprint(text: str | None) -> int:
     words = WORD.findall(ascii_lower(text or ""))
     if not words:
         return 0
-    hashes = shingle_hashes(words)
+    return _print_of(shingle_hashes(words))
+
+
+def _print_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Index of the least linked fingerprint for each; ``prints`` (uint64) ascend and are unique inside each group (ascending).
+def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS, check=None) -> np.ndarray:
+    """Index of the least linked fingerprint for each; ``prints`` (uint64) ascend inside each group (ascending).
+
+    ``check`` takes pairs of indexes within the radius and says which of them are linked; by default all.
 
     A trie node is a range of the sorted fingerprints that share a prefix. Pairs of nodes are walked level by level in
     chunks, deepest first, so the work list stays bounded.
@@ -72,9 +77,19 @@ def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> n
         alone = (a2 - a == 1) & (b2 - b == 1)
         if alone.any():
             i, j = a[alone], b[alone]
-            near = (i != j) & (np.bitwise_count(prints[i] ^ prints[j]) <= radius)
-            _merge(label, i[near], j[near])
+            near = (label[i] != label[j]) & (np.bitwise_count(prints[i] ^ prints[j]) <= radius)
+            i, j = i[near], j[near]
+            if check is not None and len(i):
+                good = check(i, j)
+                i, j = i[good], j[good]
+            _merge(label, i, j)
             a, a2, b, b2, cost = (x[~alone] for x in (a, a2, b, b2, cost))
+        if bit < 0 and len(a):  # equal fingerprints: every member against the first of the other side
+            i, j = _members(a, a2, b, b2)
+            if check is not None:
+                good = check(i, j)
+                i, j = i[good], j[good]
+            _merge(label, i, j)
         if not len(a) or bit < 0:
             continue
         if bit not in zeros:
@@ -91,6 +106,17 @@ def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> n
     return label
 
 
+def _members(a, a2, b, b2):
+    """Pairs of members of node pairs that no bit tells apart: each with the first of both sides."""
+    left, right = [], []
+    for x, x2, y, y2 in zip(a.tolist(), a2.tolist(), b.tolist(), b2.tolist(), strict=True):
+        some = np.r_[np.arange(x, x2), np.arange(y, y2)]
+        for first in (x, y):
+            left.append(some)
+            right.append(np.full(len(some), first))
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the sets of each i and j; labels are the least index of a set."""
     while len(i):
@@ -118,11 +144,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP) -> DataFrame:
-    """(u, v) links of a spanning forest inside each group; ``prints`` (fp) are distinct."""
-    masks = _blocks(0, radius)
+def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP, deal=None, similar: float | None = None) -> DataFrame:
+    """(u, v) links of a spanning forest inside each group, by ``node``; ``prints`` (node, fp and, if ``similar``, sketch).
+
+    ``deal`` gives the masks that a group of one mask is dealt by; by default blocks, which lose no pair.
+    """
+    deal = deal or (lambda used: _blocks(used, radius))
+    carried = ["node", "fp", *(["sketch"] if similar else [])]
+    masks = deal(0)
     value = F.col("fp").bitwiseAND(F.col("used"))
-    rows = prints.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("used"))
+    rows = prints.select(*carried, F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("used"))
     ready = None
     for level in range(4):  # groups that are too large are dealt again, by bits that are still free
         large = cut(rows.groupBy("used", value.alias("value")).count().where(F.col("count") > most).drop("count"), "simhash-large")
@@ -131,35 +162,38 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP) -> DataFra
             break
         large = large.withColumn("dealt", F.lit(True))
         rows = rows.withColumn("value", value).join(large, ["used", "value"], "left")
-        calm = rows.where("dealt is null").select("fp", "used")
+        calm = rows.where("dealt is null").select(*carried, "used")
         ready = calm if ready is None else ready.unionByName(calm)
-        finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in _blocks(m, radius))))))
-        rows = rows.where("dealt").select("fp", F.explode(finer[F.col("used")]).alias("used")).distinct()
-        masks = list(dict.fromkeys(f for m in masks for f in _blocks(m, radius)))
+        finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in deal(m))))))
+        rows = rows.where("dealt").select(*carried, F.explode(finer[F.col("used")]).alias("used")).distinct()
+        masks = list(dict.fromkeys(f for m in masks for f in deal(m)))
 
     def join(batches):
         rest = None
 
-        def solve(fp, used):
+        def solve(fp, used, node, sketch):
             value = fp & used
-            order = np.lexsort((fp, value, used))
-            fp, value, used = fp[order], value[order], used[order]
+            order = np.lexsort((node, fp, value, used))
+            fp, value, used, node, sketch = (x[order] for x in (fp, value, used, node, sketch))
             group = np.cumsum(np.r_[0, (value[1:] != value[:-1]) | (used[1:] != used[:-1])])
-            label = trie_links(group, fp, radius)
+            check = (lambda i, j: (sketch[i] == sketch[j]).mean(1) >= similar) if similar else None
+            label = trie_links(group, fp, radius, check)
             moved = label != np.arange(len(fp))
-            return pd.DataFrame({"u": fp[moved].view(np.int64), "v": fp[label[moved]].view(np.int64)})
+            return pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
 
         for pdf in batches:
             fp, used = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "used"))
-            if rest is not None:
-                fp, used = np.r_[rest[0], fp], np.r_[rest[1], used]
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1) if similar else np.zeros((len(pdf), 0), np.uint8)
+            now = fp, used, pdf["node"].to_numpy(np.int64), sketch
+            now = now if rest is None else tuple(map(np.concatenate, zip(rest, now, strict=True)))
+            fp, used = now[:2]
             value = fp & used
             differs = np.flatnonzero((value[1:] != value[:-1]) | (used[1:] != used[:-1]))
             whole = differs[-1] + 1 if len(differs) else 0  # the last group may go on in the next batch
             if whole >= CHUNK // 4:
-                yield solve(fp[:whole], used[:whole])
-                fp, used = fp[whole:], used[whole:]
-            rest = fp, used
+                yield solve(*(x[:whole] for x in now))
+                now = tuple(x[whole:] for x in now)
+            rest = now
         if rest is not None and len(rest[0]):
             yield solve(*rest)
 
@@ -167,21 +201,77 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP) -> DataFra
     return dealt.mapInPandas(join, "u long, v long")
 
 
+def _connected(rows: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (id, key, node ...) with root, which names the component, and component_id, its least id."""
+    to = stars(edges).withColumnsRenamed({"u": "node", "v": "root"})
+    named = distinct.select("node", "least").join(to, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(named.select("node", "root").join(ids, "root"), "simhash-named")
+    return rows.join(named, "node")
+
+
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = GROUP) -> DataFrame:
-    """(id, key, fp, root, component_id) of every document; key is a hash of id and text, root names the component."""
+    """(id, key, fp, root, component_id) of every document, linked by fingerprints; key is a hash of id and text."""
 
     @F.pandas_udf("long")
     def prints_of(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in text], dtype="int64")
 
     rows = docs.select(F.col(id_col).alias(id_col), F.xxhash64(id_col, text_col).alias("key"), prints_of(F.col(text_col)).alias("fp"))
-    rows = cut(rows, "simhash-prints")
-    distinct = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    to = stars(links(distinct.select("fp"), radius, most)).withColumnsRenamed({"u": "fp", "v": "root"})
-    named = distinct.join(to, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(named.select("fp", "root").join(ids, "root"), "simhash-named")
-    return rows.join(named, "fp").select(id_col, "key", "fp", "root", "component_id")
+    rows = cut(rows.withColumn("node", F.col("fp")), "simhash-prints")
+    distinct = cut(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min(id_col).alias("least")), "simhash-distinct")
+    return _connected(rows, distinct, links(distinct, radius, most), id_col).select(id_col, "key", "fp", "root", "component_id")
+
+
+# -- by similarity of shingles ----------------------------------------------------------------------------------------
+
+#: Similarity search: shingle length, least similarity, radius of the trie join, and the masks that deal fingerprints.
+NEAR_SHINGLE, NEAR, NEAR_RADIUS, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 0.8, 15, 24, 13, 8, 6, 128
+#: Sketches link from the least similarity less one standard error of their estimate on.
+ESTIMATE = NEAR - (NEAR * (1 - NEAR) / PERMUTATIONS) ** 0.5
+
+
+def _scattered(used: int) -> list[int]:
+    """Masks of bits drawn by a seeded generator from those that ``used`` leaves, each joined to ``used``."""
+    free = [k for k in range(64) if not used >> k & 1]
+    n, bits = (FINER_MASKS, FINER_BITS) if used else (MASKS, MASK_BITS)
+    rng = np.random.default_rng([SEED, used >> 32, used & 0xFFFFFFFF])
+    return [used | sum(1 << free[k] for k in rng.choice(len(free), min(bits, len(free)), replace=False)) for _ in range(n)]
+
+
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte of the least value under each of 128 permutations; equal bytes estimate the sets' Jaccard similarity."""
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(0), out=least)
+    return ((least ^ least >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = GROUP) -> DataFrame:
+    """(id, key, root, component_id) of every document, linked where shingles of five words are similar by 0.8 or more.
+
+    SimHash bits of texts that are similar by 0.8 differ with a chance of 15 %, too often for blocks that surely agree.
+    Fingerprints are dealt by MASKS scattered masks of MASK_BITS bits instead (at 0.8 a pair shares one with a chance of
+    95 %, at 0.9 of 99.9 %), joined as tries with a wide budget, and linked if their sketches' estimate says so.
+    """
+
+    @F.pandas_udf("fp long, sketch binary")
+    def prints_of(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            words = WORD.findall(ascii_lower(t or ""))
+            hashes = shingle_hashes(words, NEAR_SHINGLE) if words else np.zeros(1, np.uint64)
+            out.append((_print_of(hashes) if words else 0, sketch(hashes)))
+        return pd.DataFrame(out, columns=["fp", "sketch"])
+
+    rows = docs.select(F.col(id_col).alias(id_col), F.xxhash64(id_col, text_col).alias("key"), prints_of(F.col(text_col)).alias("p")).select(id_col, "key", "p.*")
+    rows = cut(rows.withColumn("node", F.xxhash64("fp", "sketch")), "simhash-near")
+    distinct = cut(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.min(id_col).alias("least")), "simhash-distinct")
+    edges = links(distinct, NEAR_RADIUS, most, _scattered, ESTIMATE)
+    return _connected(rows.drop("sketch"), distinct, edges, id_col).select(id_col, "key", "root", "component_id")
 
 
 def query(spark, sf_dir):
@@ -190,9 +280,9 @@ def query(spark, sf_dir):
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each component, with all its columns."""
+    """The row with the least id of each component by similarity, with all its columns."""
     columns = docs.columns
-    rows = clusters(docs, id_col, text_col)
+    rows = near_clusters(docs, id_col, text_col)
     least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("key"))).alias("x")
     keys = rows.groupBy("root").agg(least).select(F.col("x.key").alias("_key"))
     kept = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(keys, "_key", "left_semi")

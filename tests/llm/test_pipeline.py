@@ -13,7 +13,7 @@ def test_every_stage_does_its_work(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[1] < counts[0] and counts[3] < counts[2] and counts[4] < counts[3] and counts[-1] > 500
-    assert simhash.clusters(docs).groupBy("root").count().where("count > 1").isEmpty()
+    assert simhash.near_clusters(docs).groupBy("root").count().where("count > 1").isEmpty()
     assert decontaminate.leaks(docs, spark.read.parquet(f"{d}/benchmark.parquet")).isEmpty()
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert mixed.where(F.col("copy") > 2).isEmpty() and mixed.select("doc_id").distinct().count() > 300

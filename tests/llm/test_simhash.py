@@ -51,7 +51,7 @@ def test_clustered_prints_in_small_groups(spark, most):
         for _ in range(60):
             near.append(c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))))
     prints = sorted(set(near + [r.getrandbits(64) for _ in range(300)] + [0, (1 << 64) - 1]))
-    frame = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    frame = spark.createDataFrame([(simhash._signed(p), simhash._signed(p)) for p in prints], "node long, fp long")
     found = {(e.u, e.v) for e in simhash.stars(simhash.links(frame, most=most)).collect()}
     root = {simhash._signed(p): simhash._signed(p) for p in prints} | dict(found)
     comp = brute_components(prints)
@@ -76,9 +76,45 @@ def test_edges(spark, tmp_path):
     assert [c for a, _, c in got if a in (7, 8)] == [7, 7, 7]
     kept = simhash.one_each(spark.read.parquet(f"{sf}/documents.parquet"))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 7, 9] and len(kept.columns) == 5
+    assert simhash.one_each(docs(spark, [])).count() == 0
     assert simhash.query(spark, store(spark, tmp_path / "e", "documents", docs(spark, []))).count() == 0
 
 
 def test_repeated_rows_leave_one(spark):
     frame = docs(spark, [(1, "a b c d"), (1, "a b c d"), (1, "a b c d")])
     assert simhash.one_each(frame).count() == 1
+
+
+def test_similar_texts_are_linked(spark):
+    """Edited copies with at least 0.8 of their five-word shingles in common; texts that share half stay apart."""
+    r = random.Random(11)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(3000)]
+
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    rows, near, far = [], [], []
+    for k in range(300):
+        words = r.choices(vocab, k=r.randint(60, 400))
+        other = list(words)
+        for _ in range(max(1, len(words) // 60)):
+            other[r.randrange(len(other))] = r.choice(vocab)
+        half = words[: len(words) // 2] + r.choices(vocab, k=len(words) // 2)
+        a, b, c = shingles(words), shingles(other), shingles(half)
+        if len(a & b) / len(a | b) >= 0.84:
+            near.append((3 * k, 3 * k + 1))
+        if len(a & c) / len(a | c) < 0.5:
+            far.append((3 * k, 3 * k + 2))
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(other).upper()), (3 * k + 2, " ".join(half))]
+    root = {x.doc_id: x.component_id for x in simhash.near_clusters(docs(spark, rows)).collect()}
+    assert len(root) == 900 and len(near) > 150 and len(far) > 200
+    assert sum(root[a] == root[b] for a, b in near) >= 0.93 * len(near)
+    assert not any(root[a] == root[b] for a, b in far)
+    small = {x.doc_id: x.component_id for x in simhash.near_clusters(docs(spark, rows), most=5).collect()}
+    assert sum(small[a] == small[b] for a, b in near) >= 0.9 * len(near)
+
+
+def test_sketch():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:900], h[100:]))
+    assert abs((a == b).mean() - 0.8) < 0.12 and simhash.sketch(h) == simhash.sketch(h[::-1])
