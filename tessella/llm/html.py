@@ -266,7 +266,7 @@ def labelled_pages(n: int = 400, seed: int = 20260501) -> list[str]:
     def paragraphs():
         out = []
         for _ in range(r.randint(1, 9)):
-            out.append(r.choice([f"<p>{words(1, 5)}</p>", *[f"<p>{words(15, 90)}</p>"] * 5, f"<h2>{words(1, 8)}</h2>", f"<ul><li>{words(2, 20)}</li><li>{words(2, 20)}</li></ul>", f"<blockquote><p>{words(5, 40)}</p></blockquote>", f"<pre>{words(4, 30)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>", f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>", f'<p>{words(9, 30)} <a href="/x">{words(1, 3)}</a> {words(5, 30)}</p>', f"<div>{words(10, 60)}</div>", f"<section>{words(10, 60)}<p>{words(10, 60)}</p>{block(r.choice(['ad', 'side']))}</section>"]))
+            out.append(r.choice([f"<p>{words(1, 5)}</p>", *[f"<p>{words(15, 90)}</p>"] * 5, f"<h2>{words(1, 8)}</h2>", f"<ul><li>{words(2, 20)}</li><li>{words(2, 20)}</li></ul>", f"<blockquote><p>{words(5, 40)}</p></blockquote>", f"<pre>{words(4, 30)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>", f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>", f'<p>{words(9, 30)} <a href="/x">{words(1, 3)}</a> {words(5, 30)}</p>', f"<div>{words(10, 60)}</div>", f'<p><a href="/x">{words(3, 12)}</a></p>', f"<ul>{links('li', 2, 4)}</ul>", f"<section>{words(10, 60)}<p>{words(10, 60)}</p>{block(r.choice(['ad', 'side']))}</section>"]))
             if r.random() < 0.1:
                 out.append(block(r.choice(["ad", "side", "form", "notice"])))
         return "".join(out)

@@ -29,6 +29,10 @@ def test_every_page_of_a_table(spark):
         ("<article><p>One.<p>Two.<ul><li>a<li>b</ul></article><section id='comments'><h3>Comments</h3><div class=comment><p>very nice</p></div></section>", "One.\nTwo.\na\nb"),
         ("<div id=wrap><div class='nav'><a href=x>a</a></div><div><p>Some words that make up a whole paragraph.</p><p>two</p></div><form>Sign up <input></form></div>", "Some words that make up a whole paragraph.\ntwo"),
         ("<article><div class='ad'>Buy</div><p>Text</p><div class='cookie-notice'>We use cookies</div></article>", "Text"),
+        ("<article><p><a href='x'>All of it a link</a></p><p>Some long enough paragraph with many words.</p></article>", "All of it a link\nSome long enough paragraph with many words."),
+        ("<div id='content'><h1>Title</h1><p>Some words that make up a whole paragraph.</p></div><div id='sidebar'><p>About me</p></div>", "Title\nSome words that make up a whole paragraph."),
+        ("<div class='main'><div class='post'><h2>T</h2><p>Some words.</p><table><tr><td>1</td><td>2</td></tr></table></div><div class='comments'><p>I liked this a lot.</p></div></div>", "T\nSome words.\n1\n2"),
+        ("<article><header><h1>Head</h1></header><p>Text of it.</p><div class='related'><a href=1>Other</a></div><footer>Filed</footer></article>", "Head\nText of it."),
         ("<script>x</script><style>y</style><!-- z -->", ""),
         ("<article><p>a&nbsp;&lt;b&gt;\n\t c</article>", "a <b> c"),
         ("<nav><ul><li><a href=/>x</a></li></ul></nav>", ""),
