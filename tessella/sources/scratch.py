@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process wrote and has not deleted, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is named (tests, local mode)."""
@@ -21,11 +24,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
+    _WRITTEN[path] = spark
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.pop(path, None)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``cut`` wrote; nothing may read it afterwards."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._scratch_path)
+
+
+def clear() -> None:
+    """Delete all tables that ``cut`` wrote, for when no result is read any more."""
+    for path, spark in list(_WRITTEN.items()):
+        _delete(spark, path)
