@@ -107,13 +107,13 @@ def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS, chec
 
 
 def _members(a, a2, b, b2):
-    """Pairs of members of node pairs that no bit tells apart: each with the first of both sides."""
+    """Pairs of members of node pairs that no bit tells apart: all of them, or each with the first where there are many."""
     left, right = [], []
     for x, x2, y, y2 in zip(a.tolist(), a2.tolist(), b.tolist(), b2.tolist(), strict=True):
-        some = np.r_[np.arange(x, x2), np.arange(y, y2)]
-        for first in (x, y):
-            left.append(some)
-            right.append(np.full(len(some), first))
+        some = np.unique(np.r_[np.arange(x, x2), np.arange(y, y2)])
+        firsts = some if len(some) <= 512 else some[:1]
+        left.append(np.tile(some, len(firsts)))
+        right.append(np.repeat(firsts, len(some)))
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -226,7 +226,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 # -- by similarity of shingles ----------------------------------------------------------------------------------------
 
 #: Similarity search: shingle length, least similarity, radius of the trie join, and the masks that deal fingerprints.
-NEAR_SHINGLE, NEAR, NEAR_RADIUS, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 0.8, 15, 24, 13, 8, 6, 128
+NEAR_SHINGLE, NEAR, NEAR_RADIUS, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 0.8, 15, 32, 12, 8, 6, 128
 #: Sketches link from the least similarity less one standard error of their estimate on.
 ESTIMATE = NEAR - (NEAR * (1 - NEAR) / PERMUTATIONS) ** 0.5
 
@@ -255,7 +255,7 @@ def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     SimHash bits of texts that are similar by 0.8 differ with a chance of 15 %, too often for blocks that surely agree.
     Fingerprints are dealt by MASKS scattered masks of MASK_BITS bits instead (at 0.8 a pair shares one with a chance of
-    95 %, at 0.9 of 99.9 %), joined as tries with a wide budget, and linked if their sketches' estimate says so.
+    99 % if its bits differ independently), joined as tries with a wide budget, and linked if their sketches' estimate says so.
     """
 
     @F.pandas_udf("fp long, sketch binary")
