@@ -13,7 +13,7 @@ from tessella.operators import suppress
 from tessella.plans import jobs
 from tessella.sources.store import Store
 
-STAGES = ("run", "blocks", "consensus", "outliers", "weighted-summary", "baseline", "timing", "method-similarity", "plots")
+STAGES = ("run", "blocks", "consensus", "outliers", "weighted-summary", "baseline", "timing", "method-similarity", "plots", "export-counts")
 
 
 def stage(store: Store, name: str, args) -> None:
@@ -40,6 +40,8 @@ def stage(store: Store, name: str, args) -> None:
         jobs.export(jobs.timing(store, args.slides, args.repeats), out)
     elif name == "method-similarity":
         jobs.export(jobs.method_similarity(store), out)
+    elif name == "export-counts":
+        jobs.export(jobs.slide_counts(store), out)
     elif name == "plots":
         jobs.export(jobs.plot_tables(store), out)
     elif name == "benchmark":

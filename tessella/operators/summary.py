@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import CONFIG, Config
@@ -92,9 +92,12 @@ def classification_changes(cells: DataFrame, reference: str = "none", config: Co
     )
 
 
+def pseudonymised(rows: DataFrame, slides: DataFrame) -> DataFrame:
+    """``rows`` with pseudonyms in place of slide ids."""
+    return rows.join(pseudonyms(slides), "slide_id").select("pseudonym", *(c for c in rows.columns if c != "slide_id"))
+
+
 def pseudonyms(slides: DataFrame) -> DataFrame:
     """slide_id with S01, S02 ... in order; one row a slide."""
-    from pyspark.sql import Window
-
     names = slides.select("slide_id").distinct()
     return names.withColumn("pseudonym", F.format_string("S%02d", F.row_number().over(Window.orderBy("slide_id"))))

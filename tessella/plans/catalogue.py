@@ -547,3 +547,39 @@ def timing_summary(spark, sf_dir):
     reps = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("r")
     rows = checked(study(spark, sf_dir).cells).select(*KEYS, "nms_method", "Mac", reps)
     return real(validate.timing_summary(rows.withColumn("elapsed_cpu", F.col("Mac") * (F.col("r") + 3) % 101 / 10.0)))
+
+
+@query()
+def replacement_equivalence(spark, sf_dir):
+    """Equivalence to no suppression under each way of replacing zeros."""
+    diffs = None
+    for name, (strength, common) in SETTINGS.items():
+        ratios = inference.log_ratios(study(spark, sf_dir).cells, strength=strength, common=common, fallback=False)
+        part = inference.differences(inference.long_ratios(ratios)).withColumn("setting", F.lit(name))
+        diffs = part if diffs is None else diffs.unionByName(part)
+    return inference.equivalence(diffs, ["setting", "overlap_pct", "nms_method", "coord"])
+
+
+@query()
+def dendrogram(spark, sf_dir):
+    """Average-linkage merges of the 31 variants at no overlap; a cluster made in step k is numbered 31 + k."""
+    merges = summary.dendrogram(summary.distance_matrix(study(spark, sf_dir).cells), 0.0)
+    rows = [(k, a, b, h, n) for k, (a, b, h, n, _) in enumerate(merges)]
+    return spark.createDataFrame(rows, "step int, cluster_a int, cluster_b int, height double, size int")
+
+
+@query(sql.query([*sql.COUNTED, "names AS (SELECT DISTINCT slide_id, 'S' || lpad(CAST(dense_rank() OVER (ORDER BY slide_id) AS VARCHAR), 2, '0') AS pseudonym FROM det)"], f"SELECT n.pseudonym, c.overlap_pct, c.nms_method, c.label, c.count FROM ({sql.long('cells', f'{sql.KEY}, nms_method')}) c JOIN names n USING (slide_id)"))
+def slide_counts_export(spark, sf_dir):
+    """Slide counts under pseudonyms, as they are published."""
+    st = study(spark, sf_dir)
+    return summary.pseudonymised(counts.long(checked(st.cells)), st.detections)
+
+
+@query()
+def method_times(spark, sf_dir):
+    """CPU and wall time of a few variants on one slide that has every overlap."""
+    from tessella.plans import jobs
+
+    dets = study(spark, sf_dir).detections
+    some = {m: REGISTRY[m] for m in ("none", "iou_grid_n1", "nn_dist_grid_n1", "nn_cluster_global")}
+    return jobs.times(dets.join(jobs.representative(dets, 1), "slide_id", "left_semi"), some, repeats=3)

@@ -106,6 +106,12 @@ def method_similarity(store: Store, config: Config = CONFIG) -> dict[str, DataFr
     return {"method_distance_matrix": summary.distance_matrix(cell_table(store, config), config)}
 
 
+def slide_counts(store: Store) -> dict[str, DataFrame]:
+    """Slide counts under pseudonyms."""
+    cells = store.read("cell_counts").drop("rel_count")
+    return {"slide_counts": summary.pseudonymised(cells, cells)}
+
+
 def representative(dets: DataFrame, n: int, config: Config = CONFIG) -> DataFrame:
     """n slides, drawn by a seeded hash, among those that have every overlap of the table."""
     overlaps = dets.agg(F.count_distinct("overlap_pct")).first()[0]
