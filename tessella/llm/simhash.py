@@ -15,6 +15,8 @@ kept, and a component's id is the least id that isn't null. Repeated rows share
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -225,6 +227,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 # -- by similarity of shingles ----------------------------------------------------------------------------------------
 
+#: Similarity by shingles of five words: bits of a text's parities, and bits of the hashes' buckets.
+BITS, BUCKET_BITS = 2048, 20
 #: Similarity search: shingle length, least similarity, radius of the trie join, and the masks that deal fingerprints.
 NEAR_SHINGLE, NEAR, NEAR_RADIUS, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 0.8, 15, 32, 12, 8, 6, 128
 #: Sketches link from the least similarity less one standard error of their estimate on.
@@ -250,28 +254,219 @@ def sketch(hashes: np.ndarray) -> bytes:
     return ((least ^ least >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Ascending hashes of the text's runs of five words; of a text without words, zero alone."""
+    words = WORD.findall(ascii_lower(text or ""))
+    return np.unique(shingle_hashes(words, NEAR_SHINGLE)) if words else np.zeros(1, np.uint64)
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """Of each of BITS bins, whether an odd number of hashes falls into it: two sets differ in as many hashes as bins at least."""
+    return np.packbits(np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes that come first in the order by ``counts``, then by hash; two sets similar by 0.8 share one of them."""
+    k = len(hashes) - (4 * len(hashes) + 4) // 5 + 1
+    return hashes[np.argsort(counts[hashes >> np.uint64(64 - BUCKET_BITS)], kind="stable")[:k]]
+
+
+def _groups(batches, columns: list[str], by: list[str]):
+    """Frames of whole groups; rows come with equal ``by`` together."""
+    rest = None
+    for pdf in batches:
+        now = pdf[columns] if rest is None else pd.concat([rest, pdf[columns]], ignore_index=True)
+        key = now[by].to_numpy()
+        differs = np.flatnonzero((key[1:] != key[:-1]).any(1))
+        whole = differs[-1] + 1 if len(differs) else 0
+        if whole:
+            yield now[:whole]
+        rest = now[whole:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Of each bucket of hashes, how often texts have one of it: a table of fixed size, which only orders the hashes."""
+    width = (1 << BUCKET_BITS) // 64
+
+    def add(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for pdf in batches:
+            for x in pdf["counts"]:
+                total += np.frombuffer(zlib.decompress(x), np.uint32)
+        if total.any():
+            yield pd.DataFrame({"block": np.arange(64), "counts": [x.tobytes() for x in total.reshape(64, width)]})
+
+    def join(pdf):
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.tobytes()]})
+
+    parts = rows.where("counts is not null").select("counts").mapInPandas(add, "block long, counts binary")
+    out = np.zeros((64, width), np.int64)
+    for r in parts.groupBy("block").applyInPandas(join, "block long, counts binary").collect():
+        out[r.block] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
+def _shared(docs: DataFrame, text_col: str, counts: np.ndarray) -> DataFrame:
+    """(token, node, n, size, first, first_n): the prefix hashes that several texts have; first is the group's least node."""
+    ranks = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        seen = set()  # of this task's rows: copies of a text count once
+        for pdf in batches:
+            token, node, n = [np.zeros(0, np.uint64)], [], []
+            for text in pdf["text"]:
+                h = shingle_set(text)
+                if (x := _node(h)) not in seen:
+                    seen.add(x)
+                    token.append(_prefix(h, ranks.value))
+                    node.append(x)
+                    n.append(len(h))
+            lengths = [len(x) for x in token[1:]]
+            yield pd.DataFrame({"token": np.concatenate(token).view(np.int64), "node": np.repeat(np.array(node, np.int64), lengths), "n": np.repeat(np.array(n, np.int64), lengths)})
+
+    def several(batches):
+        for pdf in _groups(batches, ["token", "node", "n"], ["token"]):
+            token, node, n = (pdf[c].to_numpy() for c in ("token", "node", "n"))
+            order = np.lexsort((node, token))
+            token, node, n = token[order], node[order], n[order]
+            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+            token, node, n = token[new], node[new], n[new]
+            at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[at, len(token)])
+            out = pd.DataFrame({"token": token, "node": node, "n": n, "size": np.repeat(size, size), "first": np.repeat(node[at], size), "first_n": np.repeat(n[at], size)})
+            yield out[out["size"] > 1]
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(prefixes, "token long, node long, n long")
+    rows = rows.repartition("token").sortWithinPartitions("token")
+    return cut(rows.mapInPandas(several, "token long, node long, n long, size long, first long, first_n long"), "near-shared")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The (u, v) whose shingle sets are similar by 0.8 or more, counted exactly."""
+
+    @F.pandas_udf("binary")
+    def sets_of(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).tobytes() for t in text], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(5 * both >= 4 * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    keys = cut(rows.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")), "near-keys")
+    texts = docs.join(keys, "key").select("node", sets_of(F.col(text_col)).alias("set"))
+    sets = cut(texts.dropDuplicates(["node"]), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "b"}), "v")
+    return both.where(similar("a", "b")).select("u", "v")
+
+
+def _across(shared: DataFrame, nodes: DataFrame, edges: DataFrame, most: int, nearest: bool) -> DataFrame:
+    """(u, v) pairs of one group but of different components whose sizes and parities allow 0.8; of each node its nearest, or all.
+
+    A group of over ``most`` is cut into chunks, and every two chunks meet in a task of their own, so no pair is lost.
+    """
+    to = stars(edges).withColumnsRenamed({"u": "node", "v": "root"})
+    members = shared.where("size > 2").select("token", "node", "n", "size").join(to, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = cut(members, "near-members")
+    mixed = members.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("token")
+    members = members.join(mixed, "token", "left_semi").join(nodes.select("node", "bits"), "node")
+    chunks = F.ceil(F.col("size") * 2 / F.lit(most))
+    members = members.withColumn("chunks", F.when(F.col("size") > most, chunks).otherwise(F.lit(1)).cast("long"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    members = members.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    columns = ["token", "low", "high", "chunk", "node", "n", "root", "bits"]
+
+    def pairs(batches):
+        for pdf in _groups(batches, columns, ["token", "low", "high"]):
+            key = pdf[["token", "low", "high"]].to_numpy()
+            at = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
+            chunk, node, n, root = (pdf[c].to_numpy() for c in ("chunk", "node", "n", "root"))
+            bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+            us, vs = [], []
+            for a, b in zip(at, at[1:], strict=False):
+                own = a + np.argsort(n[a:b], kind="stable")
+                cross = key[a, 1] != key[a, 2]
+                c, m, r, w, x = chunk[own], n[own], root[own], bits[own], node[own]
+                best, best_at = np.full(b - a, 1 << 30), np.zeros(b - a, np.int64)
+                step = max(1, (1 << 17) // (b - a))
+                for i in range(0, b - a, step):
+                    j, j2 = i, int(np.searchsorted(m, m[min(i + step, b - a) - 1] * 5 // 4, "right"))
+                    left, right = np.arange(i, min(i + step, b - a)), np.arange(j, j2)
+                    good = (left[:, None] < right) & (r[left, None] != r[right]) & (5 * m[left, None] >= 4 * m[right])
+                    if cross:
+                        good &= c[left, None] != c[right]
+                    p, q = np.nonzero(good)
+                    p, q = left[p], right[q]
+                    far = np.bitwise_count(w[p] ^ w[q]).sum(1, dtype=np.int64)
+                    near = 9 * far <= m[p] + m[q]
+                    p, q, far = p[near], q[near], far[near]
+                    if nearest:
+                        for s, t in ((p, q), (q, p)):
+                            order = np.argsort(-far, kind="stable")
+                            s, t, d = s[order], t[order], far[order]
+                            np.minimum.at(best, s, d)
+                            hit = best[s] == d
+                            best_at[s[hit]] = t[hit]
+                    else:
+                        us.append(x[p])
+                        vs.append(x[q])
+                if nearest:
+                    found = np.flatnonzero(best < 1 << 30)
+                    us.append(x[found])
+                    vs.append(x[best_at[found]])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+    by = ["token", "low", "high"]
+    found = members.select(*columns).repartition(*by).sortWithinPartitions(*by).mapInPandas(pairs, "u long, v long")
+    return cut(found.distinct(), "near-pairs")
+
+
 def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = GROUP) -> DataFrame:
-    """(id, key, root, component_id) of every document, linked where shingles of five words are similar by 0.8 or more.
+    """(id, key, root, component_id) of every document, linked where sets of shingles of five words are similar by 0.8 or more.
 
-    SimHash bits of texts that are similar by 0.8 differ with a chance of 15 %, too often for blocks that surely agree.
-    Fingerprints are dealt by MASKS scattered masks of MASK_BITS bits instead (at 0.8 a pair shares one with a chance of
-    99 % if its bits differ independently), joined as tries with a wide budget, and linked if their sketches' estimate says so.
+    Two sets similar by 0.8 share one of the first fifth of their hashes (and one more) under any order of all hashes; the
+    order used puts rare ones first. Texts with a common hash there form a group. First each is compared with the group's
+    first, then with the nearest of another component, then with all that are still in another component; a pair is passed
+    over only where sizes or parities rule out 0.8, and links only by the exact count. Components are those of all pairs.
     """
 
-    @F.pandas_udf("fp long, sketch binary")
-    def prints_of(text: pd.Series) -> pd.DataFrame:
-        out = []
+    @F.pandas_udf("node long, bits binary, counts binary")
+    def shapes_of(text: pd.Series) -> pd.DataFrame:
+        nodes, bits, total = [], [], np.zeros(1 << BUCKET_BITS, np.uint32)
         for t in text:
-            words = WORD.findall(ascii_lower(t or ""))
-            hashes = shingle_hashes(words, NEAR_SHINGLE) if words else np.zeros(1, np.uint64)
-            out.append((_print_of(hashes) if words else 0, sketch(hashes)))
-        return pd.DataFrame(out, columns=["fp", "sketch"])
-
-    rows = docs.select(F.col(id_col).alias(id_col), F.xxhash64(id_col, text_col).alias("key"), prints_of(F.col(text_col)).alias("p")).select(id_col, "key", "p.*")
-    rows = cut(rows.withColumn("node", F.xxhash64("fp", "sketch")), "simhash-near")
-    distinct = cut(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.min(id_col).alias("least")), "simhash-distinct")
-    edges = links(distinct, NEAR_RADIUS, most, _scattered, ESTIMATE)
-    return _connected(rows.drop("sketch"), distinct, edges, id_col).select(id_col, "key", "root", "component_id")
+            h = shingle_set(t)
+            nodes.append(_node(h))
+            bits.append(_parity(h))
+            np.add.at(total, (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
+        counts = [zlib.compress(total.tobytes(), 1), *[None] * (len(text) - 1)][: len(text)]  # the batch's counts go with its first row
+        return pd.DataFrame({"node": np.array(nodes, np.int64), "bits": bits, "counts": counts})
+
+    keyed = docs.withColumn("key", F.xxhash64(id_col, text_col))
+    rows = keyed.select(F.col(id_col).alias(id_col), "key", shapes_of(F.col(text_col)).alias("p")).select(id_col, "key", "p.*")
+    rows = cut(rows, "near-rows")
+    distinct = cut(rows.groupBy("node").agg(F.any_value("bits").alias("bits"), F.min(id_col).alias("least")), "near-distinct")
+    shared = _shared(docs, text_col, _bucket_counts(rows))
+    pairs = shared.where("node <> first and 5 * least(n, first_n) >= 4 * greatest(n, first_n)").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    edges = cut(_verified(cut(pairs.distinct(), "near-pairs"), rows, keyed, text_col), "near-edges")
+    for nearest in (True, False):
+        pairs = _across(shared, distinct, edges, most, nearest)
+        if pairs.isEmpty():
+            break
+        edges = cut(edges.unionByName(_verified(pairs, rows, keyed, text_col)), "near-edges")
+    return _connected(rows.select(id_col, "key", "node"), distinct, edges, id_col).select(id_col, "key", "root", "component_id")
 
 
 def query(spark, sf_dir):

@@ -118,3 +118,49 @@ def test_sketch():
     h = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
     a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:900], h[100:]))
     assert abs((a == b).mean() - 0.8) < 0.12 and simhash.sketch(h) == simhash.sketch(h[::-1])
+
+
+def exact_components(texts):
+    """{place: root} over all pairs of texts whose sets of five-word shingles are similar by 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(ascii_lower(t or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and root[a] != root[b]:
+                both = len(sets[a] & sets[b])
+                if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = [new if x == old else x for x in root]
+    return root
+
+
+def near_roots(spark, texts, **more):
+    got = {x.doc_id: x.component_id for x in simhash.near_clusters(docs(spark, list(enumerate(texts))), **more).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def edited_texts(seed=5, groups=60):
+    """Copies on both sides of 0.8, with several edits each."""
+    r = random.Random(seed)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(3000)]
+    texts = []
+    for _ in range(groups):
+        words = r.choices(vocab, k=r.randint(60, 400))
+        texts.append(" ".join(words))
+        for _ in range(5):
+            other = list(words)
+            for _ in range(max(1, round(len(words) * r.uniform(0.015, 0.035)))):
+                other[r.randrange(len(other))] = r.choice(vocab)
+            texts.append(" ".join(other))
+    return texts
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """No pair at 0.8 is lost and none below is linked."""
+    texts = edited_texts()
+    want = exact_components(texts)
+    assert 60 < len(set(want)) < 300
+    assert near_roots(spark, texts) == want
