@@ -56,11 +56,9 @@ def _print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS, check=None) -> np.ndarray:
+def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Index of the least linked fingerprint for each; ``prints`` (uint64) ascend inside each group (ascending).
 
-    ``check`` takes pairs of indexes within the radius and says which of them are linked; by default all.
-
     A trie node is a range of the sorted fingerprints that share a prefix. Pairs of nodes are walked level by level in
     chunks, deepest first, so the work list stays bounded.
     """
@@ -80,18 +78,12 @@ def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS, chec
         if alone.any():
             i, j = a[alone], b[alone]
             near = (label[i] != label[j]) & (np.bitwise_count(prints[i] ^ prints[j]) <= radius)
-            i, j = i[near], j[near]
-            if check is not None and len(i):
-                good = check(i, j)
-                i, j = i[good], j[good]
-            _merge(label, i, j)
+            _merge(label, i[near], j[near])
             a, a2, b, b2, cost = (x[~alone] for x in (a, a2, b, b2, cost))
-        if bit < 0 and len(a):  # equal fingerprints: every member against the first of the other side
-            i, j = _members(a, a2, b, b2)
-            if check is not None:
-                good = check(i, j)
-                i, j = i[good], j[good]
-            _merge(label, i, j)
+        if bit < 0 and len(a):  # no bit tells these apart, so all are within the radius: each is linked with the first
+            for x, x2, y, y2 in zip(a.tolist(), a2.tolist(), b.tolist(), b2.tolist(), strict=True):
+                i = np.r_[np.arange(x, x2), np.arange(y, y2)]
+                _merge(label, i, np.full(len(i), x))
         if not len(a) or bit < 0:
             continue
         if bit not in zeros:
@@ -108,17 +100,6 @@ def trie_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS, chec
     return label
 
 
-def _members(a, a2, b, b2):
-    """Pairs of members of node pairs that no bit tells apart: all of them, or each with the first where there are many."""
-    left, right = [], []
-    for x, x2, y, y2 in zip(a.tolist(), a2.tolist(), b.tolist(), b2.tolist(), strict=True):
-        some = np.unique(np.r_[np.arange(x, x2), np.arange(y, y2)])
-        firsts = some if len(some) <= 512 else some[:1]
-        left.append(np.tile(some, len(firsts)))
-        right.append(np.repeat(firsts, len(some)))
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the sets of each i and j; labels are the least index of a set."""
     while len(i):
@@ -146,16 +127,15 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP, deal=None, similar: float | None = None) -> DataFrame:
-    """(u, v) links of a spanning forest inside each group, by ``node``; ``prints`` (node, fp and, if ``similar``, sketch).
+def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP, deal=None) -> DataFrame:
+    """(u, v) links of a spanning forest inside each group, by ``node``; ``prints`` (node, fp).
 
     ``deal`` gives the masks that a group of one mask is dealt by; by default blocks, which lose no pair.
     """
     deal = deal or (lambda used: _blocks(used, radius))
-    carried = ["node", "fp", *(["sketch"] if similar else [])]
     masks = deal(0)
     value = F.col("fp").bitwiseAND(F.col("used"))
-    rows = prints.select(*carried, F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("used"))
+    rows = prints.select("node", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("used"))
     ready = None
     for level in range(4):  # groups that are too large are dealt again, by bits that are still free
         large = cut(rows.groupBy("used", value.alias("value")).count().where(F.col("count") > most).drop("count"), "simhash-large")
@@ -164,29 +144,27 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP, deal=None,
             break
         large = large.withColumn("dealt", F.lit(True))
         rows = rows.withColumn("value", value).join(large, ["used", "value"], "left")
-        calm = rows.where("dealt is null").select(*carried, "used")
+        calm = rows.where("dealt is null").select("node", "fp", "used")
         ready = calm if ready is None else ready.unionByName(calm)
         finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in deal(m))))))
-        rows = rows.where("dealt").select(*carried, F.explode(finer[F.col("used")]).alias("used")).distinct()
+        rows = rows.where("dealt").select("node", "fp", F.explode(finer[F.col("used")]).alias("used")).distinct()
         masks = list(dict.fromkeys(f for m in masks for f in deal(m)))
 
     def join(batches):
         rest = None
 
-        def solve(fp, used, node, sketch):
+        def solve(fp, used, node):
             value = fp & used
             order = np.lexsort((node, fp, value, used))
-            fp, value, used, node, sketch = (x[order] for x in (fp, value, used, node, sketch))
+            fp, value, used, node = (x[order] for x in (fp, value, used, node))
             group = np.cumsum(np.r_[0, (value[1:] != value[:-1]) | (used[1:] != used[:-1])])
-            check = (lambda i, j: (sketch[i] == sketch[j]).mean(1) >= similar) if similar else None
-            label = trie_links(group, fp, radius, check)
+            label = trie_links(group, fp, radius)
             moved = label != np.arange(len(fp))
             return pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
 
         for pdf in batches:
             fp, used = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "used"))
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1) if similar else np.zeros((len(pdf), 0), np.uint8)
-            now = fp, used, pdf["node"].to_numpy(np.int64), sketch
+            now = fp, used, pdf["node"].to_numpy(np.int64)
             now = now if rest is None else tuple(map(np.concatenate, zip(rest, now, strict=True)))
             fp, used = now[:2]
             value = fp & used
@@ -229,12 +207,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 #: Similarity by shingles of five words: bits of a text's parities, and bits of the hashes' buckets.
 BITS, BUCKET_BITS = 2048, 20
-#: Similarity search: shingle length, least similarity, radius of the trie join, and the masks that deal fingerprints.
-NEAR_SHINGLE, NEAR, NEAR_RADIUS, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 0.8, 15, 32, 12, 8, 6, 128
-#: Sketches link from the least similarity less one standard error of their estimate on.
-ESTIMATE = NEAR - (NEAR * (1 - NEAR) / PERMUTATIONS) ** 0.5
-
-
+#: Shingle length, the masks that deal fingerprints, and the bytes of a sketch.
+NEAR_SHINGLE, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 32, 12, 8, 6, 128
 def _scattered(used: int) -> list[int]:
     """Masks of bits drawn by a seeded generator from those that ``used`` leaves, each joined to ``used``."""
     free = [k for k in range(64) if not used >> k & 1]

@@ -164,3 +164,15 @@ def test_links_are_those_of_all_pairs(spark):
     want = exact_components(texts)
     assert 60 < len(set(want)) < 300
     assert near_roots(spark, texts) == want
+
+
+def test_more_than_512_equal_fingerprints(spark):
+    """Unrelated fields between a repeated phrase: one fingerprint for all, and copies among them that are unlike the first."""
+    r = random.Random(3)
+    fields = [["".join(r.choices("abcdefgh", k=9)) for _ in range(100)] for _ in range(560)]
+    fields += [["other" if j % 20 == 3 else x for j, x in enumerate(f)] for f in fields[100:140]]
+    texts = [" ".join(f"item is now in stock {x}" for x in f) for f in fields]
+    prints = [simhash._print_of(simhash.shingle_hashes(t.split(), 5)) for t in texts]
+    assert max(map(prints.count, prints)) > 512
+    want = exact_components(texts)
+    assert len(set(want)) == 560 and near_roots(spark, texts) == want
