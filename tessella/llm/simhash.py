@@ -127,13 +127,12 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP, deal=None) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP) -> DataFrame:
     """(u, v) links of a spanning forest inside each group, by ``node``; ``prints`` (node, fp).
 
-    ``deal`` gives the masks that a group of one mask is dealt by; by default blocks, which lose no pair.
+    Groups are dealt by blocks, which lose no pair.
     """
-    deal = deal or (lambda used: _blocks(used, radius))
-    masks = deal(0)
+    masks = _blocks(0, radius)
     value = F.col("fp").bitwiseAND(F.col("used"))
     rows = prints.select("node", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("used"))
     ready = None
@@ -146,9 +145,9 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = GROUP, deal=None)
         rows = rows.withColumn("value", value).join(large, ["used", "value"], "left")
         calm = rows.where("dealt is null").select("node", "fp", "used")
         ready = calm if ready is None else ready.unionByName(calm)
-        finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in deal(m))))))
+        finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in _blocks(m, radius))))))
         rows = rows.where("dealt").select("node", "fp", F.explode(finer[F.col("used")]).alias("used")).distinct()
-        masks = list(dict.fromkeys(f for m in masks for f in deal(m)))
+        masks = list(dict.fromkeys(f for m in masks for f in _blocks(m, radius)))
 
     def join(batches):
         rest = None
@@ -207,16 +206,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 #: Similarity by shingles of five words: bits of a text's parities, and bits of the hashes' buckets.
 BITS, BUCKET_BITS = 2048, 20
-#: Shingle length, the masks that deal fingerprints, and the bytes of a sketch.
-NEAR_SHINGLE, MASKS, MASK_BITS, FINER_MASKS, FINER_BITS, PERMUTATIONS = 5, 32, 12, 8, 6, 128
-def _scattered(used: int) -> list[int]:
-    """Masks of bits drawn by a seeded generator from those that ``used`` leaves, each joined to ``used``."""
-    free = [k for k in range(64) if not used >> k & 1]
-    n, bits = (FINER_MASKS, FINER_BITS) if used else (MASKS, MASK_BITS)
-    rng = np.random.default_rng([SEED, used >> 32, used & 0xFFFFFFFF])
-    return [used | sum(1 << free[k] for k in rng.choice(len(free), min(bits, len(free)), replace=False)) for _ in range(n)]
-
-
+#: Shingle length, and the bytes of a sketch.
+NEAR_SHINGLE, PERMUTATIONS = 5, 128
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -176,3 +176,12 @@ def test_more_than_512_equal_fingerprints(spark):
     assert max(map(prints.count, prints)) > 512
     want = exact_components(texts)
     assert len(set(want)) == 560 and near_roots(spark, texts) == want
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_links_do_not_depend_on_group_size(spark, most):
+    """A passage that all texts begin with makes the shared hashes' groups large; they are cut into chunks that all meet."""
+    texts = edited_texts(seed=9, groups=25) + [" ".join(["same few words come first", *t.split()[:9]]) for t in edited_texts(seed=10, groups=10)]
+    want = exact_components(texts)
+    assert 25 < len(set(want)) < len(texts) - 20
+    assert near_roots(spark, texts, most=most) == want
