@@ -9,6 +9,9 @@ A template recurs if lines of ``LEAST`` different texts have it; exact copies of
 recurring templates are dropped, but for the template's first line (least id, then place), so no content leaves the
 corpus altogether. Lines without or with fewer than ``CONSTANT`` words always stay.
 
+With ``exact``, as in the pipeline, a line of ``LONG`` words or more recurs from two different texts on if it stands
+there letter by letter; LEAST is for templates and short lines, which may agree by chance. The query goes by its SQL.
+
 A word's number of texts is the sum over the distinct lines that have it. Leaves, lines and templates are counted by
 hash in pre-aggregated shuffles; only words of leaves that LEAST texts share are looked at.
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD_SQL, cut
 
-LEAST, DEPTH, CONSTANT, SHARE = 10, 2, 3, 0.5
+LEAST, DEPTH, CONSTANT, SHARE, LONG = 10, 2, 3, 0.5, 10
 DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
@@ -36,17 +39,29 @@ def _plain(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, pos, plain, n, leaf, lh) of all lines; th hashes the text, lh the line, n counts its words."""
+    """(id, th, pos, same, plain, n, leaf, lh) of all lines; th hashes the text, same the line, lh its plain words, n counts them."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    rows = rows.select("id", "th", "pos", _plain(F.col("line")).alias("plain"))
+    rows = rows.select("id", "th", "pos", F.xxhash64("line").alias("same"), _plain(F.col("line")).alias("plain"))
     n = F.when(F.col("plain") == "", 0).otherwise(F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "))) + 1)
     lead = F.substring_index("plain", " ", DEPTH)
     return rows.select("*", n.alias("n"), F.xxhash64(n, lead).alias("leaf"), F.xxhash64("plain").alias("lh"))
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _repeats(lines: DataFrame) -> DataFrame:
+    """(id, th, pos) of long lines that two texts or more have, but for each one's first place."""
+    long = lines.where(F.col("n") >= LONG).select("id", "th", "pos", "same")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "pos")
+    first = long.groupBy("same").agg(F.min(place).alias("first"), (F.min("th") != F.max("th")).alias("several"))
+    first = cut(first.where("several").drop("several"), "lines-repeated")
+    return long.join(first, "same").where(place != F.col("first")).select("id", "th", "pos")
+
+
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(id, th, drops): the places of the lines to drop, for every document that has any."""
-    lines = cut(_lines(docs, id_col, text_col).drop("plain"), "lines").where(F.col("n") >= CONSTANT)
+    lines = _lines(docs, id_col, text_col).drop("plain")
+    lines = cut(lines if exact else lines.drop("same"), "lines").where(F.col("n") >= CONSTANT)
+    repeats = _repeats(lines) if exact else None
+    lines = lines.drop("same")
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").count().where(F.col("count") >= LEAST).select("leaf")
     leaves = cut(leaves, "lines-leaves")
     lines = cut(lines.join(leaves, "leaf", "left_semi"), "lines-shared")
@@ -70,13 +85,14 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     recurring = lines.select("template", "th").distinct().groupBy("template").count().where(F.col("count") >= LEAST).select("template")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "pos")
     first = cut(lines.groupBy("template").agg(F.min(place).alias("first")).join(recurring, "template"), "lines-first")
-    rows = lines.join(first, "template").where(place != F.col("first"))
+    rows = lines.join(first, "template").where(place != F.col("first")).select("id", "th", "pos")
+    rows = rows.unionByName(repeats) if exact else rows
     return rows.groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """``docs`` without the dropped lines; adds ``_lines`` and ``_dropped``, the numbers of lines and of those dropped."""
-    drops = dropped(docs, id_col, text_col).select(F.xxhash64("id", "th").alias("_key"), F.col("drops").alias("_drops"))
+    drops = dropped(docs, id_col, text_col, exact).select(F.xxhash64("id", "th").alias("_key"), F.col("drops").alias("_drops"))
     rows = docs.withColumn("_key", F.xxhash64(id_col, F.xxhash64(text_col))).join(drops, "_key", "left")
     rows = rows.withColumn("_all", F.split(text_col, "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drops"))
@@ -94,7 +110,7 @@ def query(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Documents without recurring lines; one that loses all its words goes."""
-    rows = dedup(docs)
+    rows = dedup(docs, exact=True)
     rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
     return rows.where((F.col("_dropped") == 0) | F.col("text").rlike(WORD_SQL)).select(*docs.columns)
 

@@ -50,3 +50,12 @@ def test_edges(spark, tmp_path):
     assert got.count() == 6 and got.columns == [*frame.columns, "_lines", "_dropped"]
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in frame.collect()}
     assert lines.query(spark, store(spark, tmp_path, "documents", docs(spark, []))).count() == 0
+
+
+def test_long_lines_of_two_texts_go_in_the_stage(spark):
+    long, short = " ".join(OWN[:12]), " ".join(OWN[:9])
+    texts = [f"{long}\n{short}\nown a", f"own b\n{short}\n{long}", f"{long}\n{long}\nown c", f"{long.upper()}\nown d"]
+    copies = [" ".join(OWN[::-1]) + "\nown e"] * 3
+    got = texts_of(lines.stage(spark, rows(spark, texts + copies), None))
+    assert got == dict(enumerate([texts[0], f"own b\n{short}", "own c", texts[3], *copies]))
+    assert texts_of(lines.dedup(rows(spark, texts + copies))) == dict(enumerate(texts + copies))
