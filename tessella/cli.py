@@ -7,6 +7,7 @@ import sys
 import traceback
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tessella.config import METHODS, METHODS_25
 from tessella.operators import suppress
@@ -23,7 +24,14 @@ def stage(store: Store, name: str, args) -> None:
     elif name == "blocks":
         jobs.blocks(store)
     elif name == "consensus":
-        jobs.export(jobs.consensus_tables(store, METHODS if args.all_methods else METHODS_25, args.min_cells), out)
+        tables = jobs.consensus_tables(store, METHODS if args.all_methods else METHODS_25, args.min_cells)
+        jobs.export(tables, out)
+        worst = jobs.largest(tables["zero_sensitivity"], F.abs("gap"))
+        if worst:
+            print(f"largest gap of alpha {worst.gap:.3f} ({worst.alpha_as_is:.3f} to {worst.alpha_common_scale:.3f}) at block size {worst.block_size}, overlap {worst.overlap_pct:.3f}")
+        best = jobs.largest(tables["scale_dependence_curve"], F.col("alpha"))
+        if best:
+            print(f"largest alpha {best.alpha:.4f} at block size {best.block_size}, overlap {best.overlap_pct:.3f}")
     elif name == "outliers":
         tables = jobs.outlier_tables(store)
         jobs.export(tables, out)

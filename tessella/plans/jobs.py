@@ -80,6 +80,11 @@ def consensus_tables(store: Store, methods=METHODS_25, min_cells: int | None = N
     return {"scale_dependence_curve": agreement.scale_curve(table, good, len(methods), config), "zero_sensitivity": agreement.zero_sensitivity(good, len(methods), config)}
 
 
+def largest(rows: DataFrame, by):
+    """The row at which ``by`` is largest; None if it is nowhere a number."""
+    return rows.where(by.isNotNull() & ~F.isnan(by)).orderBy(by.desc(), *rows.columns[:2]).first()
+
+
 def outlier_tables(store: Store, config: Config = CONFIG) -> dict[str, DataFrame]:
     cells = outliers.tail_cells(store.read("method_deviation"), config=config)
     flags = cut(outliers.permutation(cells, config), "outlier-flags")

@@ -12,9 +12,14 @@ _WRITTEN: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests, local mode)."""
+    """The shared folder that the cluster names; a local one only in local mode, where driver and executor are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or f"file://{tempfile.gettempdir()}/tessella-scratch").rstrip("/")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/tessella-scratch"
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,9 +39,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     _WRITTEN.pop(path, None)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote; nothing may read it afterwards."""
-    _delete(df.sparkSession, df._scratch_path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote; nothing may read them afterwards."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path)
 
 
 def clear() -> None:

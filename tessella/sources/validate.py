@@ -76,6 +76,13 @@ def pending(units: DataFrame, methods: list[str], done: DataFrame) -> DataFrame:
     return units.select("slide_id", "overlap_pct", names).join(done, ["slide_id", "overlap_pct", "nms_method"], "left_anti")
 
 
+def median_of_medians(rows: DataFrame, value: str, inner: list[str], outer: list[str]) -> DataFrame:
+    """The median over units of each unit's median: ``outer`` keys, ``median`` and the number of units."""
+    each = rows.groupBy(*outer, *inner).agg(F.median(value).alias("m"))
+    return each.groupBy(*outer).agg(F.median("m").alias("median"), F.count(F.lit(1)).alias("n_units"))
+
+
 def timing_summary(times: DataFrame) -> DataFrame:
-    each = times.groupBy("slide_id", "overlap_pct", "nms_method").agg(F.median("elapsed_cpu").alias("m"))
-    return each.groupBy("overlap_pct", "nms_method").agg(F.median("m").alias("median_cpu"), F.count(F.lit(1)).alias("n_slides"))
+    """CPU time of each variant: the median of a slide's repeats, then of slides."""
+    rows = median_of_medians(times, "elapsed_cpu", ["slide_id"], ["overlap_pct", "nms_method"])
+    return rows.withColumnsRenamed({"median": "median_cpu", "n_units": "n_slides"})

@@ -49,7 +49,7 @@ def test_load_run_and_analyse(spark, tree, tmp_path):
     mine = store.read("raw_detections").select(*columns)
     assert mine.count() == base.count() and mine.exceptAll(base.select(*columns)).isEmpty()
     again = jobs.load(store, f"{tree}/images", f"{tree}/data")
-    assert again["loaded"] == 0 and again["skipped"] == 16
+    assert again["loaded"] == 0 and again["skipped"] == 16 and again["missing"] == 8 * 9 - 16
     assert cli.main([*args, "nms", "all", "--results", f"{tmp_path}/results", "--min-cells", "20", "--slides", "1", "--repeats", "1"]) == 0
     assert jobs.run(store) == 0  # nothing is left to do
     status = store.status()
@@ -78,6 +78,7 @@ def test_stream_loads_what_arrives(spark, tree, tmp_path):
         (lambda d: d.assign(x_correct=d.x_correct + 6400), "outside the image"),
         (lambda d: d.assign(x1=d.x1 + 0.5), "whole numbers"),
         (lambda d: d.assign(y_correct=-640), "negative"),
+        (lambda d: d.assign(x1=["a", "b"]), "parse"),
     ],
 )
 def test_bad_files(change, reason):
@@ -100,6 +101,34 @@ def test_a_bad_file_does_not_stop_the_others(spark, tree, tmp_path):
     assert done["loaded"] == 1 and done["failed"] == 1 and "missing" in done["errors"]["B", 0.0]
 
 
+def test_ids_stay_unique_over_loads_and_any_fault_is_one_files(spark, tree, tmp_path):
+    (tmp_path / "data/0_overlap_raw").mkdir(parents=True)
+    (tmp_path / "images").mkdir()
+    store = Store(spark, f"file://{tmp_path}/store")
+    text = (tree / "data/0_overlap_raw/S1.csv").read_text()
+    lines = text.split("\n")
+    fields = lines[1].split(",")
+    bad = ",".join([*fields[:4], "word", *fields[5:]])
+    n = 0
+    for slide, body in (("A", text), ("B", text), ("C", "\n".join([lines[0], bad, *lines[2:]])), ("D", "\0\xff"), ("E", text)):
+        png(tmp_path / "images" / f"{slide}.png", 2560, 2560)
+        (tmp_path / f"data/0_overlap_raw/{slide}.csv").write_text(body)
+        done = jobs.load(store, f"{tmp_path}/images", f"{tmp_path}/data")
+        n += done["rows"]
+        assert done["loaded"] == (slide in "ABE") and done["failed"] >= (slide in "CD")
+    ids = store.read("raw_detections").select("det_id")
+    assert ids.count() == n == ids.distinct().count() and n == 3 * (text.count("\n") - 1)
+
+
+def test_a_changed_input_makes_a_new_study(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    rows.limit(50).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert study(spark, str(tmp_path)).detections.count() == 50
+    assert study(spark, str(tmp_path)) is study(spark, str(tmp_path))
+    rows.limit(70).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert study(spark, str(tmp_path)).detections.count() == 70
+
+
 def test_checks_on_frames(spark):
     d = study(spark, SF).detections
     validate.check_grid(d)
@@ -120,12 +149,25 @@ def test_checks_on_frames(spark):
 def test_image_headers():
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 256, 4, 1, 700) + struct.pack("<HHII", 257, 3, 1, 500)
     assert images.dimensions(tiff) == (700, 500)
+    far = b"MM\0*" + struct.pack(">I", 100_000) + b"\0" * 99_992 + struct.pack(">H", 2) + struct.pack(">HHIHH", 256, 3, 1, 70, 0) + struct.pack(">HHII", 257, 4, 1, 50)
+    assert images.dimensions(far) == (70, 50)
+    big = b"II+\0\x08\0\0\0" + struct.pack("<Q", 16) + struct.pack("<Q", 2) + struct.pack("<HHQQ", 256, 4, 1, 9) + struct.pack("<HHQQ", 257, 16, 1, 8)
+    assert images.dimensions(big) == (9, 8)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 40) + b"\0" * 8
     assert images.dimensions(jpeg) == (40, 30)
     with pytest.raises(ValueError, match="header"):
         images.dimensions(b"no image")
 
 
+def test_only_headers_are_opened(spark, tmp_path):
+    far = b"II*\0" + struct.pack("<I", 100_000) + b"\0" * 99_992 + struct.pack("<H", 2) + struct.pack("<HHII", 256, 4, 1, 700) + struct.pack("<HHII", 257, 4, 1, 500)
+    (tmp_path / "a.tif").write_bytes(far)
+    (tmp_path / "b.tiff").write_bytes(b"II*\0" + struct.pack("<I", 1 << 30))
+    png(tmp_path / "c.png", 3, 4)
+    got = {r.slide_id: (r.image_w, r.image_h) for r in images.slides(spark, str(tmp_path)).collect()}
+    assert got == {"a": (700, 500), "b": (None, None), "c": (3, 4)}
+
+
 def test_counts(spark):
     st = study(spark, SF)
     assert st.cells.count() == 16 * 31
