@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 from math import comb, exp, inf, lgamma, log, log1p, pi, sqrt
 
 import numpy as np
@@ -42,16 +43,20 @@ def chi2_sf(x: float, df: int) -> float:
     return exp(chi2_log_sf(x, df)) if x == x else 1.0
 
 
+@cache
+def _normal() -> tuple[np.ndarray, ...]:
+    """Points with the normal density, and a finer grid with the distribution."""
+    from statistics import NormalDist
+
+    z, grid = np.linspace(-9, 9, 6001), np.linspace(-12, 9, 8401)
+    return z, np.exp(-z * z / 2) / sqrt(2 * pi), grid, np.array([NormalDist().cdf(float(v)) for v in grid])
+
+
 def studentised_range_sf(q: float, k: int) -> float:
     """P(range of k standard normals > q), by numerical integration."""
     if q <= 0 or k < 2:
         return 1.0
-    from statistics import NormalDist
-
-    z = np.linspace(-9, 9, 6001)
-    phi = np.exp(-z * z / 2) / sqrt(2 * pi)
-    grid = np.linspace(-12, 9, 8401)
-    cdf = np.array([NormalDist().cdf(float(v)) for v in grid])
+    z, phi, grid, cdf = _normal()
     inside = np.interp(z, grid, cdf) - np.interp(z - q, grid, cdf)
     return float(min(1.0, max(0.0, 1 - k * np.trapezoid(phi * inside ** (k - 1), z))))
 

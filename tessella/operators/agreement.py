@@ -6,6 +6,9 @@ and the coordinate sums. A bootstrap replicate weighs these rows by how often a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,29 +27,34 @@ def coordinates(eligible_counts: DataFrame, regime: str = "as_is", config: Confi
     Regimes: ``as_is``; ``common_scale`` rescales counts to one total before zeros are replaced; ``no_eos`` leaves the
     last label out. ``multiplier`` scales counts (4 reproduces a join that repeated each row by label).
     """
+    z = _ilr(regime, config, multiplier)
+    return eligible_counts.select(*BLOCK, "nms_method", *(x.alias(f"z{k}") for k, x in enumerate(z, 1)))
+
+
+def _ilr(regime: str, config: Config, multiplier: float = 1.0) -> list:
     parts = [F.col(s).cast("double") * multiplier for s in config.short]
     if regime == "no_eos":
         parts = parts[:-1]
     if regime == "common_scale":
         parts = comp.to_common_total(parts, config.common_total)
-    z = comp.ilr(comp.replace_zeros(parts))
-    return eligible_counts.select(*BLOCK, "nms_method", *(x.alias(f"z{k}") for k, x in enumerate(z, 1)))
+    return comp.ilr(comp.replace_zeros(parts))
+
+
+def _units(panel: DataFrame, n_methods: int, groups: list[list[str]]) -> DataFrame:
+    """Complete blocks with, for each coordinate, the within-block disagreement d_, the sum of squares q_ and the sum s_."""
+    z = [c for g in groups for c in g]
+    units = panel.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("m"), *(F.sum(c).alias(f"s_{c}") for c in z), *(F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in z))
+    pairs = n_methods * (n_methods - 1) / 2.0
+    units = units.where(F.col("m") == n_methods).drop("m")
+    return units.withColumns({f"d_{c}": (n_methods * F.col(f"q_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}")) / pairs for c in z})
 
 
 def slide_sums(panel: DataFrame, n_methods: int) -> DataFrame:
     """Per setting and slide: complete blocks, within-block disagreement, sum of squares, coordinate sums; and by coordinate."""
     z = [c for c in panel.columns if c[0] == "z" and c[1:].isdigit()]
-    square = sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0]))
-    units = panel.groupBy(*BLOCK).agg(
-        F.count(F.lit(1)).alias("m"), F.sum(square).alias("q"), *(F.sum(c).alias(f"s_{c}") for c in z), *(F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in z)
-    )
-    units = units.where(F.col("m") == n_methods)
-    pairs = n_methods * (n_methods - 1) / 2.0
-    lengths = sum((F.col(f"s_{c}") * F.col(f"s_{c}") for c in z[1:]), F.col(f"s_{z[0]}") * F.col(f"s_{z[0]}"))
-    units = units.withColumn("d", (n_methods * F.col("q") - lengths) / pairs)
-    units = units.withColumns({f"d_{c}": (n_methods * F.col(f"q_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}")) / pairs for c in z})
-    sums = [F.sum(x).alias(x) for x in ["d", "q", *(f"{p}_{c}" for p in "dqs" for c in z)]]
-    return units.groupBy(*SETTING, "slide_id").agg(F.count(F.lit(1)).alias("blocks"), *sums)
+    units = _units(panel, n_methods, [z])
+    whole = [reduce(add, (F.sum(f"{p}_{c}") for c in z)).alias(p) for p in "dq"]
+    return units.groupBy(*SETTING, "slide_id").agg(F.count(F.lit(1)).alias("blocks"), *whole, *(F.sum(f"{p}_{c}").alias(f"{p}_{c}") for p in "dqs" for c in z))
 
 
 def _alpha(m: int, blocks, d, q, s2):
@@ -105,13 +113,54 @@ def scale_curve(block_counts: DataFrame, eligible_counts: DataFrame, n_methods:
 
 
 def zero_sensitivity(eligible_counts: DataFrame, n_methods: int, config: Config = CONFIG) -> DataFrame:
-    """Alpha under each zero-handling regime, the gap of the scale-free one, and alpha by coordinate."""
+    """Alpha under each zero-handling regime, the gap of the scale-free one, and alpha by coordinate; in one pass over blocks."""
+    panel, own = eligible_counts, {}
+    for regime in ("as_is", "common_scale", "no_eos"):
+        own[regime] = {f"{regime}_{k}": z for k, z in enumerate(_ilr(regime, config), 1)}
+        panel = panel.withColumns(own[regime])
+    units = _units(panel.select(*BLOCK, *(c for z in own.values() for c in z)), n_methods, [list(z) for z in own.values()])
+    names = [c for c in units.columns if c not in BLOCK]
+    sums = units.groupBy(*SETTING).agg(F.count(F.lit(1)).alias("blocks"), *(F.sum(c).alias(c) for c in names))
+
+    def of(z):
+        d, q, s2 = (reduce(add, (f(c) for c in z)) for f in (lambda c: F.col(f"d_{c}"), lambda c: F.col(f"q_{c}"), lambda c: F.col(f"s_{c}") ** 2))
+        return _alpha(n_methods, F.col("blocks"), d, q, s2)
+
+    each = [of([c]).alias(f"alpha_coord_{k}") for k, c in enumerate(own["as_is"], 1)]
+    rows = sums.select(*SETTING, F.col("blocks").alias("n_blocks"), of(own["as_is"]).alias("alpha_as_is"), *each, of(own["common_scale"]).alias("alpha_common_scale"), of(own["no_eos"]).alias("alpha_no_eos"))
+    return rows.withColumn("gap", F.col("alpha_common_scale") - F.col("alpha_as_is"))
 
-    def of(regime):
-        return alpha(slide_sums(coordinates(eligible_counts, regime, config), n_methods), n_methods)
 
-    as_is = of("as_is").withColumnRenamed("alpha", "alpha_as_is")
-    scaled = of("common_scale").select(*SETTING, F.col("alpha").alias("alpha_common_scale"))
-    fewer = of("no_eos").select(*SETTING, F.col("alpha").alias("alpha_no_eos"))
-    rows = as_is.join(scaled, SETTING).join(fewer, SETTING)
-    return rows.withColumn("gap", F.col("alpha_common_scale") - F.col("alpha_as_is"))
+def block_bootstrap(panel: DataFrame, n_methods: int, config: Config = CONFIG, pieces: int = 64) -> DataFrame:
+    """Alpha with a 95 % interval over blocks drawn with replacement, all blocks alike, per setting.
+
+    The draws are first dealt to pieces of the blocks, by one seeded multinomial draw that every piece repeats, and then
+    inside each piece; so each replicate is an exact draw with replacement, and a piece sends only sums.
+    """
+    z = [c for c in panel.columns if c[0] == "z" and c[1:].isdigit()]
+    columns = [f"{p}_{c}" for p in "dqs" for c in z]
+    units = _units(panel, n_methods, [z]).withColumn("_piece", F.pmod(F.xxhash64("slide_id", "block_x", "block_y"), F.lit(pieces)))
+    sizes = units.groupBy(*SETTING, "_piece").count().groupBy(*SETTING).agg(F.map_from_entries(F.collect_list(F.struct("_piece", "count"))).alias("_sizes"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK)
+        own, held = int(pdf["_piece"].iloc[0]), dict(pdf["_sizes"].iloc[0])
+        each = np.array([held.get(k, 0) for k in range(pieces)], np.int64)
+        mine = np.random.default_rng(config.seed).multinomial(each.sum(), each / each.sum(), size=config.draws)[:, own]
+        rows = np.c_[np.ones(len(pdf)), pdf[columns].to_numpy(float)]
+        rng, even = np.random.default_rng([config.seed, own]), np.full(len(pdf), 1 / len(pdf))
+        sums = np.vstack([rows.sum(0), *(rng.multinomial(mine[k : k + 100], even) @ rows for k in range(0, config.draws, 100))])
+        out = pd.DataFrame(sums, columns=["blocks", *columns])
+        return out.assign(block_size=pdf["block_size"].iloc[0], overlap_pct=pdf["overlap_pct"].iloc[0], draw=np.arange(len(out)))
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("draw")
+        d, q, s = (rows[[f"{p}_{c}" for c in z]].to_numpy(float) for p in "dqs")
+        value = _alpha_array(n_methods, np.c_[rows["blocks"], d.sum(1), q.sum(1), s])
+        low, high = np.nanpercentile(value[1:], [2.5, 97.5]) if np.isfinite(value[1:]).any() else (np.nan, np.nan)
+        return pd.DataFrame({"block_size": [pdf.block_size.iloc[0]], "overlap_pct": [pdf.overlap_pct.iloc[0]], "alpha": [value[0]], "lo95": [low], "hi95": [high]})
+
+    schema = f"blocks double, {', '.join(f'{c} double' for c in columns)}, block_size long, overlap_pct double, draw long"
+    parts = units.join(sizes, SETTING).groupBy(*SETTING, "_piece").applyInPandas(draw, schema)
+    sums = parts.groupBy(*SETTING, "draw").agg(F.sum("blocks").alias("blocks"), *(F.sum(c).alias(c) for c in columns))
+    return sums.groupBy(*SETTING).applyInPandas(interval, "block_size long, overlap_pct double, alpha double, lo95 double, hi95 double")

@@ -1,6 +1,6 @@
 """Per-block consensus of methods by geometric median, and each method's deviation from it.
 
-A block has a row for each method (31 at most), so blocks are solved many at a time in stacked arrays.
+A block has a row for each method (31 at most); blocks with as many methods are solved together, as one stacked array.
 """
 
 from __future__ import annotations
@@ -18,62 +18,79 @@ ROUNDS, STEP, SAME = 200, 1e-7, 1e-12
 RIDGE, FLOOR = 1e-3, 1e-6
 
 
-def geometric_median(x: np.ndarray) -> np.ndarray:
-    """Weiszfeld's iteration from the coordinate-wise median; points at the estimate weigh nothing."""
-    if not len(x):
+def geometric_medians(x: np.ndarray) -> np.ndarray:
+    """Weiszfeld's iteration for a stack of blocks (blocks, points, coordinates), from the coordinate-wise medians.
+
+    Points at the estimate weigh nothing; a block is done once it moves less than STEP, or has all points at the estimate.
+    """
+    if not x.shape[1]:
         raise ValueError("no points")
-    y = np.median(x, axis=0)
-    if len(x) == 1:
-        return y
+    y = np.median(x, axis=1)
+    open_ = np.arange(len(x)) if x.shape[1] > 1 else np.zeros(0, np.int64)
     for _ in range(ROUNDS):
-        away = np.linalg.norm(x - y, axis=1)
-        use = away > SAME
-        if not use.any():
-            return y
-        w = 1 / away[use]
-        nearer = w @ x[use] / w.sum()
-        moved, y = np.linalg.norm(nearer - y), nearer
-        if moved < STEP:
+        if not len(open_):
             break
+        away = np.linalg.norm(x[open_] - y[open_, None], axis=2)
+        use = away > SAME
+        some = use.any(1)
+        open_, away, use = open_[some], away[some], use[some]
+        w = np.where(use, 1 / np.where(use, away, 1), 0.0)
+        nearer = np.einsum("bm,bmd->bd", w, x[open_]) / w.sum(1)[:, None]
+        moved = np.linalg.norm(nearer - y[open_], axis=1)
+        y[open_] = nearer
+        open_ = open_[moved >= STEP]
     return y
 
 
+def geometric_median(x: np.ndarray) -> np.ndarray:
+    return geometric_medians(x[None])[0]
+
+
 def leave_one_out(x: np.ndarray, center: np.ndarray) -> np.ndarray:
-    """Mahalanobis distance of each point to the centre, by the covariance of the others, regularised.
+    """Mahalanobis distance of each point to its block's centre, by the covariance of the block's others, regularised.
 
-    The covariances come from one by taking each point's part out. With too few others the distance is Euclidean.
+    ``x`` is a stack (blocks, points, coordinates), or one block. The covariances come from one by taking each point's
+    part out. With too few others the distance is Euclidean; a covariance that can't be inverted is pseudo-inverted.
     """
-    m, d = x.shape
-    gap = x - center
+    if x.ndim == 2:
+        return leave_one_out(x[None], center[None])[0]
+    _, m, d = x.shape
+    gap = x - center[:, None]
     if m - 1 <= d:
-        return np.linalg.norm(gap, axis=1)
-    dev = x - x.mean(0)
-    cross = dev.T @ dev - m / (m - 1) * dev[:, :, None] * dev[:, None, :]
+        return np.linalg.norm(gap, axis=2)
+    dev = x - x.mean(1, keepdims=True)
+    cross = np.einsum("bmi,bmj->bij", dev, dev)[:, None] - m / (m - 1) * dev[..., :, None] * dev[..., None, :]
     cov = cross / (m - 2)
-    scale = np.maximum(np.trace(cov, axis1=1, axis2=2) / d, 0)
-    cov += (RIDGE * scale + FLOOR)[:, None, None] * np.eye(d)
-    return np.sqrt(np.maximum(0, (gap * np.linalg.solve(cov, gap[:, :, None])[:, :, 0]).sum(1)))
+    scale = np.maximum(np.trace(cov, axis1=2, axis2=3) / d, 0)
+    cov += (RIDGE * scale + FLOOR)[..., None, None] * np.eye(d)
+    try:
+        solved = np.linalg.solve(cov, gap[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        solved = (np.linalg.pinv(cov) @ gap[..., None])[..., 0]
+    return np.sqrt(np.maximum(0, (gap * solved).sum(2)))
 
 
 def deviations(panel: DataFrame) -> DataFrame:
     """Block keys, method, the consensus (c1..), and Aitchison and Mahalanobis distances to it; blocks of two methods and more."""
     z = [c for c in panel.columns if c[0] == "z" and c[1:].isdigit()]
 
+    columns = [*BLOCK, "nms_method", *(f"c{k}" for k in range(1, len(z) + 1)), "aitchison_distance", "mahalanobis_distance"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, block in pdf.sort_values([*BLOCK, "nms_method"]).groupby(BLOCK, sort=False):
-            if len(block) < 2:
-                continue
-            x = block[z].to_numpy(float)
-            center = geometric_median(x)
-            part = block[[*BLOCK, "nms_method"]].copy()
-            for k, c in enumerate(center, 1):
-                part[f"c{k}"] = c
-            part["aitchison_distance"] = np.linalg.norm(x - center, axis=1)
-            part["mahalanobis_distance"] = leave_one_out(x, center)
-            out.append(part)
-        columns = [*BLOCK, "nms_method", *(f"c{k}" for k in range(1, len(z) + 1)), "aitchison_distance", "mahalanobis_distance"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+        pdf = pdf.sort_values([*BLOCK, "nms_method"], ignore_index=True)
+        own = pdf.groupby(BLOCK, sort=False)["nms_method"].transform("size").to_numpy()
+        out = [pd.DataFrame(columns=columns)]
+        for m in np.unique(own[own > 1]):  # blocks with as many methods make one stack
+            part = pdf[own == m].reset_index(drop=True)
+            x = part[z].to_numpy(float).reshape(-1, m, len(z))
+            center = geometric_medians(x)
+            part = part[[*BLOCK, "nms_method"]].copy()
+            for k in range(len(z)):
+                part[f"c{k + 1}"] = np.repeat(center[:, k], m)
+            part["aitchison_distance"] = np.linalg.norm(x - center[:, None], axis=2).ravel()
+            part["mahalanobis_distance"] = leave_one_out(x, center).ravel()
+            out.append(part[columns])
+        return out[-1] if len(out) < 3 else pd.concat(out[1:])
 
     keys = "slide_id string, overlap_pct double, block_size long, block_x long, block_y long, nms_method string"
     schema = f"{keys}, {', '.join(f'c{k} double' for k in range(1, len(z) + 1))}, aitchison_distance double, mahalanobis_distance double"

@@ -1,4 +1,4 @@
-"""Greedy suppression as a set-based fixpoint, for groups too large for one task.
+"""Every suppression rule by joins, for groups too large for one task.
 
 A node is a detection in one block; blocks are visited in order. A killer edge joins a node to one of higher priority
 in its block that conflicts with it, a previous edge to the same detection in its block before. A node is dead if a
@@ -8,24 +8,35 @@ is two joins on the undecided nodes only, ended by a written table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import suppress
+from tessella.operators.components import stars
 from tessella.sources.scratch import cut, discard
 
 
+FIELDS = ["det_id", "confidence", "x1", "y1", "x2", "y2", "cx", "cy"]
+
+
 def bin_pairs(dets: DataFrame, reach: float, keys: list[str], x: str = "cx", y: str = "cy") -> DataFrame:
-    """All pairs (a, b) of equal keys at most ``reach`` apart in x and y, a before b in priority, by an equi-join on bins."""
+    """All pairs (a, b) of equal keys at most ``reach`` apart in x and y, a before b in priority, by an equi-join on bins.
+
+    A detection meets its own bin and four of its neighbours, so each pair of bins is looked at once.
+    """
     cell = F.lit(float(reach))
-    rows = dets.withColumns({"bx": F.floor(F.col(x) / cell), "by": F.floor(F.col(y) / cell)})
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = rows.withColumn("step", F.explode(steps)).withColumns({"bx": F.col("bx") + F.col("step.i"), "by": F.col("by") + F.col("step.j")}).drop("step")
-    on = [*keys, "bx", "by"]
-    left = left.select(*on, F.struct(*dets.columns).alias("a"))
-    right = rows.select(*on, F.struct(*dets.columns).alias("b"))
-    before = (F.col("a.confidence") > F.col("b.confidence")) | (F.col("a.confidence") == F.col("b.confidence")) & (F.col("a.det_id") < F.col("b.det_id"))
-    close = (F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) <= reach) & (F.abs(F.col(f"a.{y}") - F.col(f"b.{y}")) <= reach)
-    return left.join(right, on).where(before & close).select("a", "b")
+    rows = dets.select(*keys, F.struct(*FIELDS).alias("d"), F.floor(F.col(x) / cell).alias("bx"), F.floor(F.col(y) / cell).alias("by"))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    left = rows.withColumn("step", F.explode(steps))
+    own = (F.col("step.i") == 0) & (F.col("step.j") == 0)
+    left = left.select(*keys, F.col("d").alias("p"), own.alias("own"), (F.col("bx") + F.col("step.i")).alias("bx"), (F.col("by") + F.col("step.j")).alias("by"))
+    pairs = left.join(rows.withColumnRenamed("d", "q"), [*keys, "bx", "by"])
+    before = (F.col("p.confidence") > F.col("q.confidence")) | (F.col("p.confidence") == F.col("q.confidence")) & (F.col("p.det_id") < F.col("q.det_id"))
+    close = (F.abs(F.col(f"p.{x}") - F.col(f"q.{x}")) <= reach) & (F.abs(F.col(f"p.{y}") - F.col(f"q.{y}")) <= reach)
+    pairs = pairs.where(close & (~F.col("own") | before))
+    return pairs.select(*keys, F.when(before, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(before, F.col("q")).otherwise(F.col("p")).alias("b"))
 
 
 def iou_column(a: str = "a", b: str = "b"):
@@ -36,16 +47,34 @@ def iou_column(a: str = "a", b: str = "b"):
     return F.coalesce(F.try_divide((w * h).cast("double"), union.cast("double")), F.lit(0.0))
 
 
-def iou_edges(dets: DataFrame, threshold: float, reach: float, keys=("slide_id", "overlap_pct")) -> DataFrame:
-    """Conflicts (killer, victim) by box overlap; ``reach`` is at least the largest box side."""
-    pairs = bin_pairs(dets, reach, list(keys), "x1", "y1").withColumn("iou", iou_column()).where(F.col("iou") >= threshold)
+def _largest(dets: DataFrame, what) -> float:
+    return float(dets.agg(F.max(what)).first()[0] or 1)
+
+
+def iou_edges(dets: DataFrame, threshold: float, keys=("slide_id", "overlap_pct")) -> DataFrame:
+    """Conflicts (killer, victim) by box overlap; boxes meet within the largest side that the data have."""
+    reach = _largest(dets, F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    pairs = bin_pairs(dets, max(reach, 1.0), list(keys), "x1", "y1").withColumn("iou", iou_column()).where(F.col("iou") >= threshold)
     return pairs.select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"), F.round("iou", 9).alias("iou"))
 
 
 def distance_edges(dets: DataFrame, radius: float, keys=("slide_id", "overlap_pct", "label")) -> DataFrame:
     pairs = bin_pairs(dets, radius, list(keys))
-    d2 = (F.col("a.cx") - F.col("b.cx")) ** 2 + (F.col("a.cy") - F.col("b.cy")) ** 2
-    return pairs.where(d2 <= radius * radius).select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"))
+    return pairs.where(_square() <= radius * radius).select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"))
+
+
+def center_edges(dets: DataFrame, k: float, keys=("slide_id", "overlap_pct", "label")) -> DataFrame:
+    """Conflicts by centre distance within the label's radius, k standard deviations of its box sides."""
+    radii = cut(suppress.center_radii(dets, k), "fixpoint-radii")  # a row a slide, overlap and label
+    reach = _largest(radii, "radius")
+    if reach <= 0:
+        return dets.limit(0).select(F.col("det_id").alias("killer"), F.col("det_id").alias("victim"))
+    pairs = bin_pairs(dets, reach, list(keys)).join(radii, list(keys)).where(F.col("radius") > 0)
+    return pairs.where(_square() <= F.col("radius") * F.col("radius")).select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"))
+
+
+def _square():
+    return (F.col("a.cx") - F.col("b.cx")) ** 2 + (F.col("a.cy") - F.col("b.cy")) ** 2
 
 
 def nodes(dets: DataFrame, scope: str) -> DataFrame:
@@ -93,3 +122,55 @@ def survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
         discard(state)
         state = following
     return untouched.unionByName(state.where("last and alive").select("det_id"))
+
+
+def cluster_survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    """det_id of the first of each connected component along ``edges``, inside each block, blocks in their order.
+
+    Blocks that can share a detection differ in bx + 2 by, so all blocks of equal bx + 2 by are solved at once and a
+    slide takes a round for each such value, whatever its number of blocks.
+    """
+    edges = cut(edges.select("killer", "victim"), "cluster-conflicts")
+    involved = edges.select(F.explode(F.array("killer", "victim")).alias("det_id")).distinct()
+    some = cut(dets.select("det_id", "tile_x", "tile_y", "confidence").join(involved, "det_id", "left_semi"), "cluster-involved")
+    at = nodes(some, scope)
+    here = at.select(F.col("det_id").alias("killer"), "place")
+    pairs = edges.join(here, "killer").join(at.withColumnRenamed("det_id", "victim"), ["victim", "place"])
+    wave = F.expr("place % 1000000 + 2 * (place div 1000000)") if scope.startswith("grid") and scope != "grid_n1" else F.lit(0).cast("long")
+    pairs = cut(pairs.select("killer", "victim", wave.alias("wave")), "cluster-pairs")
+    gone = cut(at.limit(0).select("det_id"), "cluster-gone")
+    for (t,) in sorted(map(tuple, pairs.select("wave").distinct().collect())):  # blocks across plus twice blocks down at most
+        mine = pairs.where(F.col("wave") == t)
+        for end in ("killer", "victim"):
+            mine = mine.join(gone.withColumnRenamed("det_id", end), end, "left_anti")
+        to = stars(mine.select(F.col("killer").alias("u"), F.col("victim").alias("v")))
+        members = to.select(F.col("u").alias("det_id"), "v").unionByName(to.select(F.col("v").alias("det_id"), "v")).distinct()
+        members = members.join(some.select("det_id", "confidence"), "det_id")
+        first = F.min(F.struct((-F.col("confidence")).alias("c"), "det_id")).over(Window.partitionBy("v"))
+        dead = members.withColumn("first", first).where(F.col("det_id") != F.col("first.det_id")).select("det_id")
+        following = cut(gone.unionByName(dead), "cluster-gone")
+        discard(gone, to)
+        gone = following
+    return dets.select("det_id").join(gone, "det_id", "left_anti")
+
+
+def by_variant(dets: DataFrame, v: suppress.Variant) -> DataFrame:
+    """det_id of the survivors of one variant."""
+    dets = dets.where(F.col("confidence") >= v.confidence)
+    if v.family == "none":
+        return dets.select("det_id")
+    if v.family == "iou_edgecrop":
+        dets = dets.where(suppress.interior())
+    if v.family.startswith("iou"):
+        edges = iou_edges(dets, v.iou, ("slide_id", "overlap_pct", *(("label",) if v.family == "iou_classwise" else ())))
+    else:
+        edges = center_edges(dets, v.center_k) if v.family == "nn_center" else distance_edges(dets, v.distance)
+    return (cluster_survivors if v.family == "nn_cluster" else survivors)(dets, edges, v.scope)
+
+
+def masks(dets: DataFrame, variants: list[suppress.Variant]) -> DataFrame:
+    """Each detection with its mask of survived variants, as the grouped pass has it."""
+    alive = [by_variant(dets, v).select("det_id", F.lit(1 << k).cast("long").alias("bit")) for k, v in enumerate(variants)]
+    bits = reduce(DataFrame.unionByName, alive).groupBy("det_id").agg(F.sum("bit").alias("mask"))
+    rows = dets.select("slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y").join(bits, "det_id", "left")
+    return rows.select("slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))

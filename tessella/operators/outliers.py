@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +16,8 @@ from tessella.operators.counts import BLOCK
 from tessella.operators.inference import average_rank
 
 SETTING = ["block_size", "overlap_pct"]
+#: Sets of methods up to which their numbers are drawn at once.
+SETS = 20_000
 
 
 def tail_cells(deviation: DataFrame, value: str = "mahalanobis_distance", config: Config = CONFIG) -> DataFrame:
@@ -29,34 +34,49 @@ def tail_flags(cells: DataFrame) -> DataFrame:
     return own.withColumn("frac_upper_tail", F.col("n_upper") / F.col("n_blocks")).withColumn("expected_frac", expected)
 
 
-def permutation(cells: DataFrame, config: Config = CONFIG, pieces: int = 16) -> DataFrame:
+def slot_sums(rng: np.random.Generator, draws: int, methods: int, slots: int, blocks: int) -> np.ndarray:
+    """(draws, methods): how often each method gets a slot when every one of ``blocks`` deals ``slots`` to different methods.
+
+    All sets of methods are equally likely, so their numbers are one multinomial draw, whatever the number of blocks;
+    where there are too many sets, blocks are dealt one by one.
+    """
+    if slots >= methods:
+        return np.full((draws, methods), blocks, np.int64)
+    if comb(methods, slots) <= SETS:
+        sets = np.array(list(combinations(range(methods), slots)))
+        member = np.zeros((len(sets), methods), np.int64)
+        member[np.arange(len(sets))[:, None], sets] = 1
+        return rng.multinomial(blocks, np.full(len(sets), 1 / len(sets)), size=draws) @ member
+    out = np.zeros((draws, methods), np.int64)
+    for k in range(draws):
+        for at in range(0, blocks, 4096):  # blocks in bounded pieces
+            keys = rng.random((min(4096, blocks - at), methods))
+            out[k] += np.bincount(np.argpartition(keys, slots - 1, axis=1)[:, :slots].ravel(), minlength=methods)
+    return out
+
+
+def permutation(cells: DataFrame, config: Config = CONFIG, piece: int = 100) -> DataFrame:
     """Family-wise p-values by the largest count of any method when each block's tail slots are dealt at random.
 
-    Only the histogram of slots by block matters, so replicates are drawn from it, in parallel, each from its own seed.
+    Only the histogram of slots by block matters, so replicates are drawn from it, ``piece`` in a row of work, each piece
+    from its own seed.
     """
     own = tail_flags(cells)
     slots = cells.groupBy(*BLOCK).agg(F.sum(F.col("in_tail").cast("long")).alias("t")).where("t > 0")
     histogram = slots.groupBy(*SETTING, "t").count().groupBy(*SETTING).agg(F.array_sort(F.collect_list(F.struct("t", "count"))).alias("slots"))
     counts = own.groupBy(*SETTING).agg(F.count(F.lit(1)).alias("m"))
+    pieces = -(-config.draws // piece)
     jobs = histogram.join(counts, SETTING).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    each = -(-config.draws // pieces)
 
     def draw(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                n = min(each, config.draws - r.piece * each)
+                n = min(piece, config.draws - r.piece * piece)
                 rng = np.random.default_rng([config.seed, r.piece])
-                top = []
-                for _ in range(max(0, n)):
-                    total = np.zeros(r.m, np.int64)
-                    for s in r.slots:
-                        for at in range(0, s["count"], 4096):  # blocks in bounded pieces
-                            keys = rng.random((min(4096, s["count"] - at), r.m))
-                            total += np.bincount(np.argpartition(keys, s["t"] - 1, axis=1)[:, : s["t"]].ravel(), minlength=r.m)
-                    top.append(int(total.max()))
-                yield pd.DataFrame({"block_size": r.block_size, "overlap_pct": r.overlap_pct, "top": top})
-
-    null = jobs.repartition(pieces).mapInPandas(draw, "block_size long, overlap_pct double, top long")
+                total = sum(slot_sums(rng, n, int(r.m), int(s["t"]), int(s["count"])) for s in r.slots)
+                yield pd.DataFrame({"block_size": r.block_size, "overlap_pct": r.overlap_pct, "top": total.max(1)})
+
+    null = jobs.repartition(*SETTING, "piece").mapInPandas(draw, "block_size long, overlap_pct double, top long")
     null = null.groupBy(*SETTING, "top").count()
     beaten = own.join(null, SETTING, "left").groupBy(*SETTING, "nms_method", "n_upper", "n_blocks", "frac_upper_tail", "expected_frac")
     over = F.sum(F.when(F.col("top") >= F.col("n_upper"), F.col("count")).otherwise(0))

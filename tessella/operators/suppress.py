@@ -34,13 +34,14 @@ def _registry() -> dict[str, Variant]:
 #: The 31 registered variants by name. Further ones can be added; a run takes any dict of variants.
 REGISTRY: dict[str, Variant] = _registry()
 
+THRESHOLDS, RADII = (0.37, 0.44, 0.50, 0.60, 0.70), (10, 15, 20, 30, 40)
+#: Every parameter setting of the study, inside tiles: detector threshold for each rule, and each rule's own parameter.
 SWEEPS: dict[str, Variant] = {
     **{f"iou_t{t:.2f}": Variant("iou", "grid_n1", iou=t) for t in (0.30, 0.45, 0.60)},
-    **{f"nn_dist_r{r}": Variant("nn_dist", "grid_n1", distance=float(r)) for r in (10, 15, 20, 30, 40)},
+    **{f"{f}_r{r}": Variant(f, "grid_n1", distance=float(r)) for f in ("nn_dist", "nn_cluster") for r in RADII},
     **{f"nn_center_k{k}": Variant("nn_center", "grid_n1", center_k=float(k)) for k in (1, 2, 3)},
-    **{f"none_c{c:.2f}": Variant("none", confidence=c) for c in (0.37, 0.44, 0.50, 0.60, 0.70)},
-    **{f"iou_c{c:.2f}": Variant("iou", "grid_n1", confidence=c) for c in (0.37, 0.44, 0.50, 0.60, 0.70)},
-    **{f"nn_center_c{c:.2f}": Variant("nn_center", "grid_n1", confidence=c) for c in (0.37, 0.50, 0.70)},
+    **{f"none_c{c:.2f}": Variant("none", confidence=c) for c in THRESHOLDS},
+    **{f"{f}_c{c:.2f}": Variant(f, "grid_n1", confidence=c) for f in ("iou", "nn_dist", "nn_center", "nn_cluster") for c in THRESHOLDS},
     "iou_classwise": Variant("iou_classwise", "grid_n1"),
 }
 
@@ -113,13 +114,16 @@ class Group:
         return kernels.by_scope(v.scope, rule, i, j, self.tx, self.ty, alive)
 
 
+#: Detections of a slide and overlap that one task takes: a few GB with their conflicts.
+MOST = 5_000_000
 MASK_SCHEMA = "slide_id string, overlap_pct double, det_id long, label string, tile_x long, tile_y long, mask long"
 
 
-def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None) -> DataFrame:
+def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most: int = MOST) -> DataFrame:
     """Each detection with ``mask``: bit k is set if it survives the k-th variant. One shuffle for all variants.
 
-    A slide at one overlap is a group: suppression couples all its tiles, and its size is bounded by the image.
+    A slide at one overlap is a group: suppression couples all its tiles, and its size is bounded by the image. Groups
+    of over ``most`` detections, too large for one task, are solved by joins with the same result.
     """
     chosen = list((variants or REGISTRY).values())
     if len(chosen) > 63:
@@ -133,7 +137,14 @@ def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None) -> Da
         return group.frame[["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y"]].assign(mask=mask)
 
     columns = ["slide_id", "overlap_pct", "det_id", "label", "confidence", "x1", "y1", "x2", "y2", "cx", "cy", "x_correct", "y_correct", "tile_x", "tile_y"]
-    return dets.select(*columns).groupBy("slide_id", "overlap_pct").applyInPandas(run, MASK_SCHEMA)
+    dets, key = dets.select(*columns), ["slide_id", "overlap_pct"]
+    large = dets.groupBy(*key).count().where(F.col("count") > most).select(*key)
+    if large.isEmpty():
+        return dets.groupBy(*key).applyInPandas(run, MASK_SCHEMA)
+    from tessella.operators import fixpoint
+
+    small = dets.join(large, key, "left_anti").groupBy(*key).applyInPandas(run, MASK_SCHEMA)
+    return small.unionByName(fixpoint.masks(dets.join(large, key, "left_semi"), chosen))
 
 
 def survived(masked: DataFrame, name: str, variants: dict[str, Variant] | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.config import CONFIG
-from tessella.plans.study import CHECKED, MIN_CELLS
+from tessella.config import CONFIG, METHODS, METHODS_25
+from tessella.operators.suppress import REGISTRY
+from tessella.plans.study import MIN_CELLS
 
 SHORT = CONFIG.short
 DET = """
@@ -22,9 +23,10 @@ KEY = "slide_id, overlap_pct"
 INNER = "x1 - x_correct > 5 AND y1 - y_correct > 5 AND x2 - x_correct < 635 AND y2 - y_correct < 635"
 
 
-def real(x: str) -> str:
-    """A real number as both engines hash it: six digits, no negative zero; the nudge makes exact halves round alike."""
-    return f"round(({x}) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE"
+def real(x: str, digits: int = 6) -> str:
+    """A real number as both engines hash it: rounded half up by the same arithmetic."""
+    unit = f"1{'0' * digits}.0::DOUBLE"
+    return f"(CASE WHEN isnan({x}) THEN 'nan'::DOUBLE ELSE floor(({x}) * {unit} + 0.5::DOUBLE) / {unit} END)"
 
 
 def source(name: str, confidence: float = 0.44, where: str = "true") -> str:
@@ -88,18 +90,29 @@ def greedy(name: str, src: str, family: str, scope: str, parameter: float) -> st
 
 
 def clusters(name: str, src: str, scope: str, radius: float) -> str:
-    """First of each connected component, by the least priority number that reaches it."""
-    same = " WHERE a.tile_x = v.tile_x AND a.tile_y = v.tile_y" if scope == "grid_n1" else ""
-    return f"""{edges(name + "_e", src, "nn_cluster", radius)},
+    """First of each connected component, by the least priority number that reaches it; sliding blocks one after the other."""
+    head = f"""{edges(name + "_e", src, "nn_cluster", radius)},
 {name}_p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY confidence DESC, det_id) AS p FROM {src}),
-{name}_a AS MATERIALIZED (SELECT a.p, a.tile_x, a.tile_y, e.v FROM {name}_e e JOIN {name}_p a ON a.det_id = e.k),
-{name}_b AS MATERIALIZED (SELECT a.p AS x, v.p AS y FROM {name}_a a JOIN {name}_p v ON v.det_id = a.v{same}),
-{name}_s AS MATERIALIZED (SELECT x, y FROM {name}_b UNION ALL SELECT y, x FROM {name}_b),
-{name}_f(p, c) USING KEY (p) AS (
-  SELECT p, p FROM {name}_p
+{name}_a AS MATERIALIZED (SELECT a.p AS x, a.tile_x AS xx, a.tile_y AS xy, e.v FROM {name}_e e JOIN {name}_p a ON a.det_id = e.k),
+{name}_b AS MATERIALIZED (SELECT a.x, v.p AS y, a.xx, a.xy, v.tile_x AS yx, v.tile_y AS yy FROM {name}_a a JOIN {name}_p v ON v.det_id = a.v)"""
+    if scope in ("global", "grid_n1"):
+        steps = ["xx = yx AND xy = yy" if scope == "grid_n1" else "true"]
+    else:
+        n, steps = int(scope[-1]), []
+        for by in range(0, 4, n - 1):
+            for bx in range(0, 4, n - 1):
+                steps.append(" AND ".join(f"{c} BETWEEN {o} AND {o + n - 1}" for c, o in (("xx", bx), ("yx", bx), ("xy", by), ("yy", by))))
+    parts, dead = [head], f"SELECT 0::BIGINT AS p WHERE false"
+    for k, inside in enumerate(steps):
+        parts.append(f"""{name}_d{k} AS MATERIALIZED ({dead}),
+{name}_h{k} AS MATERIALIZED (SELECT x, y FROM {name}_b WHERE {inside} AND x NOT IN (SELECT p FROM {name}_d{k}) AND y NOT IN (SELECT p FROM {name}_d{k})),
+{name}_s{k} AS MATERIALIZED (SELECT x, y FROM {name}_h{k} UNION ALL SELECT y, x FROM {name}_h{k}),
+{name}_f{k}(p, c) USING KEY (p) AS (
+  SELECT DISTINCT x, x FROM {name}_s{k}
   UNION
-  SELECT o.p, min(w.c) FROM {name}_f w JOIN {name}_s s ON s.x = w.p JOIN recurring.{name}_f o ON o.p = s.y WHERE w.c < o.c GROUP BY o.p),
-{name} AS MATERIALIZED (SELECT p.det_id FROM {name}_f f JOIN {name}_p p ON p.p = f.p WHERE f.c = f.p)"""
+  SELECT o.p, min(w.c) FROM {name}_f{k} w JOIN {name}_s{k} s ON s.x = w.p JOIN recurring.{name}_f{k} o ON o.p = s.y WHERE w.c < o.c GROUP BY o.p)""")
+        dead = f"SELECT p FROM {name}_d{k} UNION ALL SELECT p FROM {name}_f{k} WHERE c <> p"
+    return ",\n".join([*parts, f"{name} AS MATERIALIZED (SELECT det_id FROM {name}_p WHERE p NOT IN ({dead}))"])
 
 
 PARAMETER = {"iou": "iou", "iou_edgecrop": "iou", "iou_classwise": "iou", "nn_dist": "distance", "nn_center": "center_k", "nn_cluster": "distance"}
@@ -127,15 +140,15 @@ def one_variant(method: str, variant) -> str:
 
 
 LABELS = "(VALUES " + ", ".join(f"('{x}')" for x in CONFIG.labels) + ") labels(label)"
-METHOD_NAMES = "(VALUES " + ", ".join(f"('{m}')" for m in CHECKED) + ") methods(nms_method)"
+METHOD_NAMES = "(VALUES " + ", ".join(f"('{m}')" for m in METHODS) + ") methods(nms_method)"
 
 
 def _counted() -> list[str]:
-    """CTEs for counts of the variants that SQL finds: cells, tiles, blocks, eligible, one row a unit."""
+    """CTEs for counts of the 31 variants: cells, tiles, blocks, eligible, one row a unit; e25 without edge cropping."""
     out = [DET]
-    for k, (m, v) in enumerate(CHECKED.items()):
+    for k, (m, v) in enumerate(REGISTRY.items()):
         out.append(survivors(f"m{k}", m, v))
-    union = " UNION ALL ".join(f"SELECT '{m}' AS nms_method, det_id FROM m{k}" for k, m in enumerate(CHECKED))
+    union = " UNION ALL ".join(f"SELECT '{m}' AS nms_method, det_id FROM m{k}" for k, m in enumerate(REGISTRY))
     wide = ", ".join(f"CAST(count(*) FILTER (d.label = '{label}') AS BIGINT) AS {s}" for label, s in zip(CONFIG.labels, SHORT, strict=True))
     wide0 = ", ".join(f"CAST(coalesce(any_value(c.{s}), 0) AS BIGINT) AS {s}" for s in SHORT)
     sums = ", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in SHORT)
@@ -148,6 +161,7 @@ def _counted() -> list[str]:
         f"blocks AS MATERIALIZED (SELECT *, Mac + Lym + Neu + Eos AS n_block_total FROM (SELECT {KEY}, n AS block_size, CASE WHEN n = 0 THEN 0 ELSE tile_x // greatest(n, 1) END AS block_x, "
         f"CASE WHEN n = 0 THEN 0 ELSE tile_y // greatest(n, 1) END AS block_y, nms_method, {sums} FROM tiles, (VALUES (1::BIGINT), (2), (3), (4), (5), (0)) sizes(n) GROUP BY ALL))",
         f"eligible AS MATERIALIZED (SELECT * FROM blocks SEMI JOIN (SELECT {KEY}, block_size, block_x, block_y FROM blocks WHERE nms_method = 'none' AND n_block_total >= {MIN_CELLS}) k USING ({KEY}, block_size, block_x, block_y))",
+        "e25 AS (SELECT * FROM eligible WHERE nms_method NOT LIKE 'iou_edgecrop%')",
     ]
     return out
 
@@ -196,7 +210,7 @@ RATIOS = (
     + " FROM cells WHERE Mac + Lym + Neu + Eos > 0))"
 )
 LONG_ALR = "alr AS (" + " UNION ALL ".join(f"SELECT {KEY}, nms_method, '{c}' AS coord, {c} AS value FROM ratios" for c in ("alr_Mac", "alr_Neu", "alr_Eos")) + ")"
-LONG_ILR = "lilr AS (" + " UNION ALL ".join(f"SELECT {KEY}, nms_method, 'ilr_{k}' AS coord, round(ilr_{k}, 9) AS value FROM ratios" for k in (1, 2, 3)) + ")"
+LONG_ILR = "lilr AS (" + " UNION ALL ".join(f"SELECT {KEY}, nms_method, 'ilr_{k}' AS coord, round(ilr_{k}, 9) AS value FROM ratios WHERE nms_method NOT LIKE 'iou_edgecrop%'" for k in (1, 2, 3)) + ")"
 DIFFS = f"diffs AS (SELECT a.{KEY.replace(', ', ', a.')}, a.nms_method, a.coord, a.value - b.value AS diff FROM alr a JOIN alr b ON a.slide_id = b.slide_id AND a.overlap_pct = b.overlap_pct AND a.coord = b.coord AND b.nms_method = 'none' WHERE a.nms_method <> 'none')"
 ON_CELLS = [*COUNTED, RATIOS, LONG_ALR, LONG_ILR, DIFFS]
 BLOCK = f"{KEY}, block_size, block_x, block_y"
@@ -215,7 +229,7 @@ def panel(regime: str = "as_is") -> str:
         parts = [f"(CASE WHEN {n} > 0 THEN {p} / {n} * 1000.0::DOUBLE ELSE 0.0::DOUBLE END)" for p in parts]
     names = [f"q{k}" for k in range(len(parts))]
     z = helmert([f"p{k}" for k in range(len(parts))])
-    inner = f"SELECT {BLOCK}, nms_method, {', '.join(f'{p} AS {n}' for p, n in zip(parts, names, strict=True))} FROM eligible"
+    inner = f"SELECT {BLOCK}, nms_method, {', '.join(f'{p} AS {n}' for p, n in zip(parts, names, strict=True))} FROM e25"
     middle = f"SELECT *, {', '.join(f'{p} AS p{k}' for k, p in enumerate(replaced(names)))} FROM ({inner})"
     return f"SELECT {BLOCK}, nms_method, {', '.join(f'{x} AS z{k}' for k, x in enumerate(z, 1))} FROM ({middle})"
 
@@ -223,7 +237,7 @@ def panel(regime: str = "as_is") -> str:
 def alpha(regime: str = "as_is") -> str:
     """Alpha per setting, over all coordinates and for each."""
     z = ["z1", "z2"] if regime == "no_eos" else ["z1", "z2", "z3"]
-    m = len(CHECKED)
+    m = len(METHODS_25)
     pairs = m * (m - 1) / 2
     unit = ", ".join([f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}, ({m} * sum({c} * {c}) - sum({c}) * sum({c})) / {pairs}::DOUBLE AS d_{c}" for c in z])
 
@@ -238,3 +252,59 @@ def alpha(regime: str = "as_is") -> str:
     return f"SELECT block_size, overlap_pct, count(*) AS n_blocks, {real(value(z))} AS alpha, {each} FROM ({units}) GROUP BY block_size, overlap_pct"
 
 
+def swept(variants: dict) -> list[str]:
+    """CTEs for the survivors' counts of parameter settings, one row a slide, overlap and setting, and log-ratio differences."""
+    wide = ", ".join(f"CAST(count(*) FILTER (d.label = '{label}') AS BIGINT) AS {s}" for label, s in zip(CONFIG.labels, SHORT, strict=True))
+    union = " UNION ALL ".join(f"SELECT '{n}' AS nms_method, det_id FROM w{k}" for k, n in enumerate(variants))
+    return [
+        DET,
+        *(survivors(f"w{k}", n, v) for k, (n, v) in enumerate(variants.items())),
+        f"cells AS MATERIALIZED (SELECT d.{KEY.replace(', ', ', d.')}, s.nms_method, {wide} FROM ({union}) s JOIN det d USING (det_id) GROUP BY ALL)",
+        RATIOS,
+        LONG_ALR,
+    ]
+
+
+def differences(name: str, reference: str, ratios: str = "alr", more: str = "") -> str:
+    """CTE of each method's log-ratios minus the reference's, by slide; ``more`` names further keys."""
+    keys = [*KEY.split(", "), "coord", *more.split()]
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    return f"{name} AS (SELECT {', '.join(f'a.{k}' for k in keys)}, a.nms_method, a.value - b.value AS diff FROM {ratios} a JOIN {ratios} b ON {on} AND b.nms_method = '{reference}' WHERE a.nms_method <> '{reference}')"
+
+
+def _deviations() -> list[str]:
+    """CTEs for Weiszfeld's iteration, block by block, and the distances of ``dev`` (aitchison, mahalanobis) to it."""
+    gap = "sqrt(" + " + ".join(f"(p.z{k} - w.y{k}) * (p.z{k} - w.y{k})" for k in (1, 2, 3)) + ")"
+    step = "sqrt(" + " + ".join(f"(n{k} - y{k}) * (n{k} - y{k})" for k in (1, 2, 3)) + ")"
+    means = ", ".join(f"sum(z{k} / away) / sum(1.0::DOUBLE / away) AS n{k}" for k in (1, 2, 3))
+    pairs = [(i, j) for i in (1, 2, 3) for j in range(i, 4)]
+    cross = ", ".join(f"sum(d{i} * d{j}) OVER b AS x{i}{j}" for i, j in pairs)
+    cov = ", ".join(f"(x{i}{j} - m::DOUBLE / (m - 1) * d{i} * d{j}) / (m - 2) AS v{i}{j}" for i, j in pairs)
+    a = {(i, j): f"(v{min(i, j)}{max(i, j)}" + (" + e)" if i == j else ")") for i in (1, 2, 3) for j in (1, 2, 3)}
+    minor = lambda i, j, k, l: f"({a[i, k]} * {a[j, l]} - {a[i, l]} * {a[j, k]})"  # noqa: E731  rows i, j; columns k, l
+    det = f"({a[1, 1]} * {minor(2, 3, 2, 3)} - {a[1, 2]} * {minor(2, 3, 1, 3)} + {a[1, 3]} * {minor(2, 3, 1, 2)})"
+    quad = (
+        f"(g1 * g1 * {minor(2, 3, 2, 3)} + g2 * g2 * {minor(1, 3, 1, 3)} + g3 * g3 * {minor(1, 2, 1, 2)} - 2 * g1 * g2 * {minor(2, 3, 1, 3)}"
+        f" + 2 * g1 * g3 * {minor(2, 3, 1, 2)} - 2 * g2 * g3 * {minor(1, 3, 1, 2)})"
+    )
+    return [
+        f"pts AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY {BLOCK}) AS b FROM ({panel()}))",
+        f"""wz(b, r, y1, y2, y3, moved) AS (
+  SELECT b, 0, median(z1), median(z2), median(z3), 1.0::DOUBLE FROM pts GROUP BY b HAVING count(*) > 1
+  UNION ALL
+  SELECT b, r + 1, n1, n2, n3, {step} FROM (
+    SELECT b, r, y1, y2, y3, {means} FROM (SELECT w.*, p.z1, p.z2, p.z3, {gap} AS away FROM wz w JOIN pts p ON p.b = w.b WHERE w.moved >= 1e-7::DOUBLE AND w.r < 200)
+    WHERE away > 1e-12::DOUBLE GROUP BY b, r, y1, y2, y3))""",
+        "center AS MATERIALIZED (SELECT b, arg_max(y1, r) AS y1, arg_max(y2, r) AS y2, arg_max(y3, r) AS y3 FROM wz GROUP BY b)",
+        f"""dev AS MATERIALIZED (SELECT {BLOCK}, nms_method, b, m, y1, y2, y3, aitchison,
+  CASE WHEN m <= 4 THEN aitchison ELSE sqrt(greatest(0.0::DOUBLE, {quad} / {det})) END AS mahalanobis FROM (
+  SELECT *, 1e-3::DOUBLE * greatest((v11 + v22 + v33) / 3, 0.0::DOUBLE) + 1e-6::DOUBLE AS e FROM (
+  SELECT *, {cov} FROM (SELECT *, {cross} FROM (
+  SELECT p.*, c.y1, c.y2, c.y3, p.z1 - c.y1 AS g1, p.z2 - c.y2 AS g2, p.z3 - c.y3 AS g3, count(*) OVER w AS m,
+    p.z1 - avg(p.z1) OVER w AS d1, p.z2 - avg(p.z2) OVER w AS d2, p.z3 - avg(p.z3) OVER w AS d3,
+    sqrt((p.z1 - c.y1) * (p.z1 - c.y1) + (p.z2 - c.y2) * (p.z2 - c.y2) + (p.z3 - c.y3) * (p.z3 - c.y3)) AS aitchison
+  FROM pts p JOIN center c ON c.b = p.b WINDOW w AS (PARTITION BY p.b)) WINDOW b AS (PARTITION BY b)))))""",
+    ]
+
+
+DEVIATIONS = [*COUNTED, *_deviations()]

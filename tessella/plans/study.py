@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.config import CONFIG, METHODS_25
-from tessella.operators import counts, suppress
-from tessella.operators.suppress import REGISTRY, SWEEPS
+from tessella.operators import agreement, consensus, counts, suppress
+from tessella.operators.suppress import SWEEPS
 from tessella.sources import fixture
 from tessella.sources.scratch import cut
 
 #: Fewer cells than the default, for the small fixture: tiles hold 166 to 324 rows at sf0.01.
 MIN_CELLS = 100
-#: Variants whose survivors SQL can find; queries that are checked against SQL take these.
-CHECKED = {m: REGISTRY[m] for m in ("none", "iou_grid_n1", "iou_grid_n2", "iou_global", "nn_dist_grid_n1", "nn_center_grid_n1", "nn_cluster_grid_n1")}
-VARIANTS_25 = {m: REGISTRY[m] for m in METHODS_25}
 
 
 class Study:
@@ -62,12 +59,28 @@ class Study:
     def eligible(self) -> DataFrame:
         return self.table("eligible", lambda: counts.masked_blocks(self.blocks, MIN_CELLS))
 
+    @property
+    def deviations(self) -> DataFrame:
+        """Consensus and deviations of the 25 variants without edge cropping."""
+        return self.table("deviations", lambda: consensus.deviations(agreement.coordinates(self.eligible.where(F.col("nms_method").isin(*METHODS_25)))))
+
+
+_STUDIES: dict[tuple[str, str], tuple[tuple, Study]] = {}
+
 
-_STUDIES: dict[tuple[str, str], Study] = {}
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(place)
+    found = fs.listStatus(place) if status.isDirectory() else [status]
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
+    """The study of a directory as it is now: its tables are made anew once the input's files change."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STUDIES:
-        _STUDIES[key] = Study(spark, sf_dir)
-    return _STUDIES[key]
+    version = _files(spark, f"{sf_dir}/lineitem.parquet")
+    if key not in _STUDIES or _STUDIES[key][0] != version:
+        _STUDIES[key] = version, Study(spark, sf_dir)
+    return _STUDIES[key][1]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessella.functions import statistics as s
-from tessella.operators import agreement, consensus
+from tessella.operators import agreement, consensus, outliers
 
 
 def test_chi_squared_tail():
@@ -63,6 +63,48 @@ def test_leave_one_out():
     assert np.isfinite(consensus.leave_one_out(alike, np.zeros(3))).all()
 
 
+def test_stacked_blocks_equal_single_ones():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(40, 6, 3))
+    x[3] = x[3, 0]  # all points alike
+    x[4, 1:] = 0
+    y = consensus.geometric_medians(x)
+    assert y == pytest.approx(np.array([consensus.geometric_median(b) for b in x]), abs=1e-12)
+    assert consensus.leave_one_out(x, y) == pytest.approx(np.array([consensus.leave_one_out(b, c) for b, c in zip(x, y, strict=True)]))
+
+
+def test_a_covariance_without_inverse(monkeypatch):
+    monkeypatch.setattr(consensus, "RIDGE", 0.0)
+    monkeypatch.setattr(consensus, "FLOOR", 0.0)
+    x = np.zeros((9, 3))
+    x[:, 0] = np.arange(9)
+    assert np.isfinite(consensus.leave_one_out(x, x.mean(0))).all()
+
+
+def test_slots_are_dealt_evenly():
+    r = np.random.default_rng(0)
+    for t, sets in ((1, 20_000), (2, 20_000), (2, 1), (6, 20_000)):
+        outliers.SETS = sets
+        sums = outliers.slot_sums(r, 400, 6, t, 300)
+        outliers.SETS = 20_000
+        assert (sums.sum(1) == 300 * t).all() and sums.max() <= 300
+        assert sums.mean(0) == pytest.approx(np.full(6, 50 * t), rel=0.05)
+        p = t / 6
+        assert sums.var() == pytest.approx(300 * p * (1 - p), rel=0.2) or t == 6
+
+
+def test_block_bootstrap(spark):
+    r = np.random.default_rng(5)
+    panel = r.normal(size=(1, 30, 2)) + 0.3 * r.normal(size=(4, 30, 2))
+    rows = [(f"s{u % 3}", 0.0, 1, u, 0, f"m{a}", *map(float, panel[a, u])) for a in range(4) for u in range(30)]
+    schema = "slide_id string, overlap_pct double, block_size long, block_x long, block_y long, nms_method string, z1 double, z2 double"
+    (got,) = agreement.block_bootstrap(spark.createDataFrame(rows, schema), 4, pieces=5).collect()
+    assert got.alpha == pytest.approx(brute_alpha(panel))
+    boots = [brute_alpha(panel[:, r.integers(0, 30, 30)]) for _ in range(120)]
+    low, high = np.percentile(boots, [2.5, 97.5])
+    assert got.lo95 == pytest.approx(low, abs=0.05) and got.hi95 == pytest.approx(high, abs=0.03)
+
+
 def brute_alpha(panel):
     """Alpha of (methods, blocks, coordinates) by all pairs."""
     m, n, _ = panel.shape

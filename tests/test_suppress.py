@@ -148,7 +148,7 @@ def test_fixpoint_agrees_with_kernel(spark, scope):
     df = random_frame(300, 4)
     df = df[df.confidence >= 0.44]
     dets = spark.createDataFrame(df)
-    boxes = fixpoint.survivors(dets, fixpoint.iou_edges(dets, 0.45, 64), scope)
+    boxes = fixpoint.survivors(dets, fixpoint.iou_edges(dets, 0.45), scope)
     assert {r.det_id for r in boxes.collect()} == kept(df, Variant("iou", scope))
     near = fixpoint.survivors(dets, fixpoint.distance_edges(dets, 20.0), scope)
     assert {r.det_id for r in near.collect()} == kept(df, Variant("nn_dist", scope))
@@ -161,3 +161,22 @@ def test_one_pass_over_groups(spark):
     for m in ("iou_grid_n2", "nn_center_global"):
         got = suppress.survived(masked, m).where("slide_id = 't'").collect()
         assert {r.det_id for r in got} == kept(df[df.slide_id == "t"], REGISTRY[m])
+
+
+@pytest.mark.parametrize("method", ["nn_center_grid_n2", "nn_cluster_grid_n1", "nn_cluster_grid_n3", "nn_cluster_global", "iou_edgecrop_grid_n3"])
+def test_joins_agree_with_kernel(spark, method):
+    df = random_frame(200, 6)
+    df.loc[0, ["x2", "y2"]] += 400  # boxes of any size meet
+    got = fixpoint.by_variant(spark.createDataFrame(df), REGISTRY[method])
+    assert {r.det_id for r in got.collect()} == kept(df, REGISTRY[method])
+
+
+def test_large_groups_are_solved_by_joins(spark):
+    big = random_frame(120, 3)
+    small = random_frame(30, 4).assign(slide_id="t")
+    small["det_id"] += 1000
+    some = {m: REGISTRY[m] for m in ("none", "iou_grid_n2", "nn_cluster_grid_n1")}
+    dets = spark.createDataFrame(pd.concat([big, small]))
+    whole = suppress.survivors(dets, some)
+    split = suppress.survivors(dets, some, most=50)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect())) and whole.count() == 150
