@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCS = T.StructType(
@@ -20,3 +21,10 @@ def docs(spark, rows):
 def store(spark, tmp_path, name, df):
     df.write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
     return str(tmp_path)
+
+
+def clashing(frame, *names):
+    """``frame`` with more columns of the given names, after its own."""
+    for name in names:
+        frame = frame.withColumn(name, F.lit("own"))
+    return frame

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from helpers import docs, store
+from helpers import clashing, docs, store
 
 from tessella.llm import simhash
 from tessella.llm.common import WORD, ascii_lower
@@ -64,7 +64,28 @@ def test_trie_links_and_blocks():
         parts = simhash._blocks(used)
         assert len(parts) == 4 and parts[0] | parts[1] | parts[2] | parts[3] == (1 << 64) - 1
     empty = np.zeros(0, np.uint64)
-    assert len(simhash.trie_links(empty, empty)) == 0
+    assert [len(x) for x in simhash.trie_links(empty, empty)] == [0, 0]
+
+
+def test_trie_links_are_pairs_that_span():
+    r = random.Random(2)
+    prints = np.array(sorted({r.getrandbits(64) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 2))) for _ in range(3)} | {c ^ 1 << b for c in [r.getrandbits(64) for _ in range(9)] for b in range(40)}), np.uint64)
+    i, j = simhash.trie_links(np.zeros(len(prints), np.int64), prints)
+    assert (np.bitwise_count(prints[i] ^ prints[j]) <= 3).all()
+    assert len(i) == len(prints) - len(set(brute_components(prints.tolist()).values()))
+
+
+def test_parities_never_rule_out_similar_sets():
+    r = np.random.default_rng(4)
+    for n in (1, 3, 60, 70, 127, 128, 129, 500, 3000):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        for gone in (0, 1, n // 20, n // 10, n // 9):
+            b = np.unique(np.r_[a[gone:], r.integers(0, 1 << 63, gone, dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                assert simhash._possible(len(a), simhash._parity(a), len(b), simhash._parity(b))
+        c = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert n < 60 or not simhash._possible(n, simhash._parity(a), n, simhash._parity(c))
 
 
 def test_edges(spark, tmp_path):
@@ -80,9 +101,26 @@ def test_edges(spark, tmp_path):
     assert simhash.query(spark, store(spark, tmp_path / "e", "documents", docs(spark, []))).count() == 0
 
 
-def test_repeated_rows_leave_one(spark):
-    frame = docs(spark, [(1, "a b c d"), (1, "a b c d"), (1, "a b c d")])
-    assert simhash.one_each(frame).count() == 1
+def test_repeated_rows_and_clashing_columns(spark):
+    frame = docs(spark, [(1, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "e f g"), (None, "h"), (None, "h")])
+    frame = clashing(frame, "_key", "key", "node", "root", "id", "th", "doc", "k", "h", "stays")
+    kept = simhash.one_each(frame)
+    assert kept.columns == frame.columns and sorted((r.doc_id or 0, r.text, r.key) for r in kept.collect()) == [(0, "h", "own"), (1, "a b c d", "own"), (3, "e f g", "own")]
+
+
+def test_a_chance_agreement_of_hashes_drops_no_text(spark, monkeypatch):
+    whole = simhash._node
+    monkeypatch.setattr(simhash, "_node", lambda h, seed=simhash.SEED: 5 if seed == simhash.SEED else whole(h, seed))
+    rows = simhash.near_clusters(docs(spark, [(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f")]))
+    roots = {r.doc_id: r.root for r in rows.collect()}
+    assert roots[1] == roots[3] and (roots[1] is None) != (roots[2] is None)
+
+
+@pytest.mark.parametrize("salt", [3, 0])
+def test_hot_hashes_are_dealt_to_several_tasks(spark, monkeypatch, salt):
+    monkeypatch.setattr(simhash, "SALT", salt or 1)
+    texts = edited_texts(seed=12, groups=12) + [" ".join(["same few words come first", *t.split()[:9]]) for t in edited_texts(seed=13, groups=6)]
+    assert near_roots(spark, texts) == exact_components(texts)
 
 
 def test_similar_texts_are_linked(spark):
@@ -114,12 +152,6 @@ def test_similar_texts_are_linked(spark):
     assert sum(small[a] == small[b] for a, b in near) >= 0.9 * len(near)
 
 
-def test_sketch():
-    h = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
-    a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:900], h[100:]))
-    assert abs((a == b).mean() - 0.8) < 0.12 and simhash.sketch(h) == simhash.sketch(h[::-1])
-
-
 def exact_components(texts):
     """{place: root} over all pairs of texts whose sets of five-word shingles are similar by 0.8 or more."""
     sets = []
