@@ -15,8 +15,10 @@ there letter by letter; LEAST is for templates and short lines, which may agree
 A word's number of texts is the sum over the distinct lines that have it. Leaves, lines and templates are counted by
 hash in pre-aggregated shuffles; only words of leaves that LEAST texts share are looked at.
 
+Lines and templates are told apart by a hash together with their leaf's, documents by their id and a hash of the text.
+
 Nulls: a null text stays null and has no lines; a null id orders last. Repeated rows are treated alike. An empty table
-gives an empty result.
+gives an empty result. Columns of any other name are carried inside one struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD_SQL, cut
+from tessella.llm.common import WORD_SQL, cut, discard
 
 LEAST, DEPTH, CONSTANT, SHARE, LONG = 10, 2, 3, 0.5, 10
 DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -47,25 +49,24 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("*", n.alias("n"), F.xxhash64(n, lead).alias("leaf"), F.xxhash64("plain").alias("lh"))
 
 
-def _repeats(lines: DataFrame) -> DataFrame:
-    """(id, th, pos) of long lines that two texts or more have, but for each one's first place."""
-    long = lines.where(F.col("n") >= LONG).select("id", "th", "pos", "same")
+def _repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, th, pos) of long lines that two texts or more have, but for each one's first place; and the table it reads."""
+    long = lines.where(F.col("n") >= LONG).select("id", "th", "pos", "same", "leaf")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "pos")
-    first = long.groupBy("same").agg(F.min(place).alias("first"), (F.min("th") != F.max("th")).alias("several"))
+    first = long.groupBy("same", "leaf").agg(F.min(place).alias("first"), (F.min("th") != F.max("th")).alias("several"))
     first = cut(first.where("several").drop("several"), "lines-repeated")
-    return long.join(first, "same").where(place != F.col("first")).select("id", "th", "pos")
+    return long.join(first, ["same", "leaf"]).where(place != F.col("first")).select("id", "th", "pos"), first
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
-    """(id, th, drops): the places of the lines to drop, for every document that has any."""
-    lines = _lines(docs, id_col, text_col).drop("plain")
-    lines = cut(lines if exact else lines.drop("same"), "lines").where(F.col("n") >= CONSTANT)
-    repeats = _repeats(lines) if exact else None
-    lines = lines.drop("same")
+    """(id, th, drops): the places of the lines to drop, for every document that has any; a written table."""
+    every = _lines(docs, id_col, text_col).drop("plain")
+    every = cut(every if exact else every.drop("same"), "lines")
+    lines = every.where(F.col("n") >= CONSTANT).drop("same")
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").count().where(F.col("count") >= LEAST).select("leaf")
     leaves = cut(leaves, "lines-leaves")
-    lines = cut(lines.join(leaves, "leaf", "left_semi"), "lines-shared")
-    texts = lines.select("leaf", "lh", "th").distinct().groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("texts"))
+    shared = cut(lines.join(leaves, "leaf", "left_semi"), "lines-shared")
+    texts = shared.select("leaf", "lh", "th").distinct().groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("texts"))
 
     words = _lines(docs, id_col, text_col).select("leaf", "lh", "n", "plain").join(leaves, "leaf", "left_semi")
     words = words.groupBy("leaf", "lh").agg(F.any_value("n").alias("n"), F.split(F.any_value("plain"), " ").alias("tokens"))
@@ -81,38 +82,49 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     made = made.select("leaf", "lh", F.when(general, F.xxhash64("leaf", "kept")).otherwise(F.col("lh")).alias("template"))
     made = cut(made, "lines-made")  # a table, so that the join beside it can be broadcast or split where a line is hot
 
-    lines = cut(lines.join(made, ["leaf", "lh"]), "lines-templates")
-    recurring = lines.select("template", "th").distinct().groupBy("template").count().where(F.col("count") >= LEAST).select("template")
+    named = cut(shared.join(made, ["leaf", "lh"]).select("leaf", "template", "id", "th", "pos"), "lines-templates")
+    recurring = named.select("leaf", "template", "th").distinct().groupBy("leaf", "template").count().where(F.col("count") >= LEAST).drop("count")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "pos")
-    first = cut(lines.groupBy("template").agg(F.min(place).alias("first")).join(recurring, "template"), "lines-first")
-    rows = lines.join(first, "template").where(place != F.col("first")).select("id", "th", "pos")
-    rows = rows.unionByName(repeats) if exact else rows
-    return rows.groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))
+    first = cut(named.groupBy("leaf", "template").agg(F.min(place).alias("first")).join(recurring, ["leaf", "template"]), "lines-first")
+    rows = named.join(first, ["leaf", "template"]).where(place != F.col("first")).select("id", "th", "pos")
+    used = [every, leaves, shared, words, made, named, first]
+    if exact:
+        repeats, again = _repeats(every)
+        rows = rows.unionByName(repeats)
+        used.append(again)
+    drops = cut(rows.groupBy("id", "th").agg(F.collect_set("pos").alias("drops")), "lines-drops")
+    discard(*used)
+    return drops
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
-    """``docs`` without the dropped lines; adds ``_lines`` and ``_dropped``, the numbers of lines and of those dropped."""
-    drops = dropped(docs, id_col, text_col, exact).select(F.xxhash64("id", "th").alias("_key"), F.col("drops").alias("_drops"))
-    rows = docs.withColumn("_key", F.xxhash64(id_col, F.xxhash64(text_col))).join(drops, "_key", "left")
-    rows = rows.withColumn("_all", F.split(text_col, "\n", -1))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drops"))
-    kept = F.array_join(F.transform(places, lambda i: F.get("_all", i)), "\n")
-    rows = rows.withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(kept))
-    rows = rows.withColumns({"_lines": F.coalesce(F.size("_all"), F.lit(0)).cast("long"), "_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")})
-    rows = rows.withColumns({c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)) for c in ("_lines", "_dropped")})
-    return rows.select(*docs.columns, "_lines", "_dropped")
+    """(doc, n_lines, n_dropped): each row of ``docs`` as a struct, without the dropped lines, and the numbers of its lines and of those dropped."""
+    drops = dropped(docs, id_col, text_col, exact).select(F.col("id").alias("k"), F.col("th").alias("h"), "drops")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    rows = rows.join(drops, F.col("id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h")), "left")
+    text = F.col("doc")[text_col]
+    rows = rows.select("doc", "drops", F.split(text, "\n", -1).alias("lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    kept = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
+    new = F.when(F.col("drops").isNull(), text).otherwise(kept)
+    n = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    dropped_ = F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long")
+    doc = F.struct(*(new.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
+    return rows.select(doc.alias("doc"), F.when(n > 0, n).otherwise(F.lit(0)).alias("n_lines"), dropped_.alias("n_dropped"))
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    return dedup(docs).select("doc.doc_id", "n_lines", "n_dropped", "doc.text")
 
 
 def stage(spark, docs, sf_dir):
-    """Documents without recurring lines; one that loses all its words goes."""
+    """Documents without recurring lines; one that loses all its words goes. ``n_chars``, if there, is counted anew."""
     rows = dedup(docs, exact=True)
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
-    return rows.where((F.col("_dropped") == 0) | F.col("text").rlike(WORD_SQL)).select(*docs.columns)
+    rows = rows.where((F.col("n_dropped") == 0) | F.col("doc.text").rlike(WORD_SQL))
+    count = F.when(F.col("n_dropped") == 0, F.col("doc")["n_chars"]).otherwise(F.length("doc.text")) if "n_chars" in docs.columns else None
+    kinds = dict(docs.dtypes)
+    return rows.select(*((count.cast(kinds[c]) if c == "n_chars" else F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
