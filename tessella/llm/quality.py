@@ -2,12 +2,14 @@
 
 Each document's histograms of character classes and of its language's common words are compared to the language's
 reference by the Jensen-Shannon distance (base 2, 0 to 1). References are the sums over all documents of the language
-that pass the base rules; the common words are its ``COMMON`` most frequent ones; the other words, and tokens with no letter or digit, make up two more bins. A document without a reference for
-its language is compared to that of all documents together. The divergence rules apply from ``LEAST_WORDS`` words on:
+that pass the base rules; the common words are its ``COMMON`` most frequent ones; the other words, and tokens with no
+letter or digit, make up two more bins. A document without a reference for its language is compared to that of all
+documents together. The divergence rules apply from ``LEAST_WORDS`` words on:
 below, a histogram says too little.
 
-Nulls: a null text has no words and fails the base rule; a null language is a language of its own. Repeated rows are
-judged alike. An empty table gives an empty result.
+Nulls: a null text has no words and fails the base rule; a null language is a language of its own, and so is an empty
+one. Repeated rows are judged alike. An empty table gives an empty result. Any character may stand in words and
+languages. Columns of any other name are carried inside one struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, ascii_lower, cut
+from tessella.llm.common import WORD, ascii_lower, cut, discard
 
 COMMON, LEAST_WORDS = 40, 20
 #: Largest distances that a kept document of n words may have: a + b / sqrt(n), for the noise of a short histogram.
@@ -29,7 +31,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOL = re.compile(r"[#*$%&|<>]")
 HAS_LETTER, BARE = r"[\p{L}\p{N}]", re.compile(r"[\W_]+")
 CLASSES = ["lower", "upper", "digit", "space", "symbol", "mark", "other"]
-ALL = "\x00all"
+#: The reference of all documents; no language can have this key, as languages are strings or None.
+ALL = ("all",)
+#: Groups of tasks whose most frequent words are found first; the last step reads COMMON rows of each.
+GROUPS = 8
 
 
 def _class_table() -> np.ndarray:
@@ -106,7 +111,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(min(max(d, 0.0), 1.0)))
 
 
-def references(docs: DataFrame, lang_col="lang", text_col="text") -> dict[str, dict]:
+def references(docs: DataFrame, lang_col="lang", text_col="text") -> dict:
     """{language: {"classes": counts, "words": {word: count}, "total": words, "bare": tokens}}: a few dozen numbers for each language."""
 
     def count(batches):
@@ -116,42 +121,45 @@ def references(docs: DataFrame, lang_col="lang", text_col="text") -> dict[str, d
                 words = WORD.findall(text or "")
                 if fails(len(words), repeat_words(words)):
                     continue
-                got = sums.setdefault(lang or "", [np.zeros(len(CLASSES), np.int64), Counter()])
+                got = sums.setdefault(lang, [np.zeros(len(CLASSES), np.int64), Counter()])
                 got[0] += classes(text)
                 got[1].update(words)
             for lang, (kinds, cased) in sums.items():
                 words = Counter()
                 for w, n in cased.items():
                     words[ascii_lower(w)] += n
-                yield pd.DataFrame({"lang": lang, "key": [f"\x00{k}" for k in CLASSES], "n": kinds})
-                yield pd.DataFrame({"lang": lang, "key": list(words), "n": list(words.values())})
+                yield pd.DataFrame({"lang": pd.Series([lang] * len(kinds), dtype=object), "class": np.arange(len(kinds), dtype=np.int32), "word": None, "n": kinds})
+                yield pd.DataFrame({"lang": pd.Series([lang] * len(words), dtype=object), "class": np.full(len(words), -1, np.int32), "word": list(words), "n": list(words.values())})
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sums = cut(rows.mapInPandas(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "quality-counts")
-    both = sums.unionByName(sums.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "key", "n"))
-    is_word = ~F.col("key").startswith("\x00")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    top = both.where(is_word & F.col("key").rlike(HAS_LETTER)).withColumn("rank", rank).where(F.col("rank") <= COMMON).drop("rank")
-    total = both.where(is_word).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("\x00total").alias("key"), "n")
-    bare = both.where(is_word & ~F.col("key").rlike(HAS_LETTER)).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("\x00bare").alias("key"), "n")
-    out: dict[str, dict] = {}
-    for r in top.unionByName(total).unionByName(bare).unionByName(both.where(~is_word)).collect():  # at most COMMON + 9 rows a language
-        ref = out.setdefault(r.lang, {"classes": np.zeros(len(CLASSES), np.int64), "words": {}, "total": 0, "bare": 0})
-        if r.key in ("\x00total", "\x00bare"):
-            ref[r.key[1:]] = r.n
-        elif r.key[0] == "\x00":
-            ref["classes"][CLASSES.index(r.key[1:])] = r.n
-        else:
-            ref["words"][r.key] = r.n
+    counted = rows.mapInPandas(count, "lang string, class int, word string, n long")
+    sums = cut(counted.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "quality-counts")
+    whole = sums.groupBy("class", "word").agg(F.sum("n").alias("n")).select(F.lit(True).alias("every"), F.lit(None).cast("string").alias("lang"), "class", "word", "n")
+    both = sums.select(F.lit(False).alias("every"), "lang", "class", "word", "n").unionByName(whole)
+    words = both.where(F.col("class") < 0).drop("class")
+    top = words.where(F.col("word").rlike(HAS_LETTER)).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    for part in (["part"], []):  # each task's most frequent words meet by groups of tasks first
+        rank = F.row_number().over(Window.partitionBy("every", "lang", *part).orderBy(F.desc("n"), "word"))
+        top = top.withColumn("rank", rank).where(F.col("rank") <= COMMON)
+    letters = F.sum(F.when(~F.col("word").rlike(HAS_LETTER), F.col("n")).otherwise(0))
+    totals = words.groupBy("every", "lang").agg(F.sum("n").alias("total"), letters.alias("bare"))
+    out: dict = {}
+    for r in totals.collect():  # a row a language
+        out[ALL if r.every else r.lang] = {"classes": np.zeros(len(CLASSES), np.int64), "words": {}, "total": r.total, "bare": r.bare}
+    for r in both.where(F.col("class") >= 0).collect():  # a row a language and class
+        out[ALL if r.every else r.lang]["classes"][r["class"]] = r.n
+    for r in top.orderBy("every", "lang", "rank").collect():  # COMMON rows a language
+        out[ALL if r.every else r.lang]["words"][r.word] = r.n
+    discard(sums)
     return out
 
 
-def judge(text: str | None, lang: str | None, refs: dict[str, dict]) -> tuple:
+def judge(text: str | None, lang: str | None, refs: dict) -> tuple:
     """Base values, base_failed, the two distances and kept of one document."""
     text = text or ""
     words = WORD.findall(text)
     *values, failed = base(text, words)
-    ref = refs.get(lang or "") or refs.get(ALL)
+    ref = refs.get(lang) or refs.get(ALL)
     if not words or ref is None:
         return *values, failed, None, None, not failed
     by_class = js_distance(classes(text).astype(float), ref["classes"].astype(float))
@@ -173,8 +181,8 @@ def judge(text: str | None, lang: str | None, refs: dict[str, dict]) -> tuple:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
 
 
-def rate(docs: DataFrame, keep: list[str], lang_col="lang", text_col="text", refs: dict | None = None) -> DataFrame:
-    """``keep`` columns of every document with its base values, distances and verdict."""
+def rate(docs: DataFrame, lang_col="lang", text_col="text", refs: dict | None = None) -> DataFrame:
+    """(doc, rated): each row of ``docs`` as a struct, and its base values, distances and verdict."""
     refs = references(docs, lang_col, text_col) if refs is None else refs
 
     @F.pandas_udf(SCHEMA)
@@ -182,16 +190,14 @@ def rate(docs: DataFrame, keep: list[str], lang_col="lang", text_col="text", ref
         rows = [judge(t, x, refs) for t, x in zip(text, lang, strict=True)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    rows = docs.select(*(F.col(c).alias(c) for c in keep), rated(F.col(text_col), F.col(lang_col).cast("string")).alias("_rated"))
-    return rows.select(*keep, "_rated")
+    return docs.select(F.struct(*docs.columns).alias("doc"), rated(F.col(text_col), F.col(lang_col).cast("string")).alias("rated"))
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rate(docs, ["doc_id"]).select("doc_id", "_rated.*")
+    return rate(docs.select("doc_id", "lang", "text")).select("doc.doc_id", "rated.*")
 
 
 def stage(spark, docs, sf_dir):
     """Documents that the rules keep."""
-    columns = docs.columns
-    return rate(docs, columns).where("_rated.kept").select(*columns)
+    return rate(docs).where("rated.kept").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
