@@ -6,10 +6,14 @@ certain. The fractional rest is the inclusion probability p of one more copy: do
 [u/(1-u)] / [p/(1-p)], u being a hash of the document, and taken in that order until the source's words are reached.
 
 The ranking never sorts a source: ranks are counted in ``BUCKETS`` buckets (partial sums), and only the one bucket
-that holds the cut is ordered, about 1/BUCKETS of a source.
+that holds the cut is ordered, about 1/BUCKETS of a source. There, rows of equal rank, id and size are counted as one;
+of those that the cut divides, as many as are due are found by counts over ``PARTS`` parts, so that copies without
+number never meet in one task.
 
 Nulls: a null text has size 0 and is taken 0 times over; a null source is a source of its own, last in order; null ids
-hash as empty text. Equal rows are interchangeable. An empty table gives an empty result.
+hash as empty text. Equal rows are interchangeable. An empty table gives an empty result. Columns that are asked
+for besides are carried inside one struct, so none can clash; the stage adds ``copy``, with as many underscores behind
+it as it takes to differ from the input's columns.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, n_words
 
-WEIGHTS, SHARE, CAP, BUCKETS = (3, 1, 2), 1.5, 2, 1 << 16
+WEIGHTS, SHARE, CAP, BUCKETS, PARTS = (3, 1, 2), 1.5, 2, 1 << 16, 1024
 
 
 def water_fill(df: DataFrame, group: list[str], weight: Column, most: Column, total: Column) -> DataFrame:
@@ -63,13 +67,42 @@ def plan_copies(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> Data
     return both.withColumn("rest", rest).select("source", "bits", "source_size", "target", "certain", "p", "rest")
 
 
+def _divided(edge: DataFrame) -> DataFrame:
+    """``extra`` (0 or 1) for the rows of the buckets that hold the cuts.
+
+    Rows come in order of rank, id and size; one is taken if the words before it and half its own are within the rest.
+    """
+    keys = ["source", "rank", "_id", "size"]
+    groups = edge.groupBy(*keys, "rest", "cut_from").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("source").orderBy("rank", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("cut_from") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0))
+    room = F.floor((F.col("rest") - before - F.col("size") / 2) / F.greatest("size", F.lit(1))) + 1  # how many of n equal rows fit
+    room = F.when(F.col("size") > 0, room).when(before <= F.col("rest"), F.col("n")).otherwise(0)
+    groups = groups.withColumn("due", F.least(F.greatest(room, F.lit(0)), F.col("n")).cast("long"))
+    groups = cut(groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), "n", "due"), "mix-edges")
+    same = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
+    rows = edge.join(groups, same[0] & same[1] & same[2] & same[3]).drop(*(f"g_{k}" for k in keys))
+    plain = rows.where("due = 0 or due = n").withColumn("extra", (F.col("due") > 0).cast("int"))
+    split = rows.where("due > 0 and due < n").withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(PARTS)))
+    if groups.where("due > 0 and due < n").isEmpty():
+        return plain.drop("n", "due")
+    upto = F.sum("own").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = split.groupBy("source", "part").agg(F.count(F.lit(1)).alias("own")).withColumn("upto", upto)
+    parts = cut(parts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "own", "upto"), "mix-parts")
+    split = split.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p"))).drop("_s", "_p")
+    place = F.row_number().over(Window.partitionBy("source", "part").orderBy("tie"))
+    split = split.withColumn("extra", (F.col("upto") - F.col("own") + place <= F.col("due")).cast("int"))
+    return plain.drop("n", "due").unionByName(split.drop("n", "due", "part", "own", "upto"))
+
+
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, cap=CAP, keep=()) -> DataFrame:
-    """id, size, source_size, target, copies and taken (words) for every document; ``keep`` names more columns to carry."""
+    """id, size, source_size, target, copies and taken (words) for every document; ``keep`` names more columns, in the struct ``kept``."""
     size = n_words(F.col(text_col))
     digest = F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), *keep)
-    sized = sized.withColumns({"bits": F.length(F.bin("size")).cast("long"), "u": u})
+    kept = F.struct(*keep) if keep else F.lit(0)
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), kept.alias("kept"))
+    sized = sized.withColumns({"bits": F.length(F.bin("size")).cast("long"), "u": u, "tie": F.monotonically_increasing_id()})
     sized = cut(sized, "mix-sized")
     plan = cut(plan_copies(sized, weights, share, cap), "mix-plan").withColumnsRenamed({"source": "_s", "bits": "_b"})
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bits") == F.col("_b"))).drop("_s", "_b")
@@ -85,11 +118,9 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
     at_cut = F.coalesce(F.col("bucket") == F.col("cut_at"), F.lit(False))
     plain = rows.where(~at_cut).withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("cut_at").isNull() | (F.col("bucket") < F.col("cut_at"))), 1).otherwise(0))
-    order = Window.partitionBy("source").orderBy("rank", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("cut_from") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    edge = rows.where(at_cut).withColumn("extra", F.when(before + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
-    out = plain.unionByName(edge).withColumn("copies", F.col("certain") + F.col("extra"))
-    return out.select(F.col("_id").alias(id_col), F.col("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *keep)
+    out = plain.unionByName(_divided(rows.where(at_cut))).withColumn("copies", F.col("certain") + F.col("extra"))
+    last = ["kept"] if keep else []
+    return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *last)
 
 
 def query(spark, sf_dir):
@@ -144,8 +175,9 @@ FROM run
 
 def stage(spark, docs, sf_dir):
     """The mix itself: every document as often as it is taken, numbered by ``copy`` from 1."""
-    columns = docs.columns
-    rows = docs.select("doc_id", "text", "source", F.struct(*columns).alias("_doc"))
-    rows = mix(rows, keep=("_doc",)).where("copies > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return rows.select(*(F.col("_doc")[c].alias(c) for c in columns if c != "copy"), "copy")
+    columns, name = docs.columns, "copy"
+    while name in columns:
+        name += "_"
+    rows = mix(docs, keep=columns).where("copies > 0")
+    rows = rows.select("kept", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("number"))
+    return rows.select(*(F.col("kept")[c].alias(c) for c in columns), F.col("number").alias(name))

@@ -1,5 +1,5 @@
 import duckdb
-from helpers import docs, store
+from helpers import clashing, docs, store
 
 from tessella.llm import mixing
 
@@ -40,3 +40,17 @@ def test_stage_repeats_rows(spark):
     frame = docs(spark, [(k, "w " * 20, "en", f"s{k % 3}") for k in range(60)]).withColumnsRenamed({"lang": "size", "n_chars": "bucket"})
     out = mixing.stage(spark, frame, None)
     assert out.columns == [*frame.columns, "copy"] and out.count() == 90
+    frame = clashing(frame, "copy", "kept", "u", "tie", "_id")
+    out = mixing.stage(spark, frame, None)
+    assert out.columns == [*frame.columns, "copy_"] and {r.copy for r in out.select("copy").collect()} == {"own"} and out.count() == 90
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Rows that share id, size and so their rank: as many are taken as by the order of single rows, in whatever parts."""
+    monkeypatch.setattr(mixing, "PARTS", 7)
+    rows = [(None, "w w w", "en", "a")] * 400 + [(k, "w " * 5, "en", "b") for k in range(50)] + [(1, "v", "en", "b")] * 300
+    got = mixing.mix(docs(spark, rows)).select("source", "size", "target", "taken").collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in mine) and abs(sum(r.taken for r in mine) - mine[0].target) <= 5
