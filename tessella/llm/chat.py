@@ -9,7 +9,9 @@ backslashes are doubled, so that no text can open or close a turn and every text
 spans (code points, end exclusive) of the assistant texts in the output.
 
 Nulls: a null text or role is empty; a null score counts 0; a node whose parent is missing is a root; nodes on a cycle
-have no root and are on no path. Rows that repeat a turn follow each other in order of role and text. Empty in, empty out.
+have no root and are on no path. Null and repeated ids are ids like others and stay exact; branches of equal score rank by
+their leaf. Rows that repeat a turn follow each other in order of role and text. Empty in, empty out. Columns of any other
+name are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +108,15 @@ def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
 def formatted(chosen: DataFrame) -> DataFrame:
     """Adds ``formatted`` and ``loss`` to (conv, leaf, branch, turns)."""
 
-    def run(batches):
-        for pdf in batches:
-            made = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in pdf["turns"]]
-            loss = [[{"start": a, "end": b} for a, b in m[1]] for m in made]
-            yield pd.DataFrame({"conv": pdf["conv"], "leaf": pdf["leaf"], "branch": pdf["branch"], "formatted": [m[0] for m in made], "loss": loss})
+    def run(batches):  # Arrow batches: ids of any kind stay as they are, nulls among them too
+        for b in batches:
+            made = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in b.column("turns").to_pylist()]
+            loss = pa.array([[{"start": x, "end": y} for x, y in m[1]] for m in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv", "leaf", "branch")), pa.array([m[0] for m in made], pa.string()), loss], names=["conv", "leaf", "branch", "formatted", "loss"])
 
     rows = chosen.select("conv", "leaf", "branch", "turns")
     kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"conv {kinds['conv']}, leaf {kinds['leaf']}, branch int, formatted string, loss array<struct<start:long,end:long>>")
+    return rows.mapInArrow(run, f"conv {kinds['conv']}, leaf {kinds['leaf']}, branch int, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def as_tree(rows: DataFrame) -> DataFrame:
@@ -137,16 +139,18 @@ def query(spark, sf_dir):
     nodes = cut(as_tree(rows), "chat-nodes")
 
     def digest(batches):
-        for pdf in batches:
+        for b in batches:
             out = []
-            for conv, whole, loss in zip(pdf["conv"], pdf["formatted"], pdf["loss"], strict=True):
+            for whole, loss in zip(b.column("formatted").to_pylist(), b.column("loss").to_pylist(), strict=True):
                 turns = read_turns(whole)
                 said = "".join(unescape(whole[s["start"] : s["end"]]) for s in loss)
-                out.append((conv, len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), _sha(said), len(whole)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), _sha(said), len(whole)))
+            made = zip(*out, strict=True) if out else [()] * 5
+            arrays = [pa.array(x, kind) for x, kind in zip(made, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("conv"), *arrays], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    made = formatted(conversations(nodes, best=1))
-    return made.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    made = formatted(conversations(nodes, best=1)).select("conv", "formatted", "loss")
+    return made.mapInArrow(digest, f"conv_id {dict(rows.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sql_escape(column: str) -> str:
