@@ -7,12 +7,15 @@ finds all of them. Candidates within the radius are verified by the weighted Jac
 weighing as often as it occurs; a window leaks an item from ``SIMILAR`` on. At similarity 0.8 the fingerprints of
 equally long texts differ by 10 bits on average; 19 is over three standard deviations more.
 
-Texts are read in stretches of ``STRETCH`` words that overlap by the largest item. A window is passed over if less than
-``SIMILAR`` of its shingles are shingles of any item, as then it can't be similar enough to one. Items are worked through in blocks of ``BLOCK`` characters,
-each broadcast, so a benchmark of any size fits.
+Windows are those of the whole text: an item's size of words, or all the text's words where they are fewer. They are
+worked through in stretches of ``STRETCH`` first words, so the result does not depend on where a stretch ends. A window
+is passed over if less than ``SIMILAR`` of its shingles are shingles of any item, as then it can't be similar enough to
+one. Benchmarks up to ``BLOCK`` characters take one pass; a larger one is worked through in blocks, each broadcast,
+applied, written and released before the next.
 
 Nulls: a null text or item is an empty one; an empty item leaks nowhere; items of under five words count as one
-shingle. Null ids are carried. Repeated rows give repeated results. An empty table gives an empty result.
+shingle. Null ids are carried, and ids of any kind stay exact. Repeated rows give repeated results. An empty table gives
+an empty result. Columns of any other name are kept or ignored as they are, so none can clash.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import WORD, ascii_lower
+from tessella.llm.common import WORD, ascii_lower, cut
 from tessella.llm.simhash import shingle_hashes
 
-SHINGLE, SIMILAR, RADIUS, STRETCH, BLOCK = 5, 0.8, 19, 1 << 14, 4_000_000
+SHINGLE, SIMILAR, RADIUS, STRETCH, BLOCK = 5, 0.8, 19, 1 << 14, 16_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,18 +115,20 @@ class Index:
         for at in range(0, len(words), STRETCH):
             part = words[at : at + STRETCH + self.largest - 1]
             if hits := self.hits(part):
-                self._windows(part, hits, at, best)
+                self._windows(part, hits, at, len(words), best)
         return [(k, *best[k]) for k in sorted(best)]
 
-    def _windows(self, words: list[str], hits: dict, offset: int, best: dict) -> None:
+    def _windows(self, words: list[str], hits: dict, offset: int, total: int, best: dict) -> None:
+        """The windows that begin in a stretch: its first STRETCH words, of which ``offset`` are before; ``words`` go on behind it."""
         sums = {}
         for size, (items, prints, tables) in self.sizes.items():
-            size = min(size, len(words))
+            size = min(size, total)
             n = min(SHINGLE, size)
             k = size - n + 1
-            if n not in hits:
+            if n not in hits or size > len(words):
                 continue
             places = np.flatnonzero(hits[n][k:] - hits[n][:-k] >= SIMILAR * k - 1e-9)  # no other window can leak
+            places = places[places < STRETCH]
             if not len(places):
                 continue
             if n not in sums:
@@ -153,37 +160,54 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
             yield Index(items)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, item, similarity, first word, words): every document and item it leaks, at the most similar window."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    schema = f"doc {dict(rows.dtypes)['doc']}, item {dict(benchmark.dtypes)[item_col]}, similarity double, first_word long, n_words long"
-    out = docs.sparkSession.createDataFrame([], schema)
+def _passes(benchmark: DataFrame, item_col: str, apply) -> DataFrame:
+    """``apply(index, last)`` for each block's broadcast index in turn; all but the last one's result is written first."""
+    spark, out, before = benchmark.sparkSession, None, None
     for index in blocks(benchmark, item_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        if before is not None:
+            out = cut(apply(before, out), "decontaminate")
+            before.destroy()
+        before = spark.sparkContext.broadcast(index)
+    return out if before is None else apply(before, out)
 
-        def run(batches, shared=shared):
-            for pdf in batches:
-                found = [(doc, *hit) for doc, text in zip(pdf["doc"].astype(object), pdf["text"], strict=True) for hit in shared.value.find(text)]
-                ids = shared.value.ids
-                yield pd.DataFrame([(None if pd.isna(d) else d, ids[i], s, w, n) for d, i, s, w, n in found], columns=["doc", "item", "similarity", "first_word", "n_words"])
 
-        out = out.unionByName(rows.mapInPandas(run, schema))
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id, item, similarity, first word, words): every document and item it leaks, at the most similar window."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    kinds = dict(rows.dtypes)["doc"], dict(benchmark.dtypes)[item_col]
+    schema = f"doc {kinds[0]}, item {kinds[1]}, similarity double, first_word long, n_words long"
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
+
+    def apply(shared, before):
+        def run(batches):  # Arrow batches: ids never pass through pandas
+            for b in batches:
+                found = [(k, *hit) for k, text in enumerate(b.column("text").to_pylist()) for hit in shared.value.find(text)]
+                if found:
+                    at, item, similar, word, n = zip(*found, strict=True)
+                    ids = pa.array([shared.value.ids[i] for i in item], kind)
+                    yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(at)), ids, pa.array(similar), pa.array(word), pa.array(n)], names=["doc", "item", "similarity", "first_word", "n_words"])
+
+        new = rows.mapInArrow(run, schema)
+        return new if before is None else before.unionByName(new)
+
+    out = _passes(benchmark, item_col, apply)
+    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 
 
-def _leaky(shared):
-    @F.pandas_udf("boolean")
-    def leaky(text: pd.Series) -> pd.Series:
-        return pd.Series([bool(shared.value.find(t)) for t in text], dtype=bool)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The documents that leak no item, with all their columns."""
 
-    return leaky
+    def apply(shared, before):
+        @F.pandas_udf("boolean")
+        def leaky(text: pd.Series) -> pd.Series:
+            return pd.Series([bool(shared.value.find(t)) for t in text], dtype=bool)
 
+        rows = docs if before is None else before
+        return rows.where(~leaky(F.col(text_col)))
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The documents that leak no item, with all their columns."""
-    for index in blocks(benchmark, item_col):
-        docs = docs.where(~_leaky(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
-    return docs
+    out = _passes(benchmark, item_col, apply)
+    return docs if out is None else out
 
 
 def query(spark, sf_dir):

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from helpers import docs, store
+from helpers import clashing, docs, store
 
 from tessella.llm import decontaminate as dc
 from tessella.llm.common import WORD, ascii_lower
@@ -66,3 +66,38 @@ def test_stretches_and_blocks(spark, tmp_path, monkeypatch):
     assert sorted((x.doc_id or 0, x.item_id) for x in dc.query(spark, sf).collect()) == [(0, 4), (1, 4), (1, 4)]
     assert dc.clean(docs(spark, []), bench).count() == 0
     assert dc.leaks(docs(spark, [(1, text)]), bench.limit(0)).count() == 0
+
+
+def test_results_do_not_depend_on_stretches(spark, monkeypatch):
+    """Passages at every place around a stretch's end, whole and cut off at the text's end, against all windows."""
+    r = random.Random(8)
+    item = " ".join(f"i{k}" for k in range(50))
+    index_items = [(1, item), (2, "a b c d e f g")]
+    monkeypatch.setattr(dc, "STRETCH", 60)
+    index = dc.Index(index_items)
+    for before in [0, 1, 9, 10, 11, 12, 35, 58, 59, 60, 61, 62, 69, 70, 71, 118, 119, 120, 121, 122]:
+        for kept in (50, 45, 42, 38):
+            text = " ".join([*(f"x{r.randrange(900)}" for _ in range(before)), *item.split()[:kept]])
+            assert {index_items[k][0]: round(s, 9) for k, s, _, _ in index.find(text)} == brute(text, index_items), (before, kept)
+
+
+def test_a_cut_off_passage_in_a_long_text():
+    """The same at the real stretch: what lies at the end counts as it does anywhere else."""
+    item = " ".join(f"i{k}" for k in range(50))
+    index, found = dc.Index([(1, item)]), set()
+    for n in (1_000, dc.STRETCH - 1, dc.STRETCH + 42, dc.STRETCH + 100):
+        found.add(bool(index.find(" ".join([*(f"x{k}" for k in range(n - 42)), *item.split()[:42]]))))
+        assert index.find(" ".join([*(f"x{k}" for k in range(n - 50)), item]))[0][1:] == (1.0, n - 50, 50)
+    assert found == {False}
+
+
+def test_ids_stay_exact_and_columns_may_clash(spark):
+    big = 9007199254740993
+    text = "one two three four five six seven eight"
+    frame = clashing(docs(spark, [(big, text), (None, text), (big + 1, "other")]), "doc", "item", "similarity")
+    bench = clashing(spark.createDataFrame([(big, text), (None, "else entirely it is not there at all")], "item_id long, text string"), "id", "doc")
+    assert {(x.doc_id, x.item_id) for x in dc.leaks(frame, bench).collect()} == {(big, big), (None, big)}
+    kept = dc.clean(frame, bench)
+    assert kept.columns == frame.columns and [x.doc_id for x in kept.collect()] == [big + 1]
+    small = bench.select(bench.item_id.cast("string").alias("item_id"), "text")
+    assert {x.item_id for x in dc.leaks(frame, small).collect()} == {str(big)}
