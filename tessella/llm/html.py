@@ -2,16 +2,19 @@
 
 A page's block elements form a tree. Every node is a frame (holds both kinds), content or boilerplate, the latter two
 split into the top block of such a part and those inside it. A node's evidence is the naive Bayes product of its tag
-with the words of its class, id and role and of its link density; parent-child potentials connect the nodes.
+with the words of its class, id and role, of its link density, and of its text: how long it is, how often a sentence ends
+or pauses in it, and its share of the page's longest block; parent-child potentials connect the nodes.
 Sum-product messages go up and down the tree once, which gives the exact marginals; the text of a block is kept where
 content is likelier than boilerplate. The potentials are smoothed counts over labelled pages: ``labelled_pages`` writes
 them from templates, with the state of each block in ``data-y``.
 
 Scripts, styles, comments, heads and form controls never are text. Inline markup joins its block, ``br`` is white
 space. Unclosed and stray tags are read as browsers do: a block start ends an open paragraph, an end tag closes what
-is open inside it, a stray one is ignored, and the end of the page closes everything.
+is open inside it, a stray one is ignored, and the end of the page closes everything. A ``<`` that begins no tag, or a tag
+without end, is text. Every page is read in one pass forward, whatever it holds.
 
 Nulls: a null page gives empty text; null ids and urls are kept. Repeated rows give equal results. Empty in, empty out.
+Columns of any other name are carried inside one struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -41,9 +44,10 @@ BAD_WORDS = set(
     promo sponsor sponsored cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription signup
     form login search comment comments discussion disqus reply replies respond reader feedback review reviews related recommended more share sharing
     social follow breadcrumb breadcrumbs pagination pager copyright legal widget widgets tags meta toolbar tool tools skip contentinfo complementary
-    author-box credits disclaimer print hidden""".split()
+    credits disclaimer print hidden""".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^'\">]|\"[^\"]*\"|'[^']*')*+>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _STATE = re.compile(r"data-y=(\d)")
 _WORDS = re.compile(r"[a-z]+")
@@ -51,74 +55,117 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "parts", "chars", "linked", "state")
+    __slots__ = ("tag", "names", "parent", "chars", "linked", "marks", "state")
 
     def __init__(self, tag, names, parent, state=None):
         self.tag, self.names, self.parent, self.state = tag, names, parent, state
-        self.parts, self.chars, self.linked = [], 0, 0
+        self.chars = self.linked = self.marks = 0  # of the text right inside: characters, those in links, punctuation marks
+
+
+class _Tags:
+    """The tags of a page from front to back: (begin, end, name or None, whether it ends, attributes).
+
+    What has been searched for in vain up to the page's end is not searched for again.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.vain, self.quoted = html, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.vain:
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self.vain.add(what)
+        return found
+
+    def search(self, pattern: str, at: int) -> re.Match | None:
+        if pattern in self.vain:
+            return None
+        if (found := re.compile(pattern, re.I | re.A).search(self.html, at)) is None:
+            self.vain.add(pattern)
+        return found
+
+    def next(self, at: int) -> tuple | None:
+        html = self.html
+        while (begin := self.find("<", at)) >= 0:
+            at = begin + 1
+            if html.startswith("!--", at):
+                end = self.find("-->", begin + 4)
+                return begin, len(html) if end < 0 else end + 3, None, False, ""
+            if (end := self.find(">", at)) < 0:  # no tag ends any more
+                continue
+            m = _NAME.match(html, at)
+            if not m and not html.startswith(("!", "?"), at):
+                continue
+            if not m:
+                return begin, end + 1, None, False, ""
+            if self.quoted and ('"' in html[m.end() : end] or "'" in html[m.end() : end]):
+                whole = _REST.match(html, m.end())
+                self.quoted = whole is not None  # a quotation that never ends: from here on, a tag ends at the first >
+                end = whole.end() - 1 if whole else end
+            return begin, end + 1, m[2].lower(), m[1] == "/", html[m.end() : end]
+        return None
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order (parents first) and the page's runs of block text as (node, text)."""
     nodes = [Node("#page", "", -1)]
     open_, runs, run = [0], [], []  # open_: indexes of open blocks
-    links = at = 0
-    low = None
+    places: dict[str, list[int]] = {}  # of each tag, where in open_ it stands
+    tags, links, at, size = _Tags(html), 0, 0, len(html)
 
     def flush():
         if run:
             text = _SPACE.sub(" ", unescape("".join(run))).strip()
             if text:
                 runs.append((open_[-1], text))
+                nodes[open_[-1]].marks += sum(map(text.count, ".!?,;:"))
             run.clear()
 
     def close_to(k):
         flush()
+        for i in open_[k:]:
+            places[nodes[i].tag].pop()
         del open_[k:]
 
-    size = len(html)
+    def last(tag):
+        return places[tag][-1] if places.get(tag) else 0
+
     while at < size:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else size
+        found = tags.next(at)
+        end = found[0] if found else size
         if end > at:
             piece = html[at:end]
             run.append(piece)
             n = nodes[open_[-1]]
             n.chars += len(piece)
             n.linked += len(piece) if links else 0
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = m[2]
+        _, at, tag, ends, attributes = found
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if ends:
             if tag == "a":
                 links = max(0, links - 1)
             if tag == "br":
                 run.append(" ")
-            if tag in INLINE:
-                continue
-            for k in range(len(open_) - 1, 0, -1):
-                if nodes[open_[k]].tag == tag:
-                    close_to(k)
-                    links = 0
-                    break
+            if tag not in INLINE and last(tag):
+                close_to(last(tag))
+                links = 0
             continue
         if tag in RAW or tag in SKIP:
-            if m[3].endswith("/") and tag not in RAW:
+            if attributes.endswith("/") and tag not in RAW:
                 continue
             if tag == "head":  # its text is never shown; it ends at its end tag or at the body
-                stop = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
+                stop = tags.search(r"</head\s*>|<body\b", at)
                 at = (stop.end() if stop[0][1] == "/" else stop.start()) if stop else at
                 continue
-            low = html.lower() if low is None else low
-            stop = low.find(f"</{tag}", at) if len(low) == size else html.find(f"</{tag}", at)
-            if stop < 0:
+            stop = tags.search(rf"</{tag}(?=[\s/>]|\Z)", at) if tag.isalnum() else None
+            if stop is None:
                 at = size if tag in RAW else at
                 continue
-            stop = html.find(">", stop)
+            stop = tags.find(">", stop.end())
             at = size if stop < 0 else stop + 1
             continue
         if tag in INLINE:
@@ -129,21 +176,17 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         flush()
         links = 0
-        if nodes[open_[-1]].tag == "p" or tag in SELF_CLOSING and nodes[open_[-1]].tag == tag:
-            open_.pop()
-        elif tag in SELF_CLOSING:
-            for k in range(len(open_) - 1, 0, -1):
-                t = nodes[open_[k]].tag
-                if t in SELF_CLOSING[tag]:
-                    break
-                if t == tag:
-                    close_to(k)
-                    break
+        top = nodes[open_[-1]].tag
+        if top == "p" or tag in SELF_CLOSING and top == tag:
+            close_to(len(open_) - 1)
+        elif tag in SELF_CLOSING and last(tag) > max(map(last, SELF_CLOSING[tag])):
+            close_to(last(tag))
         if tag in VOID:
             continue
-        names = " ".join(m[3] and _NAMES.findall(m[3])).lower() if m[3] else ""
-        state = _STATE.search(m[3]) if m[3] else None
+        names = " ".join(_NAMES.findall(attributes)).lower() if attributes else ""
+        state = _STATE.search(attributes) if attributes else None
         nodes.append(Node(tag, names, open_[-1], int(state[1]) if state else None))
+        places.setdefault(tag, []).append(len(open_))
         open_.append(len(nodes) - 1)
     flush()
     return nodes, runs
@@ -151,16 +194,22 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 def evidence(nodes: list[Node]) -> list[tuple]:
     """The features of each node, over its whole subtree."""
-    chars, linked = [n.chars for n in nodes], [n.linked for n in nodes]
+    chars, linked, marks = ([getattr(n, x) for n in nodes] for x in ("chars", "linked", "marks"))
     for k in range(len(nodes) - 1, 0, -1):
-        chars[nodes[k].parent] += chars[k]
-        linked[nodes[k].parent] += linked[k]
+        parent = nodes[k].parent
+        chars[parent] += chars[k]
+        linked[parent] += linked[k]
+        marks[parent] += marks[k]
+    longest = max(n.chars for n in nodes) or 1
     out = []
-    for n, c, l in zip(nodes, chars, linked, strict=True):
+    for n, c, l, m in zip(nodes, chars, linked, marks, strict=True):
         words = _WORDS.findall(n.names)
         named = 2 if any(w in BAD_WORDS for w in words) else 1 if any(w in GOOD_WORDS for w in words) else 0
         share = l / c if c else 0
-        out.append((("own", (n.tag, named)), ("named", named), ("links", 0 if share < 0.2 else 1 if share < 0.6 else 2)))
+        length = 0 if c < 40 else 1 if c < 160 else 2 if c < 640 else 3
+        pause = 0 if not m else 1 if 80 * m < c else 2
+        part = 0 if 8 * c < longest else 1 if 2 * c < longest else 2
+        out.append((("own", (n.tag, named)), ("named", named), ("links", 0 if share < 0.2 else 1 if share < 0.6 else 2), ("text", (length, pause, part))))
     return out
 
 
@@ -179,9 +228,10 @@ class Model:
                 if n.parent >= 0:
                     edges[above][y] += 1
                 for name, value in features:
-                    seen[name, value, y] = seen.get((name, value, y), 0) + 1
-                    totals[name, y] = totals.get((name, y), 0) + 1
                     kinds.setdefault(name, set()).add(value)
+                    for x in (0, 1, 2, 4) if name == "text" and y != 3 else (y,):  # the text's look tells the top of boilerplate from all else
+                        seen[name, value, x] = seen.get((name, value, x), 0) + 1
+                        totals[name, x] = totals.get((name, x), 0) + 1
         self.edges = [[x / sum(row) for x in row] for row in edges]
         self.table = {
             (name, value): tuple(log((seen.get((name, value, y), 0) + 0.5) / (totals.get((name, y), 0) + 0.5 * len(values) + 0.5)) for y in range(STATES))
@@ -233,10 +283,18 @@ def labelled_pages(n: int = 400, seed: int = 20260501) -> list[str]:
     def words(a, b):
         return " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(r.randint(a, b)))
 
+    def prose(a, b):
+        """Words in sentences; now and then without a mark."""
+        if r.random() < 0.1:
+            return words(a, b)
+        return " ".join(w + r.choices([".", ",", ""], [1, 1, 8])[0] for w in words(a, b).split()) + "."
+
     def links(tag, a, b):
         return "".join(f'<{tag}><a href="/{words(1, 1)}">{words(1, 3)}</a></{tag}>' for _ in range(r.randint(a, b)))
 
     def boiler(tag, names, inside):
+        if names and r.random() < 0.3:  # a name that tells nothing
+            names = words(1, 1)
         return f"<{tag} data-y=2{f' class="{names}"' if names else ''}>{inside}</{tag}>"
 
     def block(kind):
@@ -261,12 +319,12 @@ def labelled_pages(n: int = 400, seed: int = 20260501) -> list[str]:
             return boiler("form", "", f"<p>{words(1, 5)}</p><label>{words(1, 3)}</label><input>{pick(['', f'<fieldset>{words(1, 4)}</fieldset>'])}")
         tag = pick(["div", "section", "ol"])  # reader comments
         one = pick(["div", "article", "li"])
-        return boiler(tag, pick(["comments", "comment-list", "discussion", "replies"]), f"<h3>{words(1, 3)}</h3>" + "".join(f'<{one} class="comment"><p>{words(3, 40)}</p></{one}>' for _ in range(r.randint(1, 4))))
+        return boiler(tag, pick(["comments", "comment-list", "discussion", "replies"]), f"<h3>{words(1, 3)}</h3>" + "".join(f'<{one} class="comment"><p>{prose(3, 40)}</p></{one}>' for _ in range(r.randint(1, 4))))
 
     def paragraphs():
         out = []
         for _ in range(r.randint(1, 9)):
-            out.append(r.choice([f"<p>{words(1, 5)}</p>", *[f"<p>{words(15, 90)}</p>"] * 5, f"<h2>{words(1, 8)}</h2>", f"<ul><li>{words(2, 20)}</li><li>{words(2, 20)}</li></ul>", f"<blockquote><p>{words(5, 40)}</p></blockquote>", f"<pre>{words(4, 30)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>", f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>", f'<p>{words(9, 30)} <a href="/x">{words(1, 3)}</a> {words(5, 30)}</p>', f"<div>{words(10, 60)}</div>", f'<p><a href="/x">{words(3, 12)}</a></p>', f"<ul>{links('li', 2, 4)}</ul>", f"<section>{words(10, 60)}<p>{words(10, 60)}</p>{block(r.choice(['ad', 'side']))}</section>"]))
+            out.append(r.choice([f"<p>{words(1, 5)}</p>", *[f"<p>{prose(15, 90)}</p>"] * 5, f"<h2>{words(1, 8)}</h2>", f"<ul><li>{words(2, 20)}</li><li>{words(2, 20)}</li></ul>", f"<blockquote><p>{prose(5, 40)}</p></blockquote>", f"<pre>{words(4, 30)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>", f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>", f'<p>{prose(9, 30)} <a href="/x">{words(1, 3)}</a> {prose(5, 30)}</p>', f"<div>{prose(10, 60)}</div>", f'<p><a href="/x">{words(3, 12)}</a></p>', f"<ul>{links('li', 2, 4)}</ul>", f"<section>{prose(10, 60)}<p>{prose(10, 60)}</p>{block(r.choice(['ad', 'side']))}</section>"]))
             if r.random() < 0.1:
                 out.append(block(r.choice(["ad", "side", "form", "notice"])))
         return "".join(out)
@@ -277,7 +335,7 @@ def labelled_pages(n: int = 400, seed: int = 20260501) -> list[str]:
         head = r.choice([f"<h1>{words(2, 9)}</h1>", f"<header><h1>{words(2, 9)}</h1><p>{words(2, 8)}</p></header>", ""])
         body = f"<{tag} data-y=1{f' class="{names}"' if names else ''}>{head}{paragraphs()}</{tag}>"
         if r.random() < 0.15:  # no container
-            body = "".join(f"<p data-y=1>{words(*r.choice([(1, 6), (10, 80)]))}</p>" for _ in range(r.randint(1, 6)))
+            body = "".join(f"<p data-y=1>{r.choice([words(1, 6), prose(10, 80)])}</p>" for _ in range(r.randint(1, 6)))
         before = [block(k) for k in ("menu", "header", "ad", "notice", "form") if r.random() < 0.5]
         after = [block(k) for k in ("side", "comments", "ad", "form", "notice", "footer") if r.random() < 0.5]
         r.shuffle(before)
@@ -295,17 +353,17 @@ def trained() -> Model:
 
 
 def extract(pages: DataFrame, html_col: str = "html", model: Model | None = None) -> DataFrame:
-    """``pages`` with ``main_text`` added."""
+    """(page, main_text): each row of ``pages`` as a struct, and its main text."""
     model = model or trained()
 
     @F.pandas_udf("string")
     def main_text(html: pd.Series) -> pd.Series:
         return html.map(model.extract, na_action=None)
 
-    return pages.withColumn("main_text", main_text(F.col(html_col)))
+    return pages.select(F.struct(*pages.columns).alias("page"), main_text(F.col(html_col)).alias("main_text"))
 
 
 def query(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    text = extract(pages).select("page_id", "url", F.col("main_text").alias("text"))
+    text = extract(pages).select("page.page_id", "page.url", F.col("main_text").alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,7 +1,9 @@
 import re
+import time
 from html import unescape
 
 import pytest
+from helpers import clashing
 
 from tessella.llm import html
 
@@ -48,10 +50,40 @@ def test_edges(spark):
     for broken in ["<p", "<!-- x", "</p></div>", "<script>x", "<a href='", "<div " + "x" * 100000, "<div>" * 3000 + "deep", "\x00", "<p>" + "w " * 200000]:
         assert isinstance(m.extract(broken), str)
     pages = spark.createDataFrame([(None, None, None), (1, "u", "<article><p>x</p></article>")], "page_id long, url string, html string")
-    assert {(r.page_id, r.main_text) for r in html.extract(pages).collect()} == {(None, ""), (1, "x")}
+    pages = clashing(pages.unionByName(pages), "main_text", "page", "text")
+    assert sorted((r.page.page_id or 0, r.main_text, r.page.main_text) for r in html.extract(pages).collect()) == [(0, "", "own")] * 2 + [(1, "x", "own")] * 2
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("junk", ["a <b ", "a <b \" ", "a <b ' ", "<div>", "<li>x", "<button>", "<head>", "<!", "<!-- ", "<script", "</p>", "<ul><li>", "<td><div>", "<a href='"])
+def test_floods_take_linear_time(junk):
+    m = html.trained()
+    began = time.process_time()
+    assert isinstance(m.extract("<article><p>x</p>" + junk * 20_000), str)
+    assert time.process_time() - began < 8
+
+
+def test_deep_trees_take_linear_time():
+    began = time.process_time()
+    html.parse("<div>" * 20_000 + "</li>" * 20_000 + "<li></li>" * 20_000)
+    assert time.process_time() - began < 8
+
+
+def test_letters_that_grow_when_lowered():
+    body = "<p>\u0130</p><article><SCRIPT>var a = '<p>';</SCRIPT ><h1>T</h1><p>Text of it, all.</p><Style>x</STYLE></article>"
+    assert html.trained().extract(page(body)) == html.trained().extract(page(body.replace("\u0130", "I"))).replace("I\n", "\u0130\n")
+    assert html.trained().extract(page(body)).endswith("T\nText of it, all.")
+
+
+def test_names_that_tell_nothing():
+    """The look of the text decides where class names are unknown."""
+    text = "<p>Some words that make up a whole paragraph, with a pause and an end.</p>" * 3
+    got = html.trained().extract(page(f"<div class='gdprbar'>We use things to see you</div><article><h1>T</h1>{text}</article>"))
+    assert got.startswith("T\n") and got.count("paragraph") == 3
+    got = html.trained().extract(page(f"<div class='x1'><a href=a>Home</a> <a href=b>News</a></div><div class='x2'><h1>T</h1>{text}</div><div class='x3'>Copyright us</div>"))
+    assert got.startswith("T\n") and got.endswith("end.")
+
+
 def test_marginals_match_enumeration():
     from itertools import product
     from math import exp
