@@ -5,15 +5,16 @@ spans that the rules found. Only pairs that the ledger lacks are scanned, each d
 joined back to every path and version that has the blob, so copies cost a hash and no scan.
 
 Spans are code point offsets, the end exclusive. A rule's matches are its leftmost, non-overlapping ones; offsets come
-from the lengths of the gaps and matches that one pass of the regular expression returns alternately.
+from the lengths of the gaps and matches that one pass of the regular expression returns alternately. Matches that are
+too short are dropped, as passed over text.
 
 Nulls: a null text is an empty one; null paths are kept. Repeated rows each get their findings. An empty table gives an
-empty result. Columns of other names are ignored.
+empty result. Columns of other names are ignored; those that are asked for come in one struct, so none can clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
@@ -35,41 +36,44 @@ BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
 
 
-def _spans(text: Column, place: int, kind: str, test: str, pattern: str, least: int) -> Column:
-    """Array of (start, place, kind, end) of one rule's matches."""
+def _parts(text: Column, place: int, kind: str, test: str, pattern: str, least: int) -> Column:
+    """Array of (place, kind, least, i, gap, head, value): lengths of one rule's matches and of the gaps before them, in order."""
     step = F.lit(rf"(?s)(.*?)(?:{pattern}|\z)")
     gaps, heads, values = (F.regexp_extract_all(text, step, F.lit(k)) for k in (1, 2, 3))
-    parts = F.arrays_zip(gaps.alias("g"), heads.alias("h"), values.alias("v"))
-    none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def add(state, x):
-        begin = state["at"] + F.length(x["g"])
-        end = begin + F.length(x["h"]) + F.length(x["v"])
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), end.alias("end"))
-        more = F.concat(state["found"], F.array(span))
-        good = F.length(x["v"]) >= max(1, least)
-        return F.struct(end.alias("at"), F.when(good, more).otherwise(state["found"]).alias("found"))
+    def part(x, i):
+        sizes = [F.length(x[c]).alias(n) for c, n in (("g", "gap"), ("h", "head"), ("v", "value"))]
+        return F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), F.lit(max(1, least)).alias("least"), i.alias("i"), *sizes)
 
-    return F.when(text.rlike(test), F.aggregate(parts, start, add, lambda s: s["found"])).otherwise(none)
+    parts = F.transform(F.arrays_zip(gaps.alias("g"), heads.alias("h"), values.alias("v")), part)
+    none = F.array().cast("array<struct<place:int,kind:string,least:int,i:int,gap:int,head:int,value:int>>")
+    return F.when(text.rlike(test), parts).otherwise(none)
 
 
-def address(versions: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``blob``: the SHA-256 of the text."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+def address(text: Column) -> Column:
+    """The SHA-256 of a text, which names its blob."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def scan(blobs: DataFrame, rules=None, version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, spans) of (blob, text) rows."""
-    rules = rules or RULES
+    """Ledger rows (blob, rule_version, spans) of (blob, text) rows, one a blob.
+
+    Where a match begins is the sum of the gaps and matches before it, over a window by blob and rule, so a text with many
+    matches costs no more than a row for each.
+    """
     text = F.coalesce(F.col("_text"), F.lit(""))
-    found = F.concat(*(_spans(text, k, *rule) for k, rule in enumerate(rules)))
-    return blobs.select("blob", F.lit(version).alias("rule_version"), F.array_sort(found).alias("spans"))
+    found = F.concat(*(_parts(text, k, *rule) for k, rule in enumerate(rules or RULES)))
+    rows = blobs.select("blob", F.explode_outer(found).alias("x")).select("blob", "x.*")
+    upto = F.sum(F.col("gap") + F.col("head") + F.col("value")).over(Window.partitionBy("blob", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end", upto.cast("int"))
+    span = F.struct((F.col("end") - F.col("head") - F.col("value")).alias("start"), "place", "kind", "end")
+    spans = F.array_sort(F.collect_list(F.when(F.col("value") >= F.col("least"), span)))
+    return rows.groupBy("blob").agg(spans.cast(SPANS).alias("spans")).select("blob", F.lit(version).alias("rule_version"), "spans")
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, version: int = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """Each distinct blob that the ledger has not seen under this rule version, once, with its text."""
-    rows = address(versions, text_col).select("blob", F.col(text_col).alias("_text"))
+    rows = versions.select(address(F.col(text_col)).alias("blob"), F.col(text_col).alias("_text"))
     if ledger is not None:
         rows = rows.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     return rows.groupBy("blob").agg(F.any_value("_text").alias("_text"))
@@ -82,10 +86,10 @@ def update(versions: DataFrame, ledger: DataFrame | None = None, text_col: str =
 
 
 def findings(versions: DataFrame, ledger: DataFrame, keys: list[str], text_col: str = "text", version: int = RULE_VERSION) -> DataFrame:
-    """``keys`` (path, version ...) of every row with the spans of its blob."""
-    rows = address(versions, text_col).select(*keys, "blob")
+    """(path, blob, spans): ``keys`` (path, version ...) of every row as a struct, with its blob and the blob's spans."""
+    rows = versions.select(F.struct(*keys).alias("path"), address(F.col(text_col)).alias("blob"))
     known = ledger.where(F.col("rule_version") == version).select("blob", "spans")
-    return rows.join(known, "blob", "left")
+    return rows.join(known, "blob", "left").select("path", "blob", "spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -96,11 +100,17 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ledger = cut(update(docs), "secrets-ledger")
+def digest(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The findings of every document, from the ledger, as counts and joined spans."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [_count(k).alias(f"n_{k}") for k in BASE]
-    digest = ledger.select("blob", "rule_version", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
-    rows = address(docs).select("doc_id", "blob")
-    return rows.join(digest.drop("rule_version"), "blob").select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans")
+    own = ledger.where(F.col("rule_version") == RULE_VERSION)
+    own = own.select("blob", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    rows = docs.select("doc_id", address(F.col("text")).alias("blob"))
+    return rows.join(own, "blob").select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans")
+
+
+def query(spark, sf_dir, ledger: DataFrame | None = None):
+    """The findings in all documents; a stored ``ledger`` saves the scan of all texts that it has."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return digest(docs, cut(update(docs, ledger), "secrets-ledger"))

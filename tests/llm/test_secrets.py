@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from helpers import docs, store
+from helpers import clashing, docs, store
+from pyspark.sql import functions as F
 
 from tessella.llm import secrets
 
@@ -49,5 +50,28 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert secrets.unseen(later, ledger, version=2).count() == 2
     whole = secrets.update(later, ledger)
     assert whole.count() == 3
-    found = {(r.doc_id, len(r.spans)) for r in secrets.findings(first.unionByName(later), whole, ["doc_id"]).collect()}
+    found = {(r.path.doc_id, len(r.spans)) for r in secrets.findings(first.unionByName(later), whole, ["doc_id"]).collect()}
     assert found == {(1, 1), (2, 1), (3, 0)}
+    own = clashing(later, "blob", "spans", "_text", "kind")
+    assert {r.path.blob for r in secrets.findings(own, secrets.update(own, ledger), ["doc_id", "blob", "spans"]).collect()} == {"own"}
+
+
+def test_query_on_a_stored_ledger(spark, tmp_path):
+    sf = store(spark, tmp_path, "documents", docs(spark, [(1, "token=abcdefgh"), (2, "plain")]))
+    planted = secrets.update(docs(spark, [(9, "plain")])).withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("place"), F.lit("assign").alias("kind"), F.lit(5).alias("end"))))
+    got = {r.doc_id: r.spans for r in secrets.query(spark, sf, ledger=planted).collect()}
+    assert got == {1: "assign:0:14", 2: "assign:0:5"}  # what the ledger has is not scanned again
+
+
+def test_further_kinds(spark):
+    texts = ["x -----BEGIN RSA PRIVATE KEY----- y -----BEGIN PRIVATE KEY-----", "é xoxb-" + "1" * 12 + " ghs_" + "Z" * 40, "eyJabcdefgh.abcdefgh.sig eyJabc.x.y", "ghp_short xoxb-1 eyJ"]
+    got = {r._text: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame([(t, t) for t in texts], "blob string, _text string")).withColumn("_text", F.col("blob")).collect()}
+    assert got[texts[0]] == [("private_key", 2, 33), ("private_key", 36, 63)]
+    assert got[texts[1]] == [("slack", 2, 19), ("github", 20, 64)]
+    assert got[texts[2]] == [("jwt", 0, 24)] and got[texts[3]] == []
+
+
+def test_a_text_with_many_matches(spark):
+    text = " ".join(f"token=abcdef{k:06d}" for k in range(60_000))
+    (row,) = secrets.scan(spark.createDataFrame([("b", text)], "blob string, _text string")).collect()
+    assert len(row.spans) == 60_000 and (row.spans[-1].start, row.spans[-1].end) == (59_999 * 19, len(text))
