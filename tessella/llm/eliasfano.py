@@ -1,21 +1,24 @@
-"""Elias-Fano sequences and a two-level n-gram trie on them, in memory-mapped arrays.
+"""Elias-Fano sequences and a two-level n-gram trie on them, in memory-mapped levels.
 
 A monotone sequence keeps each value's low bits packed and its high bits in unary; the k-th zero of the unary part says
 how many values have a high part of at most k, so a value is found in one select and a search among the few that share
 its high part. The trie's levels are such sequences: contexts, pointers to their ranges of followers, and followers,
 which are stored relative to their context's base so that the whole level ascends. A successor search for base + word
-then finds a follower. Probabilities are 16-bit codes of their logarithm.
+then finds a follower, whose value is a 16-bit code. Codes number the entries of a codebook of counts, exact up to
+``EXACT`` and evenly spaced in logarithm beyond; with a corpus-wide discount it becomes one of smoothed counts.
+
+Levels are built one after the other and moved into one anonymous memory map; no file is written.
 """
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 
 import numpy as np
 
 U = np.uint64
-#: log10 of the least probability that a code can say; codes are evenly spaced up to 0.
-FLOOR, CODES = -12.0, 65534
+#: Counts up to EXACT have codes of their own; beyond, there are STEPS codes to a factor of two.
+EXACT, STEPS = 4096, 1024
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -115,43 +118,30 @@ class Sequence:
         return out
 
 
-def encode(p: np.ndarray) -> np.ndarray:
-    """16-bit codes of probabilities; code 0 says none."""
-    with np.errstate(divide="ignore"):
-        code = np.rint((np.log10(p) / FLOOR * -1 + 1) * CODES) + 1
-    return np.where(p > 0, np.clip(code, 1, CODES + 1), 0).astype(np.uint16)
+def encode(count: np.ndarray) -> np.ndarray:
+    """16-bit codes of counts; code 0 says none."""
+    beyond = EXACT + np.rint(np.log2(np.maximum(count, EXACT) / EXACT) * STEPS)
+    return np.where(count <= EXACT, count, np.minimum(beyond, 65535)).astype(np.uint16)
 
 
 def decode(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10 ** (((code.astype(np.float64) - 1) / CODES - 1) * -FLOOR), 0.0)
+    code = code.astype(np.float64)
+    return np.where(code <= EXACT, code, EXACT * np.exp2((np.maximum(code, EXACT) - EXACT) / STEPS))
 
 
 class Trie:
-    """Followers of contexts with coded probabilities. Pairs ascend by context, then word, and are unique."""
+    """Followers of contexts with codes. Pairs ascend by context, then word, and are unique."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, p: np.ndarray):
+    def __init__(self, context: np.ndarray, word: np.ndarray, codes: np.ndarray):
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
-        self.contexts = Sequence(context[first])
-        self.pointers = Sequence(np.r_[first, len(context)])
         last = np.r_[first[1:], len(context)] - 1
         room = word[last].astype(np.int64) + 1 if len(first) else np.zeros(0, np.int64)
         base = np.cumsum(room) - room
-        self.bases = Sequence(base)
-        self.followers = Sequence(np.repeat(base, last + 1 - first) + word.astype(np.int64))
-        self.codes = encode(p)
-        self._map()
-
-    def _map(self) -> None:
-        """Move the arrays to one temporary file without a name and map it."""
-        owners = [(s, name) for s in (self.contexts, self.pointers, self.bases, self.followers) for name in Sequence.ARRAYS]
-        owners.append((self, "codes"))
-        self._file = file = tempfile.TemporaryFile()
-        for owner, name in owners:
-            array, at = getattr(owner, name), file.tell()
-            file.write(array.tobytes())
-            file.write(b"\0" * (-file.tell() % 8 + 8 * (not len(array))))
-            file.flush()
-            setattr(owner, name, np.memmap(file, array.dtype, "r", at, array.shape) if len(array) else array)
+        self.contexts = _mapped(Sequence(context[first]))
+        self.pointers = _mapped(Sequence(np.r_[first, len(context)]))
+        self.bases = _mapped(Sequence(base))
+        self.followers = _mapped(Sequence(np.repeat(base, last + 1 - first) + word.astype(np.int64)))
+        self.codes = _map(codes.astype(np.uint16))
 
     def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each (context, word), 0 where the trie lacks it."""
@@ -166,3 +156,18 @@ class Trie:
         at = np.where(want < end, self.followers.find(want.astype(U)), -1)
         out[known[at >= 0]] = self.codes[at[at >= 0]]
         return out
+
+
+def _map(array: np.ndarray) -> np.ndarray:
+    """The array in an anonymous memory map."""
+    if not len(array):
+        return array
+    held = np.frombuffer(mmap.mmap(-1, array.nbytes), array.dtype)
+    held[:] = array
+    return held
+
+
+def _mapped(s: Sequence) -> Sequence:
+    for name in Sequence.ARRAYS:
+        setattr(s, name, _map(getattr(s, name)))
+    return s

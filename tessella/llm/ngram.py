@@ -1,24 +1,33 @@
-"""Language-model scoring with a bigram model in Elias-Fano tries.
+"""Language-model scoring with a trigram model in Elias-Fano tries.
 
-p(w | v) = max(c(v, w) - D, 0) / c(v) + g(v) p1(w): absolute discounting by count (D1, D2, D3+ from the counts of counts)
-over the smoothed unigram p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); g(v) is what the discounts leave. A text is its words,
-A-Z lower-cased, and one end; its first word follows a beginning. Words of no training text share one unknown word.
+p3(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) p2(w | v), and p2 likewise over the smoothed unigram
+p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)): absolute discounting, with D = n1 / (n1 + 2 n2) of each order from the numbers
+of pairs that the whole corpus has once and twice; g is what the discounts leave. (A discount of its own for a count of
+two suffers where many texts come twice: they leave hardly a count of three.) A context that no training text has leaves
+the lower order as it is. A text is its words, A-Z lower-cased, and one end; its first word follows a beginning, and so is scored by
+p2. Words of no training text share one unknown word.
 
 The model is too large for one machine, so it is dealt out and asked. Documents are packed into chunks of about
 ``CHUNK`` tokens with a vocabulary each. A chunk sends its words, with their training counts, to shards by hash; a shard
-sums them and answers each chunk with the words' numbers and counts. Then the chunk sends its distinct bigrams, with
-their training counts, to shards of contexts; each shard builds its trie (see ``eliasfano``), looks all chunks'
-bigrams up in it and answers with the coded probabilities. Chunks put their documents' sums together. A context with
-more than its share of tokens is spread over shards by the following word. Shards hold about ``SHARD`` entries, however
-large the corpus. What is sent is distinct words and bigrams of chunks, so it grows with the input.
-
-Nulls: a null text is empty and scores its end; a null id is in fold 0, held out. Repeated rows are scored, and learnt
-from, each. Without training rows p1 is 0.1 / 0.1. Empty in, empty out. Up to 2^32 distinct words.
+sums them and answers each chunk with the words' numbers and counts. Then, order by order, the chunk sends its distinct
+(context, word) pairs, with their training counts, to shards of contexts; each shard builds its trie (see ``eliasfano``),
+looks up what is asked, and answers with codes of counts and, for each context, its number of followers. Shards also
+report their counts of counts, which make the corpus-wide discount and with it the codebook of smoothed counts; scores so do not depend on how many shards or chunks there are. A shard
+of bigrams says as well which of them several chunks have; the trigrams behind the others are resolved in their chunk
+and never sent. A context with
+more than its share of tokens is spread over shards by the following word. Shards hold about ``SHARD`` tokens' entries,
+however large the corpus. What is sent is distinct words and pairs of chunks, so it grows with the input.
+
+Nulls: a null text is empty and scores its end; a null id is in fold 0, held out. Ids of any kind that a string can hold
+stay exact. Repeated rows are scored, and learnt from, each. Without training rows p1 is 0.1 / 0.1. Empty in, empty out.
+Columns of any other name are not read. Up to 2^32 distinct words.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -30,10 +39,11 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD, ascii_lower, cut
 from tessella.llm.eliasfano import Trie, decode, encode
 
-CHUNK, SHARD, ALPHA, FOLDS, SEED = 1_500_000, 1_500_000, 0.1, 10, 42
+CHUNK, SHARD, ALPHA, FOLDS, SEED, ORDER = 1_000_000, 1_500_000, 0.1, 10, 42, 3
 #: The end of a text: a string that no word can be.
 END = "\n"
 U = np.uint64
+LOW = U(0xFFFFFFFF)
 
 
 def press(a: np.ndarray) -> bytes:
@@ -48,41 +58,60 @@ def unpress(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents packed by chunk: ids, folds, token counts, tokens (end included) as places in the chunk's vocabulary."""
+    """Documents packed by chunk: ids, folds, token counts (end included), and tokens as ranks of the chunk's words by number."""
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % FOLDS
-    rows = docs.select(F.col(id_col).alias("id"), (fold == 0).alias("held"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), (fold == 0).alias("held"), F.col(text_col).alias("text"))
 
     def pack(batches):
-        ids, held, sizes, parts, places, total = [], [], [], [], {END: 0}, 0
+        def empty():
+            places = defaultdict()
+            places.default_factory = places.__len__  # a new word gets the next place
+            return [], [], [], [], places
+
+        ids, held, sizes, parts, places = empty()
+        total = 0
 
         def done():
             hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in places], U)
             order = np.argsort(hashes)
-            turn = np.empty(len(order), np.uint32)
-            turn[order] = np.arange(len(order), dtype=np.uint32)
+            turn = np.empty(len(order), np.int64)
+            turn[order] = np.arange(len(order))
             tokens = turn[np.concatenate(parts)]
+            every = np.bincount(tokens, minlength=len(order)).astype(np.uint32)
             train = np.bincount(tokens[~np.repeat(np.array(held, bool), sizes)], minlength=len(order)).astype(np.uint32)
-            row = {"chunk": uuid.uuid4().hex, "ids": ids, "held": held, "sizes": sizes, "tokens": press(tokens), "words": hashes[order].tobytes(), "counts": press(train)}
+            rank = np.empty(len(order), np.uint32)
+            rank[ranked(every)] = np.arange(len(order), dtype=np.uint32)
+            row = {"chunk": uuid.uuid4().hex, "ids": ids, "held": held, "sizes": sizes, "tokens": press(rank[tokens]), "words": hashes[order].tobytes(), "counts": press(train), "every": press(every)}
             return pd.DataFrame({k: [v] for k, v in row.items()})
 
         for pdf in batches:
-            for i, h, text in zip(pdf["id"].astype(object), pdf["held"], pdf["text"], strict=True):
+            for i, h, text in zip(pdf["id"], pdf["held"], pdf["text"], strict=True):
                 words = WORD.findall(ascii_lower(text or ""))
                 words.append(END)
-                parts.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words)))
-                ids.append(None if pd.isna(i) else i)
+                parts.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+                ids.append(i)
                 held.append(bool(h))
                 sizes.append(len(words))
                 total += len(words)
                 if total >= CHUNK:
                     yield done()
-                    ids, held, sizes, parts, places, total = [], [], [], [], {END: 0}, 0
+                    ids, held, sizes, parts, places = empty()
+                    total = 0
         if ids:
             yield done()
 
-    return rows.mapInPandas(pack, f"chunk string, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words binary, counts binary")
+    return rows.mapInPandas(pack, "chunk string, ids array<string>, held array<boolean>, sizes array<int>, tokens binary, words binary, counts binary, every binary")
+
+
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """Places by count, the largest first: frequent words get small ranks, which compress well."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
 
 
 def vocabulary(packed: DataFrame, shards: int) -> DataFrame:
@@ -106,7 +135,7 @@ def vocabulary(packed: DataFrame, shards: int) -> DataFrame:
         out = {"chunk": [None, *pdf["chunk"]], "shard": int(pdf["shard"].iloc[0]), "n": int(count.sum()), "v": int((count > 0).sum()), "u": len(known)}
         parts = [place[a:b] for a, b in zip(sizes, sizes[1:], strict=False)]
         # a chunk's words of a shard ascend by hash, and so do their numbers
-        return pd.DataFrame(out | {"number": [None, *(press(np.diff(p, prepend=0).astype(np.uint32)) for p in parts)], "count": [None, *(press(count[p]) for p in parts)]})
+        return pd.DataFrame(out | {"number": [None, *(press(steps(p).astype(np.uint32)) for p in parts)], "count": [None, *(press(count[p]) for p in parts)]})
 
     rows = packed.select("chunk", "words", "counts").mapInPandas(send, "shard int, chunk string, words binary, counts binary")
     return rows.groupBy("shard").applyInPandas(answer, "chunk string, shard int, n long, v long, u long, number binary, count binary")
@@ -139,136 +168,196 @@ class Totals:
         return np.minimum(self.contexts, 1 + (count // share)).astype(np.int64)
 
 
+def discount(once: int, twice: int) -> float:
+    """D from the numbers of pairs seen once and twice."""
+    return min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+
+
+class Level:
+    """A chunk's distinct (context, word) pairs of one order, what it asks of which shard, and what is answered.
+
+    ``context`` says for each token which of ``keys`` (ascending) it follows, ``total`` how often training texts have that
+    context, ``ask`` whether shards must be asked about it; a known context that isn't asked about is wholly in the chunk.
+    """
+
+    def __init__(self, context, keys, total, word, train, ask, totals: Totals):
+        packed, self.pair = np.unique(context.astype(U) << U(32) | word, return_inverse=True)
+        self.of, self.word = (packed >> U(32)).astype(np.int64), packed & LOW
+        self.c = np.bincount(self.pair[train], minlength=len(packed)).astype(np.uint32)
+        self.keys, self.total, self.shards = keys, total, totals.contexts
+        used = np.zeros(len(keys), bool)
+        used[self.of] = True
+        self.ask = ask & used & (total > 0)
+        k = np.where(self.ask, totals.spread(total), 1)
+        mix = (keys * U(0x9E3779B97F4A7C15) >> U(33)).astype(np.int64)
+        asked = np.flatnonzero(self.ask[self.of])
+        part = (self.word[asked] * U(0xC2B2AE3D27D4EB4F) >> U(33)).astype(np.int64) % k[self.of[asked]]
+        shard = (mix[self.of[asked]] + part) % self.shards
+        order = np.argsort(shard, kind="stable")
+        self.order, shard = asked[order], shard[order]
+        self.edges = np.searchsorted(shard, np.arange(self.shards + 1))
+        wide = np.flatnonzero(k > 1)  # of a spread context, shards that get none of its pairs are asked for their part as well
+        which = np.repeat(wide, k[wide])
+        place = np.arange(len(which)) - np.repeat(np.cumsum(k[wide]) - k[wide], k[wide])
+        more = np.setdiff1d((mix[which] + place) % self.shards * len(keys) + which, shard * len(keys) + self.of[self.order])
+        self.more, more_shard = more % max(1, len(keys)), more // max(1, len(keys))
+        self.more_edges = np.searchsorted(more_shard, np.arange(self.shards + 1))
+        self.code, self.followers, self.shared = np.zeros(len(packed), np.uint16), np.zeros(len(keys), np.int64), np.zeros(len(packed), bool)
+        inside = np.flatnonzero((total > 0) & used & ~self.ask)  # resolved here
+        mine = np.zeros(len(keys), bool)
+        mine[inside] = True
+        own = np.flatnonzero(mine[self.of])
+        self.code[own] = encode(self.c[own])
+        some = own[self.c[own] > 0]
+        self.followers += np.bincount(self.of[some], minlength=len(keys))
+        self.tally = [int((self.c[own] == k).sum()) for k in (1, 2)]
+
+    def _contexts(self, s: int) -> np.ndarray:
+        """The contexts that shard s is asked about: those of its pairs, and further ones."""
+        of = self.of[self.order[self.edges[s] : self.edges[s + 1]]]
+        return np.r_[of[np.r_[True, of[1:] != of[:-1]]] if len(of) else of, self.more[self.more_edges[s] : self.more_edges[s + 1]]]
+
+    def requests(self, own: int):
+        """(shard, contexts of pairs, words, counts, further contexts, tally); the tally goes to the shard ``own``."""
+        for s in range(self.shards):
+            pairs, more = self.order[self.edges[s] : self.edges[s + 1]], self.more[self.more_edges[s] : self.more_edges[s + 1]]
+            if len(pairs) or len(more) or s == own:
+                v, w = steps(self.keys[self.of[pairs]]), self.word[pairs]
+                w[1:] -= np.where(v[1:] == 0, w[:-1], U(0))  # words ascend inside a context
+                yield s, press(v), press(w.astype(np.uint32)), press(self.c[pairs]), press(self.keys[more]), *(self.tally if s == own else (0, 0))
+
+    def answer(self, rows: pd.DataFrame) -> None:
+        for s, codes, followers, shared in zip(rows["shard"], rows["number"], rows["count"], rows["shared"], strict=True):
+            mine = self.order[self.edges[s] : self.edges[s + 1]]
+            self.code[mine] = unpress(codes, np.uint16)
+            self.shared[mine] = np.unpackbits(unpress(shared, np.uint8), count=len(mine))
+            self.followers[self._contexts(s)] += unpress(followers, np.uint32)  # a shard has a context once
+
+    def p(self, lower: np.ndarray, d: float) -> np.ndarray:
+        """Each token's probability over the lower order's, with the codebook of counts less the discount."""
+        smooth = np.where(self.code > 0, decode(self.code) - d, 0.0) / np.maximum(self.total, 1)[self.of]
+        left = np.where(self.total > 0, self.followers * d / np.maximum(self.total, 1), 1.0)
+        return smooth[self.pair] + left[self.of][self.pair] * lower
+
+
 class Chunk:
-    """A chunk with its words' numbers and counts: what it asks of the shards of contexts, and its documents' scores."""
+    """A chunk with its words' numbers and counts, and the levels as far as they are answered."""
 
-    def __init__(self, row, answers: pd.DataFrame, totals: Totals, vocabulary_shards: int):
-        self.t, self.ids = totals, list(row["ids"])
-        self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        tokens = unpress(row["tokens"], np.uint32)
-        words = answers.sort_values("shard")
+    def __init__(self, row, gathered: pd.DataFrame, totals: Totals, answered: int, deep: bool):
+        self.t, self.held, self.sizes = totals, np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+        words = gathered[gathered["kind"] == 1].sort_values("shard")
         number = np.concatenate([np.cumsum(unpress(x, np.uint32), dtype=U) + totals.first[s] for x, s in zip(words["number"], words["shard"], strict=True)])
-        self.count = np.concatenate([unpress(x, np.uint64) for x in words["count"]])[tokens]
-        w = number[tokens]
-        # the beginning: the number after the last word, as often as there are training texts, which is the end's count
+        count = np.concatenate([unpress(x, np.uint64) for x in words["count"]])
+        tokens = ranked(unpress(row["every"], np.uint32))[unpress(row["tokens"], np.uint32)]
+        self.count, w = count[tokens], number[tokens]
         ends = np.cumsum(self.sizes) - 1
-        end_count = int(self.count[ends[0]])
+        self.starts = ends + 1 - self.sizes
+        train = ~np.repeat(self.held, self.sizes)
+        # the beginning: the number after the last word, as often as there are training texts, which is the end's count
         v, before = np.r_[U(0), w[:-1]], np.r_[U(0), self.count[:-1]]
-        starts = ends + 1 - self.sizes
-        v[starts], before[starts] = totals.first[-1], end_count
-        keys, self.pair = np.unique(v << U(32) | w, return_inverse=True)
-        train = np.bincount(self.pair[~np.repeat(self.held, self.sizes)], minlength=len(keys)).astype(np.uint32)
-        some = np.zeros(len(keys), np.int64)
-        some[self.pair] = np.arange(len(self.pair))
-        self.v, self.w, self.c, self.cv = keys >> U(32), keys & U(0xFFFFFFFF), train, before[some]
-        first = np.flatnonzero(np.r_[True, self.v[1:] != self.v[:-1]])
-        self.context = np.cumsum(np.r_[0, self.v[1:] != self.v[:-1]])  # of each pair
-        self.contexts, self.context_count = self.v[first], self.cv[first]
-        k = totals.spread(self.context_count)
-        mix = (self.contexts * U(0x9E3779B97F4A7C15) >> U(33)).astype(np.int64)
-        part = (self.w * U(0xC2B2AE3D27D4EB4F) >> U(33)).astype(np.int64) % k[self.context]
-        self.shard = (mix[self.context] + part) % totals.contexts
-        which = np.repeat(np.arange(len(k)), k)  # a spread context asks all its shards for their share of g(v)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
-        asks = (mix[which] + place) % totals.contexts
-        known = self.context_count[which] > 0
-        which, asks = which[known], asks[known]
-        order = np.lexsort((which, asks))
-        self.ask_context, ask_shard = which[order], asks[order]
-        self.ask_edges = np.searchsorted(ask_shard, np.arange(totals.contexts + 1))
-        self.order = np.argsort(self.shard, kind="stable")
-        self.edges = np.searchsorted(self.shard[self.order], np.arange(totals.contexts + 1))
-
-    def requests(self):
-        for s in range(self.t.contexts):
-            pairs, asks = self.order[self.edges[s] : self.edges[s + 1]], self.ask_context[self.ask_edges[s] : self.ask_edges[s + 1]]
-            pairs = pairs[self.cv[pairs] > 0]  # a context that no training text has is known to be unknown
-            if len(pairs) or len(asks):
-                v, w = self.v[pairs], self.w[pairs]
-                step = np.diff(v, prepend=U(0))
-                w[1:] -= np.where(step[1:] == 0, w[:-1], U(0))  # words ascend inside a context
-                yield s, press(step), press(w.astype(np.uint32)), press(self.c[pairs]), press(self.contexts[asks].astype(np.uint32)), press(self.context_count[asks])
-
-    def scores(self, answers: pd.DataFrame) -> pd.DataFrame:
-        code, left = np.zeros(len(self.v), np.uint16), np.zeros(len(self.contexts))
-        for s, codes, rest in zip(answers["shard"], answers["number"], answers["count"], strict=True):
-            pairs = self.order[self.edges[s] : self.edges[s + 1]]
-            code[pairs[self.cv[pairs] > 0]] = unpress(codes, np.uint16)
-            np.add.at(left, self.ask_context[self.ask_edges[s] : self.ask_edges[s + 1]], unpress(rest, np.float64))
-        g = np.where(self.context_count > 0, left / np.maximum(self.context_count, 1), 1.0)
+        v[self.starts], before[self.starts] = totals.first[-1], self.count[ends[0]]
+        keys, place = np.unique(v, return_inverse=True)
+        total = np.zeros(len(keys))
+        total[place] = before
+        self.levels = [Level(place, keys, total, w, train, np.ones(len(keys), bool), totals)]
+        self.inner = np.ones(len(w), bool)
+        self.inner[self.starts] = False
+        for k in range(2, answered + 1):
+            self.levels[-1].answer(gathered[gathered["kind"] == k])
+            if k == 2 and deep:
+                self._deepen(w, train)
+
+    def _deepen(self, w: np.ndarray, train: np.ndarray) -> None:
+        """The trigrams: contexts are the bigrams, asked about where other chunks have them too."""
+        two = self.levels[-1]
+        mine = np.flatnonzero(self.inner)
+        self.levels.append(Level(two.pair[mine - 1], two.keys[two.of] << U(32) | two.word, decode(two.code), w[mine], train[mine], two.shared, self.t))
+
+    def scores(self, ids: list, d: list[float]) -> pd.DataFrame:
         p1 = self.t.p1(self.count)
-        p = np.log10(decode(code)[self.pair] + g[self.context][self.pair] * p1)
-        starts = np.cumsum(self.sizes) - self.sizes
-        add = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame(
-            {"id": self.ids, "held_out": self.held, "n_tokens": self.sizes, "n_known": add((self.count > 0).astype(np.int64)), "train_tokens": self.t.n, "base_score": add(np.log10(p1)), "score": add(p)}
-        )
+        p = self.levels[0].p(p1, d[0])
+        if len(self.levels) > 1:
+            p[self.inner] = self.levels[1].p(p[self.inner], d[1])
 
+        def add(x):
+            return np.add.reduceat(x, self.starts)
 
-def discounts(c: np.ndarray) -> np.ndarray:
-    """D by count (0, 1, 2, 3 and more) from the numbers of pairs seen once to four times."""
-    n = [max(1, int((c == k).sum())) for k in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
+        known = add((self.count > 0).astype(np.int64))
+        return pd.DataFrame({"id": ids, "held_out": self.held, "n_tokens": self.sizes, "n_known": known, "train_tokens": self.t.n, "base_score": add(np.log10(p1)), "score": add(np.log10(p))})
 
 
-def pairs_of(steps: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and words of a request, from their differences; words begin anew with each context."""
-    step, total = unpress(steps, U), np.cumsum(unpress(words, np.uint32), dtype=U)
+def pairs_of(contexts: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A request's distinct contexts, how many words each has, and the words, from their differences."""
+    step, total = unpress(contexts, U), np.cumsum(unpress(words, np.uint32), dtype=U)
     if not len(step):
-        return step, total
+        return step, np.zeros(0, np.int64), total
     starts = np.flatnonzero(np.r_[True, step[1:] != 0])
-    before = np.r_[U(0), total[starts[1:] - 1]]
-    return np.cumsum(step, dtype=U), total - np.repeat(before, np.diff(np.r_[starts, len(step)]))
-
-
-def shard_answers(pdf: pd.DataFrame, fixed: np.ndarray | None = None) -> pd.DataFrame:
-    """The trie of one shard of contexts, and its answers to every chunk's requests."""
-    vs, ws = zip(*(pairs_of(v, w) for v, w in zip(pdf["v"], pdf["w"], strict=True)), strict=True)
-    asked = [unpress(x, np.uint32).astype(U) for x in pdf["asks"]]
-    key, place = np.unique(np.concatenate(vs) << U(32) | np.concatenate(ws), return_inverse=True)
-    c = np.bincount(place, np.concatenate([unpress(x, np.uint32) for x in pdf["c"]]), len(key))
-    key, c = key[c > 0], c[c > 0]
-    v, w = key >> U(32), key & U(0xFFFFFFFF)
-    known, first = np.unique(np.concatenate(asked), return_index=True)
-    total = np.concatenate([unpress(x, np.uint64) for x in pdf["asked"]])[first].astype(np.float64)
-    d = (discounts(c) if fixed is None else fixed)[np.minimum(c, 3).astype(np.int64)]
-    of = np.searchsorted(known, v)
-    trie = Trie(v, w, (c - d) / total[of])
-    left = np.bincount(of, d, len(known))
-    codes = [press(trie.codes_of(a, b)) for a, b in zip(vs, ws, strict=True)]
-    rest = [press(left[np.searchsorted(known, a)]) for a in asked]
-    return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "number": codes, "count": rest})
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fixed: np.ndarray | None = None) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; ``fixed``: given discounts."""
+    sizes = np.diff(np.r_[starts, len(step)])
+    return np.cumsum(step, dtype=U)[starts], sizes, total - np.repeat(np.r_[U(0), total[starts[1:] - 1]], sizes)
+
+
+def shard_answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The trie of one shard of contexts, its answers to every chunk's requests, and its counts of counts."""
+    asked = [(*pairs_of(v, w), unpress(m, U)) for v, w, m in zip(pdf["v"], pdf["w"], pdf["more"], strict=True)]
+    known, place = np.unique(np.concatenate([x for keys, _, _, more in asked for x in (keys, more)]), return_inverse=True)
+    contexts, pairs, at = [], [], 0
+    for keys, sizes, words, more in asked:
+        own = place[at : at + len(keys) + len(more)]
+        contexts.append(own)
+        pairs.append(np.repeat(own[: len(keys)], sizes).astype(U) << U(32) | words)
+        at += len(own)
+    key, place = np.unique(np.concatenate(pairs), return_inverse=True)
+    c = np.bincount(place, np.concatenate([unpress(x, np.uint32) for x in pdf["c"]]), len(key)).astype(np.int64)
+    of, word = (key >> U(32)).astype(np.int64), key & LOW
+    seen = c > 0
+    followers = np.bincount(of[seen], minlength=len(known)).astype(np.uint32)
+    codes = Trie(known[of[seen]], word[seen], encode(c[seen])).codes_of(known[of], word)  # each distinct pair is looked up once
+    ends = np.cumsum([0, *map(len, pairs)])
+    out = {"chunk": [None, *pdf["chunk"]], "shard": int(pdf["shard"].iloc[0])}
+    out["number"] = [None, *(press(codes[place[a:b]]) for a, b in zip(ends, ends[1:], strict=False))]
+    out["count"] = [None, *(press(followers[x]) for x in contexts)]
+    several = np.bincount(place, minlength=len(key)) > 1  # each request has a pair once
+    out["shared"] = [None, *(press(np.packbits(several[place[a:b]])) for a, b in zip(ends, ends[1:], strict=False))]
+    return pd.DataFrame(out | {f"t{k}": int((c == k).sum() + pdf[f"t{k}"].sum()) for k in (1, 2)})
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int | None = None) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; ``order``: 2 or 3."""
+    order = ORDER if order is None else order
     packed = cut(chunks(docs, id_col, text_col), "ngram-chunks")
     entries = packed.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     shards = int(entries // SHARD) + 1
     words = cut(vocabulary(packed, shards), "ngram-words")
     totals = Totals(words.where("chunk is null").select("shard", "n", "v", "u").collect())  # a row for each shard
-    words = words.where("chunk is not null").select("chunk", "shard", "number", "count")
-    body = packed.select("chunk", "ids", "held", "sizes", "tokens")
-
-    def ask(left, right):
-        rows = Chunk(left.iloc[0], right, totals, shards).requests()
-        chunk = left["chunk"].iloc[0]
-        return pd.DataFrame([(chunk, *r) for r in rows], columns=["chunk", "shard", "v", "w", "c", "asks", "asked"])
-
-    asks = body.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(ask, "chunk string, shard int, v binary, w binary, c binary, asks binary, asked binary")
-    answers = cut(asks.groupBy("shard").applyInPandas(lambda pdf: shard_answers(pdf, fixed), "chunk string, shard int, number binary, count binary"), "ngram-answers")
+    gathered = words.where("chunk is not null").select("chunk", "shard", "number", "count", F.lit(None).cast("binary").alias("shared"), F.lit(1).alias("kind"))
+    body = packed.select("chunk", "held", "sizes", "tokens", "every")
+    tables, d = [], []
+
+    def asking(k):
+        def ask(left, right):
+            row = left.iloc[0]
+            level = Chunk(row, right, totals, k - 1, order > 2).levels[k - 2]
+            requests = level.requests(zlib.crc32(row["chunk"].encode()) % totals.contexts)
+            return pd.DataFrame([(row["chunk"], *r) for r in requests], columns=["chunk", "shard", "v", "w", "c", "more", "t1", "t2"])
+
+        return ask
+
+    for k in range(2, order + 1):
+        asks = body.groupBy("chunk").cogroup(gathered.groupBy("chunk"))
+        asks = asks.applyInPandas(asking(k), "chunk string, shard int, v binary, w binary, c binary, more binary, t1 long, t2 long")
+        answers = asks.groupBy("shard").applyInPandas(shard_answers, "chunk string, shard int, number binary, count binary, shared binary, t1 long, t2 long")
+        tables.append(cut(answers, f"ngram-answers-{k}"))
+        tally = tables[-1].where("chunk is null").agg(F.sum("t1"), F.sum("t2")).first()
+        d.append(discount(*(x or 0 for x in tally)))
+        gathered = gathered.unionByName(tables[-1].where("chunk is not null").select("chunk", "shard", "number", "count", "shared", F.lit(k).alias("kind")))
 
     def finish(left, right):
-        own = right["kind"] == 0
-        return Chunk(left.iloc[0], right[own], totals, shards).scores(right[~own])
-
-    both = words.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = body.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(finish, schema)
-    return out.withColumnRenamed("id", id_col)
+        row = left.iloc[0]
+        return Chunk(row, right, totals, order, order > 2).scores(list(row["ids"]), d)
+
+    schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = packed.select("ids", *body.columns).groupBy("chunk").cogroup(gathered.groupBy("chunk")).applyInPandas(finish, schema)
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *out.columns[1:])
 
 
 def query(spark, sf_dir):

@@ -6,35 +6,43 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import docs, store
+from pyspark.sql import functions as F
 
 from tessella.llm import ngram
 from tessella.llm.common import WORD, ascii_lower
 from tessella.llm.eliasfano import Sequence, Trie, decode, encode
 
 
-def brute(rows, d=None):
-    """The model by plain counting, with the same discounts over all bigrams (one shard)."""
+def brute(rows, order=3):
+    """The model by plain counting over all texts."""
     texts = [(k, ["<s>", *WORD.findall(ascii_lower(t or "")), "\n"]) for k, t in rows]
     held = [zlib.crc32(str(k).encode()) % 10 == 0 if k is not None else True for k, _ in texts]
-    uni, bi = Counter(), Counter()
+    uni, bi, tri = Counter(), Counter(), Counter()
     for (_, w), h in zip(texts, held, strict=True):
         if not h:
             uni.update(w)
             bi.update(zip(w, w[1:], strict=False))
+            tri.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(uni.values()) - uni["<s>"], len([w for w in uni if w != "<s>"])
-    d = ngram.discounts(np.array(list(bi.values()), float)) if d is None else d
-    left = Counter()
-    for (a, _), c in bi.items():
-        left[a] += d[min(c, 3)]
+
+    def smoothed(grams):
+        d = ngram.discount(*(sum(c == k for c in grams.values()) for k in (1, 2)))
+        left, whole = Counter(), Counter()
+        for g, c in grams.items():
+            left[g[:-1]] += d
+            whole[g[:-1]] += c
+        return lambda g, lower: (max(grams[g] - d, 0) + left[g[:-1]] * lower) / whole[g[:-1]] if whole[g[:-1]] else lower
+
+    two, three = smoothed(bi), smoothed(tri)
     out = []
     for (k, w), h in zip(texts, held, strict=True):
         base = score = 0.0
-        for a, b in zip(w, w[1:], strict=False):
-            p1 = (uni[b] + 0.1) / (n + 0.1 * (v + 1))
+        for i in range(1, len(w)):
+            p1 = (uni[w[i]] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(p1)
-            c = bi[a, b]
-            score += math.log10(((c - d[min(c, 3)]) + left[a] * p1) / uni[a]) if uni[a] else math.log10(p1)
-        out.append((k, h, len(w) - 1, sum(uni[b] > 0 for b in w[1:]), n, round(base, 6), score))
+            p = two((w[i - 1], w[i]), p1)
+            score += math.log10(three((w[i - 2], w[i - 1], w[i]), p) if i > 1 and order > 2 else p)
+        out.append((k, h, len(w) - 1, sum(uni[x] > 0 for x in w[1:]), n, round(base, 6), score))
     return out
 
 
@@ -60,24 +68,41 @@ def test_against_plain_counting(spark, tmp_path):
     same(as_rows(ngram.query(spark, store(spark, tmp_path, "documents", docs(spark, rows)))), brute(rows))
 
 
-def test_many_chunks_and_vocabulary_shards(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_many_chunks_and_shards(spark, monkeypatch, order):
+    """Discounts are those of the whole corpus, however it is dealt out; hot contexts are spread."""
     monkeypatch.setattr(ngram, "CHUNK", 500)
     rows = corpus()
-    frame = docs(spark, rows).select("doc_id", "text")
-    packed = ngram.chunks(frame, "doc_id", "text")
-    assert packed.count() > 1
-    same(as_rows(ngram.score(frame)), brute(rows))
+    frame = docs(spark, rows).select("doc_id", "text").repartition(3)
+    assert ngram.chunks(frame, "doc_id", "text").count() > 1
+    same(as_rows(ngram.score(frame, order=order)), brute(rows, order))
+    monkeypatch.setattr(ngram, "SHARD", 400)
+    same(as_rows(ngram.score(frame, order=order)), brute(rows, order))
 
 
-def test_spread_contexts_agree_with_one_shard(spark, monkeypatch):
-    rows, d = corpus(), np.array([0.0, 0.5, 0.9, 1.2])
-    monkeypatch.setattr(ngram, "SHARD", 400)
-    same(as_rows(ngram.score(docs(spark, rows).select("doc_id", "text").repartition(3), fixed=d)), brute(rows, d))
+def test_ids_stay_exact(spark):
+    big = 9007199254740993
+    frame = docs(spark, [(big, "a b"), (None, "a"), (big + 1, "a b c")]).select("doc_id", "text")
+    assert {r.doc_id for r in ngram.score(frame).collect()} == {big, big + 1, None}
+    named = frame.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert {r.doc_id for r in ngram.score(named).collect()} == {str(big), str(big + 1), None}
+
+
+def test_held_out_texts_and_repeated_ones(spark):
+    rows = ngram.query(spark, "/root/testdata/sf0.01").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 50 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_beats_the_base_on_held_out_texts(spark):
-    rows = [r for r in ngram.query(spark, "/root/testdata/sf0.01").collect() if r.held_out]
-    assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+def test_a_text_that_comes_twice_scores_higher(spark):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(120)]
+    rows = list(enumerate(texts + texts[:30]))
+    got = {x.doc_id: x.score / x.n_tokens for x in ngram.score(docs(spark, rows).select("doc_id", "text")).collect() if not x.held_out}
+    twice = [v for k, v in got.items() if (k < 30 and k + 120 in got) or (k >= 120 and k - 120 in got)]
+    once = [v for k, v in got.items() if 30 <= k < 120]
+    assert len(twice) > 30 and min(twice) > max(once)
 
 
 def test_empty(spark):
@@ -99,9 +124,15 @@ def test_trie():
     r = np.random.default_rng(3)
     key = np.unique((r.zipf(1.3, 20000) % 300).astype(np.uint64) << np.uint64(32) | (r.zipf(1.2, 20000) % 5000).astype(np.uint64))
     v, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-    p = r.random(len(key))
-    trie = Trie(v, w, p)
-    assert np.log10(decode(trie.codes_of(v, w))) == pytest.approx(np.log10(p), abs=2e-4)
-    other = w + np.uint64(1)
-    assert ((trie.codes_of(v, other) > 0) == np.isin(v << np.uint64(32) | other, key)).all()
-    assert (decode(encode(np.zeros(2))) == 0).all()
+    c = r.zipf(1.2, len(key)) % 10**9 + 1
+    for context in (v, v << np.uint64(40) | np.uint64(7)):
+        trie = Trie(context, w, encode(c))
+        assert (trie.codes_of(context, w) == encode(c)).all()
+        other = w + np.uint64(1)
+        assert ((trie.codes_of(context, other) > 0) == np.isin(v << np.uint64(32) | other, key)).all()
+
+
+def test_codebook():
+    c = np.r_[np.arange(5000), 10 ** np.arange(4, 15)]
+    assert decode(encode(c)) == pytest.approx(c, rel=4e-4) and (decode(encode(c[:4097])) == c[:4097]).all()
+    assert ngram.discount(100, 50) == 0.5 and 0 < ngram.discount(0, 0) < ngram.discount(9, 0) < 1
