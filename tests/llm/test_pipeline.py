@@ -1,4 +1,5 @@
 import corpus_pipeline
+from helpers import clashing, docs, store
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, simhash
@@ -21,3 +22,25 @@ def test_every_stage_does_its_work(spark):
     good = labels.where("quality = 1").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").where(F.size(F.split("text", r"\s+")) > 50)
     kept = corpus_pipeline.STAGES[0][1](spark, good, d)
     assert kept.count() > 0.97 * good.count()
+
+
+def test_run_on_hard_rows(spark, tmp_path):
+    """Empty, null, repeated and very long texts, null ids and clashing columns, through all stages; and an empty table."""
+    text = "The cat sat on the mat, and the dog lay by the door of the house in the sun all day, and then the night came over them both."
+    rows = [(1, text), (1, text), (2, text), (None, text.replace("cat", "cow")), (None, None), (3, ""), (4, None), (5, (text + "\n") * 3000), (6, "short")]
+    frame = clashing(docs(spark, rows), "_key", "copy", "doc", "kept", "id", "th", "rated", "node")
+    store(spark, tmp_path, "benchmark", spark.createDataFrame([(1, "an item that no document holds, whatever it says about it all")], "item_id long, text string"))
+    sf = store(spark, tmp_path, "documents", frame)
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == [*frame.columns, "copy_"] and {r.copy for r in out.collect()} == {"own"}
+    assert {r.doc_id for r in out.collect()} <= {1, 2, None}
+    store(spark, tmp_path, "documents", frame.limit(0))
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_run_applies_all_stages(spark):
+    d = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, d)
+    ids = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()}
+    kept = [r.doc_id for r in out.collect()]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] and set(kept) < ids and max(map(kept.count, set(kept))) <= 2
