@@ -193,13 +193,14 @@ class Level:
         asked = np.flatnonzero(self.ask[self.of])
         part = (self.word[asked] * U(0xC2B2AE3D27D4EB4F) >> U(33)).astype(np.int64) % k[self.of[asked]]
         shard = (mix[self.of[asked]] + part) % self.shards
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")  # by radix, if small
         self.order, shard = asked[order], shard[order]
         self.edges = np.searchsorted(shard, np.arange(self.shards + 1))
         wide = np.flatnonzero(k > 1)  # of a spread context, shards that get none of its pairs are asked for their part as well
         which = np.repeat(wide, k[wide])
         place = np.arange(len(which)) - np.repeat(np.cumsum(k[wide]) - k[wide], k[wide])
-        more = np.setdiff1d((mix[which] + place) % self.shards * len(keys) + which, shard * len(keys) + self.of[self.order])
+        own = np.flatnonzero(k[self.of[self.order]] > 1)
+        more = np.setdiff1d((mix[which] + place) % self.shards * len(keys) + which, shard[own] * len(keys) + self.of[self.order[own]])
         self.more, more_shard = more % max(1, len(keys)), more // max(1, len(keys))
         self.more_edges = np.searchsorted(more_shard, np.arange(self.shards + 1))
         self.code, self.followers, self.shared = np.zeros(len(packed), np.uint16), np.zeros(len(keys), np.int64), np.zeros(len(packed), bool)
