@@ -11,8 +11,13 @@ RANGE = 4096
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detections table. Row numbers are dealt by ranges of the order key, so no task sorts the whole table."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER)
+    """The detections table of a folder of tables."""
+    return derived(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def derived(lineitem: DataFrame) -> DataFrame:
+    """Detections of the table's rows. Row numbers are dealt by ranges of the order key, so no task sorts the whole table."""
+    rows = lineitem.select(*ORDER)
     rows = rows.withColumn("part", F.expr(f"l_orderkey div {RANGE}"))
     sizes = rows.groupBy("part").count()
     start = (F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("start")

@@ -11,7 +11,7 @@ ROOT = Path(__file__).parent.parent
 @pytest.mark.parametrize("pipeline", [True, False])
 def test_queries_without_the_corpus_operators(tmp_path, pipeline):
     """On a copy without the subpackage and its tests, with and without the pipeline's file."""
-    for name in ("tessella", "__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (ROOT / "corpus_pipeline.py").exists() else [])):
+    for name in ("tessella", "jobs", "__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (ROOT / "corpus_pipeline.py").exists() else [])):
         source = ROOT / name
         if source.is_dir():
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
@@ -24,6 +24,7 @@ def test_queries_without_the_corpus_operators(tmp_path, pipeline):
 
 def test_a_fault_inside_the_corpus_operators_is_raised(tmp_path):
     shutil.copytree(ROOT / "tessella", tmp_path / "tessella", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs")
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     (tmp_path / "tessella/llm").mkdir()
     (tmp_path / "tessella/llm/__init__.py").write_text("")
