@@ -168,9 +168,20 @@ def by_variant(dets: DataFrame, v: suppress.Variant) -> DataFrame:
     return (cluster_survivors if v.family == "nn_cluster" else survivors)(dets, edges, v.scope)
 
 
-def masks(dets: DataFrame, variants: list[suppress.Variant]) -> DataFrame:
+def masks(dets: DataFrame, variants: dict[str, suppress.Variant], isolate: bool = False) -> DataFrame:
     """Each detection with its mask of survived variants, as the grouped pass has it."""
-    alive = [by_variant(dets, v).select("det_id", F.lit(1 << k).cast("long").alias("bit")) for k, v in enumerate(variants)]
+    alive, errors = [dets.limit(0).select("det_id", F.lit(0).cast("long").alias("bit"))], []
+    for k, (name, v) in enumerate(variants.items()):
+        try:
+            alive.append(by_variant(dets, v).select("det_id", F.lit(1 << k).cast("long").alias("bit")))
+        except Exception as e:
+            if not isolate:
+                raise
+            errors.append(F.struct(F.lit(name).alias("nms_method"), F.lit(suppress.message(e)).alias("error_msg")))
     bits = reduce(DataFrame.unionByName, alive).groupBy("det_id").agg(F.sum("bit").alias("mask"))
-    rows = dets.select("slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y").join(bits, "det_id", "left")
-    return rows.select("slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    columns = ["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y"]
+    rows = dets.select(*columns).join(bits, "det_id", "left").select(*columns, F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    if isolate:
+        told = F.array(*errors) if errors else F.lit(None).cast(suppress.ERRORS.partition(" ")[2])
+        rows = rows.withColumn("errors", told)
+    return rows

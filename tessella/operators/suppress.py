@@ -119,32 +119,47 @@ MOST = 5_000_000
 MASK_SCHEMA = "slide_id string, overlap_pct double, det_id long, label string, tile_x long, tile_y long, mask long"
 
 
-def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most: int = MOST) -> DataFrame:
+ERRORS = "errors array<struct<nms_method:string,error_msg:string>>"
+
+
+def message(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most: int = MOST, isolate: bool = False) -> DataFrame:
     """Each detection with ``mask``: bit k is set if it survives the k-th variant. One shuffle for all variants.
 
     A slide at one overlap is a group: suppression couples all its tiles, and its size is bounded by the image. Groups
-    of over ``most`` detections, too large for one task, are solved by joins with the same result.
+    of over ``most`` detections, too large for one task, are solved by joins with the same result. With ``isolate`` a
+    variant that fails stops no other: its bits are 0 and a row of its group tells in ``errors``.
     """
-    chosen = list((variants or REGISTRY).values())
+    names, chosen = list(variants or REGISTRY), list((variants or REGISTRY).values())
     if len(chosen) > 63:
         raise ValueError("at most 63 variants in a pass")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         group = Group(pdf)
-        mask = np.zeros(len(pdf), np.int64)
+        mask, errors = np.zeros(len(pdf), np.int64), []
         for k, v in enumerate(chosen):
-            mask |= group.survivors(v).astype(np.int64) << k
-        return group.frame[["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y"]].assign(mask=mask)
+            try:
+                mask |= group.survivors(v).astype(np.int64) << k
+            except Exception as e:
+                if not isolate:
+                    raise
+                errors.append({"nms_method": names[k], "error_msg": message(e)})
+        out = group.frame[["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y"]].assign(mask=mask)
+        return out.assign(errors=[errors or None, *[None] * (len(out) - 1)]) if isolate else out
 
     columns = ["slide_id", "overlap_pct", "det_id", "label", "confidence", "x1", "y1", "x2", "y2", "cx", "cy", "x_correct", "y_correct", "tile_x", "tile_y"]
     dets, key = dets.select(*columns), ["slide_id", "overlap_pct"]
+    schema = f"{MASK_SCHEMA}, {ERRORS}" if isolate else MASK_SCHEMA
     large = dets.groupBy(*key).count().where(F.col("count") > most).select(*key)
     if large.isEmpty():
-        return dets.groupBy(*key).applyInPandas(run, MASK_SCHEMA)
+        return dets.groupBy(*key).applyInPandas(run, schema)
     from tessella.operators import fixpoint
 
-    small = dets.join(large, key, "left_anti").groupBy(*key).applyInPandas(run, MASK_SCHEMA)
-    return small.unionByName(fixpoint.masks(dets.join(large, key, "left_semi"), chosen))
+    small = dets.join(large, key, "left_anti").groupBy(*key).applyInPandas(run, schema)
+    return small.unionByName(fixpoint.masks(dets.join(large, key, "left_semi"), dict(zip(names, chosen, strict=True)), isolate))
 
 
 def survived(masked: DataFrame, name: str, variants: dict[str, Variant] | None = None) -> DataFrame:

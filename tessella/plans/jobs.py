@@ -30,25 +30,40 @@ def load(store: Store, images_dir: str, data_dir: str, slide: str | None = None,
 
 
 def run(store: Store, variants: dict[str, Variant] | None = None, config: Config = CONFIG) -> int:
-    """Suppress and count what the manifest lacks; returns the number of (slide, overlap) units done."""
+    """Suppress and count what the manifest lacks; returns the number of (slide, overlap) units worked on.
+
+    Units that lack the same variants are done in one pass, and only for these. A variant that fails in a unit is marked
+    ``error`` with its message, stops no other, and is taken up again by the next run.
+    """
     variants = variants or REGISTRY
     units = store.read("raw_detections").select(*KEYS).distinct()
     done = store.read("checkpoint").where("status = 'done'").select(*KEYS, "nms_method")
-    todo = cut(validate.pending(units, list(variants), done).select(*KEYS).distinct(), "run-todo")
+    lacking = validate.pending(units, list(variants), done).groupBy(*KEYS).agg(F.array_sort(F.collect_list("nms_method")).alias("lacks"))
+    todo = cut(lacking, "run-todo")  # a row a unit, with at most all names
     n = todo.count()
-    if n:
-        dets = store.read("raw_detections").join(todo, KEYS, "left_semi")
-        masked = cut(suppress.survivors(dets, variants), "run-masked")
-        store.write("cell_counts", counts.long(counts.cells(masked, variants, config), config, rel=True))
-        store.write("tile_counts", counts.long(counts.tiles(masked, variants, config), config))
-        names = F.explode(F.array(*map(F.lit, variants))).alias("nms_method")
-        marks = todo.select(*KEYS, names, F.lit("done").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.current_timestamp().alias("finished_at"))
-        store.write("checkpoint", marks)  # last: a run that is cut short is done again
-        discard(masked)
+    for (names,) in todo.select("lacks").distinct().collect():  # as many as units have different histories
+        mine = todo.where(F.col("lacks") == F.array(*map(F.lit, names))).select(*KEYS)
+        _count(store, mine, {m: v for m, v in variants.items() if m in names}, config)
     discard(todo)
     return n
 
 
+def _count(store: Store, units: DataFrame, variants: dict[str, Variant], config: Config) -> None:
+    """Suppress the units' detections by the variants, and write counts, then marks."""
+    dets = store.read("raw_detections").join(units, KEYS, "left_semi")
+    masked = cut(suppress.survivors(dets, variants, isolate=True), "run-masked")
+    faults = masked.where("errors is not null").select(*KEYS, F.explode("errors").alias("e")).select(*KEYS, "e.nms_method", F.substring("e.error_msg", 1, 500).alias("error_msg"))
+    faults = cut(faults.distinct(), "run-faults")
+    good = lambda rows: rows.join(faults.select(*KEYS, "nms_method"), [*KEYS, "nms_method"], "left_anti")
+    store.write("cell_counts", counts.long(good(counts.cells(masked, variants, config)), config, rel=True))
+    store.write("tile_counts", counts.long(good(counts.tiles(masked, variants, config)), config))
+    names = F.explode(F.array(*map(F.lit, variants))).alias("nms_method")
+    marks = units.select(*KEYS, names).join(faults, [*KEYS, "nms_method"], "left")
+    status = F.when(F.col("error_msg").isNull(), "done").otherwise("error").alias("status")
+    store.write("checkpoint", marks.select(*KEYS, "nms_method", status, "error_msg", F.current_timestamp().alias("finished_at")))  # last: what is cut short is done again
+    discard(masked, faults)
+
+
 def wide(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Counts with a row a label as one with a column a label."""
     keys = [c for c in rows.columns if c not in ("label", "count", "rel_count", "n_block_total")]

@@ -137,9 +137,7 @@ def load(store: Store, slides: DataFrame, jobs: DataFrame, config: Config = CONF
     errors = {(r.slide_id, r.overlap_pct): r.error for r in done.where("error is not null").select("slide_id", "overlap_pct", "error").collect()}  # a row a file
     good = done.where("error is null and det_id is not null").drop("error")
     store.write("raw_detections", good)
-    known = cut(store.read("slides").join(slides, "slide_id", "left_anti").unionByName(slides.select(*schemas.SLIDES.names)), "slides")
-    store.write("slides", known)  # through scratch, as a table can't be read while it is replaced
-    discard(known)
+    store.write("slides", slides)
     rows = good.count()
     discard(done)
     return {"rows": rows, "loaded": fresh - len(errors), "skipped": total - fresh, "missing": missing, "failed": len(errors), "errors": errors}
