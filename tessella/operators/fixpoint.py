@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import suppress
+from tessella.operators import kernels, suppress
 from tessella.operators.components import stars
 from tessella.sources.scratch import cut, discard
 
@@ -21,22 +21,56 @@ from tessella.sources.scratch import cut, discard
 FIELDS = ["det_id", "confidence", "x1", "y1", "x2", "y2", "cx", "cy"]
 
 
-def bin_pairs(dets: DataFrame, reach: float, keys: list[str], x: str = "cx", y: str = "cy") -> DataFrame:
-    """All pairs (a, b) of equal keys at most ``reach`` apart in x and y, a before b in priority, by an equi-join on bins.
+def _steps(bx, by, steps):
+    return F.array(*(F.struct((bx + i).alias("bx"), (by + j).alias("by"), F.lit((i, j) == (0, 0)).alias("own")) for i, j in steps))
 
-    A detection meets its own bin and four of its neighbours, so each pair of bins is looked at once.
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, own, d) and (keys, e) of equal keys as pairs (a, b), a before b in priority; of own pairs one of two."""
+    pairs = left.join(right, keys)
+    before = (F.col("d.confidence") > F.col("e.confidence")) | (F.col("d.confidence") == F.col("e.confidence")) & (F.col("d.det_id") < F.col("e.det_id"))
+    pairs = pairs.where(~F.col("own") | before)
+    return pairs.withColumns({"a": F.when(before, F.col("d")).otherwise(F.col("e")), "b": F.when(before, F.col("e")).otherwise(F.col("d"))})
+
+
+HALF = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def bin_pairs(dets: DataFrame, reach: Column, keys: list[str]) -> DataFrame:
+    """All pairs (keys, a, b) of equal keys whose centres are at most ``reach`` apart in x and y, a before b in priority.
+
+    An equi-join on bins as wide as ``reach``, which is one for rows of equal keys. A detection meets its own bin and four of
+    its neighbours, so each pair of bins is looked at once.
+    """
+    rows = dets.withColumn("reach", reach.cast("double")).where("reach > 0")
+    rows = rows.select(*keys, "reach", F.struct(*FIELDS).alias("d"), *(F.floor(F.col(c) / F.col("reach")).alias(f"b{c[-1]}") for c in ("cx", "cy")))
+    left = rows.select(*keys, "reach", "d", F.explode(_steps(F.col("bx"), F.col("by"), HALF)).alias("s")).select(*keys, "reach", "d", "s.*")
+    pairs = _met(left, rows.select(*keys, "bx", "by", F.col("d").alias("e")), [*keys, "bx", "by"])
+    close = (F.abs(F.col("a.cx") - F.col("b.cx")) <= F.col("reach")) & (F.abs(F.col("a.cy") - F.col("b.cy")) <= F.col("reach"))
+    return pairs.where(close).select(*keys, "reach", "a", "b")
+
+
+def box_pairs(dets: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """Pairs (keys, a, b) of equal keys that hold all whose boxes overlap by the threshold, a before b in priority.
+
+    Boxes are dealt to levels by their larger side, below a power of two that is the level's cell. A box meets its own
+    level as in ``bin_pairs``, and in each coarser one that the threshold allows the cells from which a box can reach it.
     """
-    cell = F.lit(float(reach))
-    rows = dets.select(*keys, F.struct(*FIELDS).alias("d"), F.floor(F.col(x) / cell).alias("bx"), F.floor(F.col(y) / cell).alias("by"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
-    left = rows.withColumn("step", F.explode(steps))
-    own = (F.col("step.i") == 0) & (F.col("step.j") == 0)
-    left = left.select(*keys, F.col("d").alias("p"), own.alias("own"), (F.col("bx") + F.col("step.i")).alias("bx"), (F.col("by") + F.col("step.j")).alias("by"))
-    pairs = left.join(rows.withColumnRenamed("d", "q"), [*keys, "bx", "by"])
-    before = (F.col("p.confidence") > F.col("q.confidence")) | (F.col("p.confidence") == F.col("q.confidence")) & (F.col("p.det_id") < F.col("q.det_id"))
-    close = (F.abs(F.col(f"p.{x}") - F.col(f"q.{x}")) <= reach) & (F.abs(F.col(f"p.{y}") - F.col(f"q.{y}")) <= reach)
-    pairs = pairs.where(close & (~F.col("own") | before))
-    return pairs.select(*keys, F.when(before, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(before, F.col("q")).otherwise(F.col("p")).alias("b"))
+    apart = kernels.levels_apart(threshold)
+    rows = dets.where("x2 > x1 and y2 > y1")  # others overlap nothing
+    level = F.length(F.bin(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).cast("long")))
+    rows = rows.select(*keys, F.struct(*FIELDS).alias("d"), level.alias("level"))
+    cell = lambda c, k: F.floor(F.col(f"d.{c}") / F.pow(F.lit(2.0), k))
+    rows = rows.withColumns({f"b{c}": cell(f"{c}1", F.col("level")) for c in "xy"})
+    same = rows.select(*keys, "d", "level", F.explode(_steps(F.col("bx"), F.col("by"), HALF)).alias("s")).select(*keys, "d", "level", "s.*")
+    left = same
+    if apart:  # only levels that the data have
+        known = rows.select(*keys, F.col("level").alias("wider")).distinct()
+        wider = rows.drop("bx", "by").join(known, keys).where((F.col("wider") > F.col("level")) & (F.col("wider") <= F.col("level") + apart))
+        for c in "xy":
+            wider = wider.withColumn(f"b{c}", F.explode(F.sequence(cell(f"{c}1", F.col("wider")) - 1, cell(f"{c}2", F.col("wider")))))
+        left = same.unionByName(wider.select(*keys, "d", F.col("wider").alias("level"), "bx", "by", F.lit(False).alias("own")))
+    return _met(left, rows.select(*keys, "level", "bx", "by", F.col("d").alias("e")), [*keys, "level", "bx", "by"]).select(*keys, "a", "b")
 
 
 def iou_column(a: str = "a", b: str = "b"):
@@ -47,30 +81,25 @@ def iou_column(a: str = "a", b: str = "b"):
     return F.coalesce(F.try_divide((w * h).cast("double"), union.cast("double")), F.lit(0.0))
 
 
-def _largest(dets: DataFrame, what) -> float:
-    return float(dets.agg(F.max(what)).first()[0] or 1)
+def _edges(pairs: DataFrame, *more: Column) -> DataFrame:
+    return pairs.select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"), *more)
 
 
 def iou_edges(dets: DataFrame, threshold: float, keys=("slide_id", "overlap_pct")) -> DataFrame:
-    """Conflicts (killer, victim) by box overlap; boxes meet within the largest side that the data have."""
-    reach = _largest(dets, F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    pairs = bin_pairs(dets, max(reach, 1.0), list(keys), "x1", "y1").withColumn("iou", iou_column()).where(F.col("iou") >= threshold)
-    return pairs.select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"), F.round("iou", 9).alias("iou"))
+    """Conflicts (killer, victim) by box overlap."""
+    pairs = box_pairs(dets, threshold, list(keys)).withColumn("iou", iou_column()).where(F.col("iou") >= threshold)
+    return _edges(pairs, F.round("iou", 9).alias("iou"))
 
 
 def distance_edges(dets: DataFrame, radius: float, keys=("slide_id", "overlap_pct", "label")) -> DataFrame:
-    pairs = bin_pairs(dets, radius, list(keys))
-    return pairs.where(_square() <= radius * radius).select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"))
+    return _edges(bin_pairs(dets, F.lit(radius), list(keys)).where(_square() <= radius * radius))
 
 
 def center_edges(dets: DataFrame, k: float, keys=("slide_id", "overlap_pct", "label")) -> DataFrame:
     """Conflicts by centre distance within the label's radius, k standard deviations of its box sides."""
-    radii = cut(suppress.center_radii(dets, k), "fixpoint-radii")  # a row a slide, overlap and label
-    reach = _largest(radii, "radius")
-    if reach <= 0:
-        return dets.limit(0).select(F.col("det_id").alias("killer"), F.col("det_id").alias("victim"))
-    pairs = bin_pairs(dets, reach, list(keys)).join(radii, list(keys)).where(F.col("radius") > 0)
-    return pairs.where(_square() <= F.col("radius") * F.col("radius")).select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"))
+    radii = suppress.center_radii(dets, k)  # a row a slide, overlap and label
+    pairs = bin_pairs(dets.join(radii, ["slide_id", "overlap_pct", "label"]), F.col("radius"), list(keys))
+    return _edges(pairs.where(_square() <= F.col("reach") * F.col("reach")))
 
 
 def _square():

@@ -4,7 +4,7 @@ All rules are defined on a conflict graph and one total order: confidence descen
 a detection unless a kept one before it conflicts with it. The order is acyclic, so the outcome is unique and can be
 found in rounds over all undecided detections at once. The cluster rule keeps the first of each connected component.
 
-Conflicts are found once a group, by binning to a grid, and reused by every variant and every sliding block.
+Conflicts are found once a group, by binning to grids, and reused by every variant and every sliding block.
 """
 
 from __future__ import annotations
@@ -12,16 +12,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, reach: float, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j (places) with equal key and both coordinates at most ``reach`` apart."""
+def near_pairs(x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j (places) with both coordinates at most ``reach`` apart."""
     n, cell = len(x), max(float(reach), 1.0)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bx, by = np.floor((x - x.min()) / cell).astype(np.int64), np.floor((y - y.min()) / cell).astype(np.int64)
     tall = int(by.max()) + 3
-    wide = int(bx.max()) + 3
-    k = np.zeros(n, np.int64) if key is None else np.unique(key, return_inverse=True)[1].astype(np.int64)
-    bins = (k * wide + bx + 1) * tall + by + 1
+    bins = (bx + 1) * tall + by + 1
     order = np.argsort(bins, kind="stable")
     ranked = bins[order]
     left, right = [], []
@@ -38,6 +36,23 @@ def near_pairs(x: np.ndarray, y: np.ndarray, reach: float, key: np.ndarray | Non
     return np.concatenate(left), np.concatenate(right)
 
 
+def cross_pairs(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i in a, j in b) whose points lie in the same or neighbouring cells of one grid."""
+    left, low = min(ax.min(), bx.min()), min(ay.min(), by.min())
+    at = [np.floor((v - o) / cell).astype(np.int64) + 1 for v, o in ((ax, left), (ay, low), (bx, left), (by, low))]
+    tall = int(max(at[1].max(), at[3].max())) + 2
+    bins = at[2] * tall + at[3]
+    order = np.argsort(bins, kind="stable")
+    ranked, found = bins[order], []
+    for step in (-tall, 0, tall):  # three cells below one another are one run of bins
+        first = at[0] * tall + at[1] + step
+        a, b = np.searchsorted(ranked, first - 1, "left"), np.searchsorted(ranked, first + 1, "right")
+        size = b - a
+        j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+        found.append((np.repeat(np.arange(len(ax)), size), order[j]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of boxes (x1, y1, x2, y2), row by row; 0 where the union is empty."""
     w = np.maximum(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0)
@@ -48,24 +63,56 @@ def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
+def levels_apart(threshold: float) -> int:
+    """How many doublings of the larger side may lie between two boxes that overlap by the threshold.
+
+    The overlap is at most the narrower width over the wider one, and the same for heights, so sides differ by 1 / threshold at most.
+    """
+    if threshold <= 0:
+        raise ValueError("an overlap threshold is above 0")
+    return int(np.ceil(np.log2(1 / threshold))) if threshold < 1 else 0
+
+
 def iou_conflicts(boxes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j whose boxes overlap by the threshold or more; places are by priority."""
-    if len(boxes) < 2:
-        return near_pairs(boxes[:, 0], boxes[:, 1], 1)
-    reach = max(1, int((boxes[:, 2] - boxes[:, 0]).max()), int((boxes[:, 3] - boxes[:, 1]).max()))
-    i, j = near_pairs(boxes[:, 0].astype(float), boxes[:, 1].astype(float), reach)
+    """Pairs i < j whose boxes overlap by the threshold or more; places are by priority.
+
+    Boxes are dealt to levels by their larger side, below a power of two that is the level's cell. Each box meets those of its
+    own level and, on their grid, of the few coarser ones that the threshold allows, so a box of any size costs the others nothing.
+    """
+    side = np.maximum(boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1])
+    solid = np.flatnonzero((boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1]))  # others overlap nothing
+    level = np.frexp(side[solid].astype(float))[1]
+    members = {int(k): solid[level == k] for k in np.unique(level)}
+    x, y = boxes[:, 0].astype(float), boxes[:, 1].astype(float)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, mine in members.items():
+        i, j = near_pairs(x[mine], y[mine], 2.0**k)
+        left.append(mine[i])
+        right.append(mine[j])
+        for wider in range(k + 1, k + levels_apart(threshold) + 1):
+            if wider in members:
+                theirs = members[wider]
+                i, j = cross_pairs(x[mine], y[mine], x[theirs], y[theirs], 2.0**wider)
+                left.append(np.minimum(mine[i], theirs[j]))
+                right.append(np.maximum(mine[i], theirs[j]))
+    i, j = np.concatenate(left), np.concatenate(right)
     hit = iou(boxes[i], boxes[j]) >= threshold
     return i[hit], j[hit]
 
 
 def distance_conflicts(x: np.ndarray, y: np.ndarray, label: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of one label whose centres are within the label's radius; no pair where it is 0."""
-    if len(x) < 2 or radius.max() <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = near_pairs(x, y, float(radius.max()), label)
-    r = radius[i]
-    hit = (r > 0) & ((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= r * r)
-    return i[hit], j[hit]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.unique(label):  # each label on a grid of its own radius
+        mine = np.flatnonzero(label == k)
+        r = float(radius[mine[0]])
+        if r > 0:
+            i, j = near_pairs(x[mine], y[mine], r)
+            i, j = mine[i], mine[j]
+            hit = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= r * r
+            left.append(i[hit])
+            right.append(j[hit])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def greedy(alive: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:

@@ -1,6 +1,9 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.config import METHODS, SCOPES
 from tessella.operators import fixpoint, kernels, suppress
@@ -138,6 +141,65 @@ def test_scale_of_clusters():
     assert 0 < alive.sum() < 100_000
 
 
+def mixed_boxes(n, seed, span=300, empty=0.05):
+    """Boxes of sides from 1 to 512, some of them flat, some without area."""
+    r = np.random.default_rng(seed)
+    w = (2 ** r.uniform(0, 9, n)).astype(int) * (r.random(n) > empty)
+    h = np.where(r.random(n) < 0.7, w, (2 ** r.uniform(0, 9, n)).astype(int))
+    x, y = r.integers(-span, span, n), r.integers(-span, span, n)
+    return np.c_[x, y, x + w, y + h]
+
+
+def overlapping(boxes, threshold):
+    i, j = np.triu_indices(len(boxes), 1)
+    hit = kernels.iou(boxes[i], boxes[j]) >= threshold
+    return sorted(zip(i[hit].tolist(), j[hit].tolist()))
+
+
+@pytest.mark.parametrize("threshold", [0.02, 0.1, 0.45, 0.5, 0.9, 1.0])
+def test_boxes_of_all_sizes_meet(threshold):
+    for seed in range(10):
+        boxes = mixed_boxes(150, seed)
+        i, j = kernels.iou_conflicts(boxes, threshold)
+        assert sorted(zip(i.tolist(), j.tolist())) == overlapping(boxes, threshold), seed
+    with pytest.raises(ValueError, match="above 0"):
+        kernels.iou_conflicts(boxes, 0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.45, 1.0])
+def test_joins_find_the_same_boxes(spark, threshold):
+    boxes = mixed_boxes(300, 8)
+    df = frame([(*b, 0.99 - k / 1000) for k, b in enumerate(boxes.tolist())])
+    edges = fixpoint.iou_edges(spark.createDataFrame(df), threshold)
+    assert sorted((r.killer, r.victim) for r in edges.collect()) == overlapping(boxes, threshold)
+
+
+def test_centres_meet_on_grids_of_their_own_radius(spark):
+    df = random_frame(200, 5)
+    df.loc[0, ["x2", "y2"]] += 5000  # widens the radius of one label alone
+    group = Group(df)
+    i, j = group.conflicts(REGISTRY["nn_center_global"], group.confidence > 0)
+    ids = group.frame["det_id"].to_numpy()
+    edges = fixpoint.center_edges(spark.createDataFrame(df), 2.0).collect()
+    assert sorted((r.killer, r.victim) for r in edges) == sorted(zip(ids[i].tolist(), ids[j].tolist())) and edges
+
+
+def test_one_large_box_costs_the_others_nothing(spark):
+    r = np.random.default_rng(0)
+    n, side = 100_000, r.integers(20, 60, 100_000)
+    x, y = r.integers(0, 20_000, n), r.integers(0, 20_000, n)
+    boxes = np.c_[x, y, x + side, y + side]
+    boxes[7] = [0, 0, 20_000, 20_000]
+    began = time.perf_counter()
+    i, j = kernels.iou_conflicts(boxes, 0.45)
+    assert time.perf_counter() - began < 1
+    rows = spark.range(n).select(F.col("id").alias("det_id"), F.lit("s").alias("slide_id"), F.lit(0.0).alias("overlap_pct"))
+    made = spark.createDataFrame(pd.DataFrame(np.c_[np.arange(n), boxes], columns=["det_id", "x1", "y1", "x2", "y2"]))
+    rows = rows.join(made, "det_id").withColumns({"confidence": F.lit(0.9), "cx": F.lit(0.0), "cy": F.lit(0.0)})
+    edges = fixpoint.iou_edges(rows, 0.45).toPandas()
+    assert sorted(zip(edges.killer, edges.victim)) == sorted(zip(i.tolist(), j.tolist()))
+
+
 def test_registry():
     assert len(REGISTRY) == 31 and list(REGISTRY) == list(METHODS)
     assert suppress.with_parameters("iou_global", iou=0.6).iou == 0.6
