@@ -1,4 +1,4 @@
-"""Distribution tails and resampling in NumPy and the standard library."""
+"""Distribution tails and linkage in NumPy and the standard library."""
 
 from __future__ import annotations
 
@@ -76,16 +76,6 @@ def holm(p: list[float]) -> list[float]:
     return out
 
 
-def median_interval(values: np.ndarray, draws: int, seed: int, low: float = 5, high: float = 95) -> tuple[float, float, float]:
-    """Median and percentile interval of resampled medians; NaN under three values. A new generator each time."""
-    values = values[~np.isnan(values)]
-    if len(values) < 3:
-        return float("nan"), float("nan"), float("nan")
-    draw = np.random.default_rng(seed).integers(0, len(values), size=(draws, len(values)))
-    ends = np.percentile(np.median(values[draw], axis=1), [low, high])
-    return float(np.median(values)), float(ends[0]), float(ends[1])
-
-
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
     """UPGMA merges (a, b, height, size) of a small symmetric matrix; missing distances count as the largest."""
     d = np.where(np.isnan(distance), np.nanmax(distance) if np.isfinite(distance).any() else 0.0, distance).astype(float)

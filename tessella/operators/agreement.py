@@ -11,11 +11,12 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import CONFIG, Config
 from tessella.functions import compositional as comp
+from tessella.functions import resampling
 from tessella.operators.counts import BLOCK
 
 SETTING = ["block_size", "overlap_pct"]
@@ -76,20 +77,20 @@ def alpha(sums: DataFrame, n_methods: int) -> DataFrame:
 
 
 def bootstrap(sums: DataFrame, n_methods: int, config: Config = CONFIG) -> DataFrame:
-    """Alpha with a 95 % interval over slides drawn with replacement, per setting; at most one row a slide in a group."""
-    z = [c for c in sums.columns if c.startswith("s_")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slide_id")
-        rows = pdf[["blocks", "d", "q", *z]].to_numpy(float)
-        draw = np.random.default_rng(config.seed).choice(len(rows), size=(config.draws, len(rows)), replace=True)
-        weight = np.apply_along_axis(np.bincount, 1, draw, minlength=len(rows))
-        value = _alpha_array(n_methods, np.vstack([rows.sum(0), weight @ rows]))
-        low, high = np.nanpercentile(value[1:], [2.5, 97.5]) if np.isfinite(value[1:]).any() else (np.nan, np.nan)
-        return pd.DataFrame({"block_size": [pdf.block_size.iloc[0]], "overlap_pct": [pdf.overlap_pct.iloc[0]], "alpha": [value[0]], "lo95": [low], "hi95": [high], "n_blocks_used": [int(rows[:, 0].sum())]})
+    """Alpha with a 95 % interval over slides drawn with replacement, per setting.
 
-    schema = "block_size long, overlap_pct double, alpha double, lo95 double, hi95 double, n_blocks_used long"
-    return sums.select(*SETTING, "slide_id", "blocks", "d", "q", *z).groupBy(*SETTING).applyInPandas(run, schema)
+    A replicate's sums are those of the slides' rows, weighed by how often each slide is drawn.
+    """
+    z = [c for c in sums.columns if c.startswith("s_")]
+    parts = ["blocks", "d", "q", *z]
+    place = Window.partitionBy(*SETTING)  # a row a slide
+    rows = sums.select(*SETTING, *parts, (F.row_number().over(place.orderBy("slide_id")) - 1).cast("long").alias("at"), F.count(F.lit(1)).over(place).alias("n"))
+    drawn = rows.join(resampling.weights(rows.select("n"), config), ["n", "at"]).groupBy(*SETTING, "r").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in parts))
+    value = lambda: _alpha(n_methods, F.col("blocks"), F.col("d"), F.col("q"), reduce(add, (F.col(c) * F.col(c) for c in z)))
+    made = drawn.select(*SETTING, F.nanvl(value(), F.lit(None)).alias("value"))
+    ends = made.groupBy(*SETTING).agg(*(F.coalesce(F.percentile("value", F.lit(q)), F.lit(float("nan"))).alias(c) for c, q in (("lo95", 0.025), ("hi95", 0.975))))
+    whole = sums.groupBy(*SETTING).agg(*(F.sum(c).alias(c) for c in parts)).select(*SETTING, value().alias("alpha"), F.col("blocks").cast("long").alias("n_blocks_used"))
+    return whole.join(ends, SETTING).select(*SETTING, "alpha", "lo95", "hi95", "n_blocks_used")
 
 
 def _alpha_array(m: int, sums: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log, sqrt
+from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import CONFIG, Config
 from tessella.functions import compositional as comp
+from tessella.functions import resampling
 from tessella.functions import statistics as stats
 
 COORDS = ["alr_Mac", "alr_Neu", "alr_Eos"]
@@ -53,21 +54,15 @@ def paired(long: DataFrame, pairs: DataFrame) -> DataFrame:
 def equivalence(diffs: DataFrame, keys: list[str], config: Config = CONFIG, margin: float | None = None) -> DataFrame:
     """n, median, 90 % interval and whether it lies inside the margin, per group of paired differences (one a slide)."""
     m = config.margin if margin is None else margin
-    kinds = dict(diffs.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("slide_id")["diff"].dropna().to_numpy(float)
-        median, low, high = stats.median_interval(values, config.draws, config.seed)
-        return pdf[keys].head(1).assign(n=len(values), median=median, ci_low=low, ci_high=high, equivalent=bool(low > -m and high < m))
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, median double, ci_low double, ci_high double, equivalent boolean"
-    return diffs.groupBy(*keys).applyInPandas(run, schema)
+    rows = resampling.median_intervals(diffs, keys, "diff", config=config)
+    inside = ~F.isnan("ci_low") & (F.col("ci_low") > -m) & (F.col("ci_high") < m)
+    return rows.withColumn("equivalent", inside)
 
 
 def margins(tested: DataFrame, limits=(0.10, 0.15, 0.20)) -> DataFrame:
     """The verdict under each margin, from the intervals."""
     rows = tested.select("*", F.explode(F.array(*map(F.lit, limits))).alias("margin"))
-    return rows.withColumn("equivalent", (F.col("ci_low") > -F.col("margin")) & (F.col("ci_high") < F.col("margin")))
+    return rows.withColumn("equivalent", ~F.isnan("ci_low") & (F.col("ci_low") > -F.col("margin")) & (F.col("ci_high") < F.col("margin")))
 
 
 def distribution(diffs: DataFrame, keys: list[str], margin: float = CONFIG.margin) -> DataFrame:
@@ -140,7 +135,7 @@ def nemenyi(long: DataFrame) -> DataFrame:
     a = ranks.withColumnsRenamed({"nms_method": "method_a", "mean_rank": "rank_a"})
     b = ranks.select(*keys, F.col("nms_method").alias("method_b"), F.col("mean_rank").alias("rank_b"))
     rows = a.join(b, keys).where("method_a < method_b").join(k, keys)
-    q = F.abs(F.col("rank_a") - F.col("rank_b")) / F.sqrt(F.col("k") * (F.col("k") + 1) / (12.0 * F.col("n"))) * sqrt(1)
+    q = F.abs(F.col("rank_a") - F.col("rank_b")) / F.sqrt(F.col("k") * (F.col("k") + 1) / (12.0 * F.col("n")))
 
     @F.pandas_udf("double")
     def p(q: pd.Series, k: pd.Series) -> pd.Series:

@@ -370,11 +370,15 @@ def alpha_zero_sensitivity(spark, sf_dir):
     return real(agreement.zero_sensitivity(only25(study(spark, sf_dir).eligible), len(METHODS_25)).drop("gap"))
 
 
-@query()
+_PLACES = "SELECT block_size, overlap_pct, count(DISTINCT (slide_id, block_x, block_y)) AS k FROM {} WHERE nms_method NOT LIKE 'iou_edgecrop%' GROUP BY block_size, overlap_pct"
+_INTERVAL = f"{sql.real('median')} AS median, {sql.real('ci_low')} AS ci_low, {sql.real('ci_high')} AS ci_high"
+
+
+@query(sql.query([*sql.COUNTED, *sql.slide_bootstrap()], f"SELECT a.block_size, a.overlap_pct, {sql.real('c.alpha')} AS alpha, {sql.real('c.lo95')} AS lo95, {sql.real('c.hi95')} AS hi95, coalesce(c.n_blocks_used, 0) AS n_blocks_used, a.k - coalesce(e.k, 0) AS n_blocks_filtered FROM ({_PLACES.format('blocks')}) a LEFT JOIN ({_PLACES.format('eligible')}) e USING (block_size, overlap_pct) LEFT JOIN curve c USING (block_size, overlap_pct)"))
 def alpha_bootstrap_ci(spark, sf_dir):
     """The scale curve of the 25 variants with bootstrap intervals over slides."""
     st = study(spark, sf_dir)
-    return agreement.scale_curve(only25(st.blocks), only25(st.eligible), len(METHODS_25))
+    return real(agreement.scale_curve(only25(st.blocks), only25(st.eligible), len(METHODS_25)))
 
 
 @query()
@@ -522,17 +526,20 @@ def _tested(spark, sf_dir):
     return inference.equivalence(diffs, ["overlap_pct", "nms_method", "coord"])
 
 
-@query()
+_TESTED = [*sql.ON_CELLS, *sql.intervals("tested", "diffs", "overlap_pct, nms_method, coord")]
+
+
+@query(sql.query(_TESTED, f"SELECT overlap_pct, nms_method, coord, n, {_INTERVAL}, equivalent FROM tested"))
 def equivalence_vs_none(spark, sf_dir):
-    return _tested(spark, sf_dir)
+    return real(_tested(spark, sf_dir))
 
 
-@query()
+@query(sql.query(_TESTED, f"SELECT overlap_pct, nms_method, coord, n, {_INTERVAL}, margin, NOT isnan(ci_low) AND ci_low > -margin AND ci_high < margin AS equivalent FROM tested, (VALUES (0.1::DOUBLE), (0.15), (0.2)) m(margin)"))
 def margin_sensitivity(spark, sf_dir):
-    return inference.margins(_tested(spark, sf_dir))
+    return real(inference.margins(_tested(spark, sf_dir)))
 
 
-@query()
+@query(sql.query(_TESTED, "SELECT overlap_pct, bool_and(equivalent) AS all_equivalent, coalesce(bool_and(equivalent) FILTER (nms_method = 'iou_grid_n1'), false) AS reference_equivalent FROM tested GROUP BY overlap_pct"))
 def equivalence_verdicts(spark, sf_dir):
     return inference.verdicts(_tested(spark, sf_dir))
 
@@ -549,12 +556,12 @@ def _cropped(spark, sf_dir):
     return inference.paired(_ratios(spark, sf_dir), pairs)
 
 
-@query()
-def edgecrop_vs_iou(spark, sf_dir):
-    return inference.equivalence(_cropped(spark, sf_dir), ["overlap_pct", "scope", "coord"])
+_CROP = "crop AS (SELECT a.overlap_pct, replace(a.nms_method, 'iou_edgecrop_', '') AS scope, a.coord, a.value - b.value AS diff FROM alr a JOIN alr b ON a.slide_id = b.slide_id AND a.overlap_pct = b.overlap_pct AND a.coord = b.coord AND a.nms_method LIKE 'iou_edgecrop%' AND b.nms_method = 'iou_' || replace(a.nms_method, 'iou_edgecrop_', ''))"
 
 
-_CROP = "crop AS (SELECT a.overlap_pct, replace(a.nms_method, 'iou_edgecrop_', '') AS scope, a.coord, a.value - b.value AS diff FROM alr a JOIN alr b ON a.slide_id = b.slide_id AND a.overlap_pct = b.overlap_pct AND a.coord = b.coord AND a.nms_method LIKE 'iou_edgecrop%' AND b.nms_method = 'iou_' || replace(a.nms_method, 'iou_edgecrop_', ''))"
+@query(sql.query([*sql.ON_CELLS, _CROP, *sql.intervals("tested", "crop", "overlap_pct, scope, coord")], f"SELECT overlap_pct, scope, coord, n, {_INTERVAL}, equivalent FROM tested"))
+def edgecrop_vs_iou(spark, sf_dir):
+    return real(inference.equivalence(_cropped(spark, sf_dir), ["overlap_pct", "scope", "coord"]))
 
 
 @query(sql.query([*sql.ON_CELLS, _CROP], f"SELECT overlap_pct, scope, coord, {_MEDIAN} FROM crop GROUP BY ALL"))
@@ -567,13 +574,16 @@ def _settings(spark, sf_dir):
     return inference.differences(rows, "none_c0.44")
 
 
-@query()
+_SETTINGS = [*sql.swept(SWEEPS), sql.differences("sd", "none_c0.44")]
+
+
+@query(sql.query([*_SETTINGS, *sql.intervals("tested", "sd", "overlap_pct, nms_method, coord")], f"SELECT overlap_pct, nms_method, coord, n, {_INTERVAL}, equivalent FROM tested"))
 def parameter_equivalence(spark, sf_dir):
     """Each parameter setting against no suppression at the study's confidence."""
-    return inference.equivalence(_settings(spark, sf_dir), ["overlap_pct", "nms_method", "coord"])
+    return real(inference.equivalence(_settings(spark, sf_dir), ["overlap_pct", "nms_method", "coord"]))
 
 
-@query(sql.query([*sql.swept(SWEEPS), sql.differences("sd", "none_c0.44")], f"SELECT overlap_pct, nms_method, coord, {_MEDIAN} FROM sd GROUP BY ALL"))
+@query(sql.query(_SETTINGS, f"SELECT overlap_pct, nms_method, coord, {_MEDIAN} FROM sd GROUP BY ALL"))
 def parameter_medians(spark, sf_dir):
     return _medians(_settings(spark, sf_dir), ["overlap_pct", "nms_method", "coord"])
 
@@ -603,17 +613,20 @@ def _replaced(spark, sf_dir):
     return diffs
 
 
-@query()
-def replacement_equivalence(spark, sf_dir):
-    """Equivalence to no suppression under each way of replacing zeros."""
-    return inference.equivalence(_replaced(spark, sf_dir), ["setting", "overlap_pct", "nms_method", "coord"])
-
-
 _OTHERS = "others AS MATERIALIZED (" + " UNION ALL ".join(_alternative(k, *v, digits=None) for k, v in SETTINGS.items()) + ")"
 _OTHER = "other AS (" + " UNION ALL ".join(f"SELECT setting, {sql.KEY}, nms_method, '{c}' AS coord, {c} AS value FROM others" for c in inference.COORDS) + ")"
 
 
-@query(sql.query([*sql.COUNTED, _OTHERS, _OTHER, sql.differences("od", "none", "other", "setting")], f"SELECT setting, overlap_pct, nms_method, coord, {_MEDIAN} FROM od GROUP BY ALL"))
+_REPLACED = [*sql.COUNTED, _OTHERS, _OTHER, sql.differences("od", "none", "other", "setting")]
+
+
+@query(sql.query([*_REPLACED, *sql.intervals("tested", "od", "setting, overlap_pct, nms_method, coord")], f"SELECT setting, overlap_pct, nms_method, coord, n, {_INTERVAL}, equivalent FROM tested"))
+def replacement_equivalence(spark, sf_dir):
+    """Equivalence to no suppression under each way of replacing zeros."""
+    return real(inference.equivalence(_replaced(spark, sf_dir), ["setting", "overlap_pct", "nms_method", "coord"]))
+
+
+@query(sql.query(_REPLACED, f"SELECT setting, overlap_pct, nms_method, coord, {_MEDIAN} FROM od GROUP BY ALL"))
 def replacement_medians(spark, sf_dir):
     return _medians(_replaced(spark, sf_dir), ["setting", "overlap_pct", "nms_method", "coord"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.config import CONFIG, METHODS, METHODS_25
+from tessella.functions import resampling
 from tessella.operators.suppress import REGISTRY
 from tessella.plans.study import MIN_CELLS
 
@@ -272,6 +273,50 @@ def differences(name: str, reference: str, ratios: str = "alr", more: str = "")
     return f"{name} AS (SELECT {', '.join(f'a.{k}' for k in keys)}, a.nms_method, a.value - b.value AS diff FROM {ratios} a JOIN {ratios} b ON {on} AND b.nms_method = '{reference}' WHERE a.nms_method <> '{reference}')"
 
 
+def draws(name: str, sizes: str) -> str:
+    """CTE (n, r, k, pick) of the draws for each n of a table."""
+    rows = f"SELECT n, r, unnest(range(n)) AS k FROM (SELECT DISTINCT n::BIGINT AS n FROM {sizes} WHERE n > 0) CROSS JOIN (SELECT unnest(range({CONFIG.draws})) AS r)"
+    for step, text in resampling.steps():
+        rows = f"SELECT *, {text} AS {step} FROM ({rows})"
+    return f"{name} AS MATERIALIZED (SELECT n, r, k, x6 % n AS pick FROM ({rows}))"
+
+
+def intervals(name: str, source: str, keys: str, margin: float = CONFIG.margin) -> list[str]:
+    """CTEs that end in ``name``: n, median, interval of resampled medians of ``diff``, and the verdict, by keys."""
+    g, d, m, b, c = (f"{name}_{x}" for x in "gdmbc")
+    nan = "'nan'::DOUBLE"
+    return [
+        f"{g} AS MATERIALIZED (SELECT {keys}, count(diff) FILTER (NOT isnan(diff)) AS n, list_sort(list(diff) FILTER (NOT isnan(diff))) AS v FROM {source} GROUP BY {keys})",
+        draws(d, g),
+        f"{m} AS MATERIALIZED (SELECT n, low, high, r FROM (SELECT n, r, list_sort(list(pick)) AS s FROM {d} GROUP BY n, r) t, LATERAL (SELECT s[(n - 1) // 2 + 1] AS low, s[n // 2 + 1] AS high))",
+        f"{b} AS (SELECT {', '.join(f'g.{k.strip()}' for k in keys.split(','))}, (g.v[m.low + 1] + g.v[m.high + 1]) / 2.0::DOUBLE AS made FROM {g} g JOIN {m} m ON m.n = g.n WHERE g.n >= 3)",
+        f"{c} AS MATERIALIZED (SELECT {keys}, quantile_cont(made, 0.05) AS low, quantile_cont(made, 0.95) AS high FROM {b} GROUP BY {keys})",
+        f"{name} AS (SELECT {keys}, n, CASE WHEN n >= 3 THEN (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2.0::DOUBLE ELSE {nan} END AS median, coalesce(low, {nan}) AS ci_low, coalesce(high, {nan}) AS ci_high, "
+        f"coalesce(low > -{margin}::DOUBLE AND high < {margin}::DOUBLE, false) AS equivalent FROM {g} LEFT JOIN {c} USING ({keys}))",
+    ]
+
+
+def slide_bootstrap() -> list[str]:
+    """CTEs for ``curve``: alpha, its interval over slides drawn anew, and the blocks used, per setting."""
+    m, z = len(METHODS_25), ["z1", "z2", "z3"]
+    pairs = m * (m - 1) / 2
+    unit = ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}, ({m} * sum({c} * {c}) - sum({c}) * sum({c})) / {pairs}::DOUBLE AS d_{c}" for c in z)
+    sums = "count(*)::DOUBLE AS blocks, " + ", ".join(f"sum({' + '.join(f'{p}_{c}' for c in z)}) AS {p}" for p in "dq") + ", " + ", ".join(f"sum(s_{c}) AS s_{c}" for c in z)
+    parts = ["blocks", "d", "q", *(f"s_{c}" for c in z)]
+    n = f"(blocks * {m})"
+    expected = f"((2 * {n} * q - 2 * ({' + '.join(f's_{c} * s_{c}' for c in z)})) / ({n} * ({n} - 1)))"
+    value = f"CASE WHEN blocks < 2 THEN 'nan'::DOUBLE WHEN {expected} > 0 THEN 1 - d / blocks / {expected} WHEN d <= 0 THEN 1.0 ELSE 'nan'::DOUBLE END"
+    return [
+        f"bu AS MATERIALIZED (SELECT {BLOCK}, {unit} FROM ({panel()}) GROUP BY {BLOCK} HAVING count(*) = {m})",
+        f"bs AS MATERIALIZED (SELECT block_size, overlap_pct, slide_id, row_number() OVER (PARTITION BY block_size, overlap_pct ORDER BY slide_id) - 1 AS pick, count(*) OVER (PARTITION BY block_size, overlap_pct) AS n, {sums} FROM bu GROUP BY block_size, overlap_pct, slide_id)",
+        draws("bd", "bs"),
+        "bw AS MATERIALIZED (SELECT n, r, pick, count(*) AS w FROM bd GROUP BY n, r, pick)",
+        f"br AS (SELECT s.block_size, s.overlap_pct, w.r, {', '.join(f'sum(s.{c} * w.w) AS {c}' for c in parts)} FROM bs s JOIN bw w ON w.n = s.n AND w.pick = s.pick GROUP BY s.block_size, s.overlap_pct, w.r)",
+        f"bq AS (SELECT block_size, overlap_pct, coalesce(quantile_cont(value, 0.025) FILTER (NOT isnan(value)), 'nan'::DOUBLE) AS lo95, coalesce(quantile_cont(value, 0.975) FILTER (NOT isnan(value)), 'nan'::DOUBLE) AS hi95 FROM (SELECT block_size, overlap_pct, {value} AS value FROM br) GROUP BY block_size, overlap_pct)",
+        f"curve AS (SELECT block_size, overlap_pct, {value} AS alpha, lo95, hi95, CAST(blocks AS BIGINT) AS n_blocks_used FROM (SELECT block_size, overlap_pct, {', '.join(f'sum({c}) AS {c}' for c in parts)} FROM bs GROUP BY block_size, overlap_pct) JOIN bq USING (block_size, overlap_pct))",
+    ]
+
+
 def _deviations() -> list[str]:
     """CTEs for Weiszfeld's iteration, block by block, and the distances of ``dev`` (aitchison, mahalanobis) to it."""
     gap = "sqrt(" + " + ".join(f"(p.z{k} - w.y{k}) * (p.z{k} - w.y{k})" for k in (1, 2, 3)) + ")"

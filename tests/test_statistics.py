@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pytest
 
+from tessella.config import CONFIG
+from tessella.functions import resampling
 from tessella.functions import statistics as s
 from tessella.operators import agreement, consensus, outliers
 
@@ -25,9 +27,6 @@ def test_studentised_range():
 def test_small_tests():
     assert s.binomial_upper(8, 8) == 1 / 256 and s.binomial_upper(0, 5) == 1
     assert s.holm([0.01, 0.04, 0.03, float("nan")]) == pytest.approx([0.04, 0.09, 0.09, 1.0])
-    median, low, high = s.median_interval(np.array([0.1, 0.2, 0.3, np.nan]), 1000, 1)
-    assert median == pytest.approx(0.2) and low <= median <= high
-    assert all(math.isnan(x) for x in s.median_interval(np.array([1.0, 2.0]), 10, 1))
 
 
 def test_average_linkage():
@@ -128,9 +127,51 @@ def test_alpha_against_all_pairs(spark):
     (ci,) = agreement.bootstrap(sums, 4).collect()
     assert ci.lo95 <= ci.hi95 and ci.alpha == pytest.approx(row.alpha)
     slides = np.array([f"s{u % 3}" for u in range(9)])
-    draw = np.random.default_rng(agreement.CONFIG.seed).choice(3, size=(1000, 3), replace=True)
-    boots = [brute_alpha(np.concatenate([panel[:, slides == f"s{k}"] for k in d], axis=1)) for d in draw[:5]]
-    by_slide = sums.orderBy("slide_id").toPandas()
-    z = [c for c in by_slide.columns if c.startswith("s_")]
-    weight = np.array([np.bincount(d, minlength=3) for d in draw[:5]])
-    assert agreement._alpha_array(4, weight @ by_slide[["blocks", "d", "q", *z]].to_numpy(float)) == pytest.approx(boots)
+    boots = [brute_alpha(np.concatenate([panel[:, slides == f"s{k}"] for k in d], axis=1)) for d in drawn(3)]
+    assert (ci.lo95, ci.hi95) == pytest.approx(tuple(np.percentile(boots, [2.5, 97.5])))
+
+
+def drawn(n, replicates=CONFIG.draws, seed=CONFIG.seed):
+    """The draws by definition, in whole numbers of any size."""
+    out = []
+    for r in range(replicates):
+        row = []
+        for k in range(n):
+            x = pow((k * 1000003 + r * 7919 + seed) % resampling.P, 5, resampling.P)
+            row.append(pow(x + r * 104729 + k, 5, resampling.P) % n)
+        out.append(row)
+    return np.array(out)
+
+
+def test_draws(spark):
+    got = resampling.draws(spark.createDataFrame([(7,), (7,), (4,), (0,)], "n int")).toPandas()
+    for n in (4, 7):
+        mine = got[got.n == n].pivot(index="r", columns="k", values="at").to_numpy()
+        assert (mine == drawn(n)).all()
+    assert set(got.n) == {4, 7}
+
+
+def test_draws_are_even_and_independent():
+    for n in (5, 76):
+        at = drawn(n)
+        counts = np.bincount(at.ravel(), minlength=n)
+        assert ((counts - at.size / n) ** 2 / (at.size / n)).sum() < n + 5 * math.sqrt(2 * n)
+        for a, b in ((at[:, :-1], at[:, 1:]), (at[:-1], at[1:])):  # next draw, next replicate
+            assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 5 / math.sqrt(a.size)
+        own = at.mean(1)
+        assert own.std() == pytest.approx(math.sqrt((n * n - 1) / 12 / n), rel=0.1)
+
+
+def test_intervals_of_medians(spark):
+    r = np.random.default_rng(3)
+    groups = {"a": r.normal(size=9), "b": r.normal(size=12).round(1), "c": np.array([1.0, 2.0]), "d": np.array([np.nan, 0.5, 0.5, 0.5]), "e": np.array([np.nan])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None)]
+    got = {x.g: x for x in resampling.median_intervals(spark.createDataFrame(rows, "g string, x double"), ["g"], "x").collect()}
+    for g, v in groups.items():
+        v = np.sort(v[~np.isnan(v)])
+        assert got[g].n == len(v)
+        if len(v) < 3:
+            assert all(map(math.isnan, got[g][2:]))
+        else:
+            ends = np.percentile(np.median(v[drawn(len(v))], axis=1), [5, 95])
+            assert got[g][2:] == pytest.approx((np.median(v), *ends))
