@@ -9,8 +9,8 @@ A template recurs if lines of ``LEAST`` different texts have it; exact copies of
 recurring templates are dropped, but for the template's first line (least id, then place), so no content leaves the
 corpus altogether. Lines without or with fewer than ``CONSTANT`` words always stay.
 
-With ``exact``, as in the pipeline, a line of ``LONG`` words or more recurs from two different texts on if it stands
-there letter by letter; LEAST is for templates and short lines, which may agree by chance. The query goes by its SQL.
+A line of ``LONG`` words or more also recurs from two different texts on if it stands there letter by letter (``exact``);
+LEAST is for templates and short lines, which may agree by chance.
 
 A word's number of texts is the sum over the distinct lines that have it. Leaves, lines and templates are counted by
 hash in pre-aggregated shuffles; only words of leaves that LEAST texts share are looked at.
@@ -58,7 +58,7 @@ def _repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return long.join(first, ["same", "leaf"]).where(place != F.col("first")).select("id", "th", "pos"), first
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = True) -> DataFrame:
     """(id, th, drops): the places of the lines to drop, for every document that has any; a written table."""
     every = _lines(docs, id_col, text_col).drop("plain")
     every = cut(every if exact else every.drop("same"), "lines")
@@ -97,7 +97,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     return drops
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = True) -> DataFrame:
     """(doc, n_lines, n_dropped): each row of ``docs`` as a struct, without the dropped lines, and the numbers of its lines and of those dropped."""
     drops = dropped(docs, id_col, text_col, exact).select(F.col("id").alias("k"), F.col("th").alias("h"), "drops")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
@@ -130,10 +130,10 @@ def stage(spark, docs, sf_dir):
 ORACLE = rf"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-t0 AS (SELECT doc_id, text, pos, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
+t0 AS (SELECT doc_id, text, pos, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
 t AS (
-  SELECT doc_id, text, pos, w, len(w) AS n, array_to_string(w, ' ') AS lh, struct_pack(n := len(w), a := w[1], b := w[2]) AS leaf
-  FROM (SELECT doc_id, text, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN w] AS w FROM t0) WHERE len(w) >= {CONSTANT}),
+  SELECT doc_id, text, pos, line, w, len(w) AS n, array_to_string(w, ' ') AS lh, struct_pack(n := len(w), a := w[1], b := w[2]) AS leaf
+  FROM (SELECT doc_id, text, pos, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN w] AS w FROM t0) WHERE len(w) >= {CONSTANT}),
 leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING count(DISTINCT text) >= {LEAST}),
 s AS (SELECT t.* FROM t SEMI JOIN leaves ON t.leaf = leaves.leaf),
 lines AS (SELECT leaf, lh, any_value(w) AS w, any_value(n) AS n, count(DISTINCT text) AS texts FROM s GROUP BY leaf, lh),
@@ -145,9 +145,11 @@ made AS (
 tpl AS (SELECT leaf, lh, CASE WHEN constant >= {CONSTANT} AND constant >= n * {SHARE} THEN kept ELSE 'line ' || lh END AS template FROM made),
 x AS (SELECT s.*, p.template FROM s JOIN tpl p ON s.leaf = p.leaf AND s.lh = p.lh),
 recurring AS (SELECT leaf, template, min(struct_pack(a := doc_id, b := pos)) AS first FROM x GROUP BY leaf, template HAVING count(DISTINCT text) >= {LEAST}),
-gone AS (
-  SELECT x.doc_id, list(x.pos) AS drops FROM x JOIN recurring r ON x.leaf = r.leaf AND x.template = r.template
-  WHERE struct_pack(a := x.doc_id, b := x.pos) <> r.first GROUP BY x.doc_id)
+repeated AS (SELECT line, min(struct_pack(a := doc_id, b := pos)) AS first FROM t WHERE n >= {LONG} GROUP BY line HAVING count(DISTINCT text) >= 2),
+places AS (
+  SELECT x.doc_id, x.pos FROM x JOIN recurring r ON x.leaf = r.leaf AND x.template = r.template WHERE struct_pack(a := x.doc_id, b := x.pos) <> r.first
+  UNION SELECT t.doc_id, t.pos FROM t JOIN repeated r ON t.line = r.line AND t.n >= {LONG} WHERE struct_pack(a := t.doc_id, b := t.pos) <> r.first),
+gone AS (SELECT doc_id, list(pos) AS drops FROM places GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.drops), 0) AS BIGINT) AS n_dropped,
   CASE WHEN g.drops IS NULL THEN d.text ELSE array_to_string([y FOR y, i IN string_split(d.text, chr(10)) IF NOT list_contains(g.drops, i - 1)], chr(10)) END AS text
 FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id

@@ -55,10 +55,18 @@ def test_edges(spark, tmp_path):
     assert lines.query(spark, store(spark, tmp_path, "documents", docs(spark, []))).count() == 0
 
 
-def test_long_lines_of_two_texts_go_in_the_stage(spark):
+def test_long_lines_of_two_texts_go(spark):
     long, short = " ".join(OWN[:12]), " ".join(OWN[:9])
     texts = [f"{long}\n{short}\nown a", f"own b\n{short}\n{long}", f"{long}\n{long}\nown c", f"{long.upper()}\nown d"]
     copies = [" ".join(OWN[::-1]) + "\nown e"] * 3
     got = texts_of(lines.stage(spark, rows(spark, texts + copies), None))
     assert got == dict(enumerate([texts[0], f"own b\n{short}", "own c", texts[3], *copies]))
-    assert texts_of(lines.dedup(rows(spark, texts + copies))) == dict(enumerate(texts + copies))
+    assert texts_of(lines.dedup(rows(spark, texts + copies))) == got
+    assert texts_of(lines.dedup(rows(spark, texts + copies), exact=False)) == dict(enumerate(texts + copies))
+
+
+def test_nine_texts_with_one_long_line_in_the_query(spark, tmp_path):
+    line = " ".join(OWN[:15])
+    sf = store(spark, tmp_path, "documents", rows(spark, [f"{line}
+own {OWN[k]}" for k in range(9)]))
+    assert {r.doc_id: r.n_dropped for r in lines.query(spark, sf).collect()} == {0: 0, **{k: 1 for k in range(1, 9)}}
