@@ -67,6 +67,5 @@ def test_long_lines_of_two_texts_go(spark):
 
 def test_nine_texts_with_one_long_line_in_the_query(spark, tmp_path):
     line = " ".join(OWN[:15])
-    sf = store(spark, tmp_path, "documents", rows(spark, [f"{line}
-own {OWN[k]}" for k in range(9)]))
+    sf = store(spark, tmp_path, "documents", rows(spark, [f"{line}\nown {OWN[k]}" for k in range(9)]))
     assert {r.doc_id: r.n_dropped for r in lines.query(spark, sf).collect()} == {0: 0, **{k: 1 for k in range(1, 9)}}
