@@ -23,18 +23,27 @@ def steps(config: Config = CONFIG) -> list[tuple[str, str]]:
     return [(name, text.format(p=P, seed=config.seed)) for name, text in STEPS]
 
 
+def hashed(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Adds ``x``, a number below P, to rows with whole numbers r and k."""
+    for name, text in steps(config):
+        rows = rows.withColumn(name, F.expr(text))
+    return rows.withColumn("x", F.col(STEPS[-1][0])).drop(*(name for name, _ in STEPS))
+
+
+def upto(n: Column) -> Column:
+    """0 .. n - 1, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+
+
 def draws(sizes: DataFrame, config: Config = CONFIG) -> DataFrame:
     """(n, r, k, at) for the distinct ``n`` of ``sizes``: draw k of replicate r is value ``at`` of 0 .. n - 1.
 
     Groups of equal size share their draws, as generators with one seed do.
     """
-    last = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
     rows = sizes.select(F.col("n").cast("long").alias("n")).where("n > 0").distinct()
-    rows = rows.select("n", last(F.lit(config.draws).cast("long")).alias("r")).repartition("n", "r")
-    rows = rows.select("n", "r", last(F.col("n")).alias("k"))
-    for name, text in steps(config):
-        rows = rows.withColumn(name, F.expr(text))
-    return rows.select("n", "r", "k", (F.col("x6") % F.col("n")).alias("at"))
+    rows = rows.select("n", upto(F.lit(config.draws)).alias("r")).repartition("n", "r")
+    rows = hashed(rows.select("n", "r", upto(F.col("n")).alias("k")), config)
+    return rows.select("n", "r", "k", (F.col("x") % F.col("n")).alias("at"))
 
 
 def weights(sizes: DataFrame, config: Config = CONFIG) -> DataFrame:

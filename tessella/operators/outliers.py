@@ -5,18 +5,19 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import CONFIG, Config
+from tessella.functions import resampling
 from tessella.functions.statistics import binomial_upper
 from tessella.operators.counts import BLOCK
 from tessella.operators.inference import average_rank
+from tessella.sources.scratch import cut
 
 SETTING = ["block_size", "overlap_pct"]
-#: Sets of methods up to which their numbers are drawn at once.
+#: Sets of methods up to which one is drawn at once.
 SETS = 20_000
 
 
@@ -34,50 +35,43 @@ def tail_flags(cells: DataFrame) -> DataFrame:
     return own.withColumn("frac_upper_tail", F.col("n_upper") / F.col("n_blocks")).withColumn("expected_frac", expected)
 
 
-def slot_sums(rng: np.random.Generator, draws: int, methods: int, slots: int, blocks: int) -> np.ndarray:
-    """(draws, methods): how often each method gets a slot when every one of ``blocks`` deals ``slots`` to different methods.
+def dealt(histogram: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """(setting, r, j, n): how often method j of m gets a slot when every block deals its t slots to different methods.
 
-    All sets of methods are equally likely, so their numbers are one multinomial draw, whatever the number of blocks;
-    where there are too many sets, blocks are dealt one by one.
+    ``histogram`` has, per setting, the number of blocks nb with t of m slots, t under m. All sets of t methods are equally
+    likely, so a block is one hash-indexed draw of a set, and draws are counted by set before methods are. Where there are more
+    than ``SETS`` sets, a block's methods are ordered by a hash each and the first t taken.
     """
-    if slots >= methods:
-        return np.full((draws, methods), blocks, np.int64)
-    if comb(methods, slots) <= SETS:
-        sets = np.array(list(combinations(range(methods), slots)))
-        member = np.zeros((len(sets), methods), np.int64)
-        member[np.arange(len(sets))[:, None], sets] = 1
-        return rng.multinomial(blocks, np.full(len(sets), 1 / len(sets)), size=draws) @ member
-    out = np.zeros((draws, methods), np.int64)
-    for k in range(draws):
-        for at in range(0, blocks, 4096):  # blocks in bounded pieces
-            keys = rng.random((min(4096, blocks - at), methods))
-            out[k] += np.bincount(np.argpartition(keys, slots - 1, axis=1)[:, :slots].ravel(), minlength=methods)
-    return out
-
-
-def permutation(cells: DataFrame, config: Config = CONFIG, piece: int = 100) -> DataFrame:
+    kinds = [(r.m, r.t) for r in histogram.select("m", "t").distinct().collect()]  # at most one a number of slots
+    few = [(m, t) for m, t in kinds if comb(m, t) <= SETS]
+    spark = histogram.sparkSession
+    sizes = F.broadcast(spark.createDataFrame([(m, t, comb(m, t)) for m, t in few], "m long, t long, sets long"))
+    rows = histogram.withColumn("r", resampling.upto(F.lit(config.draws))).repartition(*SETTING, "t", "r").withColumn("k", resampling.upto(F.col("nb")))
+    drawn = resampling.hashed(rows.join(sizes, ["m", "t"]), config)
+    drawn = drawn.groupBy(*SETTING, "r", "m", "t", (F.col("x") % F.col("sets")).alias("set")).count()
+    members = spark.createDataFrame([(m, t, k, list(c)) for m, t in few for k, c in enumerate(combinations(range(m), t))], "m long, t long, set long, members array<long>")
+    out = drawn.join(members, ["m", "t", "set"]).select(*SETTING, "r", F.explode("members").alias("j"), "count")
+    if len(few) < len(kinds):
+        each = rows.join(sizes, ["m", "t"], "left_anti").withColumn("j", resampling.upto(F.col("m")))
+        each = resampling.hashed(each.withColumnRenamed("k", "b").withColumn("k", F.col("b") * F.col("m") + F.col("j")), config)
+        order = F.row_number().over(Window.partitionBy(*SETTING, "t", "r", "b").orderBy("x", "j"))
+        out = out.unionByName(each.withColumn("nth", order).where("nth <= t").select(*SETTING, "r", "j", F.lit(1).cast("long").alias("count")))
+    return out.groupBy(*SETTING, "r", "j").agg(F.sum("count").alias("n"))
+
+
+def permutation(cells: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Family-wise p-values by the largest count of any method when each block's tail slots are dealt at random.
 
-    Only the histogram of slots by block matters, so replicates are drawn from it, ``piece`` in a row of work, each piece
-    from its own seed.
+    Only the histogram of slots by block matters, so replicates are drawn from it; all is joins and sums.
     """
     own = tail_flags(cells)
     slots = cells.groupBy(*BLOCK).agg(F.sum(F.col("in_tail").cast("long")).alias("t")).where("t > 0")
-    histogram = slots.groupBy(*SETTING, "t").count().groupBy(*SETTING).agg(F.array_sort(F.collect_list(F.struct("t", "count"))).alias("slots"))
     counts = own.groupBy(*SETTING).agg(F.count(F.lit(1)).alias("m"))
-    pieces = -(-config.draws // piece)
-    jobs = histogram.join(counts, SETTING).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-
-    def draw(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                n = min(piece, config.draws - r.piece * piece)
-                rng = np.random.default_rng([config.seed, r.piece])
-                total = sum(slot_sums(rng, n, int(r.m), int(s["t"]), int(s["count"])) for s in r.slots)
-                yield pd.DataFrame({"block_size": r.block_size, "overlap_pct": r.overlap_pct, "top": total.max(1)})
-
-    null = jobs.repartition(*SETTING, "piece").mapInPandas(draw, "block_size long, overlap_pct double, top long")
-    null = null.groupBy(*SETTING, "top").count()
+    histogram = cut(slots.groupBy(*SETTING, "t").agg(F.count(F.lit(1)).alias("nb")).join(counts, SETTING), "outlier-slots")  # a row a number of slots
+    most = dealt(histogram.where("t < m"), config).groupBy(*SETTING, "r").agg(F.max("n").alias("most"))
+    full = histogram.groupBy(*SETTING).agg(F.sum(F.when(F.col("t") >= F.col("m"), F.col("nb")).otherwise(0)).alias("full"))  # all methods get one
+    every = full.withColumn("r", resampling.upto(F.lit(config.draws))).join(most, [*SETTING, "r"], "left")
+    null = every.groupBy(*SETTING, (F.col("full") + F.coalesce("most", F.lit(0))).alias("top")).count()
     beaten = own.join(null, SETTING, "left").groupBy(*SETTING, "nms_method", "n_upper", "n_blocks", "frac_upper_tail", "expected_frac")
     over = F.sum(F.when(F.col("top") >= F.col("n_upper"), F.col("count")).otherwise(0))
     p = F.when(F.sum("count").isNull(), 1.0).otherwise((1 + over) / F.lit(config.draws + 1.0))

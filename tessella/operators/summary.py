@@ -92,6 +92,20 @@ def classification_changes(cells: DataFrame, reference: str = "none", config: Co
     )
 
 
+def boxes(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """What a box plot of ``value`` shows: quartiles, whiskers to the last values within 1.5 quartile distances, ends, and
+    how many values lie beyond the whiskers. Quartiles and whiskers are two aggregations, so a group of any size is never held."""
+    cuts = rows.groupBy(*keys).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))))
+    reach = (F.col("q75") - F.col("q25")) * 1.5
+    inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
+    within = F.when(inside, F.col(value))
+    made = rows.select(*keys, value).where(F.col(value).isNotNull()).join(cuts, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.min(within).alias("whisker_low"), *(F.first(c).alias(c) for c in ("q25", "median", "q75")),
+        F.max(within).alias("whisker_high"), F.max(value).alias("high"), F.sum((~inside).cast("long")).alias("n_outside"),
+    )
+    return made
+
+
 def pseudonymised(rows: DataFrame, slides: DataFrame) -> DataFrame:
     """``rows`` with pseudonyms in place of slide ids."""
     return rows.join(pseudonyms(slides), "slide_id").select("pseudonym", *(c for c in rows.columns if c != "slide_id"))

@@ -454,14 +454,35 @@ def holm(spark, sf_dir):
     return real(inference.holm(rows, ["overlap_pct"]))
 
 
-@query()
+_WESTFALL = [*_OUT, _TAIL, _FLAG, *sql.permutation()]
+
+
+@query(sql.query(_WESTFALL, f"SELECT block_size, overlap_pct, nms_method, n_upper, n_blocks, {sql.real('frac_upper_tail')} AS frac_upper_tail, {sql.real('expected_frac')} AS expected_frac, {sql.real('p_value')} AS p_value, flagged_outlier FROM wy"))
 def westfall_young(spark, sf_dir):
-    return outliers.permutation(outliers.tail_cells(study(spark, sf_dir).deviations))
+    return real(outliers.permutation(_tails(spark, sf_dir)))
 
 
-@query()
+@query(sql.query(_WESTFALL, f"SELECT nms_method, CAST(sum(flagged_outlier::INT) AS BIGINT) AS n_settings_flagged, count(*) AS n_settings_total, {sql.real('avg(flagged_outlier::INT::DOUBLE)')} AS frac_settings_flagged, {sql.real('avg(frac_upper_tail)')} AS mean_frac_upper_tail FROM wy GROUP BY nms_method"))
 def outlier_summary(spark, sf_dir):
-    return outliers.summary(outliers.permutation(outliers.tail_cells(study(spark, sf_dir).deviations)))
+    return real(outliers.summary(outliers.permutation(_tails(spark, sf_dir))))
+
+
+def _box(source: str, keys: str, value: str) -> list[str]:
+    """CTEs for ``box``: what a box plot of a value shows."""
+    cut = ", ".join(f"quantile_cont({value}, {q}) AS {n}" for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)))
+    inside = f"{value} BETWEEN q25 - 1.5::DOUBLE * (q75 - q25) AND q75 + 1.5::DOUBLE * (q75 - q25)"
+    return [
+        f"qs AS (SELECT {keys}, {cut} FROM {source} GROUP BY {keys})",
+        f"box AS (SELECT {keys}, count(*) AS n, min({value}) AS low, min({value}) FILTER ({inside}) AS whisker_low, any_value(q25) AS q25, any_value(median) AS median, any_value(q75) AS q75, "
+        f"max({value}) FILTER ({inside}) AS whisker_high, max({value}) AS high, count(*) FILTER (NOT ({inside})) AS n_outside FROM {source} JOIN qs USING ({keys}) GROUP BY {keys})",
+    ]
+
+
+@query(sql.query([*sql.DEVIATIONS, "far AS MATERIALIZED (SELECT *, round(aitchison, 7) AS distance FROM dev)", *_box("far", "overlap_pct, block_size, nms_method", "distance")], f"SELECT overlap_pct, block_size, nms_method, n, {reals('low', 'whisker_low', 'q25', 'median', 'q75', 'whisker_high', 'high')}, n_outside FROM box"))
+def distance_boxes(spark, sf_dir):
+    """The box plot of each variant's distances to the consensus."""
+    rows = study(spark, sf_dir).deviations.withColumn("distance", F.round("aitchison_distance", 7))
+    return real(summary.boxes(rows, "distance", ["overlap_pct", "block_size", "nms_method"]))
 
 
 # -- inference --------------------------------------------------------------------------------------------------------
@@ -648,9 +669,27 @@ def slide_counts_export(spark, sf_dir):
 
 @query()
 def method_times(spark, sf_dir):
-    """CPU and wall time of a few variants on one slide that has every overlap."""
+    """CPU and wall time of the 31 variants on five slides that have every overlap, three repeats each."""
     from tessella.plans import jobs
 
     dets = study(spark, sf_dir).detections
-    some = {m: REGISTRY[m] for m in ("none", "iou_grid_n1", "nn_dist_grid_n1", "nn_cluster_global")}
-    return jobs.times(dets.join(jobs.representative(dets, 1), "slide_id", "left_semi"), some, repeats=3)
+    return jobs.times(dets.join(jobs.representative(dets, 5), "slide_id", "left_semi"), repeats=3)
+
+
+#: Sweep settings that are the registered rules under another name, two that are not, and one that nothing matches.
+_SAME = {"iou_t0.45": "iou_grid_n1", "nn_dist_r20": "nn_dist_grid_n1", "nn_center_k2": "nn_center_grid_n1", "nn_cluster_r20": "nn_cluster_grid_n1", "iou_t0.60": "iou_edgecrop_grid_n1", "none_c0.37": "none", "iou_classwise": "unregistered"}
+_GAPS = [f"abs(a.{s} - b.{s})" for s in SHORT]
+
+
+@query(sql.query(
+    [*sql.COUNTED, *sql.swept({n: SWEEPS[n] for n in _SAME}, "swept", "v"), f"theirs AS (SELECT slide_id, overlap_pct, n.method AS nms_method, {', '.join(SHORT)} FROM swept JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _SAME.items())}) n(setting, method) ON n.setting = swept.nms_method)",
+     f"ours AS (SELECT {sql.KEY}, nms_method, {', '.join(SHORT)} FROM cells WHERE nms_method IN ({', '.join(f"'{v}'" for v in [*_SAME.values(), 'iou_global'])}))"],
+    f"SELECT {sql.KEY}, nms_method, CASE WHEN b.Mac IS NULL THEN 'only left' WHEN a.Mac IS NULL THEN 'only right' WHEN greatest({', '.join(_GAPS)}) <= 2 THEN 'agrees' ELSE 'differs' END AS status, "
+    + ", ".join(f"{g}::DOUBLE AS gap_{s}" for g, s in zip(_GAPS, SHORT, strict=True)) + f" FROM ours a FULL OUTER JOIN theirs b USING ({sql.KEY}, nms_method)"))
+def validation_merge(spark, sf_dir):
+    """Counts of registered variants against those of parameter settings that should equal them, to two cells."""
+    st = study(spark, sf_dir)
+    names = F.create_map(*(F.lit(x) for pair in _SAME.items() for x in pair))
+    theirs = counts.cells(st.swept, SWEEPS).where(F.col("nms_method").isin(*_SAME)).withColumn("nms_method", names[F.col("nms_method")])
+    ours = st.cells.where(F.col("nms_method").isin(*_SAME.values(), "iou_global"))
+    return validate.compare(ours, theirs, [*KEYS, "nms_method"], {s: 2.0 for s in SHORT})

@@ -165,9 +165,8 @@ def timing(store: Store, slides: int = 5, repeats: int = 3, config: Config = CON
 
 def plot_tables(store: Store, config: Config = CONFIG) -> dict[str, DataFrame]:
     """What the study's figures show, as tables; drawing is left to other tools."""
-    five = [F.percentile("value", F.lit(q)).alias(n) for n, q in (("low", 0.0), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("high", 1.0))]
-    distance = store.read("method_deviation").withColumn("value", F.col("aitchison_distance")).groupBy("overlap_pct", "block_size", "nms_method").agg(*five)
-    spent = store.read("timing").withColumn("value", F.col("elapsed_cpu")).groupBy("nms_method").agg(*five)
+    distance = summary.boxes(store.read("method_deviation"), "aitchison_distance", ["overlap_pct", "block_size", "nms_method"])
+    spent = summary.boxes(store.read("timing"), "elapsed_cpu", ["nms_method"])
     return {"fig_distance_by_method": distance, "fig_time_by_method": spent, **weighted_summary(store, config)}
 
 

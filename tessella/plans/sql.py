@@ -253,14 +253,16 @@ def alpha(regime: str = "as_is") -> str:
     return f"SELECT block_size, overlap_pct, count(*) AS n_blocks, {real(value(z))} AS alpha, {each} FROM ({units}) GROUP BY block_size, overlap_pct"
 
 
-def swept(variants: dict) -> list[str]:
+def swept(variants: dict, cells: str = "cells", prefix: str = "w") -> list[str]:
     """CTEs for the survivors' counts of parameter settings, one row a slide, overlap and setting, and log-ratio differences."""
     wide = ", ".join(f"CAST(count(*) FILTER (d.label = '{label}') AS BIGINT) AS {s}" for label, s in zip(CONFIG.labels, SHORT, strict=True))
-    union = " UNION ALL ".join(f"SELECT '{n}' AS nms_method, det_id FROM w{k}" for k, n in enumerate(variants))
+    union = " UNION ALL ".join(f"SELECT '{n}' AS nms_method, det_id FROM {prefix}{k}" for k, n in enumerate(variants))
+    if cells != "cells":  # beside the counts of the registered variants
+        return [*(survivors(f"{prefix}{k}", n, v) for k, (n, v) in enumerate(variants.items())), f"{cells} AS MATERIALIZED (SELECT d.{KEY.replace(', ', ', d.')}, s.nms_method, {wide} FROM ({union}) s JOIN det d USING (det_id) GROUP BY ALL)"]
     return [
         DET,
-        *(survivors(f"w{k}", n, v) for k, (n, v) in enumerate(variants.items())),
-        f"cells AS MATERIALIZED (SELECT d.{KEY.replace(', ', ', d.')}, s.nms_method, {wide} FROM ({union}) s JOIN det d USING (det_id) GROUP BY ALL)",
+        *(survivors(f"{prefix}{k}", n, v) for k, (n, v) in enumerate(variants.items())),
+        f"{cells} AS MATERIALIZED (SELECT d.{KEY.replace(', ', ', d.')}, s.nms_method, {wide} FROM ({union}) s JOIN det d USING (det_id) GROUP BY ALL)",
         RATIOS,
         LONG_ALR,
     ]
@@ -281,6 +283,36 @@ def draws(name: str, sizes: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT n, r, k, x6 % n AS pick FROM ({rows}))"
 
 
+def permutation(most: int = 4) -> list[str]:
+    """CTEs for ``wy``: family-wise p-values from ``tail`` and ``flags``; up to ``most`` slots a block, or all of them."""
+    sets = []
+    for t in range(1, most + 1):
+        js = ", ".join(f"j{i}" for i in range(t))
+        inner = "SELECT m FROM sizes"
+        for i in range(t):
+            inner = f"SELECT *, unnest(range({'j%d + 1' % (i - 1) if i else '0'}, m)) AS j{i} FROM ({inner})"
+        sets.append(f"SELECT m, {t} AS t, row_number() OVER (PARTITION BY m ORDER BY {js}) - 1 AS no, [{js}] AS js FROM ({inner})")
+    rows = f"SELECT *, unnest(range(nb)) AS k FROM (SELECT h.*, c.sets FROM hist h JOIN setsizes c ON c.m = h.m AND c.t = h.t WHERE h.t < h.m) CROSS JOIN (SELECT unnest(range({CONFIG.draws})) AS r)"
+    for step, text in resampling.steps():
+        rows = f"SELECT *, {text} AS {step} FROM ({rows})"
+    return [
+        "ms AS (SELECT block_size, overlap_pct, count(*) AS m FROM flags GROUP BY ALL)",
+        "sizes AS (SELECT DISTINCT m FROM ms)",
+        f"sets AS MATERIALIZED ({' UNION ALL '.join(sets)})",
+        "setsizes AS (SELECT m, t, count(*) AS sets FROM sets GROUP BY m, t)",
+        "slots AS (SELECT block_size, overlap_pct, b, CAST(sum(in_tail::INT) AS BIGINT) AS t FROM tail GROUP BY ALL HAVING sum(in_tail::INT) > 0)",
+        "hist AS MATERIALIZED (SELECT block_size, overlap_pct, t, nb, m FROM (SELECT block_size, overlap_pct, t, count(*) AS nb FROM slots GROUP BY ALL) JOIN ms USING (block_size, overlap_pct))",
+        f"drawn AS MATERIALIZED (SELECT block_size, overlap_pct, r, m, t, x6 % sets AS no, count(*) AS n FROM ({rows}) GROUP BY ALL)",
+        "got AS (SELECT block_size, overlap_pct, r, j, sum(n) AS n FROM (SELECT d.block_size, d.overlap_pct, d.r, d.n, unnest(s.js) AS j FROM drawn d JOIN sets s ON s.m = d.m AND s.t = d.t AND s.no = d.no) GROUP BY ALL)",
+        "most AS (SELECT block_size, overlap_pct, r, max(n) AS most FROM got GROUP BY ALL)",
+        "full_ AS (SELECT block_size, overlap_pct, coalesce(sum(nb) FILTER (t >= m), 0) AS full_ FROM hist GROUP BY ALL)",
+        f"tops AS MATERIALIZED (SELECT f.block_size, f.overlap_pct, f.full_ + coalesce(x.most, 0) AS top FROM full_ f CROSS JOIN (SELECT unnest(range({CONFIG.draws})) AS r) q LEFT JOIN most x ON x.block_size = f.block_size AND x.overlap_pct = f.overlap_pct AND x.r = q.r)",
+        f"beaten AS (SELECT f.block_size, f.overlap_pct, f.nms_method, count(t.top) AS made, count(*) FILTER (t.top >= f.n_upper) AS beats FROM flags f LEFT JOIN tops t USING (block_size, overlap_pct) GROUP BY ALL)",
+        f"wy AS (SELECT f.*, f.n_upper::DOUBLE / f.n_blocks AS frac_upper_tail, (sum(f.n_upper) OVER s)::DOUBLE / sum(f.n_blocks) OVER s AS expected_frac, CASE WHEN made = 0 THEN 1.0 ELSE (1 + beats) / {CONFIG.draws + 1}.0::DOUBLE END AS p_value, "
+        f"CASE WHEN made = 0 THEN 1.0 ELSE (1 + beats) / {CONFIG.draws + 1}.0::DOUBLE END < {CONFIG.alpha}::DOUBLE AS flagged_outlier FROM flags f JOIN beaten USING (block_size, overlap_pct, nms_method) WINDOW s AS (PARTITION BY block_size, overlap_pct))",
+    ]
+
+
 def intervals(name: str, source: str, keys: str, margin: float = CONFIG.margin) -> list[str]:
     """CTEs that end in ``name``: n, median, interval of resampled medians of ``diff``, and the verdict, by keys."""
     g, d, m, b, c = (f"{name}_{x}" for x in "gdmbc")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +89,17 @@ def timing_summary(times: DataFrame) -> DataFrame:
     """CPU time of each variant: the median of a slide's repeats, then of slides."""
     rows = median_of_medians(times, "elapsed_cpu", ["slide_id"], ["overlap_pct", "nms_method"])
     return rows.withColumnsRenamed({"median": "median_cpu", "n_units": "n_slides"})
+
+
+def compare(left: DataFrame, right: DataFrame, keys: list[str], tolerance: dict[str, float]) -> DataFrame:
+    """Two result tables side by side: ``status`` of each key and the gap of each column.
+
+    ``agrees`` if every column is within its tolerance (two nulls or two NaN agree, one alone does not), ``differs`` if not,
+    ``only left`` or ``only right`` where the other lacks the key. Keys are unique in each table; null keys match.
+    """
+    a, b = (t.select(F.struct(*keys).alias("key"), F.struct(*(F.col(c).cast("double").alias(c) for c in tolerance)).alias(side)) for t, side in ((left, "l"), (right, "r")))
+    rows = a.join(b.withColumnRenamed("key", "other"), F.col("key").eqNullSafe(F.col("other")), "full")
+    pairs = {c: (F.col(f"l.{c}"), F.col(f"r.{c}")) for c in tolerance}
+    close = [F.coalesce(x.eqNullSafe(y) | (F.abs(x - y) <= tolerance[c]), F.lit(False)) for c, (x, y) in pairs.items()]
+    status = F.when(F.col("other").isNull(), "only left").when(F.col("key").isNull(), "only right").when(reduce(and_, close), "agrees").otherwise("differs")
+    return rows.select(F.coalesce("key", "other").alias("key"), status.alias("status"), *(F.abs(x - y).alias(f"gap_{c}") for c, (x, y) in pairs.items())).select("key.*", "status", *(f"gap_{c}" for c in tolerance))

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tessella.config import CONFIG
+from tessella.config import CONFIG, Config
 from tessella.functions import resampling
 from tessella.functions import statistics as s
 from tessella.operators import agreement, consensus, outliers
@@ -80,16 +80,33 @@ def test_a_covariance_without_inverse(monkeypatch):
     assert np.isfinite(consensus.leave_one_out(x, x.mean(0))).all()
 
 
-def test_slots_are_dealt_evenly():
-    r = np.random.default_rng(0)
-    for t, sets in ((1, 20_000), (2, 20_000), (2, 1), (6, 20_000)):
-        outliers.SETS = sets
-        sums = outliers.slot_sums(r, 400, 6, t, 300)
-        outliers.SETS = 20_000
-        assert (sums.sum(1) == 300 * t).all() and sums.max() <= 300
+@pytest.mark.parametrize("sets", [20_000, 1])  # by sets; by a hash a method
+def test_slots_are_dealt_evenly(spark, monkeypatch, sets):
+    monkeypatch.setattr(outliers, "SETS", sets)
+    rows = [(t, 0.0, t, 300, 6) for t in (1, 2, 5)]
+    got = outliers.dealt(spark.createDataFrame(rows, "block_size long, overlap_pct double, t long, nb long, m long"), Config(draws=400)).toPandas()
+    for t in (1, 2, 5):
+        sums = got[got.block_size == t].pivot_table(index="r", columns="j", values="n", fill_value=0).to_numpy()
+        assert sums.shape == (400, 6) and (sums.sum(1) == 300 * t).all() and sums.max() <= 300
         assert sums.mean(0) == pytest.approx(np.full(6, 50 * t), rel=0.05)
         p = t / 6
-        assert sums.var() == pytest.approx(300 * p * (1 - p), rel=0.2) or t == 6
+        assert sums.var() == pytest.approx(300 * p * (1 - p), rel=0.2)
+
+
+def test_p_values_by_their_definition(spark):
+    r = np.random.default_rng(4)
+    rows = [("s", 0.0, 1, b, 0, f"m{k}", float(r.normal() + (3 if k == 2 else 0))) for b in range(40) for k in range(5)]
+    schema = "slide_id string, overlap_pct double, block_size long, block_x long, block_y long, nms_method string, mahalanobis_distance double"
+    cells = outliers.tail_cells(spark.createDataFrame(rows, schema))
+    got = {x.nms_method: x for x in outliers.permutation(cells).collect()}
+    tops = []
+    for k in range(CONFIG.draws):  # each block has one of five methods in its tail
+        x = [pow((b * 1000003 + k * 7919 + CONFIG.seed) % resampling.P, 5, resampling.P) for b in range(40)]
+        x = [pow(v + k * 104729 + b, 5, resampling.P) % 5 for b, v in enumerate(x)]
+        tops.append(np.bincount(x, minlength=5).max())
+    for x in got.values():
+        assert x.p_value == pytest.approx((1 + sum(t >= x.n_upper for t in tops)) / (CONFIG.draws + 1))
+    assert got["m2"].flagged_outlier and not got["m0"].flagged_outlier
 
 
 def test_block_bootstrap(spark):

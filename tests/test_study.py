@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella import cli
 from tessella.config import CONFIG, METHODS
-from tessella.operators import counts, inference, outliers
+from tessella.operators import counts, inference, outliers, summary
 from tessella.plans import jobs
 from tessella.plans.study import study
 from tessella.sources import images, load, validate
@@ -242,3 +242,18 @@ def test_outliers_find_a_planted_method(spark):
 
 def test_all_methods_are_counted(spark):
     assert {r.nms_method for r in study(spark, SF).cells.select("nms_method").distinct().collect()} == set(METHODS)
+
+
+def test_result_tables_are_compared_by_key(spark):
+    nan = float("nan")
+    left = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 3, None), ("d", 4, nan), ("e", 5, None), (None, 6, 1.0), ("g", 7, 0.0)], "k string, n long, v double")
+    right = spark.createDataFrame([("a", 1, 1.05), ("b", 2, 1.2), ("c", 3, None), ("d", 4, nan), ("e", 5, 1.0), (None, 6, 1.0), ("h", 8, 0.0)], "k string, n long, v double")
+    got = {(r.k, r.n): (r.status, r.gap_v) for r in validate.compare(left, right, ["k", "n"], {"v": 0.1}).collect()}
+    assert {k: s for k, (s, _) in got.items()} == {("a", 1): "agrees", ("b", 2): "differs", ("c", 3): "agrees", ("d", 4): "agrees", ("e", 5): "differs", (None, 6): "agrees", ("g", 7): "only left", ("h", 8): "only right"}
+    assert got["b", 2][1] == pytest.approx(0.2) and got["c", 3][1] is None
+
+
+def test_boxes(spark):
+    values = [1.0, 2.0, 2.5, 3.0, 4.0, 9.0, -7.0, None]
+    (r,) = summary.boxes(spark.createDataFrame([("a", v) for v in values], "k string, v double"), "v", ["k"]).collect()
+    assert (r.n, r.low, r.whisker_low, r.q25, r.median, r.q75, r.whisker_high, r.high, r.n_outside) == (7, -7.0, 1.0, 1.5, 2.5, 3.5, 4.0, 9.0, 2)
