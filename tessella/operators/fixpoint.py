@@ -2,8 +2,8 @@
 
 A node is a detection in one block; blocks are visited in order. A killer edge joins a node to one of higher priority
 in its block that conflicts with it, a previous edge to the same detection in its block before. A node is dead if a
-killer lives or its previous node is dead, and lives once its previous node lives and all killers are dead. Each round
-is two joins on the undecided nodes only, ended by a written table.
+killer lives or its previous node is dead, and lives once its previous node lives and all killers are dead. Variants are bits of
+a node's state, so all of one scope share a loop. Each round is a few joins on the undecided nodes only, ended by a written table.
 """
 
 from __future__ import annotations
@@ -123,38 +123,57 @@ def nodes(dets: DataFrame, scope: str) -> DataFrame:
     return rows.select("det_id", (F.col("by") * 1_000_000 + F.col("bx")).alias("place"))
 
 
-def survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
-    """det_id of the survivors of greedy suppression along ``edges`` (killer, victim)."""
-    edges = cut(edges.select("killer", "victim"), "fixpoint-conflicts")
+def dead_bits(took: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    """(det_id, dead): the variants, as bits, in which greedy suppression along the edges removes a detection.
+
+    ``took`` (det_id, tile_x, tile_y, took) has the variants that a detection takes part in, ``edges`` (killer, victim, bits)
+    those in which two detections conflict. All variants of a scope share its nodes and are settled by one loop.
+    """
+    edges = cut(edges.select("killer", "victim", "bits"), "fixpoint-conflicts")
     involved = edges.select(F.explode(F.array("killer", "victim")).alias("det_id")).distinct()
-    untouched = dets.select("det_id").join(involved, "det_id", "left_anti")  # without conflicts: survives
-    at = nodes(dets.join(involved, "det_id", "left_semi"), scope)
+    some = cut(took.select("det_id", "tile_x", "tile_y", "took").join(involved, "det_id", "left_semi"), "fixpoint-involved")
+    at = nodes(some, scope)
     order = Window.partitionBy("det_id").orderBy("place")
     state = at.withColumn("before", F.lag("place").over(order)).withColumn("last", F.lead("place").over(order).isNull())
-    state = cut(state.withColumn("alive", F.lit(None).cast("boolean")), "fixpoint-state")
+    none = F.lit(0).cast("long")
+    state = cut(state.join(some.select("det_id", "took"), "det_id").withColumns({"alive": none, "dead": none}), "fixpoint-state")
     here = at.select(F.col("det_id").alias("killer"), "place")
-    kills = edges.select("killer", "victim").join(here, "killer").join(at.withColumnRenamed("det_id", "victim"), ["victim", "place"])
+    kills = edges.join(here, "killer").join(at.withColumnRenamed("det_id", "victim"), ["victim", "place"])
     kills = cut(kills, "fixpoint-edges")
-    while not state.where("alive is null").isEmpty():
-        known = state.select(F.col("det_id").alias("d"), F.col("place").alias("p"), F.col("alive").alias("was"))
-        open_ = state.where("alive is null").drop("alive")
-        above = kills.join(known, (F.col("killer") == F.col("d")) & (kills["place"] == F.col("p"))).groupBy("victim", "place")
-        above = above.agg(F.max(F.coalesce("was", F.lit(False))).alias("killed"), F.max(F.col("was").isNull()).alias("waits"))
+    both = lambda x, y: F.col(x).bitwiseAND(F.col(y))
+    out = lambda x: F.bitwise_not(F.col(x))
+    undecided = both("took", "alive").bitwiseOR(both("took", "dead")) != F.col("took")
+    while not state.where(undecided).isEmpty():
+        known = state.select(F.col("det_id").alias("d"), F.col("place").alias("p"), F.col("alive").alias("lives"), F.col("dead").alias("died"))
+        open_ = state.where(undecided)
+        mine = kills.join(open_.select(F.col("det_id").alias("victim"), "place"), ["victim", "place"])
+        above = mine.join(known, (F.col("killer") == F.col("d")) & (F.col("place") == F.col("p"))).groupBy("victim", "place").agg(
+            F.bit_or(both("bits", "lives")).alias("killed"), F.bit_or(F.col("bits").bitwiseAND(out("lives")).bitwiseAND(out("died"))).alias("waits")
+        )
         above = above.select(F.col("victim").alias("v"), F.col("place").alias("q"), "killed", "waits")
         step = open_.join(above, (F.col("det_id") == F.col("v")) & (F.col("place") == F.col("q")), "left").drop("v", "q")
         step = step.join(known, (F.col("det_id") == F.col("d")) & (F.col("before") == F.col("p")), "left")
-        dead = F.coalesce("killed", F.lit(False)) | (F.col("was") == F.lit(False))
-        free = (F.col("before").isNull() | F.col("was")) & ~F.coalesce("waits", F.lit(False))
-        alive = F.when(F.coalesce(dead, F.lit(False)), F.lit(False)).when(F.coalesce(free, F.lit(False)), F.lit(True))
-        step = step.select("det_id", "place", "before", "last", alive.alias("alive"))
-        following = cut(state.where("alive is not null").unionByName(step), "fixpoint-state")
+        step = step.withColumns({"killed": F.coalesce("killed", none), "waits": F.coalesce("waits", none), "died": F.coalesce("died", none), "lives": F.coalesce("lives", F.lit(-1).cast("long"))})
+        dead = F.col("took").bitwiseAND(F.col("dead").bitwiseOR(F.col("killed")).bitwiseOR(F.col("died")))
+        step = step.withColumn("dead", dead)
+        free = both("took", "lives").bitwiseAND(out("waits")).bitwiseAND(out("dead"))
+        step = step.select("det_id", "place", "before", "last", "took", F.col("alive").bitwiseOR(free).alias("alive"), "dead")
+        following = cut(state.where(~undecided).unionByName(step), "fixpoint-state")
         discard(state)
         state = following
-    return untouched.unionByName(state.where("last and alive").select("det_id"))
+    discard(edges, some, kills)
+    return state.where("last and dead != 0").select("det_id", "dead")
 
 
-def cluster_survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
-    """det_id of the first of each connected component along ``edges``, inside each block, blocks in their order.
+def survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    """det_id of the survivors of greedy suppression along ``edges`` (killer, victim)."""
+    one = F.lit(1).cast("long")
+    dead = dead_bits(dets.withColumn("took", one), edges.withColumn("bits", one), scope)
+    return dets.select("det_id").join(dead, "det_id", "left_anti")
+
+
+def cluster_dead(dets: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    """det_id of all but the first of each connected component along ``edges``, inside each block, blocks in their order.
 
     Blocks that can share a detection differ in bx + 2 by, so all blocks of equal bx + 2 by are solved at once and a
     slide takes a round for each such value, whatever its number of blocks.
@@ -180,37 +199,85 @@ def cluster_survivors(dets: DataFrame, edges: DataFrame, scope: str) -> DataFram
         following = cut(gone.unionByName(dead), "cluster-gone")
         discard(gone, to)
         gone = following
-    return dets.select("det_id").join(gone, "det_id", "left_anti")
+    discard(edges, some, pairs)
+    return gone
 
 
-def by_variant(dets: DataFrame, v: suppress.Variant) -> DataFrame:
-    """det_id of the survivors of one variant."""
-    dets = dets.where(F.col("confidence") >= v.confidence)
-    if v.family == "none":
-        return dets.select("det_id")
-    if v.family == "iou_edgecrop":
-        dets = dets.where(suppress.interior())
-    if v.family.startswith("iou"):
-        edges = iou_edges(dets, v.iou, ("slide_id", "overlap_pct", *(("label",) if v.family == "iou_classwise" else ())))
-    else:
-        edges = center_edges(dets, v.center_k) if v.family == "nn_center" else distance_edges(dets, v.distance)
-    return (cluster_survivors if v.family == "nn_cluster" else survivors)(dets, edges, v.scope)
+def _graph(v: suppress.Variant) -> tuple:
+    """What a variant's conflicts depend on; variants with one key share a table of edges."""
+    if v.family in ("iou", "iou_edgecrop", "iou_classwise"):
+        return ("iou_classwise" if v.family == "iou_classwise" else "iou", v.iou)
+    return ("center", v.center_k, v.confidence) if v.family == "nn_center" else ("distance", v.distance)
+
+
+def _graph_edges(dets: DataFrame, key: tuple) -> DataFrame:
+    if key[0].startswith("iou"):
+        return iou_edges(dets, key[1], ("slide_id", "overlap_pct", *(("label",) if key[0] == "iou_classwise" else ())))
+    return center_edges(dets, key[1]) if key[0] == "center" else distance_edges(dets, key[1])
 
 
 def masks(dets: DataFrame, variants: dict[str, suppress.Variant], isolate: bool = False) -> DataFrame:
-    """Each detection with its mask of survived variants, as the grouped pass has it."""
-    alive, errors = [dets.limit(0).select("det_id", F.lit(0).cast("long").alias("bit"))], []
-    for k, (name, v) in enumerate(variants.items()):
+    """Each detection with its mask of survived variants, as the grouped pass has it.
+
+    Conflicts are found once for each rule and parameter, whatever the number of scopes and variants that use them, and
+    the greedy variants of a scope are settled together, a bit each; clusters take a loop a variant.
+    """
+    bit = {name: 1 << k for k, name in enumerate(variants)}
+    bits = lambda names: F.lit(sum(bit[n] for n in names)).cast("long")
+    failed: dict[str, str] = {}
+
+    def attempt(names, make):
         try:
-            alive.append(by_variant(dets, v).select("det_id", F.lit(1 << k).cast("long").alias("bit")))
+            return make()
         except Exception as e:
             if not isolate:
                 raise
-            errors.append(F.struct(F.lit(name).alias("nms_method"), F.lit(suppress.message(e)).alias("error_msg")))
-    bits = reduce(DataFrame.unionByName, alive).groupBy("det_id").agg(F.sum("bit").alias("mask"))
+            failed.update({n: suppress.message(e) for n in names})
+
+    parts = [F.when((F.col("confidence") >= v.confidence) & (suppress.interior() if v.family == "iou_edgecrop" else F.lit(True)), bits([n])).otherwise(F.lit(0).cast("long")) for n, v in variants.items()]
+    rows = cut(dets.withColumn("took", reduce(Column.bitwiseOR, parts)), "fixpoint-took")
+    using: dict[tuple, list[str]] = {}
+    for name, v in variants.items():
+        if v.family != "none":
+            using.setdefault(_graph(v), []).append(name)
+    ends = rows.select("det_id", "took")
+    dead, tables = [], []
+    for key, names in using.items():
+        passed = rows.where(F.col("confidence") >= min(variants[n].confidence for n in names))
+        edges = attempt(names, lambda: _graph_edges(passed, key).select("killer", "victim"))
+        if edges is None:
+            continue
+        for end in ("killer", "victim"):
+            edges = edges.join(ends.withColumnsRenamed({"det_id": end, "took": f"{end}_took"}), end)
+        edges = edges.select("killer", "victim", F.col("killer_took").bitwiseAND(F.col("victim_took")).bitwiseAND(bits(names)).alias("bits"))
+        tables.append((names, cut(edges.where("bits != 0"), "fixpoint-graph")))
+    scopes: dict[str, list[str]] = {}
+    for name, v in variants.items():
+        if v.family not in ("none", "nn_cluster") and name not in failed:
+            scopes.setdefault(v.scope, []).append(name)
+    every = [t for _, t in tables]
+    for scope, names in scopes.items():
+        mine = reduce(DataFrame.unionByName, every).withColumn("bits", F.col("bits").bitwiseAND(bits(names))).where("bits != 0")
+        took = rows.withColumn("took", F.col("took").bitwiseAND(bits(names)))
+        dead.append(attempt(names, lambda: dead_bits(took, mine, scope)))
+    for names, table in tables:
+        for name in names:
+            if variants[name].family == "nn_cluster":
+                has = lambda c: F.col(c).bitwiseAND(bits([name])) != 0
+                gone = attempt([name], lambda: cluster_dead(rows.where(has("took")), table.where(has("bits")), variants[name].scope))
+                dead.append(None if gone is None else gone.select("det_id", bits([name]).alias("dead")))
+    discard(*every)
+    none = rows.limit(0).select("det_id", F.lit(0).cast("long").alias("dead"))
+    removed = reduce(DataFrame.unionByName, [d for d in dead if d is not None], none).groupBy("det_id").agg(F.bit_or("dead").alias("dead"))
     columns = ["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y"]
-    rows = dets.select(*columns).join(bits, "det_id", "left").select(*columns, F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    keep = F.col("took").bitwiseAND(F.bitwise_not(F.coalesce("dead", F.lit(0).cast("long")))).bitwiseAND(bits([n for n in variants if n not in failed]))
+    out = rows.select(*columns, "took").join(removed, "det_id", "left").select(*columns, keep.alias("mask"))
     if isolate:
-        told = F.array(*errors) if errors else F.lit(None).cast(suppress.ERRORS.partition(" ")[2])
-        rows = rows.withColumn("errors", told)
-    return rows
+        errors = [F.struct(F.lit(n).alias("nms_method"), F.lit(m).alias("error_msg")) for n, m in failed.items()]
+        out = out.withColumn("errors", F.array(*errors) if errors else F.lit(None).cast(suppress.ERRORS.partition(" ")[2]))
+    return out
+
+
+def by_variant(dets: DataFrame, v: suppress.Variant) -> DataFrame:
+    """det_id of the survivors of one variant."""
+    return masks(dets, {"one": v}).where("mask != 0").select("det_id")

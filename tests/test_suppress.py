@@ -233,6 +233,21 @@ def test_joins_agree_with_kernel(spark, method):
     assert {r.det_id for r in got.collect()} == kept(df, REGISTRY[method])
 
 
+def test_joins_settle_all_variants_of_a_scope_at_once(spark, monkeypatch):
+    df = random_frame(150, 12)
+    more = {"iou_c0.50": Variant("iou", "grid_n2", confidence=0.5), "center_c0.50": Variant("nn_center", "grid_n1", confidence=0.5), "classwise": Variant("iou_classwise", "grid_n2"), "cluster_c0.50": Variant("nn_cluster", "grid_n1", confidence=0.5)}
+    some = {m: v for m, v in REGISTRY.items() if v.scope in ("grid_n1", "grid_n2", "global")} | more
+    calls = []
+    for name in ("dead_bits", "_graph_edges"):
+        monkeypatch.setattr(fixpoint, name, lambda *a, f=getattr(fixpoint, name), name=name: calls.append(name) or f(*a))
+    got = {r.det_id: r["mask"] for r in fixpoint.masks(spark.createDataFrame(df), some).collect()}
+    group = Group(df)
+    ids = group.frame["det_id"].to_numpy()
+    for k, (name, v) in enumerate(some.items()):
+        assert {i for i, m in got.items() if m >> k & 1} == set(ids[group.survivors(v)].tolist()), name
+    assert calls.count("dead_bits") == 3 and calls.count("_graph_edges") == 5  # a loop a scope; a table a rule and parameter
+
+
 def test_large_groups_are_solved_by_joins(spark):
     big = random_frame(120, 3)
     small = random_frame(30, 4).assign(slide_id="t")
