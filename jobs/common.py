@@ -22,9 +22,9 @@ def config(name: str, path: str | None = None) -> dict:
 
 
 def rounded(df: DataFrame, names: list[str], digits: int) -> DataFrame:
-    """The named reals, half up to so many digits."""
+    """The named reals, half up to so many digits; NaN stays."""
     unit = float(10**digits)
-    return df.withColumns({c: F.floor(F.col(c) * unit + 0.5) / unit for c in names})
+    return df.withColumns({c: F.when(F.isnan(c), F.col(c)).otherwise(F.floor(F.col(c) * unit + 0.5) / unit) for c in names})
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -66,16 +66,26 @@ def _report_sql() -> str:
     names = ", ".join(f"('{m}')" for m in chosen)
     pct = ", ".join(f"{sql.real(f'CASE WHEN {total} > 0 THEN {s} * 100.0::DOUBLE / ({total}) ELSE 0.0 END')} AS pct_{s}" for s in short)
     diffs = ", ".join(f"{sql.real(f'alr_{s} - first_value(alr_{s}) OVER b')} AS diff_{s}" for s in others)
+    parts = ("diff", "low", "high")
+    none = lambda names: ", ".join(f"NULL::DOUBLE AS {n}" for n in names)
+    tested = ", ".join(f"max({c}) FILTER (coord = 'alr_{s}') AS {p}_{s}" for p, c in zip(parts, ("median", "ci_low", "ci_high"), strict=True) for s in others)
+    kept = f"{sql.real(f'({total})::DOUBLE / nullif(first_value({total}) OVER b, 0)')} AS retained"
+    order = f"ORDER BY nms_method <> '{c['reference']}'"
+    columns = ", ".join(["slide_id", "nms_method", *short, *(f"pct_{s}" for s in short), "retained", *(f"{p}_{s}" for p in ("alr", *parts) for s in others), "within", "overlap_pct"])
     return sql.query(
         [
             sql.DET, *(sql.survivors(f"m{k}", m, v) for k, (m, v) in enumerate(chosen.items())), f"surv AS MATERIALIZED ({union})",
             f"cells AS MATERIALIZED (SELECT d.slide_id, d.overlap_pct, t.nms_method, {wide} FROM det d CROSS JOIN (VALUES {names}) t(nms_method) LEFT JOIN surv s ON s.det_id = d.det_id AND s.nms_method = t.nms_method GROUP BY ALL)",
-            sql.RATIOS,
-            f"rep AS (SELECT c.*, {pct}, {sql.real(f'({total})::DOUBLE / nullif(first_value({total}) OVER b, 0)')} AS retained, {', '.join(f'{sql.real(f"alr_{s}")} AS alr_{s}' for s in others)}, {diffs} "
+            sql.RATIOS, sql.LONG_ALR, sql.DIFFS, *sql.intervals("tested", "diffs", "overlap_pct, nms_method, coord", c["margin"]),
+            f"rep AS (SELECT c.*, {pct}, {kept}, {', '.join(f'{sql.real(f"alr_{s}")} AS alr_{s}' for s in others)}, {diffs}, {none(f'{p}_{s}' for p in ('low', 'high') for s in others)} "
             f"FROM cells c LEFT JOIN (SELECT slide_id, overlap_pct, nms_method, {', '.join(f'alr_{s}' for s in others)} FROM ratios) r USING (slide_id, overlap_pct, nms_method) "
-            f"WINDOW b AS (PARTITION BY slide_id, overlap_pct ORDER BY nms_method <> '{c['reference']}'))",
+            f"WINDOW b AS (PARTITION BY slide_id, overlap_pct {order}))",
+            f"pooled AS (SELECT overlap_pct, nms_method, {', '.join(f'CAST(sum({s}) AS BIGINT) AS {s}' for s in short)} FROM cells GROUP BY ALL)",
+            f"verdicts AS (SELECT overlap_pct, nms_method, {tested}, bool_and(equivalent) AS within FROM tested GROUP BY ALL)",
+            f"study AS (SELECT NULL::VARCHAR AS slide_id, p.*, {pct}, {kept}, {none(f'alr_{s}' for s in others)}, {', '.join(f'{sql.real(f"{p}_{s}")} AS {p}_{s}' for p in parts for s in others)}, within "
+            f"FROM pooled p LEFT JOIN verdicts USING (overlap_pct, nms_method) WINDOW b AS (PARTITION BY overlap_pct {order}))",
         ],
-        f"SELECT *, greatest({', '.join(f'abs(diff_{s})' for s in others)}) <= {c['margin']}::DOUBLE AS within FROM rep",
+        f"SELECT {columns} FROM (SELECT *, greatest({', '.join(f'abs(diff_{s})' for s in others)}) <= {c['margin']}::DOUBLE AS within FROM rep) UNION ALL SELECT {columns} FROM study",
     )
 
 

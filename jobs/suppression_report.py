@@ -4,8 +4,12 @@ Reads a table of detections (Parquet; or the order lines that the repository der
 configured variants in one pass, and writes ``<output>``, partitioned by overlap:
 
     slide_id, nms_method, Mac, Lym, Neu, Eos (survivors), pct_* (percentages), retained (share of the reference's survivors),
-    alr_* (log-ratios to the reference class, zeros replaced), diff_* (from the reference method's), within (all
-    differences inside the margin; null where a log-ratio is missing), overlap_pct
+    alr_* (log-ratios to the reference class, zeros replaced), diff_* (from the reference method's), low_*, high_*, within
+    (all differences inside the margin; null where a log-ratio is missing), overlap_pct
+
+A row without a slide is the study's: counts of all slides, diff_* the median of the slides' differences, low_* and high_*
+its 90 % interval by the bootstrap, and within the verdict, whether all intervals lie inside the margin (null for the
+reference method; no interval and not within under three slides). On slides' rows low_* and high_* are null.
 
 A run replaces the partitions of the overlaps it has, so it can be repeated, and a study can be reported overlap by overlap
 (``overlaps`` in the configuration; null: all). Labels other than the study's are left out.
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from jobs import common
 from tessella.config import CONFIG
-from tessella.operators import counts, inference, summary, suppress
+from tessella.operators import counts, inference, suppress
 from tessella.sources import fixture, validate
 from tessella.sources.scratch import cut, discard
 
@@ -35,7 +39,7 @@ SHORT = list(CONFIG.short)
 OTHERS = [s for k, s in enumerate(SHORT) if k != CONFIG.reference]
 REPORT = (
     "slide_id string, nms_method string, " + ", ".join(f"{s} long" for s in SHORT) + ", " + ", ".join(f"pct_{s} double" for s in SHORT) + ", retained double, "
-    + ", ".join(f"{p}_{s} double" for p in ("alr", "diff") for s in OTHERS) + ", within boolean, overlap_pct double"
+    + ", ".join(f"{p}_{s} double" for p in ("alr", "diff", "low", "high") for s in OTHERS) + ", within boolean, overlap_pct double"
 )
 
 
@@ -47,18 +51,37 @@ def detections(spark: SparkSession, path: str, overlaps: list[float] | None) ->
 
 
 def report(cells: DataFrame, config: dict) -> DataFrame:
-    """The report from survivors' counts, a row a slide, overlap and method."""
+    """The report from survivors' counts: a row a slide, overlap and method, and one an overlap and method for the study."""
     mine = config["reference"]
     ratios = inference.log_ratios(cells, strength=config["strength"]).select(*KEYS, *(f"alr_{s}" for s in OTHERS))
     base = ratios.where(F.col("nms_method") == mine).select("slide_id", "overlap_pct", *(F.col(f"alr_{s}").alias(f"base_{s}") for s in OTHERS))
-    n = cells.where(F.col("nms_method") == mine).select("slide_id", "overlap_pct", counts.total().alias("n"))
-    rows = cells.join(summary.percentages(cells), KEYS).join(ratios, KEYS, "left").join(base, ["slide_id", "overlap_pct"], "left").join(n, ["slide_id", "overlap_pct"])
-    rows = rows.withColumn("retained", F.try_divide(counts.total().cast("double"), F.col("n").cast("double")))
-    rows = rows.withColumns({f"diff_{s}": F.col(f"alr_{s}") - F.col(f"base_{s}") for s in OTHERS})
-    reals = [*(f"pct_{s}" for s in SHORT), "retained", *(f"{p}_{s}" for p in ("alr", "diff") for s in OTHERS)]
-    rows = common.rounded(rows, reals, config["digits"])
-    within = F.greatest(*(F.when(F.col(f"diff_{s}").isNotNull(), F.abs(f"diff_{s}")) for s in OTHERS)) <= config["margin"]
-    return rows.select("slide_id", "nms_method", *SHORT, *reals, within.alias("within"), "overlap_pct")
+    slides = cells.join(ratios, KEYS, "left").join(base, ["slide_id", "overlap_pct"], "left")
+    slides = slides.withColumns({f"diff_{s}": F.col(f"alr_{s}") - F.col(f"base_{s}") for s in OTHERS} | {f"{p}_{s}": F.lit(None).cast("double") for p in ("low", "high") for s in OTHERS})
+    slides = shares(slides, ["slide_id", "overlap_pct"], mine)
+    reals = [*(f"pct_{s}" for s in SHORT), "retained", *(f"{p}_{s}" for p in ("alr", "diff", "low", "high") for s in OTHERS)]
+    slides = common.rounded(slides, reals, config["digits"])
+    inside = F.greatest(*(F.when(F.col(f"diff_{s}").isNotNull(), F.abs(f"diff_{s}")) for s in OTHERS)) <= config["margin"]
+    slides = slides.withColumn("within", inside)
+
+    differences = inference.differences(inference.long_ratios(ratios), mine)
+    tested = inference.equivalence(differences, ["overlap_pct", "nms_method", "coord"], margin=config["margin"])
+    of = lambda c, s: F.max(F.when(F.col("coord") == f"alr_{s}", F.col(c)))
+    wide = [of(c, s).alias(f"{p}_{s}") for p, c in (("diff", "median"), ("low", "ci_low"), ("high", "ci_high")) for s in OTHERS]
+    tested = tested.groupBy("overlap_pct", "nms_method").agg(*wide, F.bool_and("equivalent").alias("within"))
+    study = cells.groupBy("overlap_pct", "nms_method").agg(*(F.sum(s).alias(s) for s in SHORT)).join(tested, ["overlap_pct", "nms_method"], "left")
+    study = study.withColumns({"slide_id": F.lit(None).cast("string")} | {f"alr_{s}": F.lit(None).cast("double") for s in OTHERS})
+    study = common.rounded(shares(study, ["overlap_pct"], mine), reals, config["digits"])
+    columns = ["slide_id", "nms_method", *SHORT, *reals, "within", "overlap_pct"]
+    return slides.select(*columns).unionByName(study.select(*columns))
+
+
+def shares(rows: DataFrame, unit: list[str], reference: str) -> DataFrame:
+    """Adds each class's percentage and the share of the reference method's survivors in the same unit."""
+    n = rows.where(F.col("nms_method") == reference).select(*unit, counts.total().alias("n"))
+    whole = counts.total().cast("double")
+    return rows.join(n, unit).withColumns(
+        {f"pct_{s}": F.coalesce(F.try_divide(F.col(s) * 100.0, whole), F.lit(0.0)) for s in SHORT} | {"retained": F.try_divide(whole, F.col("n").cast("double"))}
+    )
 
 
 def run(spark: SparkSession, source: str, output: str, config: dict | None = None) -> dict:

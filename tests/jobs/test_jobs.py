@@ -166,15 +166,15 @@ def test_a_report_of_one_overlap_leaves_the_others(spark, tmp_path):
     config = common.config("suppression_report") | {"variants": ["iou_grid_n1", "nn_dist_grid_n1"]}
     add(spark, folder, detections(120, "a", 0.0) + detections(90, "b", 0.0, 500) + detections(60, "a", 0.25, 900), KIND)
     done = suppression_report.run(spark, str(folder), output, config)
-    assert done["written"] == 9  # three slices; two variants and the reference
+    assert done["written"] == 15  # three slices and two overlaps; two variants and the reference
     before, other = (rows_of(suppression_report.read(spark, output).where(w)) for w in ("true", "overlap_pct = 0"))
     assert suppression_report.run(spark, str(folder), output, config) == done
     assert rows_of(suppression_report.read(spark, output)) == before
     add(spark, folder, detections(40, "c", 0.25, 2000) + detections(40, "c", 0.0, 3000), KIND)
     suppression_report.run(spark, str(folder), output, config | {"overlaps": [0.25]})
     now = suppression_report.read(spark, output)
-    assert rows_of(now.where("overlap_pct = 0")) == other and len(other) == 6
-    assert {r.slide_id for r in now.where("overlap_pct = 0.25").collect()} == {"a", "c"} and {r.slide_id for r in now.where("overlap_pct = 0").collect()} == {"a", "b"}
+    assert rows_of(now.where("overlap_pct = 0")) == other and len(other) == 9
+    assert {r.slide_id for r in now.where("overlap_pct = 0.25").collect()} == {"a", "c", None} and {r.slide_id for r in now.where("overlap_pct = 0").collect()} == {"a", "b", None}
 
 
 def test_report_by_hand(spark, tmp_path):
@@ -191,6 +191,19 @@ def test_report_by_hand(spark, tmp_path):
     assert cropped.Lym == 0 and cropped.retained == 0 and cropped.alr_Mac is None and cropped.within is None
     low = got["low", "none"]
     assert low.Lym == 0 and low.retained is None
+    study = got[None, "iou_edgecrop_grid_n1"]  # one slide has both log-ratios: no interval
+    assert (study.Mac, study.Lym, study.retained) == (1, 1, 0.5) and math.isnan(study.diff_Mac) and study.within is False and got[None, "none"].within is None
+
+
+def test_verdict_of_a_study(spark, tmp_path):
+    rows = [r for k in range(6) for r in detections(120, f"s{k}", 0.0, 1000 * k)]
+    add(spark, tmp_path / "d", rows, KIND)
+    config = common.config("suppression_report") | {"variants": ["iou_grid_n1"], "margin": 5.0}
+    suppression_report.run(spark, str(tmp_path / "d"), str(tmp_path / "o"), config)
+    got = suppression_report.read(spark, str(tmp_path / "o")).where("nms_method = 'iou_grid_n1'").collect()
+    (study,), slides = [r for r in got if r.slide_id is None], [r for r in got if r.slide_id]
+    assert study.Mac == sum(r.Mac for r in slides) and len({r.diff_Mac for r in slides}) == 1  # slides alike
+    assert study.diff_Mac == study.low_Mac == study.high_Mac == slides[0].diff_Mac and study.within is True and slides[0].low_Mac is None
 
 
 def test_command_lines(tmp_path):
