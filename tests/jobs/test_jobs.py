@@ -20,7 +20,8 @@ def add(spark, folder, rows, schema=DOCS):
 
 
 def rows_of(df):
-    return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+    plain_ = lambda x: "nan" if isinstance(x, float) and math.isnan(x) else x
+    return sorted((tuple(map(plain_, r)) for r in df.select(*sorted(df.columns)).collect()), key=repr)
 
 
 def plain(rows, config):
