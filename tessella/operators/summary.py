@@ -92,11 +92,15 @@ def classification_changes(cells: DataFrame, reference: str = "none", config: Co
     )
 
 
+#: Quartile distances that a whisker spans; the excess keeps a value inside that lies on the limit but for rounding.
+WHISKER = 1.5 + 1e-9
+
+
 def boxes(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """What a box plot of ``value`` shows: quartiles, whiskers to the last values within 1.5 quartile distances, ends, and
     how many values lie beyond the whiskers. Quartiles and whiskers are two aggregations, so a group of any size is never held."""
     cuts = rows.groupBy(*keys).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))))
-    reach = (F.col("q75") - F.col("q25")) * 1.5
+    reach = (F.col("q75") - F.col("q25")) * WHISKER
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     within = F.when(inside, F.col(value))
     made = rows.select(*keys, value).where(F.col(value).isNotNull()).join(cuts, keys).groupBy(*keys).agg(

@@ -470,7 +470,7 @@ def outlier_summary(spark, sf_dir):
 def _box(source: str, keys: str, value: str) -> list[str]:
     """CTEs for ``box``: what a box plot of a value shows."""
     cut = ", ".join(f"quantile_cont({value}, {q}) AS {n}" for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)))
-    inside = f"{value} BETWEEN q25 - 1.5::DOUBLE * (q75 - q25) AND q75 + 1.5::DOUBLE * (q75 - q25)"
+    inside = f"{value} BETWEEN q25 - (q75 - q25) * {summary.WHISKER!r}::DOUBLE AND q75 + (q75 - q25) * {summary.WHISKER!r}::DOUBLE"
     return [
         f"qs AS (SELECT {keys}, {cut} FROM {source} GROUP BY {keys})",
         f"box AS (SELECT {keys}, count(*) AS n, min({value}) AS low, min({value}) FILTER ({inside}) AS whisker_low, any_value(q25) AS q25, any_value(median) AS median, any_value(q75) AS q75, "
@@ -478,11 +478,15 @@ def _box(source: str, keys: str, value: str) -> list[str]:
     ]
 
 
-@query(sql.query([*sql.DEVIATIONS, "far AS MATERIALIZED (SELECT *, round(aitchison, 7) AS distance FROM dev)", *_box("far", "overlap_pct, block_size, nms_method", "distance")], f"SELECT overlap_pct, block_size, nms_method, n, {reals('low', 'whisker_low', 'q25', 'median', 'q75', 'whisker_high', 'high')}, n_outside FROM box"))
+#: Distances to six digits; quartiles between them take two more.
+_ENDS = ["low", "whisker_low", "q25", "median", "q75", "whisker_high", "high"]
+
+
+@query(sql.query([*sql.DEVIATIONS, "far AS MATERIALIZED (SELECT *, round(aitchison, 6) AS distance FROM dev)", *_box("far", "overlap_pct, block_size, nms_method", "distance")], f"SELECT overlap_pct, block_size, nms_method, n, {', '.join(f'{sql.real(c, 8)} AS {c}' for c in _ENDS)}, n_outside FROM box"))
 def distance_boxes(spark, sf_dir):
     """The box plot of each variant's distances to the consensus."""
-    rows = study(spark, sf_dir).deviations.withColumn("distance", F.round("aitchison_distance", 7))
-    return real(summary.boxes(rows, "distance", ["overlap_pct", "block_size", "nms_method"]))
+    rows = study(spark, sf_dir).deviations.withColumn("distance", F.round("aitchison_distance", 6))
+    return real(summary.boxes(rows, "distance", ["overlap_pct", "block_size", "nms_method"]), **dict.fromkeys(_ENDS, 8))
 
 
 # -- inference --------------------------------------------------------------------------------------------------------
