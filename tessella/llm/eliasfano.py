@@ -4,8 +4,9 @@ A monotone sequence keeps each value's low bits packed and its high bits in unar
 how many values have a high part of at most k, so a value is found in one select and a search among the few that share
 its high part. The trie's levels are such sequences: contexts, pointers to their ranges of followers, and followers,
 which are stored relative to their context's base so that the whole level ascends. A successor search for base + word
-then finds a follower, whose value is a 16-bit code. Codes number the entries of a codebook of counts, exact up to
-``EXACT`` and evenly spaced in logarithm beyond; with a corpus-wide discount it becomes one of smoothed counts.
+then finds a follower, which counts if it lies in the range that the pointers give the context. Followers have 16-bit codes
+of smoothed probabilities, evenly spaced in logarithm, and contexts have such codes of what is left for the lower order.
+Counts that travel have 16-bit codes too, exact up to ``EXACT`` and evenly spaced in logarithm beyond.
 
 Levels are built one after the other and moved into one anonymous memory map; no file is written.
 """
@@ -129,32 +130,50 @@ def decode(code: np.ndarray) -> np.ndarray:
     return np.where(code <= EXACT, code, EXACT * np.exp2((np.maximum(code, EXACT) - EXACT) / STEPS))
 
 
+def quantised(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities, STEPS to a factor of two, down to 2^-63; code 0 is none."""
+    return np.minimum(1 + np.rint(-np.log2(np.maximum(p, 2.0**-63)) * STEPS), 65535).astype(np.uint16)
+
+
+def probability(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, np.exp2((1 - code.astype(np.float64)) / STEPS), 0.0)
+
+
 class Trie:
-    """Followers of contexts with codes. Pairs ascend by context, then word, and are unique."""
+    """Followers of contexts with codes. Contexts ascend and are unique; so do the words of each.
+
+    ``sizes`` says how many of ``word`` each context has, which may be none; ``left`` has a code for each context.
+    """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, codes: np.ndarray):
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
-        last = np.r_[first[1:], len(context)] - 1
-        room = word[last].astype(np.int64) + 1 if len(first) else np.zeros(0, np.int64)
+    def __init__(self, contexts: np.ndarray, sizes: np.ndarray, word: np.ndarray, codes: np.ndarray, left: np.ndarray):
+        pointers = np.r_[0, np.cumsum(sizes)]
+        room = np.zeros(len(contexts), np.int64)
+        some = np.flatnonzero(sizes)
+        room[some] = word[pointers[some + 1] - 1].astype(np.int64) + 1
         base = np.cumsum(room) - room
-        self.contexts = _mapped(Sequence(context[first]))
-        self.pointers = _mapped(Sequence(np.r_[first, len(context)]))
+        self.contexts = _mapped(Sequence(contexts))
+        self.pointers = _mapped(Sequence(pointers))
         self.bases = _mapped(Sequence(base))
-        self.followers = _mapped(Sequence(np.repeat(base, last + 1 - first) + word.astype(np.int64)))
-        self.codes = _map(codes.astype(np.uint16))
-
-    def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each (context, word), 0 where the trie lacks it."""
-        out = np.zeros(len(context), np.uint16)
-        k = self.contexts.find(context)
-        known = np.flatnonzero(k >= 0)
-        k = k[known]
-        base, end = self.bases[k].astype(np.int64), np.full(len(k), np.iinfo(np.int64).max)
-        inner = k + 1 < self.bases.n
-        end[inner] = self.bases[k[inner] + 1].astype(np.int64)
-        want = base + word[known].astype(np.int64)
-        at = np.where(want < end, self.followers.find(want.astype(U)), -1)
-        out[known[at >= 0]] = self.codes[at[at >= 0]]
+        self.followers = _mapped(Sequence(np.repeat(base, sizes) + word.astype(np.int64)))
+        self.codes, self.left = _map(codes.astype(np.uint16)), _map(left.astype(np.uint16))
+
+    def left_of(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each context, -1 where the trie lacks it, and its code, 0 there."""
+        place, out = self.contexts.find(context), np.zeros(len(context), np.uint16)
+        known = place >= 0
+        out[known] = self.left[place[known]]
+        return place, out
+
+    def codes_of(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each word after the context at ``place``, 0 where the trie lacks it."""
+        out = np.zeros(len(place), np.uint16)
+        known = np.flatnonzero(place >= 0)
+        k = place[known]
+        at = self.followers.find(self.bases[k] + word[known].astype(U))
+        hit = np.flatnonzero(at >= 0)
+        k = k[hit]
+        hit = hit[(at[hit] >= self.pointers[k].astype(np.int64)) & (at[hit] < self.pointers[k + 1].astype(np.int64))]
+        out[known[hit]] = self.codes[at[hit]]
         return out
 
 

@@ -10,13 +10,16 @@ p2. Words of no training text share one unknown word.
 The model is too large for one machine, so it is dealt out and asked. Documents are packed into chunks of about
 ``CHUNK`` tokens with a vocabulary each. A chunk sends its words, with their training counts, to shards by hash; a shard
 sums them and answers each chunk with the words' numbers and counts. Then, order by order, the chunk sends its distinct
-(context, word) pairs, with their training counts, to shards of contexts; each shard builds its trie (see ``eliasfano``),
-looks up what is asked, and answers with codes of counts and, for each context, its number of followers. Shards also
-report their counts of counts, which make the corpus-wide discount and with it the codebook of smoothed counts; scores so do not depend on how many shards or chunks there are. A shard
-of bigrams says as well which of them several chunks have; the trigrams behind the others are resolved in their chunk
-and never sent. A context with
-more than its share of tokens is spread over shards by the following word. Shards hold about ``SHARD`` tokens' entries,
-however large the corpus. What is sent is distinct words and pairs of chunks, so it grows with the input.
+(context, word) pairs, with their training counts, to shards of contexts; each shard sums them and answers with codes of
+counts and, for each context, its number of followers. Shards also report their counts of counts, which make the
+corpus-wide discounts. A shard of bigrams says as well which of them several chunks have; the trigrams behind the others
+are resolved in their chunk and never sent. A context with more than its share of tokens is spread over shards by the
+following word. Shards hold about ``SHARD`` tokens' entries, however large the corpus. A chunk has a message for a shard
+only if it has entries there, so messages are no more than distinct words and pairs of chunks, and grow with the input.
+
+With the discounts, each order's part of the model that a chunk needs becomes a trie (see ``eliasfano``) of quantised
+smoothed probabilities and of what each context leaves to the lower order. Scores of all tokens are read from the tries;
+only p1, which the base score needs exactly, comes from counts. Scores do not depend on how many shards or chunks there are.
 
 Nulls: a null text is empty and scores its end; a null id is in fold 0, held out. Ids of any kind that a string can hold
 stay exact. Repeated rows are scored, and learnt from, each. Without training rows p1 is 0.1 / 0.1. Empty in, empty out.
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, ascii_lower, cut
-from tessella.llm.eliasfano import Trie, decode, encode
+from tessella.llm.eliasfano import Trie, decode, encode, probability, quantised
 
 CHUNK, SHARD, ALPHA, FOLDS, SEED, ORDER = 1_000_000, 1_500_000, 0.1, 10, 42, 3
 #: The end of a text: a string that no word can be.
@@ -121,11 +124,9 @@ def vocabulary(packed: DataFrame, shards: int) -> DataFrame:
         for pdf in batches:
             for chunk, words, counts in zip(pdf["chunk"], pdf["words"], pdf["counts"], strict=True):
                 words, counts = np.frombuffer(words, U), unpress(counts, np.uint32)
-                edges = _edges(words, shards)
-                for s in range(shards):
-                    a, b = edges[s], edges[s + 1]
-                    if b > a:
-                        yield pd.DataFrame({"shard": [s], "chunk": [chunk], "words": [words[a:b].tobytes()], "counts": [press(counts[a:b])]})
+                present, edges = _runs((words >> U(32)) * U(shards) >> U(32))  # ranges of hashes
+                parts = list(zip(edges, edges[1:], strict=False))
+                yield pd.DataFrame({"shard": present, "chunk": chunk, "words": [words[a:b].tobytes() for a, b in parts], "counts": [press(counts[a:b]) for a, b in parts]})
 
     def answer(pdf):
         words = [np.frombuffer(w, U) for w in pdf["words"]]
@@ -141,10 +142,10 @@ def vocabulary(packed: DataFrame, shards: int) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(answer, "chunk string, shard int, n long, v long, u long, number binary, count binary")
 
 
-def _edges(words: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of hashes begins in ascending ``words``."""
-    cuts = np.array([(s << 64) // shards for s in range(1, shards)], U)
-    return np.r_[0, np.searchsorted(words, cuts), len(words)]
+def _runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, and where each one's run begins, with the end."""
+    first = np.flatnonzero(np.r_[len(ascending) > 0, ascending[1:] != ascending[:-1]])
+    return ascending[first].astype(np.int64), np.r_[first, len(ascending)]
 
 
 class Totals:
@@ -195,14 +196,14 @@ class Level:
         shard = (mix[self.of[asked]] + part) % self.shards
         order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")  # by radix, if small
         self.order, shard = asked[order], shard[order]
-        self.edges = np.searchsorted(shard, np.arange(self.shards + 1))
+        self.places = shard.astype(np.int32)
         wide = np.flatnonzero(k > 1)  # of a spread context, shards that get none of its pairs are asked for their part as well
         which = np.repeat(wide, k[wide])
         place = np.arange(len(which)) - np.repeat(np.cumsum(k[wide]) - k[wide], k[wide])
         own = np.flatnonzero(k[self.of[self.order]] > 1)
         more = np.setdiff1d((mix[which] + place) % self.shards * len(keys) + which, shard[own] * len(keys) + self.of[self.order[own]])
-        self.more, more_shard = more % max(1, len(keys)), more // max(1, len(keys))
-        self.more_edges = np.searchsorted(more_shard, np.arange(self.shards + 1))
+        self.more, more_shard = more % max(1, len(keys)), more // max(1, len(keys))  # ascending by shard
+        self.more_places = more_shard.astype(np.int32)
         self.code, self.followers, self.shared = np.zeros(len(packed), np.uint16), np.zeros(len(keys), np.int64), np.zeros(len(packed), bool)
         inside = np.flatnonzero((total > 0) & used & ~self.ask)  # resolved here
         mine = np.zeros(len(keys), bool)
@@ -213,31 +214,43 @@ class Level:
         self.followers += np.bincount(self.of[some], minlength=len(keys))
         self.tally = [int((self.c[own] == k).sum()) for k in (1, 2)]
 
-    def _contexts(self, s: int) -> np.ndarray:
-        """The contexts that shard s is asked about: those of its pairs, and further ones."""
-        of = self.of[self.order[self.edges[s] : self.edges[s + 1]]]
-        return np.r_[of[np.r_[True, of[1:] != of[:-1]]] if len(of) else of, self.more[self.more_edges[s] : self.more_edges[s + 1]]]
+    def _of(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, and the further contexts, that shard s is asked about."""
+        a, b = np.searchsorted(self.places, [s, s + 1])
+        c, d = np.searchsorted(self.more_places, [s, s + 1])
+        return self.order[a:b], self.more[c:d]
 
     def requests(self, own: int):
         """(shard, contexts of pairs, words, counts, further contexts, tally); the tally goes to the shard ``own``."""
-        for s in range(self.shards):
-            pairs, more = self.order[self.edges[s] : self.edges[s + 1]], self.more[self.more_edges[s] : self.more_edges[s + 1]]
-            if len(pairs) or len(more) or s == own:
-                v, w = steps(self.keys[self.of[pairs]]), self.word[pairs]
-                w[1:] -= np.where(v[1:] == 0, w[:-1], U(0))  # words ascend inside a context
-                yield s, press(v), press(w.astype(np.uint32)), press(self.c[pairs]), press(self.keys[more]), *(self.tally if s == own else (0, 0))
+        for s in np.unique(np.r_[self.places, self.more_places, own]).tolist():
+            pairs, more = self._of(s)
+            v, w = steps(self.keys[self.of[pairs]]), self.word[pairs]
+            w[1:] -= np.where(v[1:] == 0, w[:-1], U(0))  # words ascend inside a context
+            yield s, press(v), press(w.astype(np.uint32)), press(self.c[pairs]), press(self.keys[more]), *(self.tally if s == own else (0, 0))
 
     def answer(self, rows: pd.DataFrame) -> None:
         for s, codes, followers, shared in zip(rows["shard"], rows["number"], rows["count"], rows["shared"], strict=True):
-            mine = self.order[self.edges[s] : self.edges[s + 1]]
+            mine, more = self._of(s)
             self.code[mine] = unpress(codes, np.uint16)
             self.shared[mine] = np.unpackbits(unpress(shared, np.uint8), count=len(mine))
-            self.followers[self._contexts(s)] += unpress(followers, np.uint32)  # a shard has a context once
+            of = self.of[mine]
+            contexts = np.r_[_runs(of)[0], more]
+            self.followers[contexts] += unpress(followers, np.uint32)  # a shard has a context once
+
+    def trie(self, d: float) -> Trie:
+        """The contexts that training texts have, what they leave to the lower order, and their words' smoothed probabilities."""
+        known, seen = np.flatnonzero(self.total > 0), np.flatnonzero(self.code > 0)
+        of = self.of[seen]
+        codes = quantised((decode(self.code[seen]) - d) / self.total[of])
+        left = quantised(self.followers[known] * d / self.total[known])
+        return Trie(self.keys[known], np.bincount(of, minlength=len(self.keys))[known], self.word[seen], codes, left)
 
     def p(self, lower: np.ndarray, d: float) -> np.ndarray:
-        """Each token's probability over the lower order's, with the codebook of counts less the discount."""
-        smooth = np.where(self.code > 0, decode(self.code) - d, 0.0) / np.maximum(self.total, 1)[self.of]
-        left = np.where(self.total > 0, self.followers * d / np.maximum(self.total, 1), 1.0)
+        """Each token's probability over the lower order's, from the trie; a context that it lacks leaves all to the lower order."""
+        trie = self.trie(d)
+        place, left = trie.left_of(self.keys)
+        left = np.where(place >= 0, probability(left), 1.0)
+        smooth = probability(trie.codes_of(place[self.of], self.word))
         return smooth[self.pair] + left[self.of][self.pair] * lower
 
 
@@ -298,7 +311,7 @@ def pairs_of(contexts: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def shard_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The trie of one shard of contexts, its answers to every chunk's requests, and its counts of counts."""
+    """One shard of contexts: sums, its answers to every chunk's requests, and its counts of counts."""
     asked = [(*pairs_of(v, w), unpress(m, U)) for v, w, m in zip(pdf["v"], pdf["w"], pdf["more"], strict=True)]
     known, place = np.unique(np.concatenate([x for keys, _, _, more in asked for x in (keys, more)]), return_inverse=True)
     contexts, pairs, at = [], [], 0
@@ -309,10 +322,8 @@ def shard_answers(pdf: pd.DataFrame) -> pd.DataFrame:
         at += len(own)
     key, place = np.unique(np.concatenate(pairs), return_inverse=True)
     c = np.bincount(place, np.concatenate([unpress(x, np.uint32) for x in pdf["c"]]), len(key)).astype(np.int64)
-    of, word = (key >> U(32)).astype(np.int64), key & LOW
-    seen = c > 0
-    followers = np.bincount(of[seen], minlength=len(known)).astype(np.uint32)
-    codes = Trie(known[of[seen]], word[seen], encode(c[seen])).codes_of(known[of], word)  # each distinct pair is looked up once
+    followers = np.bincount((key[c > 0] >> U(32)).astype(np.int64), minlength=len(known)).astype(np.uint32)
+    codes = encode(c)
     ends = np.cumsum([0, *map(len, pairs)])
     out = {"chunk": [None, *pdf["chunk"]], "shard": int(pdf["shard"].iloc[0])}
     out["number"] = [None, *(press(codes[place[a:b]]) for a, b in zip(ends, ends[1:], strict=False))]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import ngram
 from tessella.llm.common import WORD, ascii_lower
-from tessella.llm.eliasfano import Sequence, Trie, decode, encode
+from tessella.llm.eliasfano import Sequence, Trie, decode, encode, probability, quantised
 
 
 def brute(rows, order=3):
@@ -124,12 +124,45 @@ def test_trie():
     r = np.random.default_rng(3)
     key = np.unique((r.zipf(1.3, 20000) % 300).astype(np.uint64) << np.uint64(32) | (r.zipf(1.2, 20000) % 5000).astype(np.uint64))
     v, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-    c = r.zipf(1.2, len(key)) % 10**9 + 1
+    codes = encode(r.zipf(1.2, len(key)) % 10**9 + 1)
     for context in (v, v << np.uint64(40) | np.uint64(7)):
-        trie = Trie(context, w, encode(c))
-        assert (trie.codes_of(context, w) == encode(c)).all()
+        lone = np.setdiff1d(np.arange(0, 700, 3, dtype=np.uint64) << np.uint64(3), context)  # contexts without followers
+        keys = np.union1d(context, lone)
+        sizes = np.searchsorted(context, keys, "right") - np.searchsorted(context, keys)
+        trie = Trie(keys, sizes, w, codes, np.arange(len(keys)))
+        place, left = trie.left_of(context)
+        assert (left == np.searchsorted(keys, context)).all() and (trie.codes_of(place, w) == codes).all()
         other = w + np.uint64(1)
-        assert ((trie.codes_of(context, other) > 0) == np.isin(v << np.uint64(32) | other, key)).all()
+        assert ((trie.codes_of(place, other) > 0) == np.isin(v << np.uint64(32) | other, key)).all()
+        for missing in (lone, keys[-1:] + np.uint64(1)):
+            place, left = trie.left_of(missing)
+            assert (place >= 0).all() == (missing is lone) and not trie.codes_of(place, np.zeros(len(place), np.uint64)).any()
+
+
+def test_all_scores_come_from_the_trie(monkeypatch):
+    """Without what the trie finds, every token that the model knows in its context has another probability."""
+    r = np.random.default_rng(5)
+    n, words = 4000, 50
+    context, word, train = r.integers(0, words, n), r.zipf(1.4, n).astype(np.uint64) % np.uint64(words), r.random(n) < 0.8
+    total = np.bincount(context[train], minlength=words).astype(float)
+    totals = ngram.Totals([])
+    level = ngram.Level(context, np.arange(words, dtype=np.uint64), total, word, train, np.zeros(words, bool), totals)
+    lower = np.full(n, 1 / words)
+    whole = level.p(lower, 0.5)
+    count = np.zeros((words, words))
+    np.add.at(count, (context[train], word[train].astype(int)), 1)
+    want = (np.maximum(count - 0.5, 0) + 0.5 * (count > 0).sum(1, keepdims=True) / words) / total[:, None]
+    assert whole == pytest.approx(want[context, word.astype(int)], rel=4e-4)
+    known = count[context, word.astype(int)] > 0
+    monkeypatch.setattr(Trie, "codes_of", lambda self, place, word: np.zeros(len(place), np.uint16))
+    assert (level.p(lower, 0.5)[known] < whole[known]).all()
+    monkeypatch.setattr(Trie, "left_of", lambda self, context: (np.full(len(context), -1), np.zeros(len(context), np.uint16)))
+    assert (level.p(lower, 0.5) == lower).all()
+
+
+def test_probabilities():
+    p = np.r_[1.0, 0.5, 10.0 ** -np.arange(1, 18)]
+    assert probability(quantised(p)) == pytest.approx(p, rel=4e-4) and probability(quantised(p))[0] == 1 and probability(np.zeros(1, np.uint16))[0] == 0
 
 
 def test_codebook():
