@@ -22,24 +22,33 @@ U = np.uint64
 EXACT, STEPS = 4096, 1024
 
 
-def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """``values`` of ``width`` bits one after the other, in 64-bit words with one spare."""
-    words = np.zeros((len(values) * width + 63) // 64 + 1, U)
-    if not width:
-        return words
-    at = np.arange(len(values), dtype=U) * U(width)
-    word, shift = at >> U(6), at & U(63)
-    _or(words, word, values << shift)
-    over = shift + U(width) > U(64)
-    _or(words, word[over] + U(1), values[over] >> (U(64) - shift[over]))
-    return words
+def _lanes(width: int):
+    """For each of 64 numbers of ``width`` bits, which together fill ``width`` words: its word and its shift there."""
+    return [(j, j * width >> 6, U(j * width & 63), (j * width & 63) + width > 64) for j in range(64 if width else 0)]
 
 
-def _or(words: np.ndarray, place: np.ndarray, bits: np.ndarray) -> None:
-    """words[place] |= bits, for ascending places."""
-    if len(place):
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        words[place[first]] |= np.bitwise_or.reduceat(bits, first)
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """``values`` of ``width`` bits one after the other, in 64-bit words with spare ones."""
+    groups = len(values) // 64 + 1
+    lanes = np.zeros(groups * 64, U)
+    lanes[: len(values)] = values
+    lanes, words = np.ascontiguousarray(lanes.reshape(groups, 64).T), np.zeros((width, groups), U)
+    for j, word, shift, over in _lanes(width):
+        words[word] |= lanes[j] << shift
+        if over:
+            words[word + 1] |= lanes[j] >> (U(64) - shift)
+    return np.r_[words.T.ravel(), U(0)]
+
+
+def _unpack(words: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The first n numbers of ``_pack``."""
+    groups = n // 64 + 1
+    words, lanes = np.ascontiguousarray(words[: groups * width].reshape(groups, width).T), np.zeros((64, groups), U)
+    for j, word, shift, over in _lanes(width):
+        lanes[j] = words[word] >> shift
+        if over:
+            lanes[j] |= words[word + 1] << (U(64) - shift)
+    return lanes.T.ravel()[:n] & U((1 << width) - 1)
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
@@ -68,9 +77,9 @@ class Sequence:
         self.low = _pack(values & U((1 << self.width) - 1), self.width)
         high = (values >> U(self.width)).astype(np.int64)
         self.highs = int(high[-1]) + 1 if n else 0
-        at = high + np.arange(n)
-        self.high = np.zeros((n + self.highs) // 64 + 1, U)
-        _or(self.high, at >> 6, U(1) << (at & 63).astype(U))
+        bits = np.zeros(((n + self.highs) // 64 + 1) * 64, bool)
+        bits[high + np.arange(n)] = True
+        self.high = np.packbits(bits, bitorder="little").view(U)
         ones = np.bitwise_count(self.high).astype(np.int64)
         self.ones = np.cumsum(ones) - ones
         self.zeros = np.arange(len(ones)) * 64 - self.ones
@@ -91,6 +100,11 @@ class Sequence:
         i = np.asarray(i, np.int64)
         return (_select(self.high, self.ones, i, False) - i).astype(U) << U(self.width) | self._low(i)
 
+    def values(self) -> np.ndarray:
+        """The whole sequence."""
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool))
+        return (ones - np.arange(self.n)).astype(U) << U(self.width) | _unpack(self.low, self.width, self.n)
+
     def _until(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part of at most ``high``."""
         out = np.where(high < 0, 0, self.n)
@@ -99,10 +113,17 @@ class Sequence:
         return out
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each x, or -1: a successor search that ends at an equal value."""
+        """Place of each x, or -1: a successor search that ends at an equal value.
+
+        Many questions read the sequence in one go, and few by selects.
+        """
         if not self.n:
             return np.full(len(x), -1, np.int64)
         x = x.astype(U)
+        if len(x) * 16 > self.n:
+            values = self.values()
+            at = np.minimum(np.searchsorted(values, x), self.n - 1)
+            return np.where(values[at] == x, at, -1)
         high = np.minimum(x >> U(self.width), U(self.highs)).astype(np.int64)
         low = x & U((1 << self.width) - 1)
         a, end = self._until(high - 1), self._until(high)
@@ -132,7 +153,7 @@ def decode(code: np.ndarray) -> np.ndarray:
 
 def quantised(p: np.ndarray) -> np.ndarray:
     """16-bit codes of probabilities, STEPS to a factor of two, down to 2^-63; code 0 is none."""
-    return np.minimum(1 + np.rint(-np.log2(np.maximum(p, 2.0**-63)) * STEPS), 65535).astype(np.uint16)
+    return np.minimum(1 + np.rint(-np.log2(np.maximum(p, 2.0**-63).astype(np.float32)) * np.float32(STEPS)), 65535).astype(np.uint16)
 
 
 def probability(code: np.ndarray) -> np.ndarray:
@@ -169,10 +190,10 @@ class Trie:
         out = np.zeros(len(place), np.uint16)
         known = np.flatnonzero(place >= 0)
         k = place[known]
-        at = self.followers.find(self.bases[k] + word[known].astype(U))
-        hit = np.flatnonzero(at >= 0)
-        k = k[hit]
-        hit = hit[(at[hit] >= self.pointers[k].astype(np.int64)) & (at[hit] < self.pointers[k + 1].astype(np.int64))]
+        many = len(k) * 16 > self.contexts.n
+        bases, pointers = (self.bases.values(), self.pointers.values()) if many else (self.bases, self.pointers)
+        at = self.followers.find(bases[k] + word[known].astype(U))
+        hit = np.flatnonzero((at >= pointers[k].astype(np.int64)) & (at < pointers[k + 1].astype(np.int64)))
         out[known[hit]] = self.codes[at[hit]]
         return out
 

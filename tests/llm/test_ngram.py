@@ -118,6 +118,8 @@ def test_sequences(n, top):
     asked = np.r_[values, r.integers(0, top + 5, 200).astype(np.uint64)]
     at = s.find(asked)
     assert ((at >= 0) == np.isin(asked, values)).all() and (values[at[at >= 0]] == asked[at >= 0]).all()
+    few = np.concatenate([s.find(asked[k : k + 3]) for k in range(0, len(asked), 3)])  # by selects, where the sequence is long
+    assert ((few >= 0) == (at >= 0)).all() and (values[few[few >= 0]] == asked[few >= 0]).all() and (s.values() == values).all()
 
 
 def test_trie():
@@ -132,6 +134,8 @@ def test_trie():
         trie = Trie(keys, sizes, w, codes, np.arange(len(keys)))
         place, left = trie.left_of(context)
         assert (left == np.searchsorted(keys, context)).all() and (trie.codes_of(place, w) == codes).all()
+        for k in range(0, len(w), 211):
+            assert trie.codes_of(place[k : k + 1], w[k : k + 1]) == codes[k]
         other = w + np.uint64(1)
         assert ((trie.codes_of(place, other) > 0) == np.isin(v << np.uint64(32) | other, key)).all()
         for missing in (lone, keys[-1:] + np.uint64(1)):
