@@ -28,6 +28,13 @@ def log_ratios(cells: DataFrame, config: Config = CONFIG, strength: float = 0.5,
     return rows.select("slide_id", "overlap_pct", "nms_method", *ratios, *(x.alias(f"ilr_{k}") for k, x in enumerate(comp.ilr(p), 1)))
 
 
+def left_out(cells: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """By overlap and method, how many slides have no survivors and so no log-ratios; only where there are any."""
+    total = comp.total([F.col(s).cast("double") for s in config.short])
+    none = F.count(F.when(total > 0, None).otherwise(F.lit(1)))
+    return cells.groupBy("overlap_pct", "nms_method").agg(none.alias("n_left_out"), F.count(F.lit(1)).alias("n_slides")).where("n_left_out > 0")
+
+
 def long_ratios(ratios: DataFrame, columns: list[str] = COORDS) -> DataFrame:
     parts = F.array(*(F.struct(F.lit(c).alias("coord"), F.col(c).alias("value")) for c in columns))
     keys = [c for c in ratios.columns if not c.startswith(("alr_", "ilr_"))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 
 import pandas as pd
@@ -17,6 +18,7 @@ from tessella.sources.scratch import cut, discard
 from tessella.sources.store import Store
 
 KEYS = ["slide_id", "overlap_pct"]
+log = logging.getLogger(__name__)
 
 
 def load(store: Store, images_dir: str, data_dir: str, slide: str | None = None, config: Config = CONFIG) -> dict:
@@ -115,11 +117,14 @@ def weighted_summary(store: Store, config: Config = CONFIG) -> dict[str, DataFra
 
 
 def baseline(store: Store, reference: str = "iou_grid_n1", config: Config = CONFIG) -> dict[str, DataFrame]:
-    """Equivalence to no suppression, the verdicts, and Friedman's test across methods."""
-    ratios = inference.log_ratios(cell_table(store, config), config)
+    """Equivalence to no suppression, the verdicts, Friedman's test across methods, and the slides that had to be left out."""
+    cells = cell_table(store, config)
+    ratios, left_out = inference.log_ratios(cells, config), cut(inference.left_out(cells, config), "baseline-left-out")
+    for r in left_out.orderBy("overlap_pct", "nms_method").collect():  # a row an overlap and method at most
+        log.warning("overlap %s, %s: %d of %d slides have no detections left, and are left out", r.overlap_pct, r.nms_method, r.n_left_out, r.n_slides)
     tested = cut(inference.equivalence(inference.differences(inference.long_ratios(ratios)), ["overlap_pct", "nms_method", "coord"], config), "baseline")
     ranked = inference.long_ratios(ratios, ["ilr_1", "ilr_2", "ilr_3"])
-    return {"equivalence": tested, "verdicts": inference.verdicts(tested, reference), "friedman": inference.friedman(ranked, config)}
+    return {"equivalence": tested, "verdicts": inference.verdicts(tested, reference), "friedman": inference.friedman(ranked, config), "left_out": left_out}
 
 
 def method_similarity(store: Store, config: Config = CONFIG) -> dict[str, DataFrame]:

@@ -185,6 +185,10 @@ def test_slide_without_survivors_counts_zero(spark):
     masked = survivors(d)
     assert counts.cells(masked).agg(F.sum(counts.total())).first()[0] == 0 and counts.cells(masked).count() >= 31
     assert counts.tiles(masked).isEmpty() and inference.log_ratios(counts.cells(masked)).isEmpty()
+    left = inference.left_out(counts.cells(masked)).collect()
+    assert len(left) >= 31 and all(r.n_left_out == r.n_slides > 0 for r in left)
+    some = spark.createDataFrame([("a", 0.0, "none", 1, 0, 0, 0), ("b", 0.0, "none", 0, 0, 0, 0), ("c", 0.0, "none", None, 0, 0, 0), ("a", 0.0, "iou_global", 0, 3, 0, 0)], "slide_id string, overlap_pct double, nms_method string, Mac long, Lym long, Neu long, Eos long")
+    assert [tuple(r) for r in inference.left_out(some).collect()] == [(0.0, "none", 2, 3)]
 
 
 def cells_of(spark, shift=1.0, slides=12):
