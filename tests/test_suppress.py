@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -257,3 +258,26 @@ def test_large_groups_are_solved_by_joins(spark):
     whole = suppress.survivors(dets, some)
     split = suppress.survivors(dets, some, most=50)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect())) and whole.count() == 150
+
+
+def test_crowded_groups_list_no_conflicts_and_keep_the_same(monkeypatch):
+    df = random_frame(180, 5, tiles=4, size=90)
+    variants = REGISTRY | suppress.SWEEPS
+    listed = {n: kept(df, v) for n, v in variants.items()}
+    monkeypatch.setattr(kernels, "LISTED", -1)
+    monkeypatch.setattr(kernels, "BASE", 20)
+    monkeypatch.setattr(kernels, "STEP", 50)
+    assert {n: kept(df, v) for n, v in variants.items()} == listed
+
+
+def test_a_crowded_slide_takes_memory_by_its_detections():
+    r = np.random.default_rng(0)
+    n = 30_000
+    x, y, w, h = r.integers(0, 300, n), r.integers(0, 300, n), r.integers(20, 60, n), r.integers(20, 60, n)
+    df = frame(list(zip(x.tolist(), y.tolist(), (x + w).tolist(), (y + h).tolist(), r.uniform(0.44, 1, n).tolist(), strict=True)))
+    tracemalloc.start()
+    sizes = [len(kept(df, REGISTRY[m])) for m in ("iou_global", "nn_dist_grid_n2", "nn_center_global", "nn_cluster_global")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes[3] == 1 and max(sizes) < 15_000
+    assert peak < 600 * 2**20  # listed, the overlapping boxes alone took gigabytes
