@@ -8,8 +8,11 @@ a node's state, so all of one scope share a loop. Each round is a few joins on t
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,6 +281,72 @@ def masks(dets: DataFrame, variants: dict[str, suppress.Variant], isolate: bool
     return out
 
 
+def by_waves(dets: DataFrame, scope: str, variants: dict[str, suppress.Variant]) -> DataFrame:
+    """(det_id, alive): the detections that survive variants of one scope, a bit each, with no table of conflicts.
+
+    Blocks that can share a detection differ in bx + 2 by. So a pass over each value of that sum solves all its blocks,
+    each a group (of one label, if no rule looks across labels) that takes memory by its detections. A detection enters with
+    its first block and goes on with what that leaves, which lies apart and is few at any place.
+    """
+    if any(v.scope != scope or v.family == "none" for v in variants.values()):
+        raise ValueError("variants of one scope that suppress something")
+    grid = scope not in ("global", "grid_n1")
+    n = int(scope[-1]) - 1 if grid else 1
+    boxes = any(v.family.startswith("iou") for v in variants.values())
+    across = any(v.family in ("iou", "iou_edgecrop") for v in variants.values())
+    slide, zero = ["slide_id", "overlap_pct"], F.lit(0).cast("long")
+    parts = [F.when((F.col("confidence") >= v.confidence) & (suppress.interior() if v.family == "iou_edgecrop" else F.lit(True)), F.lit(1 << k).cast("long")).otherwise(zero) for k, v in enumerate(variants.values())]
+    rows = dets.withColumn("alive", reduce(Column.bitwiseOR, parts)).where("alive != 0")
+    radii = {}
+    for v in variants.values():
+        if v.family == "nn_center" and (v.center_k, v.confidence) not in radii:
+            radii[v.center_k, v.confidence] = name = f"radius_{len(radii)}"
+            of = suppress.center_radii(dets.where(F.col("confidence") >= v.confidence), v.center_k)  # a row a slide, overlap and label
+            rows = rows.join(F.broadcast(of.withColumnRenamed("radius", name)), [*slide, "label"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    used = [*slide, "label", "det_id", "confidence", *(["x1", "y1", "x2", "y2"] if boxes else []), "cx", "cy"]
+    rows = rows.select(*used, *(F.col(c).cast("long").alias(c) for c in ("tile_x", "tile_y")), *radii.values(), "alive")
+    schema = rows.schema
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = suppress.Group(pdf, {k: name for k, name in radii.items()})
+        alive = pdf["alive"].to_numpy()[group.order]
+        left = np.zeros(len(alive), np.int64)
+        for k, v in enumerate(variants.values()):
+            left |= group.survivors(replace(v, scope="global"), (alive >> k & 1) == 1).astype(np.int64) << k
+        return pdf.iloc[group.order[left != 0]].assign(alive=left[left != 0])
+
+    keys = [*slide, *([] if across else ["label"])]
+
+    def solved(some: DataFrame, *place: Column) -> DataFrame:
+        some = some.withColumns({f"_{k}": c for k, c in enumerate(place)})
+        return some.groupBy(*keys, *(f"_{k}" for k in range(len(place)))).applyInPandas(lambda pdf: solve(pdf[schema.names]), schema)
+
+    if not grid:
+        place = [F.col("tile_x"), F.col("tile_y")] if scope == "grid_n1" else []
+        return solved(rows, *place).select("det_id", "alive")
+    blocks = []  # the up to four blocks that a tile lies in
+    for i in (0, 1):
+        for j in (0, 1):
+            bx, by = F.expr(f"tile_x div {n} - {i}"), F.expr(f"tile_y div {n} - {j}")
+            fits = (F.col("tile_x") >= 0) & (F.col("tile_y") >= 0) & (bx >= 0) & (by >= 0)
+            fits = fits & (F.col("tile_x") % n == 0 if i else F.lit(True)) & (F.col("tile_y") % n == 0 if j else F.lit(True))
+            blocks.append((F.when(fits, bx + 2 * by), bx, by))
+    first = F.least(*(w for w, _, _ in blocks))
+    most = dets.agg(F.max("tile_x"), F.max("tile_y")).first()
+    most = [0 if m is None else max(int(m), 0) // n for m in most]
+    carried = cut(rows.where(first.isNull()), "waves")  # in no block
+    for t in range(most[0] + 2 * most[1] + 1):
+        now = reduce(Column.__or__, [F.coalesce(w == t, F.lit(False)) for w, _, _ in blocks])
+        x, y = (F.coalesce(*(F.when(w == t, b[k]) for w, *b in blocks)) for k in (0, 1))
+        entering = rows.where(first == t).unionByName(carried.where(now))
+        following = cut(solved(entering, x, y).unionByName(carried.where(~now)), "waves")
+        discard(carried)
+        carried = following
+    return carried.select("det_id", "alive")
+
+
 def by_variant(dets: DataFrame, v: suppress.Variant) -> DataFrame:
     """det_id of the survivors of one variant."""
-    return masks(dets, {"one": v}).where("mask != 0").select("det_id")
+    if v.family == "none":
+        return dets.where(F.col("confidence") >= v.confidence).select("det_id")
+    return by_waves(dets, v.scope, {"one": v}).select("det_id")

@@ -128,8 +128,7 @@ for _name in METHODS:
 
 @query(sql.one_variant("iou_grid_n2", REGISTRY["iou_grid_n2"]).replace("SELECT d.det_id, d.slide_id, d.overlap_pct, d.label, d.tile_x, d.tile_y FROM m", "SELECT d.det_id FROM m"))
 def iou_grid_n2_by_fixpoint(spark, sf_dir):
-    dets = study(spark, sf_dir).confident
-    return fixpoint.survivors(dets, fixpoint.iou_edges(dets, CONFIG.iou), "grid_n2")
+    return fixpoint.by_variant(study(spark, sf_dir).detections, REGISTRY["iou_grid_n2"])
 
 
 def _by_joins(name: str):

@@ -281,3 +281,19 @@ def test_a_crowded_slide_takes_memory_by_its_detections():
     tracemalloc.stop()
     assert sizes[3] == 1 and max(sizes) < 15_000
     assert peak < 600 * 2**20  # listed, the overlapping boxes alone took gigabytes
+
+
+@pytest.mark.parametrize("scope", ["grid_n1", "grid_n2", "grid_n3", "global"])
+def test_waves_agree_with_kernel_and_write_no_conflicts(spark, monkeypatch, scope):
+    df = random_frame(260, 8, tiles=5, size=70)
+    some = {m: v for m, v in REGISTRY.items() if v.scope == scope and v.family != "none"}
+    written = []
+    monkeypatch.setattr(fixpoint, "cut", lambda t, name, f=fixpoint.cut: written.append(t.columns) or f(t, name))
+    got = {r.det_id: r.alive for r in fixpoint.by_waves(spark.createDataFrame(df), scope, some).collect()}
+    for k, (name, v) in enumerate(some.items()):
+        assert {i for i, m in got.items() if m >> k & 1} == kept(df, v), name
+    assert not any("killer" in c for c in written)
+    near = {m: v for m, v in some.items() if v.family in ("nn_center", "nn_cluster")}  # each label by itself
+    assert {r.det_id for r in fixpoint.by_waves(spark.createDataFrame(df), scope, near).collect()} == set().union(*(kept(df, v) for v in near.values()))
+    one = fixpoint.by_variant(spark.createDataFrame(df), near[f"nn_center_{scope}"])
+    assert {r.det_id for r in one.collect()} == kept(df, REGISTRY[f"nn_center_{scope}"]) and not any("killer" in c for c in written)
