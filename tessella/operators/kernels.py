@@ -15,9 +15,9 @@ import numpy as np
 
 
 #: Candidate pairs of a group up to which its conflicts are listed.
-LISTED = 10_000_000
+LISTED = 1_000_000
 #: Candidate pairs looked at in one go, and those up to which a part of a crowded group is solved by its list.
-STEP, BASE = 1_000_000, 4_000_000
+STEP, BASE = 1_000_000, 1_000_000
 #: Detections of which a part's candidate pairs are counted at all.
 MOST = 65_536
 
@@ -36,12 +36,17 @@ def steps(low: np.ndarray, high: np.ndarray):
         at = to
 
 
-def _near_runs(x: np.ndarray, y: np.ndarray, reach: float):
-    """Order of the points by cell, and for each kind of neighbouring cell the runs (low, high) that each point meets there."""
-    n, cell = len(x), max(float(reach), 1.0)
+def _near_bins(x: np.ndarray, y: np.ndarray, reach: float):
+    """Number of each point's cell, and by how much those of cells side by side differ."""
+    cell = max(float(reach), 1.0)
     bx, by = np.floor((x - x.min()) / cell).astype(np.int64), np.floor((y - y.min()) / cell).astype(np.int64)
     tall = int(by.max()) + 3
-    bins = (bx + 1) * tall + by + 1
+    return (bx + 1) * tall + by + 1, tall
+
+
+def _near_runs(x: np.ndarray, y: np.ndarray, reach: float):
+    """Order of the points by cell, and for each kind of neighbouring cell the runs (low, high) that each point meets there."""
+    n, (bins, tall) = len(x), _near_bins(x, y, reach)
     order = np.argsort(bins, kind="stable")
     ranked = bins[order]
     runs = []
@@ -71,7 +76,15 @@ def near_pairs(x: np.ndarray, y: np.ndarray, reach: float, test=None) -> tuple[n
 
 def near_count(x: np.ndarray, y: np.ndarray, reach: float) -> int:
     """How many pairs ``near_pairs`` looks at."""
-    return sum(int(np.maximum(b - a, 0).sum()) for a, b in _near_runs(x, y, reach)[1]) if len(x) > 1 else 0
+    if len(x) < 2:
+        return 0
+    bins, tall = _near_bins(x, y, reach)
+    cells, size = np.unique(bins, return_counts=True)
+    found = int((size * (size - 1) // 2).sum())
+    for step in (1, tall - 1, tall, tall + 1):
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        found += int((size * size[at])[cells[at] == cells + step].sum())
+    return found
 
 
 def _cross_runs(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, cell: float):
@@ -281,6 +294,15 @@ class Disks:
     def within(self, at: np.ndarray):
         return distance_conflicts(self.x[at], self.y[at], self.label[at], self.radius[at])
 
+    def spots(self, at: np.ndarray):
+        """Cells of radius / sqrt(2): each holds one kept disk of a part at most, and conflicts reach two cells."""
+        side = self.radius[at] / np.sqrt(2) * (1 - 1e-9)
+        return [np.floor(v[at] / side).astype(np.int64) for v in (self.x, self.y)]
+
+    def shifts(self):
+        every = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+        return sorted(every, key=lambda d: d[0] ** 2 + d[1] ** 2)
+
 
 class Boxes:
     """Conflicts of boxes that overlap by the threshold; of one label only if labels are given.
@@ -324,16 +346,71 @@ class Boxes:
     def test(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return iou(self.boxes[i], self.boxes[j]) >= self.threshold
 
+    def spots(self, at: np.ndarray):
+        """Cells of centres and sides. They may hold several kept boxes, and conflicts reach beyond the shifts: what stands there settles most boxes, not all."""
+        wide, high = (np.floor(2 * np.log2(np.maximum(self.boxes[at, k + 2] - self.boxes[at, k], 1))).astype(np.int64) for k in (0, 1))
+        return [np.floor(v[at] / 12).astype(np.int64) for v in (self.x, self.y)] + [wide, high]
+
+    def shifts(self):
+        every = [(*d, *k) for d in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) for k in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))]
+        return sorted(every, key=lambda d: d[0] ** 2 + d[1] ** 2 + d[2] ** 2 + d[3] ** 2)
+
     def within(self, at: np.ndarray):
         i, j = iou_conflicts(self.boxes[at], self.threshold)
         same = self.label[at[i]] == self.label[at[j]]
         return i[same], j[same]
 
 
+#: Places of the table of ``met``.
+TABLE = 1 << 25
+
+
+def met(near, part: np.ndarray, kept: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Which of the nodes conflict with the kept that stands for one of the cells around them, and whether these are all that conflict.
+
+    A table has one of the kept for each part and cell. It tells all where no two kept share a cell and no conflict reaches beyond the shifts.
+    """
+    hit, shifts = np.zeros(len(nodes), bool), near.shifts()
+    if not len(kept) or not len(nodes):
+        return hit, True
+    theirs, mine = near.spots(kept), near.spots(nodes)
+    groups = np.unique(part[kept])
+    here = np.minimum(np.searchsorted(groups, part[nodes]), len(groups) - 1)
+    known = groups[here] == part[nodes]
+    theirs, mine = [np.searchsorted(groups, part[kept]), *theirs], [here, *mine]
+    reach = [0, *(max(abs(d[k]) for d in shifts) for k in range(len(shifts[0])))]
+    low = [int(a.min()) - 2 * r for a, r in zip(theirs, reach, strict=True)]
+    size = [int(a.max()) + 2 * r + 1 - b for a, r, b in zip(theirs, reach, low, strict=True)]
+    if np.prod([float(s) for s in size]) > TABLE:
+        return hit, False
+    for a, r, b, s in zip(mine, reach, low, size, strict=True):
+        known &= (a - b >= r) & (a - b < s - r)  # no shift leads from others to a cell with one that is kept
+    weight = np.cumprod([1, *size[:0:-1]])[::-1]
+    table = np.full(int(np.prod(size)), -1, np.int64)
+    spot = sum((a - b) * w for a, b, w in zip(theirs, low, weight, strict=True))
+    table[spot] = kept
+    whole = isinstance(near, Disks) and len(np.unique(spot)) == len(kept)
+    left = np.flatnonzero(known)
+    at = sum((a[left] - b) * w for a, b, w in zip(mine, low, weight, strict=True))
+    for d in shifts:
+        other = table[at + sum(int(x) * int(w) for x, w in zip(d, weight[1:], strict=True))]
+        some = np.flatnonzero(other >= 0)
+        killed = some[near.test(nodes[left[some]], other[some])]
+        if len(killed):
+            hit[left[killed]] = True
+            stay = np.ones(len(left), bool)
+            stay[killed] = False
+            left, at = left[stay], at[stay]
+    return hit, whole
+
+
 def struck(near, part: np.ndarray, kept: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Which of the nodes conflict with one of the kept in the same part. What the nearest cells settle is looked at no further."""
-    hit = np.zeros(len(nodes), bool)
-    kinds = {int(k): np.flatnonzero(near.kind[nodes] == k) for k in np.unique(near.kind[nodes])}
+    hit, every = met(near, part, kept, nodes)
+    if every:
+        return hit
+    kind = np.where(hit, np.iinfo(np.int64).min, near.kind[nodes])
+    kinds = {int(k): np.flatnonzero(kind == k) for k in np.unique(kind[~hit])}
     others = {int(k): kept[near.kind[kept] == k] for k in np.unique(near.kind[kept])}
     looks = near.looks(kinds, others)
     for own, kind, other in [(True, k, o) for k, o in looks if k == o] + [(False, k, o) for k, o in looks]:
@@ -433,7 +510,7 @@ def crowded_by_scope(scope: str, rule, near, tx: np.ndarray, ty: np.ndarray, ali
     if scope == "global":
         waves = [(np.flatnonzero(alive), None)]
     elif scope == "grid_n1":
-        place = np.unique(np.c_[tx, ty], axis=0, return_inverse=True)[1].ravel()
+        place = (ty - ty.min()) * (tx.max() - tx.min() + 1) + tx - tx.min()
         waves = [(np.flatnonzero(alive), place)]
     else:
         waves = _waves(int(scope[-1]) - 1, tx, ty, alive)

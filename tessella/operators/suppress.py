@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,19 +69,31 @@ OUTPUT = ["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y"]
 class Group:
     """The detections of one slide and overlap, in order of priority, with their conflicts as far as they are needed."""
 
-    def __init__(self, pdf: pd.DataFrame, radii: dict[tuple, str] | None = None):
+    def __init__(self, pdf: pd.DataFrame | pa.Table, radii: dict[tuple, str] | None = None):
         """``radii`` names columns of radii by k and confidence, for a part of a slide; columns that no rule asks for may be absent."""
-        self.order = order = np.lexsort((pdf["det_id"].to_numpy(), -pdf["confidence"].to_numpy(float)))
-        get = lambda c, kind: pdf[c].to_numpy(kind)[order] if c in pdf else np.zeros(len(pdf), kind)
+        self.order = order = np.lexsort((pdf["det_id"].to_numpy(), -pdf["confidence"].to_numpy()))
+        known = pdf.column_names if isinstance(pdf, pa.Table) else pdf.columns
+        self.frame = pdf[OUTPUT].iloc[order] if isinstance(pdf, pd.DataFrame) else None
+        get = lambda c, kind: pdf[c].to_numpy()[order].astype(kind, copy=False) if c in known else np.zeros(len(order), kind)
         self.radii = {k: get(c, float) for k, c in (radii or {}).items()}
-        self.frame = pdf[OUTPUT].iloc[order]
         self.confidence = get("confidence", float)
-        self.boxes = np.column_stack([get(c, np.int64) for c in ("x1", "y1", "x2", "y2")])
+        self.boxes = self._stack(get, "x1", "y1", "x2", "y2")
         self.x, self.y = get("cx", float), get("cy", float)
-        self.label = pd.factorize(pdf["label"])[0].astype(np.int64)[order]
+        label = pdf["label"]
+        label = label.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if isinstance(pdf, pa.Table) else pd.factorize(label)[0]
+        self.label = label.astype(np.int64)[order]
         self.tx, self.ty = get("tile_x", np.int64), get("tile_y", np.int64)
-        self.at = np.column_stack([get("x_correct", np.int64), get("y_correct", np.int64)])
+        self.at = self._stack(get, "x_correct", "y_correct")
         self.known: dict[tuple, tuple] = {}
+        self.done: dict[Variant, np.ndarray] = {}
+        inside = len(self.tx) > 0 and self.tx.min() >= 0 and self.ty.min() >= 0
+        self.tiles = max(int(self.tx.max()), int(self.ty.max())) + 1 if inside else None
+
+    def _stack(self, get, *columns: str) -> np.ndarray:
+        out = np.empty((len(self.order), len(columns)), np.int64)
+        for k, c in enumerate(columns):
+            out[:, k] = get(c, np.int64)
+        return out
 
     def radius(self, k: float, passed: np.ndarray) -> np.ndarray:
         side = ((self.boxes[:, 2] - self.boxes[:, 0]) + (self.boxes[:, 3] - self.boxes[:, 1])) / 2.0
@@ -110,6 +123,19 @@ class Group:
 
     def survivors(self, v: Variant, among: np.ndarray | None = None) -> np.ndarray:
         """Which survive a variant; ``among`` are those that take part, if other than the variant itself tells."""
+        if v.scope.startswith("grid_n") and v.scope != "grid_n1" and self.tiles and int(v.scope[-1]) >= self.tiles:
+            v = replace(v, scope="global")  # the first block has all tiles, and the others find nothing to suppress in what it leaves
+        if among is not None:
+            return self._survivors(v, among)
+        if v not in self.done:
+            self.done[v] = self._survivors(v, None)
+        return self.done[v]
+
+    def _survivors(self, v: Variant, among: np.ndarray | None) -> np.ndarray:
+        if among is None and v.family in ("iou", "iou_classwise", "nn_dist"):
+            lower = [w for w in self.done if replace(w, confidence=v.confidence) == v and w.confidence < v.confidence]
+            if lower:  # what passes a higher threshold comes first, so it fares as it did among all that pass a lower one
+                return self.done[lower[0]] & (self.confidence >= v.confidence)
         alive = self.confidence >= v.confidence if among is None else among
         if v.family == "none" or not alive.any():
             return alive
@@ -138,37 +164,51 @@ def message(e: Exception) -> str:
 def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most: int = MOST, isolate: bool = False) -> DataFrame:
     """Each detection with ``mask``: bit k is set if it survives the k-th variant. One shuffle for all variants.
 
-    A slide at one overlap is a group: suppression couples all its tiles, and its size is bounded by the image. Groups
-    of over ``most`` detections, too large for one task, are solved by joins with the same result. With ``isolate`` a
-    variant that fails stops no other: its bits are 0 and a row of its group tells in ``errors``.
+    A slide at one overlap is a group: suppression couples all its tiles, and its size is bounded by the image. Where no
+    variant looks beyond a tile, a tile is one. Groups of over ``most`` detections, too large for one task, are solved by joins
+    with the same result. With ``isolate`` a variant that fails stops no other: its bits are 0 and a row of its group tells in ``errors``.
     """
     names, chosen = list(variants or REGISTRY), list((variants or REGISTRY).values())
     if len(chosen) > 63:
         raise ValueError("at most 63 variants in a pass")
+    tiled = all(v.scope == "grid_n1" or v.family == "none" for v in chosen)
+    radii = {(v.center_k, v.confidence): f"radius_{k}" for k, v in enumerate(chosen) if v.family == "nn_center"} if tiled else {}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = Group(pdf)
-        mask, errors = np.zeros(len(pdf), np.int64), []
-        for k, v in enumerate(chosen):
+    def run(table: pa.Table) -> pa.Table:
+        group = Group(table, radii)
+        mask, errors = np.zeros(table.num_rows, np.int64), []
+        for k in sorted(range(len(chosen)), key=lambda k: chosen[k].confidence):  # low thresholds tell about higher ones
             try:
-                mask |= group.survivors(v).astype(np.int64) << k
+                mask[group.order] |= group.survivors(chosen[k]).astype(np.int64) << k
             except Exception as e:
                 if not isolate:
                     raise
                 errors.append({"nms_method": names[k], "error_msg": message(e)})
-        out = group.frame.assign(mask=mask)
-        return out.assign(errors=[errors or None, *[None] * (len(out) - 1)]) if isolate else out
+        out = table.select(OUTPUT).append_column("mask", pa.array(mask))
+        kind = pa.list_(pa.struct([("nms_method", pa.string()), ("error_msg", pa.string())]))
+        return out.append_column("errors", pa.array([errors or None, *[None] * (table.num_rows - 1)], kind)) if isolate else out
 
     columns = ["slide_id", "overlap_pct", "det_id", "label", "confidence", "x1", "y1", "x2", "y2", "cx", "cy", "x_correct", "y_correct", "tile_x", "tile_y"]
-    dets, key = dets.select(*columns), ["slide_id", "overlap_pct"]
+    dets, key = dets.select(*columns), ["slide_id", "overlap_pct", *(["tile_x", "tile_y"] if tiled else [])]
     schema = f"{MASK_SCHEMA}, {ERRORS}" if isolate else MASK_SCHEMA
+
+    def solved(rows: DataFrame) -> DataFrame:
+        # groups are few rows but long work, so partitions are not coalesced by size; the radii are not shuffled
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+        for (k, confidence), name in radii.items():
+            of = center_radii(dets.where(F.col("confidence") >= confidence), k)  # a row a slide, overlap and label
+            rows = rows.join(F.broadcast(of.withColumnRenamed("radius", name)), ["slide_id", "overlap_pct", "label"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        return rows.groupBy(*key).applyInArrow(run, schema)
+
     large = dets.groupBy(*key).count().where(F.col("count") > most).select(*key)
     if large.isEmpty():
-        return dets.groupBy(*key).applyInPandas(run, schema)
+        return solved(dets)
     from tessella.operators import fixpoint
 
-    small = dets.join(large, key, "left_anti").groupBy(*key).applyInPandas(run, schema)
-    return small.unionByName(fixpoint.masks(dets.join(large, key, "left_semi"), dict(zip(names, chosen, strict=True)), isolate))
+    slide = ["slide_id", "overlap_pct"]  # goes by joins as a whole, with radii of its own
+    large = large.select(*slide).distinct()
+    small = solved(dets.join(large, slide, "left_anti"))
+    return small.unionByName(fixpoint.masks(dets.join(large, slide, "left_semi"), dict(zip(names, chosen, strict=True)), isolate))
 
 
 def survived(masked: DataFrame, name: str, variants: dict[str, Variant] | None = None) -> DataFrame:
