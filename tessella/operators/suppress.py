@@ -163,6 +163,18 @@ def message(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
+def _unsuppressed(dets: DataFrame, chosen: list[Variant], isolate: bool) -> DataFrame:
+    """Masks of thresholds alone: each row tells for itself, and no group is held."""
+    sure = F.when(~F.isnan("confidence"), F.col("confidence"))
+    mask = F.lit(0).cast("long")
+    for k, v in enumerate(chosen):
+        mask = mask + F.when(sure >= v.confidence, F.lit(1 << k).cast("long")).otherwise(0)
+    columns = [F.col(c).cast(kind) for c, kind in (x.split() for x in MASK_SCHEMA.split(", ")[:-1])]
+    kind = ERRORS.split(" ", 1)[1]
+    rows = dets.select(*columns, mask.alias("mask"))
+    return rows.withColumn("errors", F.lit(None).cast(kind)) if isolate else rows
+
+
 def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most: int = MOST, isolate: bool = False) -> DataFrame:
     """Each detection with ``mask``: bit k is set if it survives the k-th variant. One shuffle for all variants.
 
@@ -174,6 +186,8 @@ def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most:
     if len(chosen) > 63:
         raise ValueError("at most 63 variants in a pass")
     tiled = all(v.scope == "grid_n1" or v.family == "none" for v in chosen)
+    if all(v.family == "none" for v in chosen):
+        return _unsuppressed(dets, chosen, isolate)
     radii = {(v.center_k, v.confidence): f"radius_{k}" for k, v in enumerate(chosen) if v.family == "nn_center"}
 
     crowded = streams.CROWDED

@@ -141,10 +141,11 @@ for _name in ("nn_center_grid_n3", "nn_cluster_grid_n4"):
 
 
 def _sweep(prefix: str):
-    names = [n for n in SWEEPS if n.startswith(prefix)]
+    some = {n: v for n, v in SWEEPS.items() if n.startswith(prefix)}
+    names = list(some)
 
     def run(spark, sf_dir):
-        rows = counts.cells(study(spark, sf_dir).swept, SWEEPS).where(F.col("nms_method").isin(*names))
+        rows = counts.cells(study(spark, sf_dir).settings(prefix), some)
         return rows.select("slide_id", "overlap_pct", F.col("nms_method").alias("setting"), *SHORT)
 
     wide = ", ".join(f"CAST(count(*) FILTER (d.label = '{label}') AS BIGINT) AS {s}" for label, s in zip(CONFIG.labels, SHORT, strict=True))

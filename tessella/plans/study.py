@@ -43,6 +43,11 @@ class Study:
     def swept(self) -> DataFrame:
         return self.table("swept", lambda: suppress.survivors(self.detections, SWEEPS))
 
+    def settings(self, prefix: str) -> DataFrame:
+        """Survivors of the sweeps' settings whose names begin so, and of no others."""
+        some = {n: v for n, v in SWEEPS.items() if n.startswith(prefix)}
+        return self.table(f"swept-{prefix}", lambda: suppress.survivors(self.detections, some))
+
     @property
     def cells(self) -> DataFrame:
         return self.table("cells", lambda: counts.cells(self.masked))

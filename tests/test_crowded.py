@@ -7,7 +7,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.operators import kernels, suppress
+from tessella.plans import catalogue
+from tessella.plans import study as studies
 
 
 def frame(n, seed, tiles=3):
@@ -63,3 +67,25 @@ def test_counting_candidates_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == sum(int(np.maximum(b - a, 0).sum()) for a, b in kernels._near_runs(x, y, 20.0)[1]) and peak < 70 * len(x)
+
+
+def test_thresholds_alone_hold_no_group(spark):
+    df = frame(300, 3).assign(confidence=lambda d: d["confidence"].where(d.index > 2, [np.nan, 0.37, 0.7] + [0] * 297))
+    some = {k: v for k, v in suppress.SWEEPS.items() if k.startswith("none_c")}
+    masked = suppress.survivors(spark.createDataFrame(df).withColumn("confidence", F.when(F.col("det_id") != 3, F.col("confidence"))), some, isolate=True)
+    assert "Arrow" not in masked._jdf.queryExecution().executedPlan().toString()
+    assert masked.columns == ["slide_id", "overlap_pct", "det_id", "label", "tile_x", "tile_y", "mask", "errors"] and masked.where("errors is not null").isEmpty()
+    group = suppress.Group(df.assign(confidence=df["confidence"].where(df.index != 3, np.nan)))
+    got = dict(masked.select("det_id", "mask").collect())
+    for k, v in enumerate(some.values()):
+        assert {d for d, m in got.items() if m >> k & 1} == set(group.frame["det_id"].to_numpy()[group.survivors(v)].tolist())
+
+
+@pytest.mark.parametrize("name, prefix", [("center_k_sweep", "nn_center_k"), ("cluster_radius_sweep", "nn_cluster_r"), ("center_confidence_sweep", "nn_center_c"), ("cluster_confidence_sweep", "nn_cluster_c"), ("confidence_sweep", "none_c")])
+def test_a_sweep_solves_its_own_settings_only(spark, monkeypatch, name, prefix):
+    asked = []
+    monkeypatch.setattr(suppress, "survivors", lambda dets, variants=None, real=suppress.survivors: asked.append(list(variants)) or real(dets, variants))
+    monkeypatch.setattr(studies, "_STUDIES", {})
+    rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    mine = [n for n in suppress.SWEEPS if n.startswith(prefix)]
+    assert asked == [mine] and {r.setting for r in rows.select("setting").distinct().collect()} == set(mine)
