@@ -437,19 +437,20 @@ def struck(near, part: np.ndarray, kept: np.ndarray, nodes: np.ndarray) -> np.nd
 
 def keep(near, part: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Greedy suppression among the nodes (in order of priority) inside each part: the first half, what it leaves of the second, and so on."""
-
-    def solve(some):
-        if len(some) < 3 or len(some) <= MOST and near.candidates(some) <= BASE:
-            i, j = near.within(some)
-            same = part[some[i]] == part[some[j]]
-            alive = np.ones(len(some), bool)
-            greedy(alive, i[same], j[same])
-            return some[alive]
-        first, rest = solve(some[: len(some) // 2]), some[len(some) // 2 :]
-        return np.concatenate([first, solve(rest[~struck(near, part, first, rest)])])
-
     able = near.able[nodes]
-    return np.concatenate([nodes[~able], solve(nodes[able])])
+    return np.concatenate([nodes[~able], _halves(near, part, nodes[able])])
+
+
+def _halves(near, part: np.ndarray, some: np.ndarray) -> np.ndarray:
+    # not a closure: one that calls itself is a cycle, and holds all these arrays until Python next looks for cycles
+    if len(some) < 3 or len(some) <= MOST and near.candidates(some) <= BASE:
+        i, j = near.within(some)
+        same = part[some[i]] == part[some[j]]
+        alive = np.ones(len(some), bool)
+        greedy(alive, i[same], j[same])
+        return some[alive]
+    first, rest = _halves(near, part, some[: len(some) // 2]), some[len(some) // 2 :]
+    return np.concatenate([first, _halves(near, part, rest[~struck(near, part, first, rest)])])
 
 
 def firsts(near: Disks, part: np.ndarray, nodes: np.ndarray) -> np.ndarray:

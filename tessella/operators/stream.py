@@ -2,7 +2,8 @@
 
 Whether a detection survives a greedy rule depends on those before it only, in each block that holds it too. So the group is
 taken in chunks: each is held against what was kept before in the same block, and solved inside. Rows that are kept
-somewhere stay with all their columns; of the others only what the result names. The cluster rule needs all centres, and is solved at the end by label.
+somewhere stay with all their columns; of the others only what the result names. The cluster rule is solved at the end by label, from the centres
+that tie components (``Centres``); rows that cannot be the first of one are given out chunk by chunk.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tessella.operators import kernels
 
 #: Rows up to which a group is not taken in chunks, and the least and the most that a chunk has. A chunk has its cost, so later ones are larger.
 CROWDED, CHUNK, LARGEST = 196_608, 131_072, 262_144
+#: Centres of a label and tile from which on those inside are dropped.
+THIN = 4096
 #: Rows of a batch of the result.
 BATCH = 65_536
 #: Families in which what passes a higher threshold fares as among all that pass a lower one.
@@ -29,6 +32,70 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int32) if fits else a
 
 
+class Centres:
+    """Centres of one radius and threshold, as far as components need them.
+
+    Those of one label, tile and cell of radius / sqrt(2) belong together in every block, so none but the first of them can survive. To any centre outside
+    the cell the nearest of them is the outermost of its row or column, so the others can go. Tiles before 0 are in no block and stay whole.
+    """
+
+    def __init__(self, distance: float):
+        self.side = float(distance) / np.sqrt(2) * (1 - 1e-9)
+        self.parts: dict[tuple, list] = {}  # by label and tile: arrays of x, y and number of the row, how many, and how many the last thinning left
+        self.cells: dict[tuple, np.ndarray] = {}
+
+    def add(self, label: np.ndarray, tx: np.ndarray, ty: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Takes rows in order of priority; tells which may survive."""
+        first = np.zeros(len(x), bool)
+        if not len(x):
+            return first
+        order = np.lexsort((ty, tx, label))
+        keys = [a[order] for a in (label, tx, ty)]
+        starts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            key, at = tuple(int(k[a]) for k in keys), order[a:b]
+            part = self.parts.setdefault(key, [[], 0, 0])
+            part[0].append((x[at], y[at], row[at]))
+            part[1] += len(at)
+            if self.side <= 0 or min(key[1:]) < 0:
+                first[at] = True
+                continue
+            cells, places = np.unique(self._cells(x[at], y[at]), return_index=True)
+            known = self.cells.get(key, cells[:0])
+            first[at[places[~np.isin(cells, known)]]] = True
+            self.cells[key] = np.union1d(known, cells)
+            if part[1] >= max(THIN, 2 * part[2]):
+                self._thin(part)
+        return first
+
+    def _cells(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.floor(x / self.side) + 1j * np.floor(y / self.side)
+
+    def _thin(self, part: list) -> None:
+        x, y, row = (np.concatenate(a) for a in zip(*part[0], strict=True))
+        _, first, cell = np.unique(self._cells(x, y), return_index=True, return_inverse=True)
+        stays = np.zeros(len(x), bool)
+        stays[first] = True
+        for along, across in ((x, y), (y, x)):
+            order = np.lexsort((along, across, cell))
+            new = np.flatnonzero((np.diff(across[order]) != 0) | (np.diff(cell[order]) != 0))
+            stays[order[np.r_[0, new + 1]]] = True
+            stays[order[np.r_[new, len(order) - 1]]] = True
+        part[:] = [[(x[stays], y[stays], row[stays])], int(stays.sum()), int(stays.sum())]
+
+    def pop(self, label: int) -> tuple[np.ndarray, ...]:
+        """x, y, tile numbers and rows of a label's centres, by priority; they are held no longer."""
+        found = []
+        for key in [k for k in self.parts if k[0] == label]:
+            part = self.parts.pop(key)
+            if self.side > 0 and min(key[1:]) >= 0:
+                self._thin(part)
+            found += [(x, y, np.full(len(x), key[1]), np.full(len(x), key[2]), row) for x, y, row in part[0]]
+        columns = [np.concatenate(a) for a in zip(*found, strict=True)] if found else [np.zeros(0)] * 2 + [np.zeros(0, np.int64)] * 3
+        order = np.argsort(columns[4])
+        return tuple(a[order] for a in columns)
+
+
 class Stream:
     """Takes the chunks of one slide (or tile) and overlap in order of priority, and then yields its rows.
 
@@ -42,7 +109,9 @@ class Stream:
         self.errors: dict[int, str] = {}
         self.names: list = []  # labels by number
         self.radius: dict[tuple, np.ndarray] = {k: np.zeros(0) for k in radii}
-        self.columns: dict[str, list] = defaultdict(list)
+        self.columns: dict[str, list] = defaultdict(list)  # of rows not given out
+        self.numbers: list[np.ndarray] = []  # their places in the order of priority
+        self.centres = {(v.distance, v.confidence): Centres(v.distance) for v in variants if v.family == "nn_cluster"}
         self.kept = {"x": np.zeros(0), "y": np.zeros(0), "label": np.zeros(0, np.int64), "boxes": np.zeros((0, 4), np.int64)}
         self.taken = 0
         self.blocks: dict[tuple, tuple] = {}  # by variant and wave: places of the kept, and the part of each
@@ -102,6 +171,7 @@ class Stream:
             small |= {"x": chunk["x"], "y": chunk["y"]}
         for c, values in small.items():
             self.columns[c].append(np.array(values))
+        self.stays = self._feed()
 
     def _near(self, v):
         if v.family.startswith("iou"):
@@ -173,31 +243,56 @@ class Stream:
             self.blocks[key] = np.concatenate([old[0], place[left]]), np.concatenate([old[1], part])
         del self.nears, self.fates, self.found, self.all
 
-    def _clusters(self, c: dict) -> None:
-        plan = [(k, v) for k, v in self.plan.items() if v.family == "nn_cluster" and k not in self.errors]
-        for label in range(len(self.names) if plan else 0):
-            mine = np.flatnonzero(c["label"] == label)
-            x, y, tx, ty, mask = (c[name][mine] for name in ("x", "y", "tile_x", "tile_y", "mask"))
-            tx, ty, done = tx.astype(np.int64), ty.astype(np.int64), {}
-            for k, v in plan if len(mine) else []:
-                try:
-                    if v not in done:
-                        near = kernels.Disks(x, y, np.zeros(len(x), np.int64), np.full(len(x), float(v.distance)))
-                        done[v] = kernels.crowded_by_scope(v.scope, kernels.firsts, near, tx, ty, (mask >> k & 1).astype(bool))
-                    mask &= ~(1 << k) | done[v].astype(np.int64) << k
-                except Exception as e:
-                    if not self.message:
-                        raise
-                    self.errors[k] = self.message(e)
-            c["mask"][mine] = mask
+    def _feed(self) -> np.ndarray:
+        """Feeds the chunk to the centres; tells which of its rows the cluster rule may still keep. Until the end their bits are 0."""
+        last = {c: parts[-1] for c, parts in self.columns.items()}
+        n = len(last["mask"])
+        open_, numbers = np.zeros(n, bool), np.arange(self.taken - n, self.taken)
+        for (distance, confidence), centres in self.centres.items():
+            bits = [k for k, v in self.plan.items() if v.family == "nn_cluster" and (v.distance, v.confidence) == (distance, confidence)]
+            mine = np.flatnonzero(last["mask"] >> bits[0] & 1)
+            open_[mine[centres.add(*(last[c][mine] for c in ("label", "tile_x", "tile_y", "x", "y")), numbers[mine])]] = True
+            for k in bits:
+                last["mask"] &= ~(1 << k)
+        self.numbers.append(numbers)
+        return open_
+
+    def ready(self) -> Iterator[dict]:
+        """After each chunk: its rows that no later one can change, as columns, batch by batch."""
+        stays, last = self.stays, {c: parts.pop() for c, parts in self.columns.items()}
+        for c, values in last.items():
+            self.columns[c].append(values[stays])
+        self.numbers[-1] = self.numbers[-1][stays]
+        yield from self._batches({c: values[~stays] for c, values in last.items()})
+
+    def _clusters(self, c: dict, numbers: np.ndarray) -> None:
+        for key, centres in self.centres.items():
+            plan = [(k, v) for k, v in self.plan.items() if v.family == "nn_cluster" and (v.distance, v.confidence) == key]
+            for label in range(len(self.names)):
+                x, y, tx, ty, row = centres.pop(label)
+                near, done = kernels.Disks(x, y, np.zeros(len(x), np.int64), np.full(len(x), float(key[0]))), {}
+                for k, v in plan if len(x) else []:
+                    if k in self.errors:
+                        continue
+                    try:
+                        if v not in done:
+                            done[v] = row[kernels.crowded_by_scope(v.scope, kernels.firsts, near, tx, ty, np.ones(len(x), bool))]
+                        c["mask"][np.searchsorted(numbers, done[v])] |= 1 << k
+                    except Exception as e:
+                        if not self.message:
+                            raise
+                        self.errors[k] = self.message(e)
 
     def rows(self) -> Iterator[dict]:
-        """The group's rows as columns, batch by batch."""
+        """The group's rows that were not given out before, as columns, batch by batch."""
         self.kept = self.blocks = None
         c = {name: np.concatenate(self.columns.pop(name)) for name in list(self.columns)}
-        self._clusters(c)
+        self._clusters(c, np.concatenate(self.numbers))
         for k in self.errors:
             c["mask"] &= ~(1 << k)
+        yield from self._batches(c)
+
+    def _batches(self, c: dict) -> Iterator[dict]:
         names = pa.array(self.names, pa.string())
         for at in range(0, len(c["mask"]), BATCH):
             part = {name: c[name][at : at + BATCH] for name in ("det_id", "label", "tile_x", "tile_y", "mask")}

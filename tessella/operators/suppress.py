@@ -151,7 +151,7 @@ class Group:
         return kernels.crowded_by_scope(v.scope, kernels.firsts if cluster else kernels.keep, found, self.tx, self.ty, alive)
 
 
-#: Detections of a slide and overlap that one task takes. In crowded ones it holds 42 bytes of each, and what the cluster rule needs.
+#: Detections of a slide and overlap that one task takes. In crowded ones it holds what is kept and what the cluster rule needs, with ``isolate`` 42 bytes of each too.
 MOST = 16_000_000
 MASK_SCHEMA = "slide_id string, overlap_pct double, det_id long, label string, tile_x long, tile_y long, mask long"
 
@@ -218,6 +218,9 @@ def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most:
                 stream = stream or streams.Stream(chosen, radii, message if isolate else None)
                 stream.take(pa.Table.from_batches(held))
                 held, n = [], 0
+                if not isolate:  # else a variant that fails later takes its bits back
+                    for rows in stream.ready():
+                        yield from pa.table(rows).to_batches()
         if not stream:
             yield from whole(pa.Table.from_batches(held)).to_batches()
             return
