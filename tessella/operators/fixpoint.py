@@ -8,11 +8,13 @@ a node's state, so all of one scope share a loop. Each round is a few joins on t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,92 +23,130 @@ from tessella.operators.components import stars
 from tessella.sources.scratch import cut, discard
 
 
-FIELDS = ["det_id", "confidence", "x1", "y1", "x2", "y2", "cx", "cy"]
+#: Side of a block, in cells: of a radius, or of the boxes' level. Rows of whole blocks that are looked at together, and of a batch of conflicts.
+BLOCK, BOX_BLOCK = 8, 4
+ROOM, BATCH = 196_608, 65_536
 
 
-def _steps(bx, by, steps):
-    return F.array(*(F.struct((bx + i).alias("bx"), (by + j).alias("by"), F.lit((i, j) == (0, 0)).alias("own")) for i, j in steps))
+def _dealt(rows: DataFrame, side: Column, reach: Column, home: Column) -> DataFrame:
+    """Rows by block (bx, by) of centres px, py, ``own`` where a row is at home; ``home`` tells which rows have one there.
 
-
-def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, own, d) and (keys, e) of equal keys as pairs (a, b), a before b in priority; of own pairs one of two."""
-    pairs = left.join(right, keys)
-    before = (F.col("d.confidence") > F.col("e.confidence")) | (F.col("d.confidence") == F.col("e.confidence")) & (F.col("d.det_id") < F.col("e.det_id"))
-    pairs = pairs.where(~F.col("own") | before)
-    return pairs.withColumns({"a": F.when(before, F.col("d")).otherwise(F.col("e")), "b": F.when(before, F.col("e")).otherwise(F.col("d"))})
-
-
-HALF = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+    A row at home visits the blocks ahead within ``reach`` of it, others all blocks within reach. So two rows at home meet in
+    one block only, and a visitor meets each row that it may reach there.
+    """
+    reach = reach * (1 + 1e-9)
+    at = lambda c, by=0: F.floor((F.col(c) + by) / side)
+    rows = rows.withColumns({"hx": F.when(home, at("px")), "hy": F.when(home, at("py"))})
+    for c in "xy":
+        rows = rows.withColumn(f"b{c}", F.explode(F.sequence(at(f"p{c}", -reach), at(f"p{c}", reach))))
+    rows = rows.where("hx is null or bx > hx or bx = hx and by >= hy")
+    return rows.withColumn("own", F.coalesce((F.col("bx") == F.col("hx")) & (F.col("by") == F.col("hy")), F.lit(False))).drop("hx", "hy", "px", "py")
 
 
-def bin_pairs(dets: DataFrame, reach: Column, keys: list[str]) -> DataFrame:
-    """All pairs (keys, a, b) of equal keys whose centres are at most ``reach`` apart in x and y, a before b in priority.
+def _conflicts(rows: DataFrame, keys: list[str], make, overlap: bool = False) -> DataFrame:
+    """Conflicts (killer, victim) of the rows at home in a block with one another and with its visitors.
 
-    An equi-join on bins as wide as ``reach``, which is one for rows of equal keys. A detection meets its own bin and four of
-    its neighbours, so each pair of bins is looked at once.
+    A task holds some whole blocks, never their conflicts: these leave it batch by batch. ``make`` has the kernel's rule for a dict of columns.
     """
-    rows = dets.withColumn("reach", reach.cast("double")).where("reach > 0")
-    rows = rows.select(*keys, "reach", F.struct(*FIELDS).alias("d"), *(F.floor(F.col(c) / F.col("reach")).alias(f"b{c[-1]}") for c in ("cx", "cy")))
-    left = rows.select(*keys, "reach", "d", F.explode(_steps(F.col("bx"), F.col("by"), HALF)).alias("s")).select(*keys, "reach", "d", "s.*")
-    pairs = _met(left, rows.select(*keys, "bx", "by", F.col("d").alias("e")), [*keys, "bx", "by"])
-    close = (F.abs(F.col("a.cx") - F.col("b.cx")) <= F.col("reach")) & (F.abs(F.col("a.cy") - F.col("b.cy")) <= F.col("reach"))
-    return pairs.where(close).select(*keys, "reach", "a", "b")
+    names = [c for c in rows.columns if c not in keys]
+
+    def parts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            code = table[k].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new) - 1
+
+    def found(table: pa.Table, part: np.ndarray) -> Iterator[tuple]:
+        c = {name: table[name].to_numpy() for name in names}
+        near, own, first, det = make(c), c["own"], c["confidence"], c["det_id"]
+        first = np.where(np.isnan(first), np.inf, first)
+        for i, j in kernels.meetings(near, part, own):
+            some = (first[i] != first[j]) | (det[i] != det[j])  # a row does not meet its like
+            i, j = i[some], j[some]
+            before = (first[i] > first[j]) | (first[i] == first[j]) & (det[i] < det[j])
+            yield np.where(before, det[i], det[j]), np.where(before, det[j], det[i]), *([kernels.iou(near.boxes[i], near.boxes[j])] if overlap else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for table in blocks(batches):
+            for columns in found(table, parts(table)):
+                out.append(columns)
+                n += len(columns[0])
+                if n >= BATCH:
+                    yield batch(out)
+                    out, n = [], 0
+        if n:
+            yield batch(out)
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out, strict=True)], ["killer", "victim", *(["iou"] if overlap else [])])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n, room = [], 0, ROOM
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= room:
+                table = pa.Table.from_batches(held)
+                part = parts(table)
+                whole = int(np.searchsorted(part, part[-1]))  # the last block may go on
+                room = ROOM if whole else 2 * n
+                if whole:
+                    yield table.slice(0, whole)
+                    held, n = table.slice(whole).to_batches(), n - whole
+        if n:
+            yield pa.Table.from_batches(held)
+
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as their bytes don't tell how many conflicts blocks have
+    rows = rows.repartition(usual, *keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, f"killer long, victim long{', iou double' if overlap else ''}")
+
+
+FINITE = float("inf")
+
+
+def disk_edges(dets: DataFrame, reach: Column, keys: list[str]) -> DataFrame:
+    """Conflicts (killer, victim) of equal keys whose centres are at most ``reach`` apart, which is one for rows of equal keys."""
+    rows = dets.withColumn("reach", reach.cast("double")).where("reach > 0 and confidence is not null").dropna(subset=[*keys, "det_id"])
+    rows = rows.where((F.abs("cx") < FINITE) & (F.abs("cy") < FINITE))
+    rows = rows.select(*keys, F.col("det_id").cast("long"), F.col("confidence").cast("double"), *(F.col(c).cast("double") for c in ("cx", "cy")), "reach", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    rows = _dealt(rows, F.col("reach") * BLOCK, F.col("reach"), F.lit(True))
+    return _conflicts(rows, [*keys, "bx", "by"], lambda c: kernels.Disks(c["cx"], c["cy"], np.zeros(len(c["cx"]), np.int64), c["reach"]))
 
 
-def box_pairs(dets: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """Pairs (keys, a, b) of equal keys that hold all whose boxes overlap by the threshold, a before b in priority.
+def iou_edges(dets: DataFrame, threshold: float, keys=("slide_id", "overlap_pct")) -> DataFrame:
+    """Conflicts (killer, victim, iou) by box overlap.
 
-    Boxes are dealt to levels by their larger side, below a power of two that is the level's cell. A box meets its own
-    level as in ``bin_pairs``, and in each coarser one that the threshold allows the cells from which a box can reach it.
+    Boxes are dealt to levels by their larger side, below a power of two. Those of a level are at home on its blocks, where
+    narrower boxes visit them from as many levels as the threshold allows. Centres of conflicting boxes are apart by
+    less than the wider one's sides times (1 - threshold).
     """
-    apart = kernels.levels_apart(threshold)
-    rows = dets.where("x2 > x1 and y2 > y1")  # others overlap nothing
-    level = F.length(F.bin(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).cast("long")))
-    rows = rows.select(*keys, F.struct(*FIELDS).alias("d"), level.alias("level"))
-    cell = lambda c, k: F.floor(F.col(f"d.{c}") / F.pow(F.lit(2.0), k))
-    rows = rows.withColumns({f"b{c}": cell(f"{c}1", F.col("level")) for c in "xy"})
-    same = rows.select(*keys, "d", "level", F.explode(_steps(F.col("bx"), F.col("by"), HALF)).alias("s")).select(*keys, "d", "level", "s.*")
-    left = same
+    apart, keys = kernels.levels_apart(threshold), list(keys)
+    corners = ["x1", "y1", "x2", "y2"]
+    rows = dets.where("x2 > x1 and y2 > y1 and confidence is not null").dropna(subset=[*keys, "det_id"])  # others overlap nothing
+    own = F.length(F.bin(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).cast("long")))
+    rows = rows.select(*keys, F.col("det_id").cast("long"), F.col("confidence").cast("double"), *corners, own.alias("mine"), *(((F.col(f"{c}1") + F.col(f"{c}2")) / 2.0).alias(f"p{c}") for c in "xy"))
     if apart:  # only levels that the data have
-        known = rows.select(*keys, F.col("level").alias("wider")).distinct()
-        wider = rows.drop("bx", "by").join(known, keys).where((F.col("wider") > F.col("level")) & (F.col("wider") <= F.col("level") + apart))
-        for c in "xy":
-            wider = wider.withColumn(f"b{c}", F.explode(F.sequence(cell(f"{c}1", F.col("wider")) - 1, cell(f"{c}2", F.col("wider")))))
-        left = same.unionByName(wider.select(*keys, "d", F.col("wider").alias("level"), "bx", "by", F.lit(False).alias("own")))
-    return _met(left, rows.select(*keys, "level", "bx", "by", F.col("d").alias("e")), [*keys, "level", "bx", "by"]).select(*keys, "a", "b")
-
-
-def iou_column(a: str = "a", b: str = "b"):
-    w = F.greatest(F.least(F.col(f"{a}.x2"), F.col(f"{b}.x2")) - F.greatest(F.col(f"{a}.x1"), F.col(f"{b}.x1")), F.lit(0))
-    h = F.greatest(F.least(F.col(f"{a}.y2"), F.col(f"{b}.y2")) - F.greatest(F.col(f"{a}.y1"), F.col(f"{b}.y1")), F.lit(0))
-    area = [F.greatest(F.col(f"{t}.x2") - F.col(f"{t}.x1"), F.lit(0)) * F.greatest(F.col(f"{t}.y2") - F.col(f"{t}.y1"), F.lit(0)) for t in (a, b)]
-    union = area[0] + area[1] - w * h
-    return F.coalesce(F.try_divide((w * h).cast("double"), union.cast("double")), F.lit(0.0))
-
-
-def _edges(pairs: DataFrame, *more: Column) -> DataFrame:
-    return pairs.select(F.col("a.det_id").alias("killer"), F.col("b.det_id").alias("victim"), *more)
-
-
-def iou_edges(dets: DataFrame, threshold: float, keys=("slide_id", "overlap_pct")) -> DataFrame:
-    """Conflicts (killer, victim) by box overlap."""
-    pairs = box_pairs(dets, threshold, list(keys)).withColumn("iou", iou_column()).where(F.col("iou") >= threshold)
-    return _edges(pairs, F.round("iou", 9).alias("iou"))
+        known = rows.select(*keys, F.col("mine").alias("level")).distinct()
+        rows = rows.join(F.broadcast(known), keys).where((F.col("level") >= F.col("mine")) & (F.col("level") <= F.col("mine") + apart))
+    else:
+        rows = rows.withColumn("level", F.col("mine"))
+    side = F.pow(F.lit(2.0), "level")
+    rows = _dealt(rows, side * BOX_BLOCK, side * max(1 - threshold, 0.0) + 1, F.col("level") == F.col("mine")).drop("mine")
+    edges = _conflicts(rows, [*keys, "level", "bx", "by"], lambda c: kernels.Boxes(np.stack([c[k] for k in corners], axis=1), threshold), overlap=True)
+    return edges.withColumn("iou", F.round("iou", 9))
 
 
 def distance_edges(dets: DataFrame, radius: float, keys=("slide_id", "overlap_pct", "label")) -> DataFrame:
-    return _edges(bin_pairs(dets, F.lit(radius), list(keys)).where(_square() <= radius * radius))
+    return disk_edges(dets, F.lit(radius), list(keys))
 
 
 def center_edges(dets: DataFrame, k: float, keys=("slide_id", "overlap_pct", "label")) -> DataFrame:
     """Conflicts by centre distance within the label's radius, k standard deviations of its box sides."""
     radii = suppress.center_radii(dets, k)  # a row a slide, overlap and label
-    pairs = bin_pairs(dets.join(radii, ["slide_id", "overlap_pct", "label"]), F.col("radius"), list(keys))
-    return _edges(pairs.where(_square() <= F.col("reach") * F.col("reach")))
-
-
-def _square():
-    return (F.col("a.cx") - F.col("b.cx")) ** 2 + (F.col("a.cy") - F.col("b.cy")) ** 2
+    return disk_edges(dets.join(radii, ["slide_id", "overlap_pct", "label"]), F.col("radius"), list(keys))
 
 
 def nodes(dets: DataFrame, scope: str) -> DataFrame:

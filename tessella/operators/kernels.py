@@ -291,6 +291,9 @@ class Disks:
     def test(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (self.x[i] - self.x[j]) ** 2 + (self.y[i] - self.y[j]) ** 2 <= self.radius[i] * self.radius[i]
 
+    def reach(self, at: np.ndarray, kind: int, other: int):
+        return self.radius[at], self.radius[at]
+
     def within(self, at: np.ndarray):
         return distance_conflicts(self.x[at], self.y[at], self.label[at], self.radius[at])
 
@@ -321,7 +324,7 @@ class Boxes:
         self.range = {}
         for k in np.unique(self.kind):
             mine = self.kind == k
-            self.range[int(k)] = [(int(s[mine].min()), int(s[mine].max())) for s in sides]
+            self.range[int(k)] = [(int(s[mine].min()), int(np.ceil(s[mine].max()))) for s in sides]
 
     def candidates(self, at: np.ndarray) -> int:
         return iou_count(self.boxes[at], self.threshold)
@@ -343,6 +346,16 @@ class Boxes:
             out.append(np.floor(v[at] / (max(apart, 0.5) * (1 + 1e-9))).astype(np.int64))
         return out
 
+    def reach(self, at: np.ndarray, kind: int, other: int):
+        """How far in x and in y the centres of boxes of the other kind may lie from each of these."""
+        out = []
+        for k, (low, high) in enumerate(self.range[other]):
+            side, most = self.boxes[at, k + 2] - self.boxes[at, k], np.zeros(len(at))
+            for theirs in (np.clip(side, low, high), high):  # it rises up to an equal side, and from there by 1/2 - threshold
+                most = np.maximum(most, (side + theirs) / 2 - self.threshold * np.maximum(side, theirs))
+            out.append(most)
+        return out
+
     def test(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return iou(self.boxes[i], self.boxes[j]) >= self.threshold
 
@@ -435,6 +448,45 @@ def struck(near, part: np.ndarray, kept: np.ndarray, nodes: np.ndarray) -> np.nd
     return hit
 
 
+def meetings(near, part: np.ndarray, own: np.ndarray):
+    """All conflicts (i, j) inside each part, but those of two places that are not ``own``, step by step.
+
+    Places are ordered along strips. One meets those of its strip and of the two beside it whose centres lie within its reach.
+    """
+    kinds, visits = ({int(k): np.flatnonzero(some & (near.kind == k)) for k in np.unique(near.kind[some])} for some in (own, ~own))
+    empty = np.zeros(0, np.int64)
+    for kind, other in near.looks(kinds, kinds | visits):
+        mine, them = kinds.get(kind, empty), visits.get(other, empty)
+        if kind <= other:  # two own places once
+            them = np.concatenate([them, kinds.get(other, empty)])
+        if not len(mine) or not len(them):
+            continue
+        wide, high = near.reach(mine, kind, other)
+        strip = max(float(wide.max()), 0.5) * (1 + 1e-9)
+        rows = []
+        for at in (mine, them):
+            rows.append([part[at], np.floor(near.x[at] / strip), near.y[at]])
+        least = np.full((2, int(max(rows[0][0].max(), rows[1][0].max())) + 1), np.inf)
+        for where, x, y in rows:
+            np.minimum.at(least[0], where, x)
+            np.minimum.at(least[1], where, y)
+        rows = [(where, x - least[0, where] + 1, y - least[1, where]) for where, x, y in rows]
+        across, span = max(float(x.max()) for _, x, _ in rows) + 2, max(float(y.max()) for _, _, y in rows) + float(high.max()) + 1
+        keys = [(where * across + x) * span + y for where, x, y in rows]
+        orders = [np.argsort(k, kind="stable") for k in keys]
+        (bins, ranked), (mine, them) = ([a[o] for a, o in zip(both, orders, strict=True)] for both in (keys, (mine, them)))
+        wide, high = wide[orders[0]], high[orders[0]] * (1 + 1e-9) + max(float(k.max()) for k in keys) * 1e-14
+        for step in (-span, 0.0, span):
+            for at, j in steps(np.searchsorted(ranked, bins + step - high, "left"), np.searchsorted(ranked, bins + step + high, "right")):
+                i, j = mine[at], them[j]
+                some = np.abs(near.x[i] - near.x[j]) <= wide[at] * (1 + 1e-9)
+                if kind == other:
+                    some &= ~own[j] | (i < j)
+                i, j = i[some], j[some]
+                some = near.test(i, j)
+                yield i[some], j[some]
+
+
 def keep(near, part: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Greedy suppression among the nodes (in order of priority) inside each part: the first half, what it leaves of the second, and so on."""
     able = near.able[nodes]
