@@ -175,6 +175,38 @@ def _unsuppressed(dets: DataFrame, chosen: list[Variant], isolate: bool) -> Data
     return rows.withColumn("errors", F.lit(None).cast(kind)) if isolate else rows
 
 
+def by_priority(rows: DataFrame, dets: DataFrame, radii: dict[tuple, str], key: list[str], groups: int, tiled: bool = False) -> DataFrame:
+    """Rows dealt by key and in order of priority, with their label's ``radii`` and the range of tile numbers of their slide (or of their tile), which ``dets`` tell."""
+    slide = ["slide_id", "overlap_pct"]
+
+    def beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+        few = few.withColumnsRenamed({c: f"its_{c}" for c in keys})
+        same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in keys]
+        return rows.join(F.broadcast(few), same, "left").drop(*(f"its_{c}" for c in keys))
+
+    # groups are few rows but long work, so partitions are not coalesced by size, and are more than the groups if those are few
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(usual, min(4 * groups, 8 * usual)), *key)
+    for (k, confidence), name in radii.items():  # not shuffled: a row a slide, overlap and label
+        of = center_radii(dets.where(F.col("confidence") >= confidence), k).withColumnRenamed("radius", name)
+        rows = beside(rows, of, [*slide, "label"]).withColumn(name, F.coalesce(name, F.lit(0.0)))
+    least, end = F.least("tile_x", "tile_y"), F.greatest("tile_x", "tile_y") + 1
+    if tiled:
+        rows = rows.withColumns({"least_tile": least, "tiles": end})
+    else:
+        rows = beside(rows, dets.groupBy(*slide).agg(F.min(least).alias("least_tile"), F.max(end).alias("tiles")), slide)
+    return rows.sortWithinPartitions(*key, F.desc("confidence"), "det_id")
+
+
+def center_names(chosen: list[Variant]) -> dict[tuple, str]:
+    """Names of the columns of radii by what the variants ask for."""
+    return {(v.center_k, v.confidence): f"radius_{k}" for k, v in enumerate(chosen) if v.family == "nn_center"}
+
+
+#: What a group's task reads.
+INPUT = ["slide_id", "overlap_pct", "det_id", "label", "confidence", "x1", "y1", "x2", "y2", "cx", "cy", "x_correct", "y_correct", "tile_x", "tile_y"]
+
+
 def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most: int = MOST, isolate: bool = False) -> DataFrame:
     """Each detection with ``mask``: bit k is set if it survives the k-th variant. One shuffle for all variants.
 
@@ -188,8 +220,7 @@ def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most:
     tiled = all(v.scope == "grid_n1" or v.family == "none" for v in chosen)
     if all(v.family == "none" for v in chosen):
         return _unsuppressed(dets, chosen, isolate)
-    radii = {(v.center_k, v.confidence): f"radius_{k}" for k, v in enumerate(chosen) if v.family == "nn_center"}
-
+    radii = center_names(chosen)
     crowded = streams.CROWDED
 
     def whole(table: pa.Table) -> pa.Table:
@@ -232,31 +263,14 @@ def survivors(dets: DataFrame, variants: dict[str, Variant] | None = None, most:
                 errors = [{"nms_method": names[v], "error_msg": e} for v, e in stream.errors.items()]
             yield from finished(pa.table(rows), errors if not k else []).to_batches()
 
-    columns = ["slide_id", "overlap_pct", "det_id", "label", "confidence", "x1", "y1", "x2", "y2", "cx", "cy", "x_correct", "y_correct", "tile_x", "tile_y"]
-    dets, slide = dets.select(*columns), ["slide_id", "overlap_pct"]
+    dets, slide = dets.select(*INPUT), ["slide_id", "overlap_pct"]
     key = [*slide, *(["tile_x", "tile_y"] if tiled else [])]
     schema = f"{MASK_SCHEMA}, {ERRORS}" if isolate else MASK_SCHEMA
     sizes = dets.groupBy(*key).count()
     groups, largest = sizes.agg(F.count(F.lit(1)), F.max("count")).first()
 
-    def beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-        few = few.withColumnsRenamed({c: f"its_{c}" for c in keys})
-        same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in keys]
-        return rows.join(F.broadcast(few), same, "left").drop(*(f"its_{c}" for c in keys))
-
     def solved(rows: DataFrame) -> DataFrame:
-        # groups are few rows but long work, so partitions are not coalesced by size, and are more than the groups if those are few
-        usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(max(usual, min(4 * groups, 8 * usual)), *key)
-        for (k, confidence), name in radii.items():  # not shuffled: a row a slide, overlap and label
-            of = center_radii(dets.where(F.col("confidence") >= confidence), k).withColumnRenamed("radius", name)
-            rows = beside(rows, of, [*slide, "label"]).withColumn(name, F.coalesce(name, F.lit(0.0)))
-        least, end = F.least("tile_x", "tile_y"), F.greatest("tile_x", "tile_y") + 1
-        if tiled:
-            rows = rows.withColumns({"least_tile": least, "tiles": end})
-        else:
-            rows = beside(rows, dets.groupBy(*slide).agg(F.min(least).alias("least_tile"), F.max(end).alias("tiles")), slide)
-        return rows.sortWithinPartitions(*key, F.desc("confidence"), "det_id").groupBy(*key).applyInArrow(run, schema)
+        return by_priority(rows, dets, radii, key, groups, tiled).groupBy(*key).applyInArrow(run, schema)
 
     if (largest or 0) <= most:
         return solved(dets)

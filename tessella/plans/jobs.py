@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.config import CONFIG, METHODS_25, Config
 from tessella.operators import agreement, consensus, counts, inference, outliers, summary, suppress
+from tessella.operators import stream as streams
 from tessella.operators.suppress import REGISTRY, Variant
 from tessella.sources import images, validate
 from tessella.sources import load as loading
@@ -144,22 +148,73 @@ def representative(dets: DataFrame, n: int, config: Config = CONFIG) -> DataFram
     return whole.orderBy(F.xxhash64("slide_id", F.lit(config.seed)), "slide_id").limit(n).select("slide_id")
 
 
+#: Variants whose state a task of ``times`` holds at once.
+TIMED = 6
+
+
+def _clocked(work) -> np.ndarray:
+    cpu, wall = time.process_time(), time.perf_counter()
+    work()
+    return np.array([time.process_time() - cpu, time.perf_counter() - wall])
+
+
 def times(dets: DataFrame, variants: dict[str, Variant] | None = None, repeats: int = 3) -> DataFrame:
-    """CPU and wall time of every variant on each slice, after one warm-up."""
-    chosen = dict(variants or REGISTRY)
+    """CPU and wall time of every variant on each slice, after a warm-up.
 
-    def clock(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, key = [], (pdf["slide_id"].iloc[0], float(pdf["overlap_pct"].iloc[0]))
-        for name, v in chosen.items():
-            suppress.Group(pdf).survivors(v)
+    A crowded slice is taken in chunks, as in the pass that counts: each chunk is solved once for every repeat, and the times are
+    the sums over chunks. The warm-up is on the first chunk. Tasks on the same slice read one shuffle.
+    """
+    chosen = dict(variants or REGISTRY)
+    names, crowded = suppress.center_names(list(chosen.values())), streams.CROWDED
+
+    def clock(mine: dict[str, Variant]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flows = {n: streams.Stream([v], names if v.family == "nn_center" else {}) for n, v in mine.items()}
+            some = next(iter(flows.values()))
+            tables = streams.chunks(batches, lambda: some.room() if some.taken else crowded)
+            first = next(tables)
+            second = next(tables, None)
+            key, n = [first[c][0].as_py() for c in KEYS], first.num_rows
+            if second is None:
+                spent = {m: whole(first, v) for m, v in mine.items()}
+            else:
+                spent = {m: np.zeros((repeats, 2)) for m in mine}
+                take(flows, spent, first, True)
+                del first
+                while second is not None:
+                    n += second.num_rows
+                    take(flows, spent, second)
+                    second = next(tables, None)
+                for m in mine:
+                    flow = flows.pop(m)
+                    for r in range(repeats):
+                        spent[m][r] += _clocked((flow.copy() if r < repeats - 1 else flow).settle)
+            out = [(*key, m, r, n, *map(float, spent[m][r])) for m in mine for r in range(repeats)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+
+        return run
+
+    def whole(table: pa.Table, v: Variant) -> np.ndarray:
+        suppress.Group(table, names).survivors(v)
+        return np.array([_clocked(lambda group=suppress.Group(table, names): group.survivors(v)) for _ in range(repeats)])
+
+    def take(flows: dict, spent: dict, table: pa.Table, warm: bool = False) -> None:
+        for m, flow in flows.items():
+            flow.read(table)
+            if warm:
+                flow.copy().solve()
             for r in range(repeats):
-                group, cpu, wall = suppress.Group(pdf), time.process_time(), time.perf_counter()
-                group.survivors(v)
-                out.append((*key, name, r, len(pdf), time.process_time() - cpu, time.perf_counter() - wall))
-        return pd.DataFrame(out, columns=["slide_id", "overlap_pct", "nms_method", "repeat", "n_detections", "elapsed_cpu", "elapsed_wall"])
+                spent[m][r] += _clocked((flow.copy() if r < repeats - 1 else flow).solve)
+            next(flow.ready(), None)  # lets go of rows that are settled
 
     schema = "slide_id string, overlap_pct double, nms_method string, repeat int, n_detections long, elapsed_cpu double, elapsed_wall double"
-    return dets.groupBy(*KEYS).applyInPandas(clock, schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in schema.split(", ")]
+    dets = dets.select(*suppress.INPUT)
+    rows = suppress.by_priority(dets, dets, names, KEYS, dets.select(*KEYS).distinct().count())
+    parts = -(-len(chosen) // TIMED)
+    dealt = [dict(list(chosen.items())[k::parts]) for k in range(parts)]
+    return reduce(DataFrame.unionByName, [rows.groupBy(*KEYS).applyInArrow(clock(mine), schema) for mine in dealt])
 
 
 def timing(store: Store, slides: int = 5, repeats: int = 3, config: Config = CONFIG) -> dict[str, DataFrame]:
