@@ -13,12 +13,12 @@ from dataclasses import replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import kernels, suppress
+from tessella.operators import stream as streams
 from tessella.operators.components import stars
 from tessella.sources.scratch import cut, discard
 
@@ -325,8 +325,8 @@ def by_waves(dets: DataFrame, scope: str, variants: dict[str, suppress.Variant])
     """(det_id, alive): the detections that survive variants of one scope, a bit each, with no table of conflicts.
 
     Blocks that can share a detection differ in bx + 2 by. So a pass over each value of that sum solves all its blocks,
-    each a group (of one label, if no rule looks across labels) that takes memory by its detections. A detection enters with
-    its first block and goes on with what that leaves, which lies apart and is few at any place.
+    each a group (of one label, if no rule looks across labels) that is taken in chunks by priority and takes memory by its area. A detection
+    enters with its first block and goes on with what that leaves, which lies apart and is few at any place.
     """
     if any(v.scope != scope or v.family == "none" for v in variants.values()):
         raise ValueError("variants of one scope that suppress something")
@@ -345,21 +345,31 @@ def by_waves(dets: DataFrame, scope: str, variants: dict[str, suppress.Variant])
             rows = rows.join(F.broadcast(of.withColumnRenamed("radius", name)), [*slide, "label"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     used = [*slide, "label", "det_id", "confidence", *(["x1", "y1", "x2", "y2"] if boxes else []), "cx", "cy"]
     rows = rows.select(*used, *(F.col(c).cast("long").alias(c) for c in ("tile_x", "tile_y")), *radii.values(), "alive")
-    schema = rows.schema
+    schema, given = rows.schema, ("slide_id", "overlap_pct", "label", "det_id", "tile_x", "tile_y", "alive")
+    carry = tuple(c for c in schema.names if c not in given)
+    inside = [replace(v, scope="global") for v in variants.values()]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = suppress.Group(pdf, {k: name for k, name in radii.items()})
-        alive = pdf["alive"].to_numpy()[group.order]
-        left = np.zeros(len(alive), np.int64)
-        for k, v in enumerate(variants.values()):
-            left |= group.survivors(replace(v, scope="global"), (alive >> k & 1) == 1).astype(np.int64) << k
-        return pdf.iloc[group.order[left != 0]].assign(alive=left[left != 0])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's rows, which come in order of priority and leave as they are settled."""
+        stream = streams.Stream(inside, radii, carry=carry)
+
+        def told(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+            for c in found:
+                c["alive"] = c.pop("mask")
+                yield pa.RecordBatch.from_arrays([c[name] for name in schema.names], schema.names)
+
+        for table in streams.chunks(batches, stream.room):
+            stream.take(table)
+            yield from told(stream.ready())
+        yield from told(stream.rows())
 
     keys = [*slide, *([] if across else ["label"])]
+    usual = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are few rows but long work
 
     def solved(some: DataFrame, *place: Column) -> DataFrame:
         some = some.withColumns({f"_{k}": c for k, c in enumerate(place)})
-        return some.groupBy(*keys, *(f"_{k}" for k in range(len(place)))).applyInPandas(lambda pdf: solve(pdf[schema.names]), schema)
+        by = [*keys, *(f"_{k}" for k in range(len(place)))]
+        return some.repartition(4 * usual, *by).sortWithinPartitions(*by, F.desc("confidence"), "det_id").groupBy(*by).applyInArrow(solve, schema)
 
     if not grid:
         place = [F.col("tile_x"), F.col("tile_y")] if scope == "grid_n1" else []
